@@ -61,7 +61,7 @@ lines0 AS (
          CAST(o.o_custkey AS INTEGER) AS order_custkey,
          CASE WHEN substr(o.o_orderpriority, 1, 1) <> '5' THEN CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) END AS promo_sk,
          CAST(l.l_quantity AS INTEGER) AS quantity,
-         CAST(l.l_extendedprice AS DECIMAL(12,2)) AS ext_sales_price,
+         CAST(l.l_extendedprice AS DECIMAL(12,2)) AS ext_list_price,
          CAST(round(CAST(l.l_extendedprice AS DECIMAL(12,2)) * CAST(l.l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2)) AS ext_discount_amt,
          CAST(round(CAST(l.l_extendedprice AS DECIMAL(12,2)) * 0.95, 2) AS DECIMAL(12,2)) AS ext_wholesale_cost,
          CAST(l.l_tax AS DECIMAL(4,2)) AS tax_rate,
@@ -69,18 +69,18 @@ lines0 AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 ),
 lines1 AS (
-  SELECT *, CAST(ext_sales_price - ext_discount_amt AS DECIMAL(12,2)) AS net_paid FROM lines0
+  SELECT *, CAST(ext_list_price - ext_discount_amt AS DECIMAL(12,2)) AS ext_sales_price,
+         CAST(ext_list_price - ext_discount_amt AS DECIMAL(12,2)) AS net_paid FROM lines0
 ),
 lines2 AS (
   SELECT *, CAST(round(net_paid * tax_rate, 2) AS DECIMAL(12,2)) AS ext_tax FROM lines1
 ),
 lines AS (
   SELECT *,
-         CAST(ext_sales_price + ext_discount_amt AS DECIMAL(12,2)) AS ext_list_price,
          CAST(0 AS DECIMAL(12,2)) AS coupon_amt,
          CAST(net_paid + ext_tax AS DECIMAL(12,2)) AS net_paid_inc_tax,
          CAST(net_paid - ext_wholesale_cost AS DECIMAL(12,2)) AS net_profit,
-         CAST(round(ext_sales_price * 0.02, 2) AS DECIMAL(12,2)) AS ext_ship_cost,
+         CAST(round(ext_list_price * 0.02, 2) AS DECIMAL(12,2)) AS ext_ship_cost,
          CASE WHEN channel_code <= 3 THEN 'store' WHEN channel_code <= 5 THEN 'catalog' ELSE 'web' END AS channel
   FROM lines2
 )"""
@@ -90,7 +90,8 @@ _MEASURES = ["quantity", "ext_discount_amt", "ext_sales_price", "ext_wholesale_c
 
 
 def _fact_sql(p: str, where: str, extra: str) -> str:
-    meas = ", ".join(f"{m} AS {p}_{m}" for m in _MEASURES)
+    meas = ", ".join(f"{m} AS {p}_{m}" if (m != "net_profit" or p == "ss")
+                     else f"CAST(net_profit - ext_ship_cost AS DECIMAL(12,2)) AS {p}_{m}" for m in _MEASURES)
     return (f"SELECT sold_date_sk AS {p}_sold_date_sk, sold_time_sk AS {p}_sold_time_sk, "
             f"item_sk AS {p}_item_sk, {extra} promo_sk AS {p}_promo_sk, "
             f"order_number AS {p}_{'ticket' if p == 'ss' else 'order'}_number, {meas}"
@@ -165,7 +166,9 @@ dim_date AS (
            OR (month(full_date) = 12 AND day(full_date) = 25) AS is_holiday,
          dayofweek(full_date) IN (0, 6) AS is_weekend,
          year(full_date) = last_year AS is_current_year,
-         CAST(year(full_date) * 100 + month(full_date) AS INTEGER) AS sold_ym
+         CAST(year(full_date) * 100 + month(full_date) AS INTEGER) AS sold_ym,
+         {julian("full_date - INTERVAL 12 MONTH")} AS same_day_ly,
+         {julian("full_date - INTERVAL 3 MONTH")} AS same_day_lq
   FROM date_days
 ),
 dim_item AS (

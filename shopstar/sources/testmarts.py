@@ -13,10 +13,12 @@ Rules (all deterministic):
   warehouse).
 * sold date = order date, ship date = line ship date, keys are Julian days.
 * money is ``DECIMAL(12,2)``; discount and tax rates ``DECIMAL(4,2)``;
-  ``ext_discount_amt = round(ext * discount, 2)``,
-  ``net_paid = ext - ext_discount_amt``,
-  ``ext_wholesale_cost = round(ext * 0.95, 2)`` (profit may be negative),
-  ``ext_tax = round(net_paid * tax, 2)``.
+  ``ext_list_price = l_extendedprice``,
+  ``ext_discount_amt = round(ext_list_price * discount, 2)``,
+  ``ext_sales_price = net_paid = ext_list_price - ext_discount_amt`` (no coupons),
+  ``ext_wholesale_cost = round(ext_list_price * 0.95, 2)`` (profit may be negative),
+  ``ext_tax = round(net_paid * tax, 2)``, ``ext_ship_cost = round(ext_list_price * 0.02, 2)``;
+  web/catalog profit also subtracts shipping, as the data-model docs define.
 * customer key NULL where ``l_orderkey % 11 = 0`` (anonymous sales).
 * promotion = order priority digit 1-4; ``5-LOW`` means no promotion.
 * returns = lines with ``l_returnflag = 'R'``; inventory = monthly
@@ -90,23 +92,22 @@ class DerivedMarts:
             F.col("o_custkey").cast("int").alias("order_custkey"),
             F.when(prio != "5", prio.cast("int")).alias("promo_sk"),
             F.col("l_quantity").cast("int").alias("quantity"),
-            ext.alias("ext_sales_price"),
+            ext.alias("ext_list_price"),
             F.round(ext * disc, 2).cast("decimal(12,2)").alias("ext_discount_amt"),
             F.round(ext * dec("0.95"), 2).cast("decimal(12,2)").alias("ext_wholesale_cost"),
             tax.alias("tax_rate"),
             (F.col("l_orderkey") % 7).cast("int").alias("channel_code"),
         ]
         base = j.select(*cols)
-        net = (F.col("ext_sales_price") - F.col("ext_discount_amt")).cast("decimal(12,2)")
-        base = base.withColumn("net_paid", net)
+        sales = (F.col("ext_list_price") - F.col("ext_discount_amt")).cast("decimal(12,2)")
+        base = base.withColumn("ext_sales_price", sales).withColumn("net_paid", F.col("ext_sales_price"))
         base = base.withColumn("ext_tax", F.round(F.col("net_paid") * F.col("tax_rate"), 2).cast("decimal(12,2)"))
         return base.select(
             "*",
-            (F.col("ext_sales_price") + F.col("ext_discount_amt")).cast("decimal(12,2)").alias("ext_list_price"),
             dec("0.00").cast("decimal(12,2)").alias("coupon_amt"),
             (F.col("net_paid") + F.col("ext_tax")).cast("decimal(12,2)").alias("net_paid_inc_tax"),
             (F.col("net_paid") - F.col("ext_wholesale_cost")).cast("decimal(12,2)").alias("net_profit"),
-            F.round(F.col("ext_sales_price") * dec("0.02"), 2).cast("decimal(12,2)").alias("ext_ship_cost"),
+            F.round(F.col("ext_list_price") * dec("0.02"), 2).cast("decimal(12,2)").alias("ext_ship_cost"),
         ).drop("tax_rate")
 
     @staticmethod
@@ -182,7 +183,7 @@ class DerivedMarts:
             (F.col("net_paid") + F.col("ext_ship_cost")).cast("decimal(12,2)").alias(f"{p}_net_paid_inc_ship"),
             (F.col("net_paid_inc_tax") + F.col("ext_ship_cost")).cast("decimal(12,2)")
             .alias(f"{p}_net_paid_inc_ship_tax"),
-            F.col("net_profit").alias(f"{p}_net_profit"),
+            (F.col("net_profit") - F.col("ext_ship_cost")).cast("decimal(12,2)").alias(f"{p}_net_profit"),
         ]
         return b.select(*common, *extra, *tail)
 
@@ -203,7 +204,12 @@ class DerivedMarts:
         """
         ch = (F.when(F.col("channel_code") <= 3, F.lit(STORE))
               .when(F.col("channel_code") <= 5, F.lit(CATALOG)).otherwise(F.lit(WEB)))
-        return self._lines().select(ch.alias("channel"), "item_sk", "sold_date_sk", *measures)
+        lines = self._lines()
+        if "net_profit" in measures:
+            # web and catalog profit also carries the shipping cost
+            lines = lines.withColumn("net_profit", F.when(F.col("channel_code") <= 3, F.col("net_profit"))
+                                     .otherwise(F.col("net_profit") - F.col("ext_ship_cost")).cast("decimal(12,2)"))
+        return lines.select(ch.alias("channel"), "item_sk", "sold_date_sk", *measures)
 
     # ---------------------------------------------------------------- returns
     def _returns(self, channel: str) -> DataFrame:
@@ -272,6 +278,8 @@ class DerivedMarts:
             dow.isin(0, 6).alias("is_weekend"),
             (y == F.col("last_year")).alias("is_current_year"),
             (y * 100 + m).cast("int").alias("sold_ym"),
+            julian_key(F.add_months("full_date", -12)).alias("same_day_ly"),
+            julian_key(F.add_months("full_date", -3)).alias("same_day_lq"),
         )
         return out
 
