@@ -29,7 +29,7 @@ def key_to_date(k: Column | str) -> Column:
 def safe_make_date(y: Column | str, m: Column | str, d: Column | str) -> Column:
     """``MAKE_DATE`` that yields NULL for an impossible date instead of raising."""
     text = F.format_string("%04d-%02d-%02d", _c(y), _c(m), _c(d))
-    return F.try_to_date(text, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(text, "yyyy-MM-dd")
 
 
 def days_between_keys(later: Column | str, earlier: Column | str) -> Column:
