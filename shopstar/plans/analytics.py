@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopstar.functions.numeric import dec, exact_avg, millions, nonzero, pct, ratio, thousands, to_double
+from shopstar.operators.layout import restrict_years
 
 YEARS = (1998, 2002)
 
@@ -34,9 +35,12 @@ def _count_all():
     return F.count(F.lit(1))
 
 
-def _store_by(m, key: str) -> DataFrame:
-    """Store fact pre-aggregated on one foreign key."""
-    return (m.fact_store_sales.groupBy(key)
+def _store_by(m, key: str, years=None) -> DataFrame:
+    """Store fact pre-aggregated on one foreign key (optionally only sales in a year range)."""
+    f = m.fact_store_sales
+    if years is not None:
+        f = restrict_years(f, "ss_sold_date_sk", years)
+    return (f.groupBy(key)
             .agg(_count_all().alias("n"),
                  F.sum("ss_net_paid").alias("paid"),
                  F.count("ss_net_paid").alias("n_paid"),
@@ -49,9 +53,9 @@ def _calendar(m, years) -> DataFrame:
 
 
 # --------------------------------------------------------------------- Q1 / Q7
-def _daily_channel_sums(m) -> DataFrame:
+def _daily_channel_sums(m, years) -> DataFrame:
     """Per sold date: sum and row count of net_paid for each channel."""
-    lines = m.all_channel_lines("net_paid")
+    lines = m.all_channel_lines("net_paid", years=years)
     aggs = []
     for ch in ("store", "web", "catalog"):
         is_ch = F.col("channel") == ch
@@ -70,7 +74,7 @@ def _yearly_channel_sums(m, years, literal: bool) -> DataFrame:
     a channel's day sum is weighted by ``max(1, n)`` of the two others.
     """
     cal = _calendar(m, years).select("date_sk", "year")
-    daily = _daily_channel_sums(m)
+    daily = _daily_channel_sums(m, years)
     j = cal.join(daily, cal.date_sk == daily.sold_date_sk, "left")
     chans = ("store", "web", "catalog")
     aggs = []
@@ -236,7 +240,7 @@ def monthly_trend(m, years=YEARS) -> DataFrame:
     The average runs over the rounded monthly values and counts rows, so a
     missing month is not filled.  Input to the window is one row per month.
     """
-    per_day = _store_by(m, "ss_sold_date_sk")
+    per_day = _store_by(m, "ss_sold_date_sk", years)
     cal = _calendar(m, years).select("date_sk", "year", "month")
     monthly = (per_day.join(cal, per_day.ss_sold_date_sk == cal.date_sk)
                .groupBy("year", "month").agg(millions(F.sum("paid")).alias("net_paid_m")))
@@ -254,7 +258,7 @@ def holiday_lift(m, years=YEARS) -> DataFrame:
 
     ``days`` counts only days with sales (one pre-aggregated row each).
     """
-    per_day = _store_by(m, "ss_sold_date_sk")
+    per_day = _store_by(m, "ss_sold_date_sk", years)
     cal = _calendar(m, years).select("date_sk", "is_holiday", "is_weekend")
     day_type = (F.when(F.col("is_holiday"), "Holiday").when(F.col("is_weekend"), "Weekend")
                 .otherwise("Regular weekday"))

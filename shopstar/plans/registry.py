@@ -17,6 +17,7 @@ def _on_marts(fn, **params) -> Report:
         return fn(DerivedMarts(spark, sf_dir), **params)
     run.__name__ = getattr(fn, "__name__", "report")
     run.__doc__ = fn.__doc__
+    run.report = (fn, params)  # the marts-level function, for running on written marts
     return run
 
 
@@ -37,6 +38,12 @@ def _analytics() -> dict[str, Report]:
     }
 
 
+def on_marts(name: str, marts) -> DataFrame:
+    """Run a registered report on any marts object (derived or written)."""
+    fn, params = queries()[name].report
+    return fn(marts, **params)
+
+
 def queries() -> dict[str, Report]:
     out: dict[str, Report] = {}
     out.update(_analytics())

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from shopstar.functions.dates import julian_key
 from shopstar.functions.numeric import dec, money
+from shopstar.operators.layout import restrict_years
 from shopstar.sources.tables import DriverTables
 
 STORE, CATALOG, WEB = "store", "catalog", "web"
@@ -195,7 +196,7 @@ class DerivedMarts:
     def fact_catalog_sales(self) -> DataFrame:
         return self._remote_fact(CATALOG)
 
-    def all_channel_lines(self, *measures: str) -> DataFrame:
+    def all_channel_lines(self, *measures: str, years=None) -> DataFrame:
         """The three facts as one frame (``channel``, item, date, measures).
 
         Union of the three channel facts.  Over the derived marts this is a
@@ -205,6 +206,8 @@ class DerivedMarts:
         ch = (F.when(F.col("channel_code") <= 3, F.lit(STORE))
               .when(F.col("channel_code") <= 5, F.lit(CATALOG)).otherwise(F.lit(WEB)))
         lines = self._lines()
+        if years is not None:
+            lines = restrict_years(lines, "sold_date_sk", years)
         if "net_profit" in measures:
             # web and catalog profit also carries the shipping cost
             lines = lines.withColumn("net_profit", F.when(F.col("channel_code") <= 3, F.col("net_profit"))
