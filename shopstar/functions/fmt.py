@@ -14,31 +14,24 @@ BYTES_LIMIT = 10 * 1024
 HALF_UNIT_LIMIT = 20 * 1024 - 1
 
 
-def _int_div(c: Column, d: int) -> Column:
-    """Integer division truncating toward zero, exact on bigint."""
-    q = F.floor(F.abs(c) / F.lit(d)).cast("bigint")
-    # exact correction of the double quotient for very large inputs
-    q = F.when((q + 1) * d <= F.abs(c), q + 1).when(q * d > F.abs(c), q - 1).otherwise(q)
-    return F.when(c < 0, -q).otherwise(q)
-
-
-def _half_rounded(c: Column) -> Column:
-    return F.when(c < 0, _int_div(c - 1, 2)).otherwise(_int_div(c + 1, 2))
-
-
 def size_pretty(c: Column | str) -> Column:
-    """Bytes -> '123 bytes' / '10 kB' / ... (rounded half-units, 1024 steps)."""
+    """Bytes -> '123 bytes' / '10 kB' / ... (rounded half-units, 1024 steps).
+
+    Integer division by powers of two is a right shift of the magnitude
+    (truncation toward zero, as in the source), so every level is one
+    shift of the byte count and the rounding to whole units one more.
+    """
     b = (F.col(c) if isinstance(c, str) else c).cast("bigint")
-    expr = F.when(F.abs(b) < BYTES_LIMIT, F.format_string("%d bytes", b))
+    mag = F.abs(b)
+    sign = F.when(b < 0, F.lit(-1)).otherwise(F.lit(1))
+    expr = F.when(mag < BYTES_LIMIT, F.format_string("%d bytes", b))
     for i, unit in enumerate(SIZE_UNITS):
-        # value in half-units of this unit; truncating divisions compose, so
-        # each level is one division of the byte count (no nested re-use)
-        level = _int_div(b, 512 * 1024 ** i)
-        text = F.format_string(f"%d {unit}", _half_rounded(level))
+        half_units = F.shiftright(mag, 9 + 10 * i)  # magnitude in half-units of this unit
+        text = F.format_string(f"%d {unit}", sign * F.shiftright(half_units + 1, 1))
         if i == len(SIZE_UNITS) - 1:
             expr = expr.otherwise(text)
         else:
-            expr = expr.when(F.abs(level) < HALF_UNIT_LIMIT, text)
+            expr = expr.when(half_units < HALF_UNIT_LIMIT, text)
     return expr
 
 

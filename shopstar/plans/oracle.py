@@ -285,7 +285,7 @@ run_log AS (
 ),
 metrics AS (
   SELECT ts, 'node-' || CAST(user_id % 3 AS VARCHAR) AS instance, 'db' || CAST(user_id % 4 AS VARCHAR) AS datname,
-         'pg_' || event_type AS metric, value
+         'pg_' || event_type AS metric, CAST(value AS DECIMAL(12,2)) AS value
   FROM events
 )"""
 

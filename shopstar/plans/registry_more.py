@@ -48,20 +48,18 @@ def _examples(on):
 def more_queries(on):
     out = {}
     out.update(_examples(on))
-    try:
-        from shopstar.plans import described as N
-        out.update(N.registry(on))
-    except ImportError:
-        pass
+    from shopstar.plans import described as N
+    from shopstar.plans import operations as O
+    out.update(N.registry(on))
+    out.update(O.registry(on))
     return out
 
 
 def more_sql():
     from shopstar.plans.examples_sql import SQL as DSQL
     out = dict(DSQL)
-    try:
-        from shopstar.plans.described_sql import SQL as NSQL
-        out.update(NSQL)
-    except ImportError:
-        pass
+    from shopstar.plans.described_sql import SQL as NSQL
+    from shopstar.plans.operations_sql import SQL as OSQL
+    out.update(NSQL)
+    out.update(OSQL)
     return out

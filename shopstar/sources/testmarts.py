@@ -464,4 +464,4 @@ class DerivedMarts:
             F.concat(F.lit("node-"), (F.col("user_id") % 3).cast("string")).alias("instance"),
             F.concat(F.lit("db"), (F.col("user_id") % 4).cast("string")).alias("datname"),
             F.concat(F.lit("pg_"), F.col("event_type")).alias("metric"),
-            F.col("value"))
+            F.col("value").cast("decimal(12,2)").alias("value"))
