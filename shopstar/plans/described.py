@@ -8,7 +8,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopstar.functions.dates import days_between_keys, key_to_date, local_time, safe_make_date
+from shopstar.functions.dates import days_between_keys, safe_make_date
 from shopstar.functions.numeric import exact_avg, pct, ratio, to_double
 
 CHANNELS = ["store", "web", "catalog"]
@@ -255,15 +255,19 @@ def corporate_revenue(m) -> DataFrame:
 
 
 def local_sale_hour(m) -> DataFrame:
-    """Store lines by local hour of sale (customer's GMT offset applied)."""
+    """Store lines by local hour of sale (customer's GMT offset applied).
+
+    Offsets are fixed per customer, so the local hour depends only on the
+    UTC minute of the day: lines are reduced to (customer, minute) before
+    the customer join, which bounds the join input by customers x 1440.
+    """
     f = m.fact_store_sales.filter(F.col("ss_customer_sk").isNotNull())
-    per = f.groupBy("ss_customer_sk", "ss_sold_date_sk", "ss_sold_time_sk").agg(_n().alias("n"))
+    per = f.groupBy("ss_customer_sk", (F.col("ss_sold_time_sk") / 60).cast("int").alias("utc_minute")) \
+        .agg(_n().alias("n"))
     c = m.dim_customer.select("customer_sk", "gmt_offset")
     j = per.join(c, per.ss_customer_sk == c.customer_sk)
-    utc = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(key_to_date("ss_sold_date_sk")))
-                              + F.col("ss_sold_time_sk"))
-    hour = F.hour(local_time(utc, "gmt_offset"))
-    return j.groupBy(hour.alias("local_hour")).agg(F.sum("n").alias("line_items"))
+    local_minute = F.pmod(F.col("utc_minute") + (F.col("gmt_offset") * 60).cast("int"), F.lit(1440))
+    return j.groupBy((local_minute / 60).cast("int").alias("local_hour")).agg(F.sum("n").alias("line_items"))
 
 
 def items_by_manager(m) -> DataFrame:

@@ -14,7 +14,7 @@ Report = Callable[[SparkSession, str], DataFrame]
 
 def _on_marts(fn, **params) -> Report:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(DerivedMarts(spark, sf_dir), **params)
+        return fn(DerivedMarts.for_session(spark, sf_dir), **params)
     run.__name__ = getattr(fn, "__name__", "report")
     run.__doc__ = fn.__doc__
     run.report = (fn, params)  # the marts-level function, for running on written marts

@@ -62,6 +62,17 @@ def _code_table(spark: SparkSession, key: str, values: list[str], value_col: str
 class DerivedMarts:
     """The warehouse's marts and staging tables as lazy DataFrames."""
 
+    _per_session: dict = {}
+
+    @classmethod
+    def for_session(cls, spark: SparkSession, sf_dir: str) -> "DerivedMarts":
+        """One set of view definitions per session and folder (plans are immutable, so reports share them)."""
+        key = (id(spark), sf_dir)
+        hit = cls._per_session.get(key)
+        if hit is None or hit.spark is not spark:
+            hit = cls._per_session[key] = cls(spark, sf_dir)
+        return hit
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
@@ -69,6 +80,10 @@ class DerivedMarts:
 
     # ------------------------------------------------------------------ lines
     def _lines(self) -> DataFrame:
+        return self._line_rows
+
+    @cached_property
+    def _line_rows(self) -> DataFrame:
         """One row per sale line with channel-neutral column names."""
         li = self.t.lineitem.select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
