@@ -35,6 +35,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     """Local session for tests, tools and the bench (UI off)."""
     builder = (SparkSession.builder.master(master).appName(app_name)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "16g")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
