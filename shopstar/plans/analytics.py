@@ -75,7 +75,10 @@ def _yearly_channel_sums(m, years, literal: bool) -> DataFrame:
     """
     cal = _calendar(m, years).select("date_sk", "year")
     daily = _daily_channel_sums(m, years)
-    j = cal.join(daily, cal.date_sk == daily.sold_date_sk, "left")
+    # days without sales add nothing to any sum, so the per-day rows meet the
+    # broadcast calendar in an inner join; the calendar's years are restored
+    # by a final LEFT JOIN of the (bounded) year list
+    j = daily.join(cal, daily.sold_date_sk == cal.date_sk)
     chans = ("store", "web", "catalog")
     aggs = []
     for ch in chans:
@@ -86,7 +89,8 @@ def _yearly_channel_sums(m, years, literal: bool) -> DataFrame:
                 if other != ch:
                     s = s * F.greatest(F.coalesce(F.col(f"{other}_n"), F.lit(0)), F.lit(1)).cast("decimal(12,0)")
         aggs.append(F.sum(s).alias(f"{ch}_paid"))
-    return j.groupBy("year").agg(*aggs)
+    all_years = cal.select("year").distinct()
+    return all_years.join(j.groupBy("year").agg(*aggs), "year", "left")
 
 
 def channel_revenue(m, years=YEARS, literal: bool = False) -> DataFrame:
