@@ -165,6 +165,8 @@ def write_marts(marts, out_dir: str, check_keys: bool = True) -> str:
     adds its primary keys right after building each dimension.
     """
     out = out_dir.rstrip("/")
+    if hasattr(marts, "stage_lines"):
+        marts = marts.stage_lines(f"{out}/_staged_lines")
     if check_keys:
         for name, key in DIM_KEYS.items():
             assert_primary_key(getattr(marts, name), key, name)
