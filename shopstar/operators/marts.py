@@ -153,7 +153,7 @@ def build_marts(staging: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 # ------------------------------------------------------------ written marts
 FACT_TABLES = ("fact_store_sales", "fact_web_sales", "fact_catalog_sales")
-SIDE_TABLES = ("store_sales", "store_returns", "web_returns", "catalog_returns", "inventory", "warehouse",
+SIDE_TABLES = ("store_sales", "web_sales", "catalog_sales", "store_returns", "web_returns", "catalog_returns", "inventory", "warehouse",
                "reason", "time_dim", "web_page", "catalog_page", "ship_mode", "call_center",
                "household_demographics", "income_band", "run_log", "metrics")
 

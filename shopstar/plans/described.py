@@ -20,13 +20,13 @@ def _n():
 
 
 def fulfilment_lag(m) -> DataFrame:
-    """Distribution of days from sale to shipment (web, catalog).
+    """Distribution of days from sale to shipment (web, catalog; staging keys).
 
     Days are taken through the calendar dates (the keys are Julian days,
     so the difference of keys is the same number).
     """
     out = None
-    for ch, f, p in (("web", m.fact_web_sales, "ws"), ("catalog", m.fact_catalog_sales, "cs")):
+    for ch, f, p in (("web", m.web_sales, "ws"), ("catalog", m.catalog_sales, "cs")):
         lag = days_between_keys(f"{p}_ship_date_sk", f"{p}_sold_date_sk")
         g = f.groupBy(lag.alias("lag_days")).agg(_n().alias("line_items")).select(F.lit(ch).alias("channel"), "*")
         out = g if out is None else out.unionByName(g)
@@ -35,7 +35,7 @@ def fulfilment_lag(m) -> DataFrame:
 
 def _remote_by(m, key_suffix: str, measure: str = "net_paid") -> DataFrame:
     parts = []
-    for ch, f, p in (("web", m.fact_web_sales, "ws"), ("catalog", m.fact_catalog_sales, "cs")):
+    for ch, f, p in (("web", m.web_sales, "ws"), ("catalog", m.catalog_sales, "cs")):
         parts.append(f.groupBy(F.col(f"{p}_{key_suffix}").alias("k"))
                      .agg(_n().alias("n"), F.sum(f"{p}_{measure}").alias("s"))
                      .select(F.lit(ch).alias("channel"), "*"))

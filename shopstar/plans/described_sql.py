@@ -14,7 +14,7 @@ def _per_channel(template: str, specs) -> str:
     return "\nUNION ALL\n".join(template.format(**s) for s in specs)
 
 
-_REMOTE = [dict(ch="web", f="fact_web_sales", p="ws"), dict(ch="catalog", f="fact_catalog_sales", p="cs")]
+_REMOTE = [dict(ch="web", f="web_sales", p="ws"), dict(ch="catalog", f="catalog_sales", p="cs")]
 _ALL = [dict(ch="store", f="fact_store_sales", p="ss", num="ss_ticket_number"),
         dict(ch="web", f="fact_web_sales", p="ws", num="ws_order_number"),
         dict(ch="catalog", f="fact_catalog_sales", p="cs", num="cs_order_number")]
@@ -29,13 +29,13 @@ SQL = {
         "count(*) AS line_items FROM {f} GROUP BY 2", _REMOTE)),
     "n02_revenue_by_ship_mode": with_marts(f"""
 SELECT channel, sm.sm_type, count(*) AS line_items, {rev('paid')} AS revenue FROM (
-  SELECT 'web' AS channel, ws_ship_mode_sk AS k, ws_net_paid AS paid FROM fact_web_sales
-  UNION ALL SELECT 'catalog', cs_ship_mode_sk, cs_net_paid FROM fact_catalog_sales) t
+  SELECT 'web' AS channel, ws_ship_mode_sk AS k, ws_net_paid AS paid FROM web_sales
+  UNION ALL SELECT 'catalog', cs_ship_mode_sk, cs_net_paid FROM catalog_sales) t
 JOIN ship_mode sm ON t.k = sm.sm_ship_mode_sk GROUP BY channel, sm.sm_type"""),
     "n02_revenue_by_warehouse": with_marts(f"""
 SELECT channel, w.w_warehouse_name, count(*) AS line_items, {rev('paid')} AS revenue FROM (
-  SELECT 'web' AS channel, ws_warehouse_sk AS k, ws_net_paid AS paid FROM fact_web_sales
-  UNION ALL SELECT 'catalog', cs_warehouse_sk, cs_net_paid FROM fact_catalog_sales) t
+  SELECT 'web' AS channel, ws_warehouse_sk AS k, ws_net_paid AS paid FROM web_sales
+  UNION ALL SELECT 'catalog', cs_warehouse_sk, cs_net_paid FROM catalog_sales) t
 JOIN warehouse w ON t.k = w.w_warehouse_sk GROUP BY channel, w.w_warehouse_name"""),
     "n03_payer_vs_recipient": with_marts(f"""
 SELECT b.credit_rating AS bill_credit_rating, s.credit_rating AS ship_credit_rating,

@@ -77,6 +77,9 @@ lines2 AS (
 ),
 lines AS (
   SELECT *,
+         CAST(CAST({rdiv(cents('ext_wholesale_cost'), 'quantity')} AS DECIMAL(18,0)) * 0.01 AS DECIMAL(12,2)) AS wholesale_cost,
+         CAST(CAST({rdiv(cents('ext_list_price'), 'quantity')} AS DECIMAL(18,0)) * 0.01 AS DECIMAL(12,2)) AS list_price,
+         CAST(CAST({rdiv(cents('ext_sales_price'), 'quantity')} AS DECIMAL(18,0)) * 0.01 AS DECIMAL(12,2)) AS sales_price,
          CAST(0 AS DECIMAL(12,2)) AS coupon_amt,
          CAST(net_paid + ext_tax AS DECIMAL(12,2)) AS net_paid_inc_tax,
          CAST(net_paid - ext_wholesale_cost AS DECIMAL(12,2)) AS net_profit,
@@ -85,40 +88,38 @@ lines AS (
   FROM lines2
 )"""
 
-_MEASURES = ["quantity", "ext_discount_amt", "ext_sales_price", "ext_wholesale_cost",
-             "ext_list_price", "ext_tax", "coupon_amt", "net_paid", "net_paid_inc_tax", "net_profit"]
-
+_PRICES = ["quantity", "wholesale_cost", "list_price", "sales_price", "ext_discount_amt", "ext_sales_price",
+           "ext_wholesale_cost", "ext_list_price", "ext_tax", "coupon_amt", "net_paid", "net_paid_inc_tax"]
+_HDEMO = "CAST(CASE WHEN customer_sk IS NOT NULL THEN customer_sk % 20 + 1 END AS INTEGER)"
+_SHIP_CUST = ("CAST(CASE WHEN line_number % 4 = 0 THEN NULL WHEN line_number % 4 = 1 THEN order_custkey + 1 "
+              "ELSE order_custkey END AS INTEGER)")
 
-def _fact_sql(p: str, where: str, extra: str) -> str:
-    meas = ", ".join(f"{m} AS {p}_{m}" if (m != "net_profit" or p == "ss")
-                     else f"CAST(net_profit - ext_ship_cost AS DECIMAL(12,2)) AS {p}_{m}" for m in _MEASURES)
-    return (f"SELECT sold_date_sk AS {p}_sold_date_sk, sold_time_sk AS {p}_sold_time_sk, "
-            f"item_sk AS {p}_item_sk, {extra} promo_sk AS {p}_promo_sk, "
-            f"order_number AS {p}_{'ticket' if p == 'ss' else 'order'}_number, {meas}"
-            + ("" if p == "ss" else
-               f", ship_date_sk AS {p}_ship_date_sk, ext_ship_cost AS {p}_ext_ship_cost, "
-               f"CAST(net_paid + ext_ship_cost AS DECIMAL(12,2)) AS {p}_net_paid_inc_ship, "
-               f"CAST(net_paid_inc_tax + ext_ship_cost AS DECIMAL(12,2)) AS {p}_net_paid_inc_ship_tax")
-            + f" FROM lines WHERE {where}")
 
+def _staging_sql(p: str, where: str, keys: str) -> str:
+    prices = ", ".join(f"{m} AS {p}_{m}" for m in _PRICES)
+    if p == "ss":
+        tail = "net_profit AS ss_net_profit"
+    else:
+        tail = (f"ext_ship_cost AS {p}_ext_ship_cost, CAST(net_paid + ext_ship_cost AS DECIMAL(12,2)) AS {p}_net_paid_inc_ship, "
+                f"CAST(net_paid_inc_tax + ext_ship_cost AS DECIMAL(12,2)) AS {p}_net_paid_inc_ship_tax, "
+                f"CAST(net_profit - ext_ship_cost AS DECIMAL(12,2)) AS {p}_net_profit")
+    return (f"SELECT sold_date_sk AS {p}_sold_date_sk, sold_time_sk AS {p}_sold_time_sk, item_sk AS {p}_item_sk, "
+            f"promo_sk AS {p}_promo_sk, {keys}, {prices}, {tail} FROM lines WHERE {where}")
 
-_SHIP_CUST = ("CAST(CASE WHEN line_number % 4 = 0 THEN NULL WHEN line_number % 4 = 1 THEN order_custkey + 1 "
-              "ELSE order_custkey END AS INTEGER)")
 
 _FACTS = f"""
-fact_store_sales AS (
-  {_fact_sql('ss', 'channel_code <= 3', 'customer_sk AS ss_customer_sk, supp_sk AS ss_store_sk,')}
-),
 store_sales AS (
-  SELECT f.*, CASE WHEN ss_customer_sk IS NOT NULL THEN ss_customer_sk % 20 + 1 END AS ss_hdemo_sk,
-         ss_customer_sk AS ss_addr_sk FROM fact_store_sales f
+  {_staging_sql('ss', 'channel_code <= 3', f'customer_sk AS ss_customer_sk, {_HDEMO} AS ss_hdemo_sk, supp_sk AS ss_store_sk, order_number AS ss_ticket_number')}
 ),
-fact_web_sales AS (
-  {_fact_sql('ws', 'channel_code = 6', "customer_sk AS ws_bill_customer_sk, " + _SHIP_CUST + " AS ws_ship_customer_sk, line_number AS ws_web_page_sk, CAST(supp_sk % 3 + 1 AS INTEGER) AS ws_web_site_sk, CAST(order_number % 5 + 1 AS INTEGER) AS ws_ship_mode_sk, supp_sk AS ws_warehouse_sk,")}
+fact_store_sales AS (SELECT * EXCLUDE (ss_hdemo_sk) FROM store_sales),
+web_sales AS (
+  {_staging_sql('ws', 'channel_code = 6', f'ship_date_sk AS ws_ship_date_sk, customer_sk AS ws_bill_customer_sk, {_HDEMO} AS ws_bill_hdemo_sk, {_SHIP_CUST} AS ws_ship_customer_sk, line_number AS ws_web_page_sk, CAST(supp_sk % 3 + 1 AS INTEGER) AS ws_web_site_sk, CAST(order_number % 5 + 1 AS INTEGER) AS ws_ship_mode_sk, supp_sk AS ws_warehouse_sk, order_number AS ws_order_number')}
 ),
-fact_catalog_sales AS (
-  {_fact_sql('cs', 'channel_code IN (4, 5)', "customer_sk AS cs_bill_customer_sk, " + _SHIP_CUST + " AS cs_ship_customer_sk, CAST(supp_sk % 4 + 1 AS INTEGER) AS cs_call_center_sk, line_number AS cs_catalog_page_sk, CAST(order_number % 5 + 1 AS INTEGER) AS cs_ship_mode_sk, supp_sk AS cs_warehouse_sk,")}
+fact_web_sales AS (SELECT * EXCLUDE (ws_ship_date_sk, ws_bill_hdemo_sk, ws_ship_mode_sk, ws_warehouse_sk) FROM web_sales),
+catalog_sales AS (
+  {_staging_sql('cs', 'channel_code IN (4, 5)', f'ship_date_sk AS cs_ship_date_sk, customer_sk AS cs_bill_customer_sk, {_HDEMO} AS cs_bill_hdemo_sk, {_SHIP_CUST} AS cs_ship_customer_sk, CAST(supp_sk % 4 + 1 AS INTEGER) AS cs_call_center_sk, line_number AS cs_catalog_page_sk, CAST(order_number % 5 + 1 AS INTEGER) AS cs_ship_mode_sk, supp_sk AS cs_warehouse_sk, order_number AS cs_order_number')}
 ),
+fact_catalog_sales AS (SELECT * EXCLUDE (cs_ship_date_sk, cs_bill_hdemo_sk, cs_ship_mode_sk, cs_warehouse_sk) FROM catalog_sales),
 store_returns AS (
   SELECT CAST(ship_date_sk + 14 AS INTEGER) AS sr_returned_date_sk, item_sk AS sr_item_sk,
          customer_sk AS sr_customer_sk, supp_sk AS sr_store_sk, line_number AS sr_reason_sk,

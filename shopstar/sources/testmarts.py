@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from shopstar.functions.dates import julian_key
 from shopstar.functions.numeric import dec, money
 from shopstar.operators.layout import restrict_years
+from shopstar.operators.marts import build_fact
+from shopstar.sources.schemas import raw_schema
 from shopstar.sources.tables import DriverTables
 
 STORE, CATALOG, WEB = "store", "catalog", "web"
@@ -48,12 +50,6 @@ SHIP_MODE_TYPES = ["EXPRESS", "LIBRARY", "NEXT DAY", "OVERNIGHT", "REGULAR"]
 CALL_CENTER_NAMES = ["NY Metro", "Mid Atlantic", "North Midwest", "Pacific Northwest"]
 EDUCATION = ["Primary", "Secondary", "College"]
 
-# Columns of the store fact that the derivation can define.
-MART_MEASURES = ["quantity", "ext_discount_amt", "ext_sales_price", "ext_wholesale_cost",
-                 "ext_list_price", "ext_tax", "coupon_amt", "net_paid", "net_paid_inc_tax",
-                 "net_profit"]
-
-
 def _code_table(spark: SparkSession, key: str, values: list[str], value_col: str) -> DataFrame:
     rows = [(i + 1, v) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, f"{key} int, {value_col} string")
@@ -131,8 +127,12 @@ class DerivedMarts:
         sales = (F.col("ext_list_price") - F.col("ext_discount_amt")).cast("decimal(12,2)")
         base = base.withColumn("ext_sales_price", sales).withColumn("net_paid", F.col("ext_sales_price"))
         base = base.withColumn("ext_tax", F.round(F.col("net_paid") * F.col("tax_rate"), 2).cast("decimal(12,2)"))
+        qty = F.when(F.col("quantity") != 0, F.col("quantity"))
         return base.select(
             "*",
+            F.round(F.col("ext_wholesale_cost") / qty, 2).cast("decimal(12,2)").alias("wholesale_cost"),
+            F.round(F.col("ext_list_price") / qty, 2).cast("decimal(12,2)").alias("list_price"),
+            F.round(F.col("ext_sales_price") / qty, 2).cast("decimal(12,2)").alias("sales_price"),
             dec("0.00").cast("decimal(12,2)").alias("coupon_amt"),
             (F.col("net_paid") + F.col("ext_tax")).cast("decimal(12,2)").alias("net_paid_inc_tax"),
             (F.col("net_paid") - F.col("ext_wholesale_cost")).cast("decimal(12,2)").alias("net_profit"),
@@ -152,77 +152,76 @@ class DerivedMarts:
         return self._lines().filter(self.channel_filter(channel))
 
     # ------------------------------------------------------------------ facts
-    @cached_property
-    def fact_store_sales(self) -> DataFrame:
-        b = self._channel_lines(STORE)
-        return b.select(
-            F.col("sold_date_sk").alias("ss_sold_date_sk"),
-            F.col("sold_time_sk").alias("ss_sold_time_sk"),
-            F.col("item_sk").alias("ss_item_sk"),
-            F.col("customer_sk").alias("ss_customer_sk"),
-            F.col("supp_sk").alias("ss_store_sk"),
-            F.col("promo_sk").alias("ss_promo_sk"),
-            F.col("order_number").alias("ss_ticket_number"),
-            *[F.col(m).alias(f"ss_{m}") for m in MART_MEASURES])
+    def _staging_sales(self, channel: str) -> DataFrame:
+        """Staging-shaped sales of one channel: every source column the rules define, in source order."""
+        p = PREFIX[channel]
+        c = {
+            f"{p}_sold_date_sk": F.col("sold_date_sk"),
+            f"{p}_sold_time_sk": F.col("sold_time_sk"),
+            f"{p}_item_sk": F.col("item_sk"),
+            f"{p}_promo_sk": F.col("promo_sk"),
+            f"{p}_quantity": F.col("quantity"),
+        }
+        for m in ("wholesale_cost", "list_price", "sales_price", "ext_discount_amt", "ext_sales_price",
+                  "ext_wholesale_cost", "ext_list_price", "ext_tax", "coupon_amt", "net_paid", "net_paid_inc_tax"):
+            c[f"{p}_{m}"] = F.col(m)
+        hdemo = F.when(F.col("customer_sk").isNotNull(), F.col("customer_sk") % 20 + 1).cast("int")
+        if channel == STORE:
+            c.update({"ss_customer_sk": F.col("customer_sk"), "ss_hdemo_sk": hdemo,
+                      "ss_store_sk": F.col("supp_sk"), "ss_ticket_number": F.col("order_number"),
+                      "ss_net_profit": F.col("net_profit")})
+        else:
+            ship_cust = (F.when(F.col("line_number") % 4 == 0, F.lit(None).cast("int"))
+                         .when(F.col("line_number") % 4 == 1, F.col("order_custkey") + 1)
+                         .otherwise(F.col("order_custkey")))
+            c.update({
+                f"{p}_ship_date_sk": F.col("ship_date_sk"),
+                f"{p}_bill_customer_sk": F.col("customer_sk"),
+                f"{p}_bill_hdemo_sk": hdemo,
+                f"{p}_ship_customer_sk": ship_cust.cast("int"),
+                f"{p}_ship_mode_sk": (F.col("order_number") % 5 + 1).cast("int"),
+                f"{p}_warehouse_sk": F.col("supp_sk"),
+                f"{p}_order_number": F.col("order_number"),
+                f"{p}_ext_ship_cost": F.col("ext_ship_cost"),
+                f"{p}_net_paid_inc_ship": (F.col("net_paid") + F.col("ext_ship_cost")).cast("decimal(12,2)"),
+                f"{p}_net_paid_inc_ship_tax": (F.col("net_paid_inc_tax") + F.col("ext_ship_cost")).cast("decimal(12,2)"),
+                f"{p}_net_profit": (F.col("net_profit") - F.col("ext_ship_cost")).cast("decimal(12,2)"),
+            })
+            if channel == WEB:
+                c["ws_web_page_sk"] = F.col("line_number")
+                c["ws_web_site_sk"] = (F.col("supp_sk") % 3 + 1).cast("int")
+            else:
+                c["cs_call_center_sk"] = (F.col("supp_sk") % 4 + 1).cast("int")
+                c["cs_catalog_page_sk"] = F.col("line_number")
+        order = [f.name for f in raw_schema(f"{channel}_sales").fields if f.name in c]
+        return self._channel_lines(channel).select(*[c[n].alias(n) for n in order])
 
     @cached_property
     def store_sales(self) -> DataFrame:
-        """Staging-shaped store sales: the fact plus the keys the mart drops."""
-        b = self._channel_lines(STORE)
-        return b.select(
-            F.col("sold_date_sk").alias("ss_sold_date_sk"),
-            F.col("sold_time_sk").alias("ss_sold_time_sk"),
-            F.col("item_sk").alias("ss_item_sk"),
-            F.col("customer_sk").alias("ss_customer_sk"),
-            F.when(F.col("customer_sk").isNotNull(), (F.col("customer_sk") % 20 + 1)).alias("ss_hdemo_sk"),
-            F.col("customer_sk").alias("ss_addr_sk"),
-            F.col("supp_sk").alias("ss_store_sk"),
-            F.col("promo_sk").alias("ss_promo_sk"),
-            F.col("order_number").alias("ss_ticket_number"),
-            *[F.col(m).alias(f"ss_{m}") for m in MART_MEASURES])
-
-    def _remote_fact(self, channel: str) -> DataFrame:
-        p = PREFIX[channel]
-        b = self._channel_lines(channel)
-        ship_cust = (F.when(F.col("line_number") % 4 == 0, F.lit(None).cast("int"))
-                     .when(F.col("line_number") % 4 == 1, F.col("order_custkey") + 1)
-                     .otherwise(F.col("order_custkey")))
-        common = [
-            F.col("sold_date_sk").alias(f"{p}_sold_date_sk"),
-            F.col("sold_time_sk").alias(f"{p}_sold_time_sk"),
-            F.col("ship_date_sk").alias(f"{p}_ship_date_sk"),
-            F.col("item_sk").alias(f"{p}_item_sk"),
-            F.col("customer_sk").alias(f"{p}_bill_customer_sk"),
-            ship_cust.cast("int").alias(f"{p}_ship_customer_sk"),
-        ]
-        if channel == WEB:
-            extra = [F.col("line_number").alias("ws_web_page_sk"),
-                     (F.col("supp_sk") % 3 + 1).cast("int").alias("ws_web_site_sk")]
-        else:
-            extra = [(F.col("supp_sk") % 4 + 1).cast("int").alias("cs_call_center_sk"),
-                     F.col("line_number").alias("cs_catalog_page_sk")]
-        tail = [
-            (F.col("order_number") % 5 + 1).cast("int").alias(f"{p}_ship_mode_sk"),
-            F.col("supp_sk").alias(f"{p}_warehouse_sk"),
-            F.col("promo_sk").alias(f"{p}_promo_sk"),
-            F.col("order_number").alias(f"{p}_order_number"),
-            *[F.col(m).alias(f"{p}_{m}") for m in MART_MEASURES if m != "net_paid_inc_tax" and m != "net_profit"],
-            F.col("ext_ship_cost").alias(f"{p}_ext_ship_cost"),
-            F.col("net_paid_inc_tax").alias(f"{p}_net_paid_inc_tax"),
-            (F.col("net_paid") + F.col("ext_ship_cost")).cast("decimal(12,2)").alias(f"{p}_net_paid_inc_ship"),
-            (F.col("net_paid_inc_tax") + F.col("ext_ship_cost")).cast("decimal(12,2)")
-            .alias(f"{p}_net_paid_inc_ship_tax"),
-            (F.col("net_profit") - F.col("ext_ship_cost")).cast("decimal(12,2)").alias(f"{p}_net_profit"),
-        ]
-        return b.select(*common, *extra, *tail)
+        return self._staging_sales(STORE)
+
+    @cached_property
+    def web_sales(self) -> DataFrame:
+        return self._staging_sales(WEB)
+
+    @cached_property
+    def catalog_sales(self) -> DataFrame:
+        return self._staging_sales(CATALOG)
+
+    @cached_property
+    def fact_store_sales(self) -> DataFrame:
+        """M06 applied to the staging-shaped store sales (20 mart columns)."""
+        return build_fact(self.store_sales, "store_sales")
 
     @cached_property
     def fact_web_sales(self) -> DataFrame:
-        return self._remote_fact(WEB)
+        """M07 (25 mart columns)."""
+        return build_fact(self.web_sales, "web_sales")
 
     @cached_property
     def fact_catalog_sales(self) -> DataFrame:
-        return self._remote_fact(CATALOG)
+        """M08 (25 mart columns)."""
+        return build_fact(self.catalog_sales, "catalog_sales")
 
     def all_channel_lines(self, *measures: str, years=None) -> DataFrame:
         """The three facts as one frame (``channel``, item, date, measures).

@@ -54,3 +54,11 @@ def test_literal_q1_closed_form_equals_direct_join(spark):
     for y, r in direct.items():
         exp = round(float(r.s) / 1e6, 2) if r.s is not None else None
         assert lit[y].store_net_paid_m == pytest.approx(exp) if exp is not None else lit[y].store_net_paid_m is None
+
+
+def test_derived_facts_have_mart_columns(spark):
+    from shopstar.sources.testmarts import DerivedMarts
+    m = DerivedMarts(spark, SF_SMALL)
+    assert len(m.fact_store_sales.columns) == 20
+    assert len(m.fact_web_sales.columns) == 25 and len(m.fact_catalog_sales.columns) == 25
+    assert "ws_ship_date_sk" in m.web_sales.columns and "ws_ship_date_sk" not in m.fact_web_sales.columns
