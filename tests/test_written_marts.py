@@ -40,3 +40,32 @@ def test_same_rows_on_written_marts(marts_pair, name):
     a = sorted(map(repr, on_marts(name, derived).collect()))
     b = sorted(map(repr, on_marts(name, written).collect()))
     assert a == b
+
+
+def test_null_dates_land_in_default_partition_and_reload_is_dynamic(spark, tmp_path):
+    import datetime as dt
+    from decimal import Decimal
+
+    from shopstar.operators.layout import write_fact
+    rows = [(2451911, 1, Decimal("1.00")), (2451942, 2, Decimal("2.00")), (None, 3, Decimal("3.00"))]
+    df = spark.createDataFrame(rows, "ss_sold_date_sk int, ss_item_sk int, ss_net_paid decimal(7,2)")
+    path = str(tmp_path / "fact")
+    write_fact(df, path, "ss_sold_date_sk", "ss_item_sk")
+    parts = sorted(os.listdir(path))
+    assert "sold_ym=200101" in parts and "sold_ym=200102" in parts and "sold_ym=__HIVE_DEFAULT_PARTITION__" in parts
+    # reload January only: February and the unknown partition stay untouched
+    write_fact(spark.createDataFrame([(2451912, 9, Decimal("9.00"))], df.schema), path, "ss_sold_date_sk")
+    back = {r.ss_item_sk for r in spark.read.parquet(path).collect()}
+    assert back == {9, 2, 3}
+    rep = {r.partition: r.rows for r in partition_report(spark.read.parquet(path), "ss_sold_date_sk").collect()}
+    assert rep == {"200101": 1, "200102": 1, "__unknown__": 1}
+    assert dt.date(2001, 1, 1)
+
+
+def test_analyze_table_collects_statistics(spark, tmp_path):
+    from shopstar.operators.layout import analyze_table, register_table
+    path = str(tmp_path / "dim")
+    spark.range(100).withColumnRenamed("id", "k").write.parquet(path)
+    register_table(spark, "dim_probe", path)
+    stats = analyze_table(spark, "dim_probe").collect()
+    assert stats and "100 rows" in stats[0].data_type
