@@ -62,3 +62,12 @@ def test_derived_facts_have_mart_columns(spark):
     assert len(m.fact_store_sales.columns) == 20
     assert len(m.fact_web_sales.columns) == 25 and len(m.fact_catalog_sales.columns) == 25
     assert "ws_ship_date_sk" in m.web_sales.columns and "ws_ship_date_sk" not in m.fact_web_sales.columns
+
+
+@pytest.mark.parametrize("name", ["q2_top_categories", "q3_store_ranking", "q4_customer_segments", "q5_promotion_roi",
+                                  "q8_holiday_lift", "q9_top_states", "q10_top_brands"])
+def test_dimension_joins_end_up_broadcast(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in final
