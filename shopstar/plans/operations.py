@@ -30,14 +30,19 @@ def storage_report(m):
     return K.storage_report(m.run_log, AS_OF, 30)
 
 
+def _as_float(df):
+    """Metric values leave the dashboard expressions as floats."""
+    return df.withColumn("value", F.col("value").cast("double"))
+
+
 def latest_samples(m):
     """Latest sample per series with a regex label matcher."""
-    return R.latest_samples(m.metrics, matchers={"datname": ("=~", "db[0-2]")})
+    return _as_float(R.latest_samples(m.metrics, matchers={"datname": ("=~", "db[0-2]")}))
 
 
 def nonzero_latest(m):
     """Latest samples that are not zero."""
-    return R.nonzero_values(R.latest_samples(m.metrics, metric="pg_error"))
+    return _as_float(R.nonzero_values(R.latest_samples(m.metrics, metric="pg_error")))
 
 
 def scaled_latest(m):

@@ -44,9 +44,9 @@ SELECT instance, datname, metric, ts,
 FROM ({_deltas(where)}) d"""
 
 
-def _latest(where: str) -> str:
+def _latest(where: str, scale: int = 1) -> str:
     return f"""
-SELECT instance, datname, metric, ts, value FROM (
+SELECT instance, datname, metric, ts, CAST(value * {scale} AS DOUBLE) AS value FROM (
   SELECT *, row_number() OVER (PARTITION BY instance, datname, metric ORDER BY ts DESC, value DESC) AS rn
   FROM metrics WHERE {where}) x WHERE rn = 1"""
 
@@ -65,8 +65,8 @@ GROUP BY backup_type ORDER BY backup_type"""),
     "r02_nonzero_latest": with_marts(f"SELECT * FROM ({_latest(chr(39).join(['metric = ', 'pg_error', '']))}) l "
                                      "WHERE value <> 0"),
     "r03_scaled_latest": with_marts(f"""
-SELECT instance, datname, metric, ts, CAST(value * 1000 AS DOUBLE) AS value
-FROM ({_latest("metric = 'pg_view' AND instance = 'node-1'")}) l"""),
+SELECT instance, datname, metric, ts, value
+FROM ({_latest("metric = 'pg_view' AND instance = 'node-1'", 1000)}) l"""),
     "r04_counter_rate": with_marts(_rate()),
     "r05_counter_irate": with_marts(f"""
 SELECT instance, datname, metric, ts,
