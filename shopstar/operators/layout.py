@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopstar.functions.dates import JULIAN_EPOCH_KEY, key_to_date
+from shopstar.functions.numeric import pct
 
 PARTITION_COL = "sold_ym"
 FACT_DATE_KEY = {"fact_store_sales": "ss_sold_date_sk", "fact_web_sales": "ws_sold_date_sk",
@@ -99,5 +100,5 @@ def partition_report(fact: DataFrame, date_key: str) -> DataFrame:
     return g.select(
         F.coalesce(F.col(PARTITION_COL).cast("string"), F.lit("__unknown__")).alias("partition"),
         "rows", "min_date_sk", "max_date_sk",
-        F.round(F.col("rows") * F.lit(100.0) / total, 2).alias("pct_of_rows"),
+        pct(F.col("rows"), total).cast("double").alias("pct_of_rows"),
     ).orderBy("partition")

@@ -220,3 +220,16 @@ class WrittenMarts:
     @cached_property
     def exists(self) -> bool:
         return "://" in self.dir or os.path.exists(f"{self.dir}/dim_date")
+
+
+def register_views(spark: SparkSession, marts, names=None) -> list[str]:
+    """Expose mart tables as temporary views so analysts can query them in Spark SQL."""
+    done = []
+    for name in names or (*DIM_KEYS, *FACT_TABLES, *SIDE_TABLES):
+        try:
+            df = getattr(marts, name)
+        except (AttributeError, Exception):  # table not part of this warehouse
+            continue
+        df.createOrReplaceTempView(name)
+        done.append(name)
+    return done

@@ -50,8 +50,10 @@ def more_queries(on):
     out.update(_examples(on))
     from shopstar.plans import described as N
     from shopstar.plans import operations as O
+    from shopstar.plans import tables as T
     out.update(N.registry(on))
     out.update(O.registry(on))
+    out.update(T.registry(on))
     return out
 
 
@@ -60,6 +62,8 @@ def more_sql():
     out = dict(DSQL)
     from shopstar.plans.described_sql import SQL as NSQL
     from shopstar.plans.operations_sql import SQL as OSQL
+    from shopstar.plans.tables_sql import SQL as TSQL
     out.update(NSQL)
     out.update(OSQL)
+    out.update(TSQL)
     return out

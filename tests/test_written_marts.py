@@ -69,3 +69,15 @@ def test_analyze_table_collects_statistics(spark, tmp_path):
     register_table(spark, "dim_probe", path)
     stats = analyze_table(spark, "dim_probe").collect()
     assert stats and "100 rows" in stats[0].data_type
+
+
+def test_sql_on_registered_views_matches_dataframe_report(spark, marts_pair):
+    from shopstar.operators.marts import register_views
+    from shopstar.plans import examples as D
+    _, written, _ = marts_pair
+    assert "fact_store_sales" in register_views(spark, written)
+    sql = spark.sql("""
+        SELECT d.year, d.month, CAST(SUM(ss_net_paid) AS DOUBLE) AS revenue
+        FROM fact_store_sales f JOIN dim_date d ON f.ss_sold_date_sk = d.date_sk
+        GROUP BY d.year, d.month""")
+    assert sorted(sql.collect()) == sorted(D.monthly_store_revenue(written).collect())
