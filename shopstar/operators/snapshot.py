@@ -43,14 +43,21 @@ def _file_stats(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, mode: str = "marts",
-             snapshot_id: str | None = None) -> str:
-    """Write each table and the manifest; returns the snapshot folder."""
+             snapshot_id: str | None = None, schema_only: bool = False) -> str:
+    """Write each table and the manifest; returns the snapshot folder.
+
+    ``schema_only=True`` is the schema-only export: the manifest records
+    each table's schema and no data is written.
+    """
     sid = snapshot_id or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
     base = f"{root.rstrip('/')}/{sid}"
     created = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     rows = []
     for name, df in tables.items():
         t0 = time.time()
+        if schema_only:
+            rows.append((sid, created, "schema", name, None, None, df.schema.json(), 0, 0, 0.0))
+            continue
         path = f"{base}/{name}"
         df.write.mode("errorifexists").parquet(path)
         written = spark.read.parquet(path)

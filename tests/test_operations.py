@@ -139,3 +139,11 @@ def test_ratio_and_avg(spark):
                                     "ts timestamp, instance string, datname string, metric string, rate double")
     r = R.avg_by_step(samples, "rate", 15).first()
     assert r.avg_rate == 1.5 and r.series == 2
+
+
+def test_schema_only_export(spark, scratch_dir):
+    a = spark.createDataFrame([(1, "x")], "k int, name string")
+    path = S.snapshot(spark, {"a": a}, os.path.join(scratch_dir, "snaps"), snapshot_id="ddl", schema_only=True)
+    m = S.read_manifest(spark, path).first()
+    assert m.mode == "schema" and m.rows is None and "name" in m.schema_json
+    assert not os.path.exists(os.path.join(path, "a"))
