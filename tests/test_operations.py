@@ -147,3 +147,4 @@ def test_schema_only_export(spark, scratch_dir):
     m = S.read_manifest(spark, path).first()
     assert m.mode == "schema" and m.rows is None and "name" in m.schema_json
     assert not os.path.exists(os.path.join(path, "a"))
+    assert S.verification_passed(S.verify_snapshot(spark, path))
