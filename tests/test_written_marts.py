@@ -81,3 +81,17 @@ def test_sql_on_registered_views_matches_dataframe_report(spark, marts_pair):
         FROM fact_store_sales f JOIN dim_date d ON f.ss_sold_date_sk = d.date_sk
         GROUP BY d.year, d.month""")
     assert sorted(sql.collect()) == sorted(D.monthly_store_revenue(written).collect())
+
+
+def test_hot_item_month_is_split_across_files(spark, tmp_path):
+    from decimal import Decimal
+
+    from shopstar.operators.layout import write_fact
+    # one (month, item) pair holds every row: the row hash still spreads it over tasks
+    rows = [(2451911, 7, i, Decimal("1.00")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "ss_sold_date_sk int, ss_item_sk int, ss_ticket_number bigint, ss_net_paid decimal(7,2)")
+    path = str(tmp_path / "hot")
+    write_fact(df, path, "ss_sold_date_sk", "ss_item_sk", partitions=4)
+    files = [f for f in os.listdir(os.path.join(path, "sold_ym=200101")) if f.endswith(".parquet")]
+    assert len(files) >= 3
+    assert spark.read.parquet(path).count() == 4000
