@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopstar.functions.numeric import dec, exact_avg, millions, nonzero, pct, ratio, thousands, to_double
+from shopstar.functions.numeric import dec, exact_avg, millions, nonzero, pct, ratio, to_double
 from shopstar.operators.layout import restrict_years
 
 YEARS = (1998, 2002)
@@ -304,4 +304,4 @@ def top_brands(m, top: int = 20) -> DataFrame:
 
 __all__ = ["channel_revenue", "channel_growth", "top_categories", "store_ranking",
            "customer_segments", "top_states", "promotion_roi", "monthly_trend",
-           "holiday_lift", "top_brands", "thousands"]
+           "holiday_lift", "top_brands"]
