@@ -226,13 +226,12 @@ def promotion_roi(m, top: int = 15, with_baseline: bool = False) -> DataFrame:
         to_double(ratio(net_m * dec(1_000_000), "cost")).alias("revenue_per_promo_dollar"),
         "paid_exact", "n_paid")
     if with_baseline:
-        base = (f.filter(F.col("ss_promo_sk").isNull())
-                .agg(F.round(F.sum("ss_net_paid") / nonzero(F.count("ss_net_paid")), 4).alias("baseline")))
-        out = (out.crossJoin(F.broadcast(base))
-               .withColumn("avg_baseline_txn", to_double("baseline"))
+        # one-row aggregate used as an uncorrelated scalar subquery (no join at all)
+        baseline = (f.filter(F.col("ss_promo_sk").isNull())
+                    .select(F.round(F.sum("ss_net_paid") / nonzero(F.count("ss_net_paid")), 4)).scalar())
+        out = (out.withColumn("avg_baseline_txn", to_double(baseline))
                .withColumn("lift_vs_baseline_pct",
-                           to_double(pct(F.col("paid_exact") / nonzero("n_paid") - F.col("baseline"), "baseline")))
-               .drop("baseline"))
+                           to_double(pct(F.col("paid_exact") / nonzero("n_paid") - baseline, baseline))))
     out = out.orderBy(F.col("revenue_per_promo_dollar").desc_nulls_last(), "promo_sk").limit(top)
     return out.drop("promo_sk", "paid_exact", "n_paid")
 

@@ -29,6 +29,7 @@ def _analytics() -> dict[str, Report]:
         "q3_store_ranking": _on_marts(A.store_ranking),
         "q4_customer_segments": _on_marts(A.customer_segments),
         "q5_promotion_roi": _on_marts(A.promotion_roi),
+        "q5_promotion_roi_with_baseline": _on_marts(A.promotion_roi, with_baseline=True),
         "q6_monthly_trend": _on_marts(A.monthly_trend),
         "q7_channel_growth": _on_marts(A.channel_growth),
         "q7_channel_growth_literal": _on_marts(A.channel_growth, literal=True),
