@@ -123,3 +123,11 @@ def test_d27_return_rate_counts_after_join(wh):
     m, _ = wh
     got = {r.i_category: (r.returns, r.sales, r.return_rate_pct) for r in D.return_rate_by_category(m).collect()}
     assert got == {"Books": (2, 3, 66.67), "Music": (0, 1, 0.0), None: (0, 1, 0.0)}
+
+
+def test_cli_lists_and_runs_reports(spark, capsys):
+    from shopstar.__main__ import main
+    assert main(["reports"]) == 0
+    assert "q10_top_brands" in capsys.readouterr().out
+    assert main(["report", "q5_promotion_roi", "--sf", "/root/testdata/sf0.001", "--rows", "5"]) == 0
+    assert "revenue_per_promo_dollar" in capsys.readouterr().out
