@@ -193,7 +193,31 @@ def write_marts(marts, out_dir: str, check_keys: bool = True, concurrency: int =
     return out
 
 
-class WrittenMarts:
+class _ChannelUnion:
+    """``all_channel_lines`` for marts held as three separate fact tables."""
+
+    def all_channel_lines(self, *measures: str, years=None) -> DataFrame:
+        """The three facts as one frame (channel, item, sold date, measures), each fact pruned first."""
+        parts = []
+        for ch, t, p in (("store", "fact_store_sales", "ss"), ("web", "fact_web_sales", "ws"),
+                         ("catalog", "fact_catalog_sales", "cs")):
+            f = getattr(self, t)
+            if years is not None:
+                f = restrict_years(f, f"{p}_sold_date_sk", years)
+            parts.append(f.select(F.lit(ch).alias("channel"), F.col(f"{p}_item_sk").alias("item_sk"),
+                                  F.col(f"{p}_sold_date_sk").alias("sold_date_sk"),
+                                  *[F.col(f"{p}_{m}").alias(m) for m in measures]))
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+class MartFrames(_ChannelUnion):
+    """Marts given as named DataFrames (e.g. freshly built, or hand-made in tests)."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.__dict__.update(tables)
+
+
+class WrittenMarts(_ChannelUnion):
     """Marts read back from a written warehouse folder (same interface as DerivedMarts)."""
 
     def __init__(self, spark: SparkSession, marts_dir: str):
@@ -215,18 +239,6 @@ class WrittenMarts:
         self.__dict__[name] = df
         return df
 
-    def all_channel_lines(self, *measures: str, years=None) -> DataFrame:
-        parts = []
-        for ch, t, p in (("store", "fact_store_sales", "ss"), ("web", "fact_web_sales", "ws"),
-                         ("catalog", "fact_catalog_sales", "cs")):
-            f = getattr(self, t)
-            if years is not None:
-                f = restrict_years(f, f"{p}_sold_date_sk", years)
-            parts.append(f.select(F.lit(ch).alias("channel"), F.col(f"{p}_item_sk").alias("item_sk"),
-                                  F.col(f"{p}_sold_date_sk").alias("sold_date_sk"),
-                                  *[F.col(f"{p}_{m}").alias(m) for m in measures]))
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
     @cached_property
     def exists(self) -> bool:
         return "://" in self.dir or os.path.exists(f"{self.dir}/dim_date")

@@ -18,19 +18,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopstar.operators.marts import SIDE_TABLES, WrittenMarts, build_marts, write_marts
+from shopstar.operators.marts import SIDE_TABLES, MartFrames, WrittenMarts, build_marts, write_marts
 from shopstar.operators.staging import stage
 from shopstar.sources import delimited as D
 from shopstar.sources.schemas import LOAD_ORDER
 
 
-class TableSet:
-    """Named DataFrames as attributes (the shape ``write_marts`` consumes)."""
-
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.__dict__.update(tables)
-
-
 def build_warehouse(spark: SparkSession, src_dir: str, out_dir: str, tables=LOAD_ORDER) -> WrittenMarts:
     out = out_dir.rstrip("/")
     raw_dir, staging_dir, marts_dir = f"{out}/raw", f"{out}/staging", f"{out}/marts"
@@ -48,7 +41,7 @@ def build_warehouse(spark: SparkSession, src_dir: str, out_dir: str, tables=LOAD
         raise ValueError(f"cannot build the marts without {sorted(missing)}")
     marts = build_marts(staged)
     marts.update({t: df for t, df in staged.items() if t in SIDE_TABLES})
-    write_marts(TableSet(marts), marts_dir)
+    write_marts(MartFrames(marts), marts_dir)
     return WrittenMarts(spark, marts_dir)
 
 
