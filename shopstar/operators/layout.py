@@ -105,3 +105,17 @@ def partition_report(fact: DataFrame, date_key: str) -> DataFrame:
         "rows", "min_date_sk", "max_date_sk",
         pct(F.col("rows"), total).cast("double").alias("pct_of_rows"),
     ).orderBy("partition")
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int,
+                   partition_col: str | None = None) -> None:
+    """S17 (optional form): a catalog table bucketed and sorted on ``key``.
+
+    Two tables bucketed the same way on their join key are joined without
+    an exchange on either side (each task reads matching buckets), which
+    is how a fact and a large dimension can be co-located.
+    """
+    w = df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key)
+    if partition_col:
+        w = w.partitionBy(partition_col)
+    w.saveAsTable(table)

@@ -95,3 +95,25 @@ def test_hot_item_month_is_split_across_files(spark, tmp_path):
     files = [f for f in os.listdir(os.path.join(path, "sold_ym=200101")) if f.endswith(".parquet")]
     assert len(files) >= 3
     assert spark.read.parquet(path).count() == 4000
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shopstar.operators.layout import write_bucketed
+    fact = spark.range(2000).select((F.col("id") % 50).cast("int").alias("ss_item_sk"), F.col("id").alias("v"))
+    dim = spark.range(50).select(F.col("id").cast("int").alias("item_sk"), F.lit("c").alias("category"))
+    write_bucketed(fact, "bucket_fact", str(tmp_path / "bf"), "ss_item_sk", 4)
+    write_bucketed(dim, "bucket_dim", str(tmp_path / "bd"), "item_sk", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("bucket_fact").join(spark.table("bucket_dim"), F.col("ss_item_sk") == F.col("item_sk"))
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 2000
+    finally:
+        from shopstar.session import SESSION_CONF
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", SESSION_CONF["spark.sql.autoBroadcastJoinThreshold"])
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold",
+                       SESSION_CONF["spark.sql.adaptive.autoBroadcastJoinThreshold"])
