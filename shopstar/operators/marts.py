@@ -255,3 +255,21 @@ def register_views(spark: SparkSession, marts, names=None) -> list[str]:
         df.createOrReplaceTempView(name)
         done.append(name)
     return done
+
+
+def analyze_marts(spark: SparkSession, marts_dir: str, database: str = "marts") -> DataFrame:
+    """Register the written marts in the catalog and collect table/column statistics.
+
+    Returns one row per table with the statistics line the catalog keeps
+    (size in bytes and row count); the optimizer uses them for join planning.
+    """
+    from shopstar.operators.layout import analyze_table, register_table
+    out = marts_dir.rstrip("/")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    rows = []
+    for name in (*DIM_KEYS, *FACT_TABLES):
+        table = f"{database}.{name}"
+        register_table(spark, table, f"{out}/{name}", partitioned=name in FACT_TABLES)
+        stats = analyze_table(spark, table).first()
+        rows.append((name, stats.data_type if stats else None))
+    return spark.createDataFrame(rows, "table_name string, statistics string")

@@ -117,3 +117,13 @@ def test_bucketed_tables_join_without_exchange(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", SESSION_CONF["spark.sql.autoBroadcastJoinThreshold"])
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold",
                        SESSION_CONF["spark.sql.adaptive.autoBroadcastJoinThreshold"])
+
+
+def test_analyze_marts_registers_and_counts(spark, marts_pair):
+    from shopstar.operators.marts import analyze_marts
+    derived, _, out = marts_pair
+    stats = {r.table_name: r.statistics for r in analyze_marts(spark, out, "marts_probe").collect()}
+    assert set(stats) == {"dim_date", "dim_customer", "dim_item", "dim_store", "dim_promotion",
+                          "fact_store_sales", "fact_web_sales", "fact_catalog_sales"}
+    n = derived.fact_store_sales.count()
+    assert f"{n} rows" in stats["fact_store_sales"]
