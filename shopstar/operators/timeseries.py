@@ -83,14 +83,18 @@ def scale_values(df: DataFrame, factor, col: str = "value") -> DataFrame:
 
 
 def _bucketed(df: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
-    """Assign each sample to its time bucket, plus as context to the next bucket when
-    it lies within ``window_us`` of that bucket's start."""
+    """Assign each sample to its time bucket, and copy it as context into every later
+    bucket whose rows can still see it, i.e. buckets starting less than a window after it
+    (one bucket when the bucket is at least as long as the window)."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     b = F.floor(t / F.lit(bucket_us)).cast("bigint")
-    own = F.struct(b.alias("bucket"), F.lit(False).alias("is_context"))
-    nxt = F.when(t >= (b + 1) * bucket_us - window_us, F.struct((b + 1).alias("bucket"), F.lit(True).alias("is_context")))
+    last = F.floor((t + F.lit(window_us - 1)) / F.lit(bucket_us)).cast("bigint")
+    ctx = F.filter(F.transform(F.sequence(b + 1, F.greatest(last, b + 1)),
+                               lambda c: F.struct(c.alias("bucket"), F.lit(True).alias("is_context"))),
+                   lambda x: x["bucket"] <= last)
+    own = F.array(F.struct(b.alias("bucket"), F.lit(False).alias("is_context")))
     return (df.withColumn("t_us", t)
-            .withColumn("slot", F.explode(F.filter(F.array(own, nxt), lambda x: x.isNotNull())))
+            .withColumn("slot", F.explode(F.concat(own, ctx)))
             .select("*", "slot.bucket", "slot.is_context").drop("slot"))
 
 

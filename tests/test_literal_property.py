@@ -43,3 +43,31 @@ def test_closed_form_equals_direct_join(spark, s, w, c):
     for y in direct:
         assert tuple(None if v is None else Decimal(v) for v in direct[y]) == \
             tuple(None if v is None else Decimal(v) for v in closed[y])
+
+
+samples = st.lists(st.tuples(st.integers(0, 2000), st.integers(0, 50)), min_size=1, max_size=25,
+                   unique_by=lambda x: x[0])
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=samples, window=st.sampled_from([30, 60, 300]), bucket=st.sampled_from([None, 45, 120, 700]))
+def test_bucketed_rate_equals_brute_force(spark, rows, window, bucket):
+    from shopstar.operators.timeseries import irate, rate
+    rows = sorted(rows)
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + dt.timedelta(seconds=s), "i", "d", "m", Decimal(v)) for s, v in rows],
+                               "ts timestamp, instance string, datname string, metric string, value decimal(12,2)")
+    got = {int((r.ts - t0).total_seconds()): r.rate for r in rate(df, window, bucket_seconds=bucket).collect()}
+    got_i = {int((r.ts - t0).total_seconds()): r.irate for r in irate(df, window, bucket_seconds=bucket).collect()}
+    for i, (t, v) in enumerate(rows):
+        win = [(s, x) for s, x in rows if t - window < s <= t]
+        if len(win) < 2:
+            assert got[t] is None
+        else:
+            inc = sum((x1 - x0) if x1 >= x0 else x1 for (_, x0), (_, x1) in zip(win, win[1:]))
+            assert abs(got[t] - inc / (win[-1][0] - win[0][0])) < 1e-9
+        if i == 0 or t - rows[i - 1][0] >= window:
+            assert got_i[t] is None
+        else:
+            p = rows[i - 1][1]
+            assert abs(got_i[t] - ((v - p) if v >= p else v) / (t - rows[i - 1][0])) < 1e-9
