@@ -71,3 +71,47 @@ def test_bucketed_rate_equals_brute_force(spark, rows, window, bucket):
         else:
             p = rows[i - 1][1]
             assert abs(got_i[t] - ((v - p) if v >= p else v) / (t - rows[i - 1][0])) < 1e-9
+
+
+pairs = st.lists(st.tuples(st.integers(1, 4), st.integers(1, 3)), max_size=15)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(sales=pairs, returns=pairs)
+def test_return_rate_counts_equal_the_left_join(spark, sales, returns):
+    """D27's reduced form equals the source's LEFT JOIN counting, duplicates included."""
+    from shopstar.plans.examples import return_rate_by_category
+    ss = spark.createDataFrame([(t, i) for t, i in sales] or [(None, None)],
+                               "ss_ticket_number bigint, ss_item_sk int").filter("ss_item_sk is not null")
+    sr = spark.createDataFrame([(t, i) for t, i in returns] or [(None, None)],
+                               "sr_ticket_number bigint, sr_item_sk int").filter("sr_item_sk is not null")
+    item = spark.createDataFrame([(1, "p1", "A"), (2, "p2", "A"), (3, "p3", "B")],
+                                 "item_sk int, product_name string, category string")
+    m = MartFrames({"store_sales": ss, "store_returns": sr, "dim_item": item})
+    got = {r.i_category: (r.returns, r.sales) for r in return_rate_by_category(m).collect()}
+    j = (ss.join(item, ss.ss_item_sk == item.item_sk)
+         .join(sr, (sr.sr_ticket_number == ss.ss_ticket_number) & (sr.sr_item_sk == ss.ss_item_sk), "left"))
+    exp = {r.category: (r.r, r.s) for r in j.groupBy("category").agg(
+        F.count("sr_item_sk").alias("r"), F.count("ss_item_sk").alias("s")).collect()}
+    assert got == exp
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(profits=st.lists(st.tuples(st.integers(1, 9), st.one_of(st.none(), st.integers(-3, 3))), min_size=1, max_size=20),
+       top=st.integers(1, 6))
+def test_topk_rank_equals_global_rank(spark, profits, top):
+    """Q3's rank computed on the take-ordered top-k equals the global RANK of those rows."""
+    from pyspark.sql import Window
+    f = spark.createDataFrame([(s, Decimal(p) if p is not None else None) for s, p in profits],
+                              "ss_store_sk int, ss_net_profit decimal(7,2)") \
+        .withColumn("ss_net_paid", F.lit(Decimal("1.00")).cast("decimal(7,2)"))
+    stores = spark.createDataFrame([(i, f"s{i}", "c", "st") for i in range(1, 10)],
+                                   "store_sk int, store_name string, city string, state string")
+    got = [(r.store_sk, r.profit_rank) for r in A.store_ranking(MartFrames({"fact_store_sales": f, "dim_store": stores}),
+                                                                 top=top).collect()]
+    per = f.groupBy("ss_store_sk").agg(F.sum("ss_net_profit").alias("p"))
+    ranked = per.select("ss_store_sk", F.rank().over(Window.orderBy(F.col("p").desc_nulls_first())).alias("r"))
+    ranks = {r.ss_store_sk: r.r for r in ranked.collect()}
+    assert len(got) == min(top, len(ranks))
+    assert all(ranks[s] == r for s, r in got)
+    assert sorted(r for _, r in got) == sorted(ranks.values())[:len(got)]
