@@ -20,11 +20,28 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+# Money columns leave the registered mart outputs as doubles, like every other
+# measure the reports hand over (the tables themselves keep exact decimals).
+MONEY = ["wholesale_cost", "list_price", "sales_price", "ext_discount_amt", "ext_sales_price",
+         "ext_wholesale_cost", "ext_list_price", "ext_tax", "coupon_amt", "ext_ship_cost", "net_paid",
+         "net_paid_inc_tax", "net_paid_inc_ship", "net_paid_inc_ship_tax", "net_profit"]
+DECIMAL_COLUMNS = {
+    "dim_customer": ["gmt_offset"],
+    "dim_item": ["current_price", "wholesale_cost"],
+    "dim_promotion": ["cost"],
+    "fact_store_sales": [f"ss_{c}" for c in MONEY if "ship" not in c],
+    "fact_web_sales": [f"ws_{c}" for c in MONEY],
+    "fact_catalog_sales": [f"cs_{c}" for c in MONEY],
+}
+
+
 def mart_table(name: str):
     def run(m) -> DataFrame:
-        return getattr(m, name)
+        df = getattr(m, name)
+        money = set(DECIMAL_COLUMNS.get(name, []))
+        return df.select(*[F.col(c).cast("double").alias(c) if c in money else F.col(c) for c in df.columns])
     run.__name__ = name
-    run.__doc__ = f"The {name} mart table."
+    run.__doc__ = f"The {name} mart table (money as double)."
     return run
 
 

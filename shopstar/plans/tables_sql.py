@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from shopstar.operators.marts import DIM_KEYS, FACT_NOT_NULL
 from shopstar.plans.oracle import pct_c, with_marts
-from shopstar.plans.tables import MART_TABLES
+from shopstar.plans.tables import DECIMAL_COLUMNS, MART_TABLES
 
 _YM = ("(year(DATE '2000-01-01' + (ss_sold_date_sk - 2451545)) * 100 "
        "+ month(DATE '2000-01-01' + (ss_sold_date_sk - 2451545)))")
 
-SQL = {f"m{i + 1:02d}_{t}": with_marts(f"SELECT * FROM {t}") for i, t in enumerate(MART_TABLES)}
+def _mart_select(t: str) -> str:
+    cols = DECIMAL_COLUMNS.get(t, [])
+    if not cols:
+        return f"SELECT * FROM {t}"
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)}) FROM {t}"
+
+
+SQL = {f"m{i + 1:02d}_{t}": with_marts(_mart_select(t)) for i, t in enumerate(MART_TABLES)}
 SQL["s06_mart_row_counts"] = with_marts("\nUNION ALL\n".join(
     f"SELECT 'marts' AS schema_name, '{t}' AS table_name, count(*) AS rows FROM {t}" for t in MART_TABLES))
 SQL["s12_key_violations"] = with_marts("\nUNION ALL\n".join(
