@@ -50,3 +50,28 @@ def load_report(spark: SparkSession, out_dir: str) -> DataFrame:
     raw = f"{out_dir.rstrip('/')}/raw"
     present = [t for t in LOAD_ORDER if "://" in raw or os.path.exists(f"{raw}/{t}")]
     return D.load_report(spark, raw, present)
+
+
+def reload_facts(spark: SparkSession, out_dir: str, months: tuple[int, int] | None = None) -> dict[str, int]:
+    """Rebuild the three facts from the staging layer, for a month range or whole.
+
+    With ``months=(first_yyyymm, last_yyyymm)`` only those month partitions
+    are rewritten (dynamic partition overwrite); the rest stay untouched.
+    Returns the rows written per fact.
+    """
+    from pyspark.sql import functions as F
+
+    from shopstar.operators.layout import FACT_CLUSTER_KEY, FACT_DATE_KEY, sold_ym, write_fact
+    from shopstar.operators.marts import FACT_NOT_NULL, assert_not_null, build_fact
+    out = out_dir.rstrip("/")
+    written = {}
+    for staged_name, fact in (("store_sales", "fact_store_sales"), ("web_sales", "fact_web_sales"),
+                              ("catalog_sales", "fact_catalog_sales")):
+        df = build_fact(spark.read.parquet(f"{out}/staging/{staged_name}"), staged_name)
+        if months is not None:
+            df = df.filter(sold_ym(FACT_DATE_KEY[fact]).between(*months))
+        assert_not_null(df, FACT_NOT_NULL[fact], fact)
+        write_fact(df, f"{out}/marts/{fact}", FACT_DATE_KEY[fact], FACT_CLUSTER_KEY[fact])
+        written[fact] = spark.read.parquet(f"{out}/marts/{fact}").filter(
+            F.col("sold_ym").between(*months) if months else F.lit(True)).count()
+    return written

@@ -131,3 +131,13 @@ def test_cli_lists_and_runs_reports(spark, capsys):
     assert "q10_top_brands" in capsys.readouterr().out
     assert main(["report", "q5_promotion_roi", "--sf", "/root/testdata/sf0.001", "--rows", "5"]) == 0
     assert "revenue_per_promo_dollar" in capsys.readouterr().out
+
+
+def test_reload_one_month_keeps_the_others(spark, wh):
+    from shopstar.operators.warehouse import reload_facts
+    m, out = wh
+    before = sorted(map(repr, spark.read.parquet(f"{out}/marts/fact_store_sales").collect()))
+    got = reload_facts(spark, out, months=(200101, 200101))
+    assert got["fact_store_sales"] == 3
+    after = sorted(map(repr, spark.read.parquet(f"{out}/marts/fact_store_sales").collect()))
+    assert before == after                           # same rows, NULL-date partition untouched
