@@ -43,12 +43,32 @@ def _tenths(age_us: Column, unit_us: int) -> Column:
     return F.when(age_us < 0, -q).otherwise(q)
 
 
-def freshness_check(run_log: DataFrame, name: str, as_of: _dt.datetime, threshold: float, unit: str = "hours",
+# The alert texts of the scheduled checks.  The source's
+# RAISE placeholders are written ``%.1f``; the number is rendered here with
+# one decimal, as the placeholder intends.
+MSG_MISSING = "DR_ALERT: No successful {label} backup found in backup_log. Check host crontab."
+MSG_STALE = "DR_ALERT: Last {label} was {age} {unit} ago (threshold: {threshold}{suffix}). Check host crontab."
+MSG_OK = "DR_CHECK: Last {label} was {age} {unit} ago. OK."
+MSG_STATS = "DR_STATS: type={type} count={count} total_size={size} latest={latest}"
+
+
+def _fmt(template: str, **parts) -> Column:
+    """Fill a message template whose parts are literals or columns."""
+    pieces, rest = [], template
+    while "{" in rest:
+        head, tail = rest.split("{", 1)
+        key, rest = tail.split("}", 1)
+        pieces += [F.lit(head), parts[key] if isinstance(parts[key], Column) else F.lit(str(parts[key]))]
+    pieces.append(F.lit(rest))
+    return F.concat(*pieces)
+
+
+def freshness_check(run_log: DataFrame, label: str, as_of: _dt.datetime, threshold: float, unit: str = "hours",
                     type_prefix: str | None = None, type_equals: str | None = None) -> DataFrame:
     """Latest successful run of a type vs a threshold -> missing / stale / ok.
 
     ``type_prefix`` matches like ``LIKE 'prefix%'``; ``type_equals`` matches
-    exactly.  One output row with the formatted message (one decimal).
+    exactly.  One output row: state, level (WARNING/NOTICE) and the alert text.
     """
     unit_us = US_PER_HOUR if unit == "hours" else US_PER_DAY
     log = run_log.filter(F.col("status") == "success")
@@ -62,12 +82,15 @@ def freshness_check(run_log: DataFrame, name: str, as_of: _dt.datetime, threshol
     age_text = F.concat(F.when(tenths < 0, "-").otherwise(""), (F.abs(tenths) / 10).cast("bigint").cast("string"),
                         F.lit("."), (F.abs(tenths) % 10).cast("string"))
     stale = age_us > F.lit(int(threshold * unit_us))
-    state = F.when(F.col("last_success").isNull(), "missing").when(stale, "stale").otherwise("ok")
-    msg = (F.when(F.col("last_success").isNull(), F.lit(f"no successful {name} run found"))
-           .otherwise(F.concat(F.lit(f"last {name} run was "), age_text, F.lit(f" {unit} ago (threshold {threshold:g} {unit})"))))
-    return g.select(F.lit(name).alias("check_name"), "last_success",
+    missing = F.col("last_success").isNull()
+    state = F.when(missing, "missing").when(stale, "stale").otherwise("ok")
+    common = dict(label=label, age=age_text, unit=unit, threshold=f"{threshold:g}", suffix=unit[0])
+    msg = (F.when(missing, F.lit(MSG_MISSING.format(label=label)))
+           .when(stale, _fmt(MSG_STALE, **common)).otherwise(_fmt(MSG_OK, **common)))
+    return g.select(F.lit(label).alias("check_name"), "last_success",
                     (age_us.cast("double") / F.lit(float(unit_us))).alias("age"),
-                    F.lit(unit).alias("unit"), state.alias("state"), msg.alias("message"))
+                    F.lit(unit).alias("unit"), state.alias("state"),
+                    F.when(state == "ok", "NOTICE").otherwise("WARNING").alias("level"), msg.alias("message"))
 
 
 def storage_report(run_log: DataFrame, as_of: _dt.datetime, days: int = 30) -> DataFrame:
@@ -76,5 +99,17 @@ def storage_report(run_log: DataFrame, as_of: _dt.datetime, days: int = 30) -> D
     log = run_log.filter((F.col("status") == "success") & (F.col("started_at") > since))
     g = log.groupBy("backup_type").agg(F.count(F.lit(1)).alias("total_backups"),
                                         F.sum("size_bytes").alias("bytes"), F.max("started_at").alias("latest"))
-    return g.select("backup_type", "total_backups", size_pretty("bytes").alias("total_size"), "latest"
-                    ).orderBy("backup_type")
+    size = size_pretty("bytes")
+    msg = _fmt(MSG_STATS, type=F.col("backup_type"), count=F.col("total_backups").cast("string"), size=size,
+               latest=timestamptz_text("latest"))
+    return g.select("backup_type", "total_backups", size.alias("total_size"), "latest",
+                    msg.alias("message")).orderBy("backup_type")
+
+
+def timestamptz_text(c: Column | str) -> Column:
+    """A UTC timestamp as the source database prints it: seconds, then the
+    fraction without trailing zeros (none if zero), then '+00'."""
+    ts = (F.col(c) if isinstance(c, str) else c).cast("timestamp")
+    micros = F.unix_micros(ts) % 1_000_000
+    frac = F.when(micros > 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(micros.cast("string"), 6, "0"), "0+$", "")))
+    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.coalesce(frac, F.lit("")), F.lit("+00"))

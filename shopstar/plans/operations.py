@@ -20,8 +20,8 @@ RATIO_STEP_S = 86400
 
 def freshness_checks(m):
     """Prefix check in hours (26 h) and exact-type check in days (8 d)."""
-    a = K.freshness_check(m.run_log, "dump_", AS_OF, 26, "hours", type_prefix="dump_")
-    b = K.freshness_check(m.run_log, "dump_signup", AS_OF, 8, "days", type_equals="dump_signup")
+    a = K.freshness_check(m.run_log, "pg_dump", AS_OF, 26, "hours", type_prefix="dump_")
+    b = K.freshness_check(m.run_log, "pg_basebackup", AS_OF, 8, "days", type_equals="dump_signup")
     return a.unionByName(b)
 
 

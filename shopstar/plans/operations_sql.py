@@ -9,17 +9,22 @@ AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 W_US = 6 * 3600 * 1_000_000
 
 
-def _freshness(name: str, cond: str, unit: str, unit_us: int, threshold: int) -> str:
+def _freshness(label: str, cond: str, unit: str, unit_us: int, threshold: int) -> str:
     age = f"(epoch_us({AS_OF}) - epoch_us(last_success))"
     t = rdiv(age, str(unit_us // 10))
     text = (f"CASE WHEN {t} < 0 THEN '-' ELSE '' END || CAST(abs({t}) // 10 AS VARCHAR) || '.' || "
             f"CAST(abs({t}) % 10 AS VARCHAR)")
+    stale = f"{age} > {threshold * unit_us}"
     return f"""
-SELECT '{name}' AS check_name, last_success, CAST({age} AS DOUBLE) / CAST({unit_us} AS DOUBLE) AS age,
+SELECT '{label}' AS check_name, last_success, CAST({age} AS DOUBLE) / CAST({unit_us} AS DOUBLE) AS age,
        '{unit}' AS unit,
-       CASE WHEN last_success IS NULL THEN 'missing' WHEN {age} > {threshold * unit_us} THEN 'stale' ELSE 'ok' END AS state,
-       CASE WHEN last_success IS NULL THEN 'no successful {name} run found'
-            ELSE 'last {name} run was ' || {text} || ' {unit} ago (threshold {threshold} {unit})' END AS message
+       CASE WHEN last_success IS NULL THEN 'missing' WHEN {stale} THEN 'stale' ELSE 'ok' END AS state,
+       CASE WHEN last_success IS NOT NULL AND NOT ({stale}) THEN 'NOTICE' ELSE 'WARNING' END AS level,
+       CASE WHEN last_success IS NULL
+            THEN 'DR_ALERT: No successful {label} backup found in backup_log. Check host crontab.'
+            WHEN {stale}
+            THEN 'DR_ALERT: Last {label} was ' || {text} || ' {unit} ago (threshold: {threshold}{unit[0]}). Check host crontab.'
+            ELSE 'DR_CHECK: Last {label} was ' || {text} || ' {unit} ago. OK.' END AS message
 FROM (SELECT max(started_at) AS last_success FROM run_log WHERE status = 'success' AND {cond}) t"""
 
 
@@ -53,14 +58,21 @@ SELECT instance, datname, metric, ts, CAST(value * {scale} AS DOUBLE) AS value F
 
 SQL = {
     "k07_freshness_checks": with_marts(
-        _freshness("dump_", "starts_with(backup_type, 'dump_')", "hours", 3_600_000_000, 26)
+        _freshness("pg_dump", "starts_with(backup_type, 'dump_')", "hours", 3_600_000_000, 26)
         + "\nUNION ALL\n"
-        + _freshness("dump_signup", "backup_type = 'dump_signup'", "days", 86_400_000_000, 8)),
+        + _freshness("pg_basebackup", "backup_type = 'dump_signup'", "days", 86_400_000_000, 8)),
     "k08_storage_report": with_marts(f"""
-SELECT backup_type, count(*) AS total_backups, {size_pretty_sql('sum(size_bytes)')} AS total_size,
-       max(started_at) AS latest
-FROM run_log WHERE status = 'success' AND started_at > {AS_OF} - INTERVAL 30 DAY
-GROUP BY backup_type ORDER BY backup_type"""),
+SELECT backup_type, total_backups, total_size, latest,
+       'DR_STATS: type=' || backup_type || ' count=' || CAST(total_backups AS VARCHAR) || ' total_size=' || total_size
+       || ' latest=' || strftime(latest, '%Y-%m-%d %H:%M:%S')
+       || CASE WHEN epoch_us(latest) % 1000000 > 0
+               THEN '.' || regexp_replace(lpad(CAST(epoch_us(latest) % 1000000 AS VARCHAR), 6, '0'), '0+$', '')
+               ELSE '' END || '+00' AS message
+FROM (SELECT backup_type, count(*) AS total_backups, {size_pretty_sql('sum(size_bytes)')} AS total_size,
+             max(started_at) AS latest
+      FROM run_log WHERE status = 'success' AND started_at > {AS_OF} - INTERVAL 30 DAY
+      GROUP BY backup_type) t
+ORDER BY backup_type"""),
     "r01_latest_samples": with_marts(_latest("regexp_full_match(datname, 'db[0-2]')")),
     "r02_nonzero_latest": with_marts(f"SELECT * FROM ({_latest(chr(39).join(['metric = ', 'pg_error', '']))}) l "
                                      "WHERE value <> 0"),

@@ -62,12 +62,15 @@ def test_run_log_freshness_and_storage(spark, scratch_dir):
     K.log_run(spark, log, "dump_full", "failed", 5, 1, started_at=now - dt.timedelta(hours=1))
     K.log_run(spark, log, "basebackup", "success", 10240, 9, started_at=now - dt.timedelta(hours=27))
     df = spark.read.parquet(log)
-    a = K.freshness_check(df, "dump", now, 26, "hours", type_prefix="dump_").first()
-    assert a.state == "ok" and a.message == "last dump run was 25.0 hours ago (threshold 26 hours)"
-    b = K.freshness_check(df, "base", now, 26, "hours", type_equals="basebackup").first()
-    assert b.state == "stale" and abs(b.age - 27.0) < 1e-9
-    c = K.freshness_check(df, "none", now, 8, "days", type_equals="nothing").first()
+    a = K.freshness_check(df, "pg_dump", now, 26, "hours", type_prefix="dump_").first()
+    assert a.state == "ok" and a.level == "NOTICE"
+    assert a.message == "DR_CHECK: Last pg_dump was 25.0 hours ago. OK."
+    b = K.freshness_check(df, "pg_basebackup", now, 26, "hours", type_equals="basebackup").first()
+    assert b.state == "stale" and abs(b.age - 27.0) < 1e-9 and b.level == "WARNING"
+    assert b.message == "DR_ALERT: Last pg_basebackup was 27.0 hours ago (threshold: 26h). Check host crontab."
+    c = K.freshness_check(df, "pg_basebackup", now, 8, "days", type_equals="nothing").first()
     assert c.state == "missing" and c.last_success is None
+    assert c.message == "DR_ALERT: No successful pg_basebackup backup found in backup_log. Check host crontab."
     rep = {r.backup_type: (r.total_backups, r.total_size) for r in K.storage_report(df, now).collect()}
     assert rep == {"dump_marts": (1, "20 GB"), "basebackup": (1, "10 kB")}
 
@@ -148,3 +151,13 @@ def test_schema_only_export(spark, scratch_dir):
     assert m.mode == "schema" and m.rows is None and "name" in m.schema_json
     assert not os.path.exists(os.path.join(path, "a"))
     assert S.verification_passed(S.verify_snapshot(spark, path))
+
+
+def test_storage_message_and_timestamp_text(spark, scratch_dir):
+    log = os.path.join(scratch_dir, "log2")
+    now = dt.datetime(2024, 2, 1, 12, 0)
+    K.log_run(spark, log, "dump_marts", "success", 2048, 1, started_at=dt.datetime(2024, 1, 31, 5, 30, 0, 120000))
+    K.log_run(spark, log, "wal", "success", 20000, 1, started_at=dt.datetime(2024, 1, 31, 6, 0, 0))
+    rep = {r.backup_type: r.message for r in K.storage_report(spark.read.parquet(log), now).collect()}
+    assert rep["dump_marts"] == "DR_STATS: type=dump_marts count=1 total_size=2048 bytes latest=2024-01-31 05:30:00.12+00"
+    assert rep["wal"] == "DR_STATS: type=wal count=1 total_size=20 kB latest=2024-01-31 06:00:00+00"
