@@ -141,3 +141,16 @@ def test_reload_one_month_keeps_the_others(spark, wh):
     assert got["fact_store_sales"] == 3
     after = sorted(map(repr, spark.read.parquet(f"{out}/marts/fact_store_sales").collect()))
     assert before == after                           # same rows, NULL-date partition untouched
+
+
+def test_cli_snapshot_verify_list_restore(spark, wh, tmp_path, capsys):
+    from shopstar.__main__ import main
+    _, out = wh
+    root = str(tmp_path / "snaps")
+    assert main(["snapshot", "--marts", f"{out}/marts", "--root", root]) == 0
+    snap = capsys.readouterr().out.strip().splitlines()[-1]
+    assert main(["verify", snap]) == 0
+    assert "PASS" in capsys.readouterr().out
+    assert main(["list", "--root", root]) == 0
+    assert main(["restore", snap, "--target", str(tmp_path / "live"), "--table", "dim_item"]) == 0
+    assert "would overwrite" in capsys.readouterr().out
