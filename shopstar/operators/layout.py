@@ -119,3 +119,20 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int,
     if partition_col:
         w = w.partitionBy(partition_col)
     w.saveAsTable(table)
+
+
+def join_calendar(fact: DataFrame, calendar: DataFrame, date_key: str, how: str = "inner") -> DataFrame:
+    """Join a fact to the calendar so that calendar filters prune fact partitions.
+
+    On month-partitioned facts the join also equates the partition column
+    with the calendar's ``sold_ym``; with that, a comparison filter on a
+    calendar attribute (a month, a quarter, a date range) becomes a dynamic
+    partition filter on the fact scan.  (Spark treats a bare boolean column
+    as not selective, so such a flag does not trigger pruning by itself.)
+    On unpartitioned facts it is the plain key join.
+    """
+    if PARTITION_COL in fact.columns and PARTITION_COL in calendar.columns:
+        cal = calendar.withColumnRenamed(PARTITION_COL, "_cal_ym")
+        cond = (fact[date_key] == cal["date_sk"]) & (fact[PARTITION_COL] == cal["_cal_ym"])
+        return fact.join(cal, cond, how).drop("_cal_ym")
+    return fact.join(calendar, fact[date_key] == calendar["date_sk"], how)

@@ -127,3 +127,16 @@ def test_analyze_marts_registers_and_counts(spark, marts_pair):
                           "fact_store_sales", "fact_web_sales", "fact_catalog_sales"}
     n = derived.fact_store_sales.count()
     assert f"{n} rows" in stats["fact_store_sales"]
+
+
+def test_calendar_filter_prunes_fact_partitions_dynamically(spark, marts_pair):
+    from pyspark.sql import functions as F
+
+    from shopstar.operators.layout import join_calendar
+    derived, written, _ = marts_pair
+    cal = written.dim_date.filter(F.col("month") == 12)
+    j = join_calendar(written.fact_store_sales, cal, "ss_sold_date_sk")
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression" in plan.lower()
+    plain = written.fact_store_sales.join(cal, F.col("ss_sold_date_sk") == F.col("date_sk"))
+    assert j.count() == plain.count()
