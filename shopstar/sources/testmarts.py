@@ -27,6 +27,9 @@ Rules (all deterministic):
 
 from __future__ import annotations
 
+import logging
+import threading
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +40,12 @@ from shopstar.functions.numeric import dec, money
 from shopstar.operators.layout import restrict_years
 from shopstar.operators.marts import build_fact
 from shopstar.sources.schemas import raw_schema
+from shopstar.session import shared_path
 from shopstar.sources.tables import DriverTables
 
+log = logging.getLogger(__name__)
+STAGE_CONF = "shopstar.derived.stageLines"
+
 STORE, CATALOG, WEB = "store", "catalog", "web"
 PREFIX = {STORE: "ss", WEB: "ws", CATALOG: "cs"}
 
@@ -59,15 +66,35 @@ class DerivedMarts:
     """The warehouse's marts and staging tables as lazy DataFrames."""
 
     _per_session: dict = {}
+    _lock = threading.Lock()
 
     @classmethod
     def for_session(cls, spark: SparkSession, sf_dir: str) -> "DerivedMarts":
-        """One set of view definitions per session and folder (plans are immutable, so reports share them)."""
+        """One set of marts per session and folder, shared by every report of the session.
+
+        With ``shopstar.derived.stageLines=true`` the joined sale lines
+        (``lineitem JOIN orders`` and the money derivations) are written once
+        under the session's checkpoint folder and every report reads that
+        copy: one join per session instead of one per report, lineage cut at
+        a written table.  It pays off for long report sessions on large
+        inputs; on the small test files writing all derived columns costs
+        more than the dozen joins it saves (measured: ~5.5 s vs ~0.2 s per
+        report at sf0.1), so the default is the lazy view.  A failed write
+        falls back to the view.
+        """
         key = (id(spark), sf_dir)
-        hit = cls._per_session.get(key)
-        if hit is None or hit.spark is not spark:
-            hit = cls._per_session[key] = cls(spark, sf_dir)
-        return hit
+        with cls._lock:
+            hit = cls._per_session.get(key)
+            if hit is None or hit.spark is not spark:
+                hit = cls(spark, sf_dir)
+                if spark.conf.get(STAGE_CONF, "false").lower() == "true":
+                    try:
+                        hit = hit.stage_lines(shared_path(spark, "derived-lines", uuid.uuid4().hex),
+                                              spread=True)
+                    except Exception as ex:  # storage trouble: keep the lazy view
+                        log.warning("staging the sale lines failed (%s); using the lazy view", ex)
+                cls._per_session[key] = hit
+            return hit
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -78,7 +105,7 @@ class DerivedMarts:
     def _lines(self) -> DataFrame:
         return self._line_rows
 
-    def stage_lines(self, path: str) -> "DerivedMarts":
+    def stage_lines(self, path: str, spread: bool = False) -> "DerivedMarts":
         """Write the joined sale lines once and derive every fact from the written copy.
 
         Building the marts touches the lines seven times (three facts,
@@ -86,7 +113,13 @@ class DerivedMarts:
         ``lineitem JOIN orders`` into one join plus seven pruned scans, and
         cuts the lineage of everything built afterwards.
         """
-        self._line_rows.write.mode("overwrite").parquet(path)
+        lines = self._line_rows
+        if spread:
+            # round-robin over the shuffle partitions (no key, so no hot task),
+            # dates clustered within each file for row-group skipping
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            lines = lines.repartition(n).sortWithinPartitions("sold_date_sk")
+        lines.write.mode("overwrite").parquet(path)
         staged = DerivedMarts(self.spark, self.sf_dir)
         staged.__dict__["_line_rows"] = self.spark.read.parquet(path)
         return staged

@@ -140,3 +140,20 @@ def test_calendar_filter_prunes_fact_partitions_dynamically(spark, marts_pair):
     assert "dynamicpruningexpression" in plan.lower()
     plain = written.fact_store_sales.join(cal, F.col("ss_sold_date_sk") == F.col("date_sk"))
     assert j.count() == plain.count()
+
+
+def test_session_staged_lines_give_the_same_reports(spark):
+    from shopstar.plans.registry import queries
+    from shopstar.sources.testmarts import STAGE_CONF, DerivedMarts
+    from conftest import SF_SMALL
+    names = ["q1_channel_revenue_literal", "q10_top_brands", "d27_return_rate_by_category", "n01_fulfilment_lag"]
+    lazy = {n: sorted(map(repr, queries()[n](spark, SF_SMALL).collect())) for n in names}
+    DerivedMarts._per_session.clear()
+    spark.conf.set(STAGE_CONF, "true")
+    try:
+        staged = {n: sorted(map(repr, queries()[n](spark, SF_SMALL).collect())) for n in names}
+        assert "_line_rows" in DerivedMarts.for_session(spark, SF_SMALL).__dict__
+    finally:
+        spark.conf.set(STAGE_CONF, "false")
+        DerivedMarts._per_session.clear()
+    assert lazy == staged
