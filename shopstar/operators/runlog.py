@@ -67,13 +67,13 @@ def freshness_check(run_log: DataFrame, label: str, as_of: _dt.datetime, thresho
                     type_prefix: str | None = None, type_equals: str | None = None) -> DataFrame:
     """Latest successful run of a type vs a threshold -> missing / stale / ok.
 
-    ``type_prefix`` matches like ``LIKE 'prefix%'``; ``type_equals`` matches
+    ``type_prefix`` is a ``LIKE 'prefix%'`` pattern; ``type_equals`` matches
     exactly.  One output row: state, level (WARNING/NOTICE) and the alert text.
     """
     unit_us = US_PER_HOUR if unit == "hours" else US_PER_DAY
     log = run_log.filter(F.col("status") == "success")
-    if type_prefix is not None:
-        log = log.filter(F.col("backup_type").startswith(type_prefix))
+    if type_prefix is not None:  # LIKE 'prefix%' as in the source ('_' matches any one character)
+        log = log.filter(F.col("backup_type").like(type_prefix + "%"))
     if type_equals is not None:
         log = log.filter(F.col("backup_type") == type_equals)
     g = log.agg(F.max("started_at").alias("last_success"))

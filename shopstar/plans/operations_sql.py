@@ -58,7 +58,7 @@ SELECT instance, datname, metric, ts, CAST(value * {scale} AS DOUBLE) AS value F
 
 SQL = {
     "k07_freshness_checks": with_marts(
-        _freshness("pg_dump", "starts_with(backup_type, 'dump_')", "hours", 3_600_000_000, 26)
+        _freshness("pg_dump", "backup_type LIKE 'dump_%'", "hours", 3_600_000_000, 26)
         + "\nUNION ALL\n"
         + _freshness("pg_basebackup", "backup_type = 'dump_signup'", "days", 86_400_000_000, 8)),
     "k08_storage_report": with_marts(f"""
