@@ -177,9 +177,14 @@ def metric_ratio(metrics: DataFrame, numerator: str, other: str, step_seconds: i
                     ratio.alias("ratio")))
 
 
-def label_values(metrics: DataFrame, label: str, metric_regex: str | None = None) -> DataFrame:
-    """Distinct values of one label (optionally over metrics matching a regex), sorted."""
-    df = metrics
+def label_values(metrics: DataFrame, label: str, metric_regex: str | None = None,
+                 matchers: dict | None = None) -> DataFrame:
+    """Distinct values of one label over the matching series, sorted.
+
+    ``metric_regex`` restricts the metric name (anchored); ``matchers``
+    restrict any label (``{"datname": ("=~", "db.*")}``), as a selector does.
+    """
+    df = select_series(metrics, None, matchers)
     if metric_regex is not None:
         df = df.filter(_matches("metric", "=~", metric_regex))
     return df.select(label).distinct().orderBy(label)

@@ -161,3 +161,12 @@ def test_storage_message_and_timestamp_text(spark, scratch_dir):
     rep = {r.backup_type: r.message for r in K.storage_report(spark.read.parquet(log), now).collect()}
     assert rep["dump_marts"] == "DR_STATS: type=dump_marts count=1 total_size=2048 bytes latest=2024-01-31 05:30:00.12+00"
     assert rep["wal"] == "DR_STATS: type=wal count=1 total_size=20 kB latest=2024-01-31 06:00:00+00"
+
+
+def test_label_values_with_matchers(spark):
+    df = spark.createDataFrame(
+        [(T0, "a", "db1", "locks", Decimal("1")), (T0, "b", "db2", "locks", Decimal("1")),
+         (T0, "c", "x", "locks", Decimal("1"))],
+        "ts timestamp, instance string, datname string, metric string, value decimal(12,2)")
+    got = [r.instance for r in R.label_values(df, "instance", matchers={"datname": ("=~", "db.*")}).collect()]
+    assert got == ["a", "b"]
