@@ -58,16 +58,20 @@ def select_series(metrics: DataFrame, metric: str | None = None, matchers: dict
 
 
 def latest_samples(metrics: DataFrame, metric: str | None = None, matchers: dict | None = None,
-                   as_of: _dt.datetime | None = None) -> DataFrame:
+                   as_of: _dt.datetime | None = None, lookback_seconds: int | None = None) -> DataFrame:
     """Latest sample per matching series (at or before ``as_of``).
 
-    ``max`` over a (ts, value) struct picks the newest sample and breaks
-    exact time ties by value, so the answer is deterministic; it is a
-    partial aggregate, so a busy series collapses map-side.
+    With ``lookback_seconds`` only samples newer than ``as_of - lookback``
+    count (an instant query's staleness window; series without one drop
+    out).  ``max`` over a (ts, value) struct picks the newest sample and
+    breaks exact time ties by value, so the answer is deterministic; it is
+    a partial aggregate, so a busy series collapses map-side.
     """
     df = select_series(metrics, metric, matchers)
     if as_of is not None:
         df = df.filter(F.col("ts") <= F.lit(as_of))
+        if lookback_seconds is not None:
+            df = df.filter(F.col("ts") > F.lit(as_of - _dt.timedelta(seconds=lookback_seconds)))
     g = df.groupBy(*SERIES).agg(F.max(F.struct("ts", "value")).alias("last"))
     return g.select(*SERIES, F.col("last.ts").alias("ts"), F.col("last.value").alias("value"))
 

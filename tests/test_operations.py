@@ -170,3 +170,10 @@ def test_label_values_with_matchers(spark):
         "ts timestamp, instance string, datname string, metric string, value decimal(12,2)")
     got = [r.instance for r in R.label_values(df, "instance", matchers={"datname": ("=~", "db.*")}).collect()]
     assert got == ["a", "b"]
+
+
+def test_instant_lookup_staleness(spark):
+    df = _metrics(spark, [(0, 1), (100, 2), (500, 3)])
+    at = T0 + dt.timedelta(seconds=450)
+    assert R.latest_samples(df, as_of=at).first().value == Decimal("2.00")
+    assert R.latest_samples(df, as_of=at, lookback_seconds=300).count() == 0
