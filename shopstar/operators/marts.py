@@ -137,6 +137,13 @@ def assert_not_null(df: DataFrame, cols, name: str = "") -> None:
         raise ConstraintError(f"NOT NULL violated in {name}: {bad}")
 
 
+def assert_rows_preserved(before: DataFrame, after: DataFrame, name: str = "") -> None:
+    """An enrichment by LEFT JOINs on unique keys must keep the row count."""
+    n_before, n_after = before.count(), after.count()
+    if n_before != n_after:
+        raise ConstraintError(f"{name} has {n_after} rows for {n_before} input rows (duplicate lookup keys)")
+
+
 def build_marts(staging: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All eight mart tables from staging DataFrames (lazy)."""
     return {

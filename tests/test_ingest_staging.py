@@ -166,3 +166,22 @@ def test_streaming_landing_is_incremental(spark, scratch_dir):
     assert sorted(r.ib_income_band_sk for r in landed.collect()) == [1, 2, 3]
     rej = spark.read.parquet(os.path.join(out, "income_band")).filter(F.col(D.STATUS) == D.REJECTED)
     assert rej.count() == 1
+
+
+def test_dim_customer_duplicate_lookup_key_is_caught(spark):
+    c = spark.createDataFrame([(1, 10, 100)], "c_customer_sk int, c_current_cdemo_sk int, c_current_addr_sk int")
+    for col in ["c_customer_id", "c_first_name", "c_last_name", "c_salutation", "c_email_address",
+                "c_preferred_cust_flag", "c_birth_country"]:
+        c = c.withColumn(col, F.lit(None).cast("string"))
+    c = c.withColumn("c_birth_year", F.lit(None).cast("int"))
+    cd = spark.createDataFrame([(10, "F"), (10, "M")], "cd_demo_sk int, cd_gender string")
+    for col in ["cd_marital_status", "cd_education_status", "cd_credit_rating"]:
+        cd = cd.withColumn(col, F.lit(None).cast("string"))
+    for col in ["cd_purchase_estimate", "cd_dep_count"]:
+        cd = cd.withColumn(col, F.lit(None).cast("int"))
+    ca = spark.createDataFrame([(100,)], "ca_address_sk int")
+    for col in ["ca_city", "ca_state", "ca_zip", "ca_country"]:
+        ca = ca.withColumn(col, F.lit(None).cast("string"))
+    ca = ca.withColumn("ca_gmt_offset", F.lit(None).cast("decimal(5,2)"))
+    with pytest.raises(M.ConstraintError):
+        M.assert_rows_preserved(c, M.build_dim_customer(c, cd, ca), "dim_customer")
