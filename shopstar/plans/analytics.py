@@ -5,14 +5,16 @@ tables (any object exposing ``fact_*``/``dim_*`` DataFrames, e.g.
 :class:`shopstar.sources.testmarts.DerivedMarts` or
 :class:`shopstar.operators.marts.WrittenMarts`).
 
-Plan shape shared by all of them: the fact is aggregated on its foreign
-key first (partial + final hash aggregate, so a hot key collapses map-side
-before any exchange), the much smaller per-key rows are joined to the
-dimension (broadcast when the planner's size estimate allows it,
-sort-merge otherwise), then grouped by the report attributes.  Distinct
-counts of a key fall out of the pre-aggregation for free (one row per key)
-instead of an ``Expand``.  Top-k uses ``orderBy().limit()``, which Spark
-plans as a per-partition take-ordered.
+Plan shape: item-keyed reports join the (planner-broadcast) item
+dimension first and aggregate after, so the fact is never shuffled by
+item.  Customer-, store- and date-keyed reports aggregate the fact on its
+foreign key first (partial + final hash aggregate, so a hot key collapses
+map-side before any exchange) and join the much smaller per-key rows to
+the dimension (broadcast when the planner's size estimate allows it,
+sort-merge otherwise).  Distinct counts of a key fall out of the
+pre-aggregation for free (one row per key) instead of an ``Expand``.
+Top-k uses ``orderBy().limit()``, which Spark plans as a per-partition
+take-ordered.
 
 Fidelity notes (see README): output names are lower case; money is
 rounded exactly in decimal and handed over as double; ``AVG`` is
@@ -124,12 +126,18 @@ def channel_growth(m, years=YEARS, literal: bool = False) -> DataFrame:
 
 # -------------------------------------------------------------------------- Q2
 def top_categories(m, top: int = 10) -> DataFrame:
-    """Q2: top categories by store net profit."""
-    per_item = _store_by(m, "ss_item_sk")
+    """Q2: top categories by store net profit.
+
+    Item-keyed reports join first: the item dimension of the warehouse is
+    small enough for the planner to broadcast (size-checked, no hint), so
+    the fact is never shuffled by item and only per-category partials move.
+    """
+    f = m.fact_store_sales.select("ss_item_sk", "ss_net_paid", "ss_net_profit")
     item = m.dim_item.select("item_sk", "category")
-    g = (per_item.join(item, per_item.ss_item_sk == item.item_sk)
+    g = (f.join(item, f.ss_item_sk == item.item_sk)
          .groupBy("category")
-         .agg(F.sum("n").alias("transactions"), F.sum("paid").alias("paid"), F.sum("profit").alias("profit")))
+         .agg(_count_all().alias("transactions"), F.sum("ss_net_paid").alias("paid"),
+              F.sum("ss_net_profit").alias("profit")))
     out = g.select(
         "category", "transactions",
         to_double(millions("paid")).alias("net_paid_m"),
@@ -281,17 +289,16 @@ def holiday_lift(m, years=YEARS) -> DataFrame:
 def top_brands(m, top: int = 20) -> DataFrame:
     """Q10: brand x category profit over all three channels.
 
-    The three facts are unioned on three slim columns and aggregated per
-    item before the single join with the item dimension (the source joins
-    the dimension once per branch).
+    The three facts are unioned on four slim columns and meet the item
+    dimension once (the source joins it once per branch); the join comes
+    first, as in Q2, so only per-(brand, category) partials are shuffled.
     """
     lines = m.all_channel_lines("net_paid", "net_profit")
-    per_item = lines.groupBy("item_sk").agg(
-        _count_all().alias("n"), F.sum("net_paid").alias("paid"), F.sum("net_profit").alias("profit"))
     item = m.dim_item.filter(F.col("brand").isNotNull()).select(F.col("item_sk").alias("i_sk"), "brand", "category")
-    g = (per_item.join(item, per_item.item_sk == item.i_sk)
+    g = (lines.join(item, lines.item_sk == item.i_sk)
          .groupBy("brand", "category")
-         .agg(F.sum("n").alias("transactions"), F.sum("paid").alias("paid"), F.sum("profit").alias("profit")))
+         .agg(_count_all().alias("transactions"), F.sum("net_paid").alias("paid"),
+              F.sum("net_profit").alias("profit")))
     out = g.select(
         "brand", "category", "transactions",
         to_double(millions("paid")).alias("total_revenue_m"),

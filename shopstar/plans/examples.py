@@ -110,10 +110,11 @@ def preferred_revenue(m) -> DataFrame:
 
 
 def _category_revenue(m, fact: DataFrame, item_key: str, paid: str) -> DataFrame:
-    per_item = _by_key(fact, item_key, paid)
+    """Join first with the (planner-broadcast) item dimension, then aggregate per category."""
+    f = fact.select(item_key, paid)
     i = m.dim_item.select("item_sk", "category")
-    return (per_item.join(i, per_item[item_key] == i.item_sk)
-            .groupBy("category").agg(to_double(F.sum("s")).alias("revenue"))
+    return (f.join(i, f[item_key] == i.item_sk)
+            .groupBy("category").agg(to_double(F.sum(paid)).alias("revenue"))
             .orderBy(F.col("revenue").desc_nulls_first()))
 
 
@@ -124,13 +125,11 @@ def store_category_revenue(m) -> DataFrame:
 
 def brand_margin(m, top: int = 20) -> DataFrame:
     """Revenue, cost, gross profit and margin by brand (margin base = ext_sales_price)."""
-    f = m.fact_store_sales
-    per_item = f.groupBy("ss_item_sk").agg(
-        F.sum("ss_ext_sales_price").alias("rev"), F.sum("ss_ext_wholesale_cost").alias("cost"),
-        F.sum("ss_net_profit").alias("gp"))
+    f = m.fact_store_sales.select("ss_item_sk", "ss_ext_sales_price", "ss_ext_wholesale_cost", "ss_net_profit")
     i = m.dim_item.select("item_sk", "brand")
-    g = (per_item.join(i, per_item.ss_item_sk == i.item_sk).groupBy("brand")
-         .agg(F.sum("rev").alias("rev"), F.sum("cost").alias("cost"), F.sum("gp").alias("gp")))
+    g = (f.join(i, f.ss_item_sk == i.item_sk).groupBy("brand")
+         .agg(F.sum("ss_ext_sales_price").alias("rev"), F.sum("ss_ext_wholesale_cost").alias("cost"),
+              F.sum("ss_net_profit").alias("gp")))
     out = g.select("brand", to_double("rev").alias("revenue"), to_double("cost").alias("cost"),
                    to_double("gp").alias("gross_profit"), to_double(pct("gp", "rev")).alias("margin_pct"), "gp")
     return out.orderBy(F.col("gp").desc_nulls_first(), F.col("brand").asc_nulls_last()).limit(top).drop("gp")
@@ -227,9 +226,9 @@ def channel_union_revenue(m) -> DataFrame:
 
 def top_products(m, top: int = 10) -> DataFrame:
     """Most profitable products (name x category)."""
-    per = _by_key(m.fact_store_sales, "ss_item_sk", "ss_net_profit")
+    f = m.fact_store_sales.select("ss_item_sk", "ss_net_profit")
     i = m.dim_item.select("item_sk", "product_name", "category")
-    g = per.join(i, per.ss_item_sk == i.item_sk).groupBy("product_name", "category").agg(F.sum("s").alias("p"))
+    g = f.join(i, f.ss_item_sk == i.item_sk).groupBy("product_name", "category").agg(F.sum("ss_net_profit").alias("p"))
     return (g.orderBy(F.col("p").desc_nulls_first(), F.col("product_name").asc_nulls_last(),
                       F.col("category").asc_nulls_last()).limit(top)
             .select("product_name", "category", to_double("p").alias("profit")))
