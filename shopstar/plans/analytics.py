@@ -251,10 +251,10 @@ def monthly_trend(m, years=YEARS) -> DataFrame:
     The average runs over the rounded monthly values and counts rows, so a
     missing month is not filled.  Input to the window is one row per month.
     """
-    per_day = _store_by(m, "ss_sold_date_sk", years)
+    f = restrict_years(m.fact_store_sales, "ss_sold_date_sk", years).select("ss_sold_date_sk", "ss_net_paid")
     cal = _calendar(m, years).select("date_sk", "year", "month")
-    monthly = (per_day.join(cal, per_day.ss_sold_date_sk == cal.date_sk)
-               .groupBy("year", "month").agg(millions(F.sum("paid")).alias("net_paid_m")))
+    monthly = (f.join(cal, f.ss_sold_date_sk == cal.date_sk)
+               .groupBy("year", "month").agg(millions(F.sum("ss_net_paid")).alias("net_paid_m")))
     w = Window.orderBy("year", "month").rowsBetween(-2, 0)
     return monthly.select(
         "year", "month",

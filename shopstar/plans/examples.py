@@ -61,22 +61,24 @@ def star_join(m, customer_cols=(), promo_cols=()) -> DataFrame:
                     *customer_cols, *promo_cols)
 
 
+def _calendar_rows(fact: DataFrame, date_key: str, m, attrs, measure: str) -> DataFrame:
+    """Fact rows joined first to the calendar (bounded by days, broadcast)."""
+    f = fact.select(date_key, measure)
+    d = F.broadcast(m.dim_date.select("date_sk", *attrs))
+    return f.join(d, f[date_key] == d.date_sk)
+
+
 def monthly_store_revenue(m) -> DataFrame:
     """Store revenue by year and month."""
-    per_day = _by_key(m.fact_store_sales, "ss_sold_date_sk", "ss_net_paid")
-    d = m.dim_date.select("date_sk", "year", "month")
-    return (per_day.join(d, per_day.ss_sold_date_sk == d.date_sk)
-            .groupBy("year", "month").agg(to_double(F.sum("s")).alias("revenue"))
+    j = _calendar_rows(m.fact_store_sales, "ss_sold_date_sk", m, ["year", "month"], "ss_net_paid")
+    return (j.groupBy("year", "month").agg(to_double(F.sum("ss_net_paid")).alias("revenue"))
             .orderBy("year", "month"))
 
 
 def holiday_revenue(m) -> DataFrame:
     """Transactions and revenue on holidays vs other days."""
-    per_day = _by_key(m.fact_store_sales, "ss_sold_date_sk", "ss_net_paid")
-    d = m.dim_date.select("date_sk", "is_holiday")
-    return (per_day.join(d, per_day.ss_sold_date_sk == d.date_sk)
-            .groupBy("is_holiday")
-            .agg(F.sum("n").alias("transactions"), to_double(F.sum("s")).alias("revenue")))
+    j = _calendar_rows(m.fact_store_sales, "ss_sold_date_sk", m, ["is_holiday"], "ss_net_paid")
+    return j.groupBy("is_holiday").agg(_n().alias("transactions"), to_double(F.sum("ss_net_paid")).alias("revenue"))
 
 
 def _store_left_customer(m, attr_expr, name: str) -> DataFrame:
@@ -244,10 +246,9 @@ def avg_basket_size(m) -> DataFrame:
 
 def web_monthly_total(m) -> DataFrame:
     """Web revenue including shipping and tax by month."""
-    per_day = _by_key(m.fact_web_sales, "ws_sold_date_sk", "ws_net_paid_inc_ship_tax")
-    d = m.dim_date.select("date_sk", "year", "month")
-    return (per_day.join(d, per_day.ws_sold_date_sk == d.date_sk).groupBy("year", "month")
-            .agg(to_double(F.sum("s")).alias("total_revenue")).orderBy("year", "month"))
+    j = _calendar_rows(m.fact_web_sales, "ws_sold_date_sk", m, ["year", "month"], "ws_net_paid_inc_ship_tax")
+    return (j.groupBy("year", "month").agg(to_double(F.sum("ws_net_paid_inc_ship_tax")).alias("total_revenue"))
+            .orderBy("year", "month"))
 
 
 def gift_line_items(m) -> DataFrame:
