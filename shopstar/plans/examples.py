@@ -347,11 +347,15 @@ def return_rate_by_category(m) -> DataFrame:
 
 
 def sales_by_shift(m) -> DataFrame:
-    """Store transactions and revenue by time-of-day shift."""
-    per = _by_key(m.store_sales, "ss_sold_time_sk", "ss_net_paid")
-    t = m.time_dim.select("t_time_sk", "t_shift")
-    return (per.join(t, per.ss_sold_time_sk == t.t_time_sk).groupBy("t_shift")
-            .agg(F.sum("n").alias("transactions"), to_double(F.sum("s")).alias("revenue"))
+    """Store transactions and revenue by time-of-day shift.
+
+    The time dimension has one row per second of the day (bounded), so it
+    is broadcast and joined first; only per-shift partials are shuffled.
+    """
+    f = m.store_sales.select("ss_sold_time_sk", "ss_net_paid")
+    t = F.broadcast(m.time_dim.select("t_time_sk", "t_shift"))
+    return (f.join(t, f.ss_sold_time_sk == t.t_time_sk).groupBy("t_shift")
+            .agg(_n().alias("transactions"), to_double(F.sum("ss_net_paid")).alias("revenue"))
             .orderBy(F.col("revenue").desc_nulls_first()))
 
 
