@@ -43,7 +43,7 @@ def star_join(m, customer_cols=(), promo_cols=()) -> DataFrame:
     planned when that dimension contributes columns.
     """
     f = m.fact_store_sales
-    d = m.dim_date.select("date_sk", "full_date", "year", "month")
+    d = F.broadcast(m.dim_date.select("date_sk", "full_date", "year", "month"))   # bounded by days
     i = m.dim_item.select("item_sk", "category", "brand")
     s = m.dim_store.select("store_sk")
     j = (f.join(d, f.ss_sold_date_sk == d.date_sk)
