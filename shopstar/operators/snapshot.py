@@ -15,6 +15,7 @@ import datetime as _dt
 import json
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -113,7 +114,10 @@ def verification_passed(report: DataFrame) -> bool:
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Every snapshot under ``root``, newest first, with mode, tables, rows and size."""
-    m = spark.read.parquet(f"{root.rstrip('/')}/*/{MANIFEST}")
+    try:
+        m = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/*/{MANIFEST}")
+    except AnalysisException:  # no snapshot yet
+        m = spark.createDataFrame([], MANIFEST_SCHEMA)
     return (m.groupBy("snapshot_id", "created_at", "mode")
             .agg(F.count(F.lit(1)).alias("tables"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
             .orderBy(F.col("created_at").desc(), F.col("snapshot_id").desc()))

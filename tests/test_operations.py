@@ -177,3 +177,7 @@ def test_instant_lookup_staleness(spark):
     at = T0 + dt.timedelta(seconds=450)
     assert R.latest_samples(df, as_of=at).first().value == Decimal("2.00")
     assert R.latest_samples(df, as_of=at, lookback_seconds=300).count() == 0
+
+
+def test_list_snapshots_when_none(spark, scratch_dir):
+    assert S.list_snapshots(spark, os.path.join(scratch_dir, "nothing")).count() == 0
