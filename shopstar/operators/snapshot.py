@@ -137,6 +137,8 @@ def restore(spark: SparkSession, snapshot_path: str, target_root: str, tables=No
     if not verification_passed(report):
         raise ValueError(f"snapshot {base} failed verification")
     manifest = read_manifest(spark, base).collect()
+    if any(m.mode == "schema" for m in manifest):
+        raise ValueError(f"snapshot {base} is a schema-only export; it holds no data to restore")
     chosen = [m for m in manifest if tables is None or m.table_name in tables]
     act = not dry_run and confirm
     plan = []
