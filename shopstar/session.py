@@ -77,3 +77,25 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts) if "://" not in base else "/".join([base.rstrip("/"), *parts])
+
+
+def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run (the local defaults do not scale).
+
+    * scan splits of 256 MB keep per-task parquet reads efficient;
+    * the initial shuffle partition count is sized so that a full-volume
+      exchange lands near 256 MB per partition (at least 2 waves of tasks),
+      and AQE coalesces small exchanges by bytes (``parallelismFirst`` off)
+      instead of keeping one partition per core;
+    * skew-join splitting stays on for partitions 5x the median.
+    """
+    target = 256 * 1024 * 1024
+    partitions = max(2 * cores, -(-input_bytes // target))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
