@@ -68,7 +68,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="shopstar-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # core setting not modifiable at runtime: the context keeps it
+            pass
     spark.sparkContext.setCheckpointDir(current)
     return current
 
