@@ -78,9 +78,11 @@ def _yearly_channel_sums(m, years, literal: bool) -> DataFrame:
     cal = _calendar(m, years).select("date_sk", "year")
     daily = _daily_channel_sums(m, years)
     # days without sales add nothing to any sum, so the per-day rows meet the
-    # broadcast calendar in an inner join; the calendar's years are restored
-    # by a final LEFT JOIN of the (bounded) year list
-    j = daily.join(cal, daily.sold_date_sk == cal.date_sk)
+    # broadcast calendar in an inner join; one empty row per calendar day is
+    # appended so that every calendar year appears (its sums stay NULL)
+    j = daily.join(cal, daily.sold_date_sk == cal.date_sk).drop("sold_date_sk", "date_sk")
+    empty = cal.select("year", *[F.lit(None).cast(t).alias(c) for c, t in j.dtypes if c != "year"])
+    j = j.unionByName(empty)
     chans = ("store", "web", "catalog")
     aggs = []
     for ch in chans:
@@ -91,8 +93,7 @@ def _yearly_channel_sums(m, years, literal: bool) -> DataFrame:
                 if other != ch:
                     s = s * F.greatest(F.coalesce(F.col(f"{other}_n"), F.lit(0)), F.lit(1)).cast("decimal(12,0)")
         aggs.append(F.sum(s).alias(f"{ch}_paid"))
-    all_years = cal.select("year").distinct()
-    return all_years.join(j.groupBy("year").agg(*aggs), "year", "left")
+    return j.groupBy("year").agg(*aggs)
 
 
 def channel_revenue(m, years=YEARS, literal: bool = False) -> DataFrame:
