@@ -1,0 +1 @@
+"""Column-level helpers: exact decimal rounding, date keys, text formatting."""

@@ -1,0 +1 @@
+"""Layer builders (staging, marts, warehouse), fact layout, snapshots, run log, time series."""

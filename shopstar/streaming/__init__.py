@@ -1,0 +1 @@
+"""Incremental, exactly-once landing of new source files (Structured Streaming)."""
