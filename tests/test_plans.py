@@ -71,3 +71,11 @@ def test_dimension_joins_end_up_broadcast(spark, name):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in final
+
+
+@pytest.mark.parametrize("name", ["q2_top_categories", "q10_top_brands", "q6_monthly_trend",
+                                  "d07_store_category_revenue", "d28_sales_by_shift"])
+def test_bounded_dimension_reports_shuffle_once(spark, name):
+    """Joined first with a bounded/broadcast dimension: one hash exchange (per group key) only."""
+    p = _plan(QUERIES[name](spark, SF_SMALL))
+    assert p.count("Exchange hashpartitioning") == 1
