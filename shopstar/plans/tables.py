@@ -45,6 +45,33 @@ def mart_table(name: str):
     return run
 
 
+# Staging-shaped tables the derivation defines, with the T rule that applies to each.
+STAGED = {"t18_store_sales": "store_sales", "t19_store_returns": "store_returns",
+          "t20_web_sales": "web_sales", "t21_web_returns": "web_returns",
+          "t22_catalog_sales": "catalog_sales", "t23_catalog_returns": "catalog_returns",
+          "t24_inventory": "inventory"}
+STAGED_MONEY = {
+    "store_sales": [f"ss_{c}" for c in MONEY if "ship" not in c],
+    "web_sales": [f"ws_{c}" for c in MONEY],
+    "catalog_sales": [f"cs_{c}" for c in MONEY],
+    "store_returns": ["sr_return_amt", "sr_net_loss"],
+    "web_returns": ["wr_return_amt", "wr_net_loss"],
+    "catalog_returns": ["cr_return_amount", "cr_net_loss"],
+    "inventory": [],
+}
+
+
+def staged_table(name: str):
+    def run(m) -> DataFrame:
+        from shopstar.operators.staging import stage
+        df = stage(name, getattr(m, name))
+        money = set(STAGED_MONEY[name])
+        return df.select(*[F.col(c).cast("double").alias(c) if c in money else F.col(c) for c in df.columns])
+    run.__name__ = name
+    run.__doc__ = f"T rule for {name} applied to the derived {name} (money as double)."
+    return run
+
+
 def mart_row_counts(m) -> DataFrame:
     """Rows per mart table, largest first."""
     parts = [getattr(m, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("marts").alias("schema_name"),
@@ -79,6 +106,7 @@ def store_partition_report(m) -> DataFrame:
 
 def registry(on):
     out = {f"m{i + 1:02d}_{t}": on(mart_table(t)) for i, t in enumerate(MART_TABLES)}
+    out.update({key: on(staged_table(t)) for key, t in STAGED.items()})
     out.update({
         "s06_mart_row_counts": on(mart_row_counts),
         "s12_key_violations": on(key_violations),

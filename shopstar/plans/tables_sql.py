@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from shopstar.operators.marts import DIM_KEYS, FACT_NOT_NULL
 from shopstar.plans.oracle import pct_c, with_marts
-from shopstar.plans.tables import DECIMAL_COLUMNS, MART_TABLES
+from shopstar.operators.staging import STAGING_RULES
+from shopstar.plans.tables import DECIMAL_COLUMNS, MART_TABLES, STAGED, STAGED_MONEY
 
 _YM = ("(year(DATE '2000-01-01' + (ss_sold_date_sk - 2451545)) * 100 "
        "+ month(DATE '2000-01-01' + (ss_sold_date_sk - 2451545)))")
@@ -31,3 +32,13 @@ SELECT COALESCE(CAST(ym AS VARCHAR), '__unknown__') AS partition, count(*) AS ro
        {pct_c('count(*)', 'sum(count(*)) OVER ()')} AS pct_of_rows
 FROM (SELECT *, CAST({_YM} AS INTEGER) AS ym FROM fact_store_sales) f
 GROUP BY ym ORDER BY partition""")
+
+
+def _staged_select(t: str) -> str:
+    cols = STAGED_MONEY[t]
+    star = "*" if not cols else f"* REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)})"
+    keys = " AND ".join(f"{k} IS NOT NULL" for k in STAGING_RULES[t].keys)
+    return f"SELECT {star} FROM {t} WHERE {keys}"
+
+
+SQL.update({key: with_marts(_staged_select(t)) for key, t in STAGED.items()})
