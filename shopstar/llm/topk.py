@@ -1,11 +1,12 @@
 """Exact top-k by inner product: no-random-access aggregation over sorted lists.
 
 Vectors are quantised to integers and grouped into candidate blocks.  Each
-block keeps one list per dimension, sorted by component value.  A query reads
-all lists of a block in step, each from the end that is favourable to its own
+block keeps one list per dimension, sorted by component value.  The queries of
+a block read all lists in step, each from the end that is favourable to its own
 component's sign.  For every candidate a lower and an upper bound of the score
 follow from the components read so far and the values at which the unread
-lists stand (upper) or end (lower).  Reading stops once at most ``settle``
+lists stand (upper) or end (lower); the bounds of all queries come from one
+matrix product per depth.  A query stops once at most ``settle``
 candidates have an upper bound that reaches the k-th best lower bound; their
 final scores are then resolved exactly.  Bounds are inclusive, so ties are kept.
 
@@ -35,8 +36,8 @@ from shopstar.llm.common import cut
 BLOCK_ROWS = 4096  # candidates in a block: 64 components are 1 MB
 QUERY_ROWS = 512  # queries in a block
 MERGE_SALTS = 16  # partial lists of a query are merged in so many groups first
-DEPTH = 256  # list entries that are read at a time
-EXACT = 2.0 ** 53  # bounds below this are exact in doubles
+DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1)  # shares of the lists at which the bounds are compared
+EXACT_32, EXACT_64 = 2.0 ** 24, 2.0 ** 53  # sums below these are exact in floats of 32 and 64 bits
 RESULT = "qrow long, query_id long, crow long, vec_id long, score long, salt int"
 
 
@@ -52,61 +53,56 @@ def quantise(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Dat
 
 
 class SortedLists:
-    """A candidate block: its matrix and, per dimension, the rows in ascending order of the component."""
+    """A candidate block: its matrix and, per dimension, the component values in ascending order (the lists)."""
 
     def __init__(self, matrix: np.ndarray):
         self.x = matrix
-        self.order = np.argsort(matrix, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(matrix, self.order, axis=0)
-
-    def contenders(self, q: np.ndarray, k: int, settle: int, skip: int) -> np.ndarray:
-        """Rows that may be among the k best for ``q`` (row ``skip`` takes no part)."""
+        self.sorted = np.sort(matrix, axis=0)
+        self.kinds: dict = {}
+
+    def bounds(self, depth: int, kind) -> tuple[np.ndarray, np.ndarray]:
+        """(upper, lower) factors after ``depth`` entries of every list, read from the top and from the bottom.
+
+        A read component is known; an unread one lies between where its list stands and where the list ends.  Columns:
+        lists read from the top, then from the bottom, so they serve all queries whatever the signs of theirs.
+        """
+        if (depth, kind) not in self.kinds:
+            x, s, n = self.x, self.sorted, len(self.x)
+            top, bottom = s[n - depth], s[depth - 1]
+            upper = np.hstack([np.maximum(x, top), np.minimum(x, bottom)])
+            lower = np.hstack([np.where(x >= top, x, s[0]), np.where(x <= bottom, x, s[-1])])
+            self.kinds[depth, kind] = upper.astype(kind), lower.astype(kind)
+        return self.kinds[depth, kind]
+
+    def contenders(self, qs: np.ndarray, k: int, settle: int, own: np.ndarray) -> list[np.ndarray]:
+        """For each query, the rows that may be among its k best; row ``own`` (-1: none) takes no part."""
         n, dim = self.x.shape
-        if n - (skip >= 0) <= settle:
-            return np.delete(np.arange(n), skip) if skip >= 0 else np.arange(n)
-        top = float(np.abs(q).max()) * float(np.abs(self.sorted[[0, -1]]).max()) * dim
-        if top >= 2.0 ** 62:
-            raise OverflowError("scores of these components may not fit a long")
-        kind = np.float64 if top < EXACT else np.int64
-        used = np.flatnonzero(q)
-        if not len(used):
-            return np.delete(np.arange(n), skip) if skip >= 0 else np.arange(n)
-        q = q[used].astype(kind)
-        up = q > 0
-        order = np.where(up, self.order[::-1, used], self.order[:, used])
-        gains = np.where(up, self.sorted[::-1, used], self.sorted[:, used]) * q  # best first in every list
-        worst = gains[-1]
-        known = np.zeros(n, kind)  # what has been read of each candidate's score
-        unread = np.ones((n, len(used)), kind)
-        cols = np.arange(len(used))
-        for depth in range(0, n, DEPTH):
-            part = order[depth:depth + DEPTH]
-            known += np.bincount(part.ravel(), gains[depth:depth + DEPTH].ravel(), n).astype(kind) if kind is np.float64 \
-                else _add(part, gains[depth:depth + DEPTH], n)
-            unread[part, cols] = 0
-            if depth + DEPTH >= n:
-                break
-            lower = known + unread @ worst
-            if skip >= 0:
-                lower[skip] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-            bar = np.partition(lower, n - k)[n - k]
-            upper = known + unread @ gains[depth + DEPTH - 1]
-            hope = upper >= bar
-            if skip >= 0:
-                hope[skip] = False
-            if np.count_nonzero(hope) <= settle:
-                return np.flatnonzero(hope)
-        if skip >= 0:
-            known[skip] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-        bar = np.partition(known, n - k)[n - k]
-        found = np.flatnonzero(known >= bar)
-        return found[found != skip]
-
-
-def _add(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    np.add.at(out, rows.ravel(), values.ravel())
-    return out
+        out: list = [None] * len(qs)
+        left = np.arange(len(qs))
+        if n > settle + 1:
+            top = float(np.abs(qs).max()) * float(np.abs(self.sorted[[0, -1]]).max()) * dim
+            if top >= 2.0 ** 62:
+                raise OverflowError("scores of these components may not fit a long")
+            kind = np.float32 if top < EXACT_32 else np.float64 if top < EXACT_64 else np.int64
+            none = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+            signed = np.hstack([np.maximum(qs, 0), np.minimum(qs, 0)]).astype(kind).T  # read from the top, from the bottom
+            for share in DEPTHS:
+                upper, lower = (b @ signed[:, left] for b in self.bounds(max(1, int(n * share)), kind))
+                mine = np.flatnonzero(own[left] >= 0)
+                upper[own[left][mine], mine] = none
+                lower[own[left][mine], mine] = none
+                bar = np.partition(lower, n - k, axis=0)[n - k]  # the k-th best lower bound
+                hope = upper >= bar
+                hope[own[left][mine], mine] = False
+                settled = (hope.sum(axis=0) <= settle) | (share == 1)
+                for at in np.flatnonzero(settled):
+                    out[left[at]] = np.flatnonzero(hope[:, at])
+                left = left[~settled]
+                if not len(left):
+                    break
+        for i in left:
+            out[i] = np.delete(np.arange(n), own[i]) if own[i] >= 0 else np.arange(n)
+        return out
 
 
 def _best(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -144,9 +140,9 @@ def _search(k: int, settle: int):
                 where = {row: i for i, row in enumerate(crows.tolist())}
                 qs = np.frombuffer(r.qm, np.int64).reshape(-1, r.dim)
                 qrows, qids = np.frombuffer(r.qrows, np.int64), np.frombuffer(r.qids, np.int64)
+                own = np.array([where.get(row, -1) for row in qrows.tolist()])
                 out = []
-                for q, qrow, qid in zip(qs, qrows.tolist(), qids.tolist()):
-                    may = lists.contenders(q, k, settle, where.get(qrow, -1))
+                for q, qrow, qid, may in zip(qs, qrows.tolist(), qids.tolist(), lists.contenders(qs, k, settle, own)):
                     scores = x[may] @ q
                     top = _best(cids[may], crows[may], scores, k)
                     out.append((np.full(len(top), qrow), np.full(len(top), qid), crows[may][top], cids[may][top], scores[top]))
