@@ -254,7 +254,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 for w, n in words.items():
                     for g in events(w, order):
                         grams[g] += n
-                yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
+                if grams:
+                    yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
     got = (sample.where("__count").select("__lang", "__text").mapInPandas(count, "lang string, gram string, n long")
            .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())

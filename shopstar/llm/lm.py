@@ -51,14 +51,14 @@ MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 def pack(a: np.ndarray) -> bytes:
     """Bytes of an integer array, by byte plane and compressed (high planes are mostly zero)."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(dtype).ravel()
 
 
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def sum_counts(sent: DataFrame) -> DataFrame:
     """The corpus counts for each row sent, in its order, and per (bucket, length) the distinct training n-grams and tokens."""
     schema = "block long, bucket int, length int, train binary, held binary, kinds long, kinds_train long, tokens long, tokens_train long"
 
-    def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in pdf["keys"]]
         kinds, number = np.unique(np.concatenate(keys), return_inverse=True)
         sums = []
