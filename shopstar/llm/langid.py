@@ -270,7 +270,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         for pdf in batches:
             h, letters = entropies(pdf["__text"], held.value)
             ok = (letters > 0) & pdf["__lang"].isin(place).to_numpy()
-            yield pd.DataFrame({"h": list(h[ok]), "letters": letters[ok], "truth": [place[x] for x in pdf["__lang"][ok]]})
+            if ok.any():
+                yield pd.DataFrame({"h": list(h[ok]), "letters": letters[ok], "truth": [place[x] for x in pdf["__lang"][ok]]})
 
     told = sample.where("not __count").mapInPandas(measure, "h array<double>, letters long, truth int").toPandas()
     told = told.sort_values(["truth", "letters"]).reset_index(drop=True)
