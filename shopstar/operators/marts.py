@@ -203,6 +203,10 @@ def write_marts(marts, out_dir: str, check_keys: bool = True, concurrency: int =
 class _ChannelUnion:
     """``all_channel_lines`` for marts held as three separate fact tables."""
 
+    def sales_in_years(self, fact: str, years) -> DataFrame:
+        """A sales fact cut to a year range (month folders are pruned where there are any)."""
+        return restrict_years(getattr(self, fact), FACT_DATE_KEY[fact], years)
+
     def all_channel_lines(self, *measures: str, years=None) -> DataFrame:
         """The three facts as one frame (channel, item, sold date, measures), each fact pruned first."""
         parts = []

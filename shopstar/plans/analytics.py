@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopstar.functions.numeric import dec, exact_avg, millions, nonzero, pct, ratio, to_double
-from shopstar.operators.layout import restrict_years
 
 YEARS = (1998, 2002)
 
@@ -39,9 +38,7 @@ def _count_all():
 
 def _store_by(m, key: str, years=None) -> DataFrame:
     """Store fact pre-aggregated on one foreign key (optionally only sales in a year range)."""
-    f = m.fact_store_sales
-    if years is not None:
-        f = restrict_years(f, "ss_sold_date_sk", years)
+    f = m.fact_store_sales if years is None else m.sales_in_years("fact_store_sales", years)
     return (f.groupBy(key)
             .agg(_count_all().alias("n"),
                  F.sum("ss_net_paid").alias("paid"),
@@ -224,7 +221,7 @@ def promotion_roi(m, top: int = 15, with_baseline: bool = False) -> DataFrame:
                       F.sum("ss_net_paid").alias("paid_exact"),
                       F.count("ss_net_paid").alias("n_paid"),
                       F.sum("ss_ext_discount_amt").alias("discount")))
-    promo = F.broadcast(m.dim_promotion.select("promo_sk", "promo_name", "purpose", "cost"))
+    promo = m.dim_promotion.select("promo_sk", "promo_name", "purpose", "cost")
     j = per_promo.join(promo, per_promo.ss_promo_sk == promo.promo_sk)
     net_m = millions("paid")
     out = j.select(
@@ -252,7 +249,7 @@ def monthly_trend(m, years=YEARS) -> DataFrame:
     The average runs over the rounded monthly values and counts rows, so a
     missing month is not filled.  Input to the window is one row per month.
     """
-    f = restrict_years(m.fact_store_sales, "ss_sold_date_sk", years).select("ss_sold_date_sk", "ss_net_paid")
+    f = m.sales_in_years("fact_store_sales", years).select("ss_sold_date_sk", "ss_net_paid")
     cal = _calendar(m, years).select("date_sk", "year", "month")
     monthly = (f.join(cal, f.ss_sold_date_sk == cal.date_sk)
                .groupBy("year", "month").agg(millions(F.sum("ss_net_paid")).alias("net_paid_m")))

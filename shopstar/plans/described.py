@@ -45,7 +45,7 @@ def _remote_by(m, key_suffix: str, measure: str = "net_paid") -> DataFrame:
 def revenue_by_ship_mode(m) -> DataFrame:
     """Web and catalog revenue by ship mode."""
     per = _remote_by(m, "ship_mode_sk")
-    sm = F.broadcast(m.ship_mode)
+    sm = m.ship_mode
     return (per.join(sm, per.k == sm.sm_ship_mode_sk).groupBy("channel", "sm_type")
             .agg(F.sum("n").alias("line_items"), to_double(F.sum("s")).alias("revenue")))
 
@@ -90,7 +90,7 @@ def promotion_activity(m) -> DataFrame:
     """
     f = m.fact_store_sales
     per = f.groupBy("ss_promo_sk", "ss_sold_date_sk", "ss_item_sk").agg(_n().alias("n"))
-    p = F.broadcast(m.dim_promotion.select("promo_sk", "promo_name", "start_date_sk", "end_date_sk", "item_sk"))
+    p = m.dim_promotion.select("promo_sk", "promo_name", "start_date_sk", "end_date_sk", "item_sk")
     j = per.join(p, per.ss_promo_sk == p.promo_sk)
     active = F.col("ss_sold_date_sk").between(F.col("start_date_sk"), F.col("end_date_sk"))
     return j.groupBy("promo_name").agg(
@@ -141,7 +141,7 @@ def item_gross_margin(m) -> DataFrame:
 def promo_cost_per_transaction(m) -> DataFrame:
     """Promotion cost divided by the store transactions it drove."""
     per = m.fact_store_sales.groupBy("ss_promo_sk").agg(_n().alias("transactions"))
-    p = F.broadcast(m.dim_promotion.select("promo_sk", "promo_name", "cost"))
+    p = m.dim_promotion.select("promo_sk", "promo_name", "cost")
     j = per.join(p, per.ss_promo_sk == p.promo_sk)
     return j.select("promo_name", "transactions", to_double("cost").alias("cost"),
                     to_double(ratio("cost", F.col("transactions").cast("decimal(20,0)"))).alias("cost_per_transaction"))
@@ -241,7 +241,7 @@ def money_identity_check(m) -> DataFrame:
 def call_center_revenue(m) -> DataFrame:
     """Catalog revenue attributed to call centres."""
     per = m.fact_catalog_sales.groupBy("cs_call_center_sk").agg(_n().alias("n"), F.sum("cs_net_paid").alias("s"))
-    cc = F.broadcast(m.call_center)
+    cc = m.call_center
     return (per.join(cc, per.cs_call_center_sk == cc.cc_call_center_sk)
             .select("cc_name", F.col("n").alias("line_items"), to_double("s").alias("revenue")))
 

@@ -152,7 +152,7 @@ def _store_by_promo(m) -> DataFrame:
 def promo_channel_effect(m) -> DataFrame:
     """Transactions and revenue by TV x email promotion flags."""
     per = _store_by_promo(m)
-    p = F.broadcast(m.dim_promotion.select("promo_sk", "channel_tv", "channel_email"))
+    p = m.dim_promotion.select("promo_sk", "channel_tv", "channel_email")
     return (per.join(p, per.ss_promo_sk == p.promo_sk).groupBy("channel_tv", "channel_email")
             .agg(F.sum("n").alias("transactions"), to_double(F.sum("s")).alias("revenue"))
             .orderBy(F.col("revenue").desc_nulls_first()))
@@ -167,7 +167,7 @@ def roi_by_purpose(m, corrected: bool = False) -> DataFrame:
     promotion, computed from the pre-aggregated rows.
     """
     per = _store_by_promo(m)
-    p = F.broadcast(m.dim_promotion.select("promo_sk", "purpose", "cost"))
+    p = m.dim_promotion.select("promo_sk", "purpose", "cost")
     j = per.join(p, per.ss_promo_sk == p.promo_sk)
     cost = F.col("cost") if corrected else F.col("cost") * F.col("n").cast("decimal(20,0)")
     g = j.groupBy("purpose").agg(F.sum(cost).alias("promo_cost"), F.sum("s").alias("revenue"))
@@ -207,7 +207,7 @@ def catalog_category_revenue(m) -> DataFrame:
 def catalog_promotions(m) -> DataFrame:
     """Catalog line items and revenue by promotion purpose and catalog flag."""
     per = _by_key(m.fact_catalog_sales, "cs_promo_sk", "cs_net_paid")
-    p = F.broadcast(m.dim_promotion.select("promo_sk", "purpose", "channel_catalog"))
+    p = m.dim_promotion.select("promo_sk", "purpose", "channel_catalog")
     return (per.join(p, per.cs_promo_sk == p.promo_sk).groupBy("purpose", "channel_catalog")
             .agg(F.sum("n").alias("line_items"), to_double(F.sum("s")).alias("revenue"))
             .orderBy(F.col("revenue").desc_nulls_first()))
@@ -272,7 +272,7 @@ def channel_totals(m) -> DataFrame:
 def catalog_department_revenue(m) -> DataFrame:
     """Catalog revenue by catalogue department."""
     per = _by_key(m.fact_catalog_sales, "cs_catalog_page_sk", "cs_net_paid")
-    cp = F.broadcast(m.catalog_page)
+    cp = m.catalog_page
     return (per.join(cp, per.cs_catalog_page_sk == cp.cp_catalog_page_sk).groupBy("cp_department")
             .agg(to_double(F.sum("s")).alias("revenue")).orderBy(F.col("revenue").desc_nulls_first()))
 
@@ -318,7 +318,7 @@ def low_stock(m, below: int = 10) -> DataFrame:
 def top_return_reasons(m) -> DataFrame:
     """Store returns by cleaned reason text."""
     per = m.store_returns.groupBy("sr_reason_sk").agg(_n().alias("n"))
-    r = F.broadcast(m.reason.select("r_reason_sk", "r_reason_desc_clean"))
+    r = m.reason.select("r_reason_sk", "r_reason_desc_clean")
     return (per.join(r, per.sr_reason_sk == r.r_reason_sk).groupBy("r_reason_desc_clean")
             .agg(F.sum("n").alias("returns")).orderBy(F.col("returns").desc()))
 
@@ -378,7 +378,7 @@ def stock_by_warehouse(m, latest_only: bool = False) -> DataFrame:
 def web_page_type_revenue(m) -> DataFrame:
     """Web revenue by page type."""
     per = _by_key(m.fact_web_sales, "ws_web_page_sk", "ws_net_paid")
-    wp = F.broadcast(m.web_page)
+    wp = m.web_page
     return (per.join(wp, per.ws_web_page_sk == wp.wp_web_page_sk).groupBy("wp_type")
             .agg(to_double(F.sum("s")).alias("revenue")).orderBy(F.col("revenue").desc_nulls_first()))
 

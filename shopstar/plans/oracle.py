@@ -55,11 +55,11 @@ lines0 AS (
          {julian('o.o_orderdate')} AS sold_date_sk,
          {julian('l.l_shipdate')} AS ship_date_sk,
          CAST((l.l_orderkey * 7919 + l.l_linenumber * 104729) % 86400 AS INTEGER) AS sold_time_sk,
-         CAST(l.l_partkey AS INTEGER) AS item_sk,
-         CAST(l.l_suppkey AS INTEGER) AS supp_sk,
-         CASE WHEN l.l_orderkey % 11 <> 0 THEN CAST(o.o_custkey AS INTEGER) END AS customer_sk,
-         CAST(o.o_custkey AS INTEGER) AS order_custkey,
-         CASE WHEN substr(o.o_orderpriority, 1, 1) <> '5' THEN CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) END AS promo_sk,
+         l.l_partkey AS item_sk,
+         l.l_suppkey AS supp_sk,
+         CASE WHEN l.l_orderkey % 11 <> 0 THEN o.o_custkey END AS customer_sk,
+         o.o_custkey AS order_custkey,
+         CASE WHEN regexp_extract(o.o_orderpriority, '^([0-9]+)', 1) NOT IN ('', '5') THEN CAST(regexp_extract(o.o_orderpriority, '^([0-9]+)', 1) AS INTEGER) END AS promo_sk,
          CAST(l.l_quantity AS INTEGER) AS quantity,
          CAST(l.l_extendedprice AS DECIMAL(12,2)) AS ext_list_price,
          CAST(round(CAST(l.l_extendedprice AS DECIMAL(12,2)) * CAST(l.l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2)) AS ext_discount_amt,
@@ -92,7 +92,7 @@ _PRICES = ["quantity", "wholesale_cost", "list_price", "sales_price", "ext_disco
            "ext_wholesale_cost", "ext_list_price", "ext_tax", "coupon_amt", "net_paid", "net_paid_inc_tax"]
 _HDEMO = "CAST(CASE WHEN customer_sk IS NOT NULL THEN customer_sk % 20 + 1 END AS INTEGER)"
 _SHIP_CUST = ("CAST(CASE WHEN line_number % 4 = 0 THEN NULL WHEN line_number % 4 = 1 THEN order_custkey + 1 "
-              "ELSE order_custkey END AS INTEGER)")
+              "ELSE order_custkey END AS BIGINT)")
 
 
 def _staging_sql(p: str, where: str, keys: str) -> str:
@@ -130,7 +130,7 @@ store_returns AS (
 web_returns AS (
   SELECT CAST(ship_date_sk + 14 AS INTEGER) AS wr_returned_date_sk, item_sk AS wr_item_sk,
          customer_sk AS wr_returning_customer_sk,
-         CAST(CASE WHEN line_number % 3 = 0 THEN order_custkey + 2 ELSE customer_sk END AS INTEGER) AS wr_refunded_customer_sk,
+         CASE WHEN line_number % 3 = 0 THEN order_custkey + 2 ELSE customer_sk END AS wr_refunded_customer_sk,
          line_number AS wr_reason_sk, order_number AS wr_order_number, quantity AS wr_return_quantity,
          net_paid AS wr_return_amt, CAST(round(net_paid * 0.10, 2) AS DECIMAL(12,2)) AS wr_net_loss
   FROM lines WHERE channel_code = 6 AND return_flag = 'R'
@@ -138,7 +138,7 @@ web_returns AS (
 catalog_returns AS (
   SELECT CAST(ship_date_sk + 14 AS INTEGER) AS cr_returned_date_sk, item_sk AS cr_item_sk,
          customer_sk AS cr_returning_customer_sk,
-         CAST(CASE WHEN line_number % 3 = 0 THEN order_custkey + 2 ELSE customer_sk END AS INTEGER) AS cr_refunded_customer_sk,
+         CASE WHEN line_number % 3 = 0 THEN order_custkey + 2 ELSE customer_sk END AS cr_refunded_customer_sk,
          line_number AS cr_reason_sk, order_number AS cr_order_number, quantity AS cr_return_quantity,
          net_paid AS cr_return_amount, CAST(round(net_paid * 0.10, 2) AS DECIMAL(12,2)) AS cr_net_loss
   FROM lines WHERE channel_code IN (4, 5) AND return_flag = 'R'
@@ -173,9 +173,9 @@ dim_date AS (
   FROM date_days
 ),
 dim_item AS (
-  SELECT CAST(p_partkey AS INTEGER) AS item_sk,
-         'ITEM' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS item_id,
-         p_name AS product_name, p_brand AS brand, CAST(substr(p_brand, 7, 10) AS INTEGER) AS brand_id,
+  SELECT p_partkey AS item_sk,
+         'ITEM' || lpad(CAST(p_partkey AS VARCHAR), greatest(12, length(CAST(p_partkey AS VARCHAR)))::INTEGER, '0') AS item_id,
+         p_name AS product_name, p_brand AS brand, CAST(nullif(regexp_extract(p_brand, '([0-9]+)$', 1), '') AS INTEGER) AS brand_id,
          CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 25 THEN 'medium' ELSE 'large' END AS class,
          p_type AS category,
          'Manufact#' || CAST(p_partkey % 10 AS VARCHAR) AS manufacturer,
@@ -187,7 +187,7 @@ dim_item AS (
   FROM part
 ),
 dim_customer AS (
-  SELECT CAST(c_custkey AS INTEGER) AS customer_sk, c_name AS customer_id,
+  SELECT c_custkey AS customer_sk, c_name AS customer_id,
          CASE WHEN c_custkey % 3 = 0 THEN 'Y' WHEN c_custkey % 3 = 1 THEN 'N' END AS preferred_flag,
          CAST(1930 + c_custkey % 60 AS INTEGER) AS birth_year,
          CAST(1 + c_custkey % 12 AS INTEGER) AS birth_month,
@@ -200,8 +200,8 @@ dim_customer AS (
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
 ),
 dim_store AS (
-  SELECT CAST(s_suppkey AS INTEGER) AS store_sk,
-         'STORE' || lpad(CAST(s_suppkey AS VARCHAR), 11, '0') AS store_id,
+  SELECT s_suppkey AS store_sk,
+         'STORE' || lpad(CAST(s_suppkey AS VARCHAR), greatest(11, length(CAST(s_suppkey AS VARCHAR)))::INTEGER, '0') AS store_id,
          s_name AS store_name, CAST(50 + s_suppkey % 250 AS INTEGER) AS employees,
          CAST(CASE WHEN s_suppkey % 13 <> 0 THEN (s_suppkey * 7919) % 400000 END AS INTEGER) AS floor_space,
          n_regionkey AS market_id, n_name AS city, r_name AS state,
@@ -212,12 +212,12 @@ dim_store AS (
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
 ),
 promo_src AS (
-  SELECT DISTINCT substr(o_orderpriority, 1, 1) AS digit, o_orderpriority AS priority
-  FROM orders WHERE substr(o_orderpriority, 1, 1) <> '5'
+  SELECT regexp_extract(o_orderpriority, '^([0-9]+)', 1) AS digit, min(o_orderpriority) AS priority
+  FROM orders WHERE regexp_extract(o_orderpriority, '^([0-9]+)', 1) NOT IN ('', '5') GROUP BY 1
 ),
 dim_promotion AS (
-  SELECT CAST(digit AS INTEGER) AS promo_sk, 'PROMO' || lpad(digit, 11, '0') AS promo_id,
-         substr(priority, 3, 40) AS promo_name,
+  SELECT CAST(digit AS INTEGER) AS promo_sk, 'PROMO' || lpad(digit, greatest(11, length(digit))::INTEGER, '0') AS promo_id,
+         regexp_extract(priority, '^[0-9]+-(.*)$', 1) AS promo_name,
          CASE WHEN CAST(digit AS INTEGER) % 2 = 1 THEN 'Unknown' ELSE 'Sales' END AS purpose,
          CAST(CASE WHEN CAST(digit AS INTEGER) = 2 THEN 0.00 WHEN CAST(digit AS INTEGER) = 3 THEN NULL
                    ELSE CAST(digit AS INTEGER) * 1000.00 END AS DECIMAL(15,2)) AS cost,
@@ -231,13 +231,13 @@ dim_promotion AS (
   FROM promo_src
 ),
 warehouse AS (
-  SELECT CAST(s_suppkey AS INTEGER) AS w_warehouse_sk, 'Warehouse ' || CAST(s_suppkey AS VARCHAR) AS w_warehouse_name,
+  SELECT s_suppkey AS w_warehouse_sk, 'Warehouse ' || CAST(s_suppkey AS VARCHAR) AS w_warehouse_name,
          n_name AS w_state
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
 ),
 inventory AS (
   SELECT {julian("CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE)")} AS inv_date_sk,
-         CAST(l_partkey AS INTEGER) AS inv_item_sk, CAST(l_suppkey AS INTEGER) AS inv_warehouse_sk,
+         l_partkey AS inv_item_sk, l_suppkey AS inv_warehouse_sk,
          CAST(sum(l_quantity) AS INTEGER) AS inv_quantity_on_hand
   FROM lineitem GROUP BY 1, 2, 3
 ),

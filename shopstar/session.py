@@ -9,12 +9,14 @@ and the shared folder used to cut lineage (``spark.checkpoint.dir``).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 # Settings the results depend on (UTC dates, ANSI arithmetic) plus the
 # adaptive-execution switches the plans are written for.
+RESULT_CONF = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled")
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -26,7 +28,6 @@ SESSION_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -48,31 +49,30 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def apply_session_conf(spark: SparkSession) -> None:
-    """Apply the result-relevant settings to a session made elsewhere."""
+    """Apply the package's settings to a session made elsewhere; settings that results depend on must take."""
     for key, value in SESSION_CONF.items():
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # static or locked settings stay as the cluster has them
-            pass
+        spark.conf.set(key, value)
+    wrong = {k: spark.conf.get(k) for k in RESULT_CONF if spark.conf.get(k) != SESSION_CONF[k]}
+    if wrong:
+        raise RuntimeError(f"these settings change results and did not take: {wrong}")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the operator and read from the
-    session.  Only where it is unset (local tests) is a scratch folder
-    created; it is never used when the cluster names one.
+    session.  Only a local session (one machine, as in tests) may leave it
+    unset and gets a scratch folder; anywhere else that is an error, since
+    executors on other hosts would not see a folder of this machine.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="shopstar-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # core setting not modifiable at runtime: the context keeps it
-            pass
-    spark.sparkContext.setCheckpointDir(current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 

@@ -27,9 +27,8 @@ Rules (all deterministic):
 
 from __future__ import annotations
 
-import logging
+import datetime as dt
 import threading
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,12 +39,8 @@ from shopstar.functions.numeric import dec, money
 from shopstar.operators.layout import restrict_years
 from shopstar.operators.marts import build_fact
 from shopstar.sources.schemas import raw_schema
-from shopstar.session import shared_path
 from shopstar.sources.tables import DriverTables
 
-log = logging.getLogger(__name__)
-STAGE_CONF = "shopstar.derived.stageLines"
-
 STORE, CATALOG, WEB = "store", "catalog", "web"
 PREFIX = {STORE: "ss", WEB: "ws", CATALOG: "cs"}
 
@@ -57,6 +52,16 @@ SHIP_MODE_TYPES = ["EXPRESS", "LIBRARY", "NEXT DAY", "OVERNIGHT", "REGULAR"]
 CALL_CENTER_NAMES = ["NY Metro", "Mid Atlantic", "North Midwest", "Pacific Northwest"]
 EDUCATION = ["Primary", "Secondary", "College"]
 
+# A promotion is the number before the dash of an order priority.
+PROMO_KEY = "^([0-9]+)"
+
+
+def _padded(col: str, width: int):
+    """A key as text with leading zeros; longer keys stay whole."""
+    text = F.col(col).cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def _code_table(spark: SparkSession, key: str, values: list[str], value_col: str) -> DataFrame:
     rows = [(i + 1, v) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, f"{key} int, {value_col} string")
@@ -70,30 +75,12 @@ class DerivedMarts:
 
     @classmethod
     def for_session(cls, spark: SparkSession, sf_dir: str) -> "DerivedMarts":
-        """One set of marts per session and folder, shared by every report of the session.
-
-        With ``shopstar.derived.stageLines=true`` the joined sale lines
-        (``lineitem JOIN orders`` and the money derivations) are written once
-        under the session's checkpoint folder and every report reads that
-        copy: one join per session instead of one per report, lineage cut at
-        a written table.  It pays off for long report sessions on large
-        inputs; on the small test files writing all derived columns costs
-        more than the dozen joins it saves (measured: ~5.5 s vs ~0.2 s per
-        report at sf0.1), so the default is the lazy view.  A failed write
-        falls back to the view.
-        """
+        """One set of marts per session and folder, shared by every report of the session."""
         key = (id(spark), sf_dir)
         with cls._lock:
             hit = cls._per_session.get(key)
             if hit is None or hit.spark is not spark:
-                hit = cls(spark, sf_dir)
-                if spark.conf.get(STAGE_CONF, "false").lower() == "true":
-                    try:
-                        hit = hit.stage_lines(shared_path(spark, "derived-lines", uuid.uuid4().hex),
-                                              spread=True)
-                    except Exception as ex:  # storage trouble: keep the lazy view
-                        log.warning("staging the sale lines failed (%s); using the lazy view", ex)
-                cls._per_session[key] = hit
+                hit = cls._per_session[key] = cls(spark, sf_dir)
             return hit
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -105,7 +92,7 @@ class DerivedMarts:
     def _lines(self) -> DataFrame:
         return self._line_rows
 
-    def stage_lines(self, path: str, spread: bool = False) -> "DerivedMarts":
+    def stage_lines(self, path: str) -> "DerivedMarts":
         """Write the joined sale lines once and derive every fact from the written copy.
 
         Building the marts touches the lines seven times (three facts,
@@ -113,29 +100,36 @@ class DerivedMarts:
         ``lineitem JOIN orders`` into one join plus seven pruned scans, and
         cuts the lineage of everything built afterwards.
         """
-        lines = self._line_rows
-        if spread:
-            # round-robin over the shuffle partitions (no key, so no hot task),
-            # dates clustered within each file for row-group skipping
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            lines = lines.repartition(n).sortWithinPartitions("sold_date_sk")
-        lines.write.mode("overwrite").parquet(path)
+        self._line_rows.write.mode("overwrite").parquet(path)
         staged = DerivedMarts(self.spark, self.sf_dir)
         staged.__dict__["_line_rows"] = self.spark.read.parquet(path)
+        staged._staged = True
         return staged
 
     @cached_property
     def _line_rows(self) -> DataFrame:
+        return self._join_lines(self.t.orders)
+
+    def _lines_in_years(self, years) -> DataFrame:
+        """Sale lines of a year range; the bounds go to the order dates themselves, so they reach the scan."""
+        if "_line_rows" in self.__dict__ and getattr(self, "_staged", False):
+            return restrict_years(self._line_rows, "sold_date_sk", years)
+        day = F.col("o_orderdate")
+        first, end = dt.datetime(years[0], 1, 1), dt.datetime(years[1] + 1, 1, 1)
+        bound = lambda t: F.lit(t).cast("timestamp_ntz")
+        return self._join_lines(self.t.orders.filter((day >= bound(first)) & (day < bound(end))))
+
+    def _join_lines(self, orders: DataFrame) -> DataFrame:
         """One row per sale line with channel-neutral column names."""
         li = self.t.lineitem.select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
-        od = self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+        od = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         j = li.join(od, li.l_orderkey == od.o_orderkey)
         ext = money("l_extendedprice")
         disc = F.col("l_discount").cast("decimal(4,2)")
         tax = F.col("l_tax").cast("decimal(4,2)")
-        prio = F.substring("o_orderpriority", 1, 1)
+        prio = F.nullif(F.regexp_extract("o_orderpriority", PROMO_KEY, 1), F.lit(""))
         cols = [
             F.col("l_orderkey").alias("order_number"),
             F.col("l_linenumber").alias("line_number"),
@@ -144,10 +138,10 @@ class DerivedMarts:
             julian_key("l_shipdate").alias("ship_date_sk"),
             ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 86400)
             .cast("int").alias("sold_time_sk"),
-            F.col("l_partkey").cast("int").alias("item_sk"),
-            F.col("l_suppkey").cast("int").alias("supp_sk"),
-            F.when(F.col("l_orderkey") % 11 != 0, F.col("o_custkey").cast("int")).alias("customer_sk"),
-            F.col("o_custkey").cast("int").alias("order_custkey"),
+            F.col("l_partkey").alias("item_sk"),
+            F.col("l_suppkey").alias("supp_sk"),
+            F.when(F.col("l_orderkey") % 11 != 0, F.col("o_custkey")).alias("customer_sk"),
+            F.col("o_custkey").alias("order_custkey"),
             F.when(prio != "5", prio.cast("int")).alias("promo_sk"),
             F.col("l_quantity").cast("int").alias("quantity"),
             ext.alias("ext_list_price"),
@@ -185,7 +179,13 @@ class DerivedMarts:
         return self._lines().filter(self.channel_filter(channel))
 
     # ------------------------------------------------------------------ facts
-    def _staging_sales(self, channel: str) -> DataFrame:
+    def sales_in_years(self, fact: str, years) -> DataFrame:
+        """A sales fact cut to a year range."""
+        channel = fact.split("_")[1]
+        lines = self._lines_in_years(years).filter(self.channel_filter(channel))
+        return build_fact(self._staging_sales(channel, lines), f"{channel}_sales")
+
+    def _staging_sales(self, channel: str, lines: DataFrame | None = None) -> DataFrame:
         """Staging-shaped sales of one channel: every source column the rules define, in source order."""
         p = PREFIX[channel]
         c = {
@@ -204,14 +204,14 @@ class DerivedMarts:
                       "ss_store_sk": F.col("supp_sk"), "ss_ticket_number": F.col("order_number"),
                       "ss_net_profit": F.col("net_profit")})
         else:
-            ship_cust = (F.when(F.col("line_number") % 4 == 0, F.lit(None).cast("int"))
+            ship_cust = (F.when(F.col("line_number") % 4 == 0, F.lit(None).cast("bigint"))
                          .when(F.col("line_number") % 4 == 1, F.col("order_custkey") + 1)
                          .otherwise(F.col("order_custkey")))
             c.update({
                 f"{p}_ship_date_sk": F.col("ship_date_sk"),
                 f"{p}_bill_customer_sk": F.col("customer_sk"),
                 f"{p}_bill_hdemo_sk": hdemo,
-                f"{p}_ship_customer_sk": ship_cust.cast("int"),
+                f"{p}_ship_customer_sk": ship_cust,
                 f"{p}_ship_mode_sk": (F.col("order_number") % 5 + 1).cast("int"),
                 f"{p}_warehouse_sk": F.col("supp_sk"),
                 f"{p}_order_number": F.col("order_number"),
@@ -227,7 +227,8 @@ class DerivedMarts:
                 c["cs_call_center_sk"] = (F.col("supp_sk") % 4 + 1).cast("int")
                 c["cs_catalog_page_sk"] = F.col("line_number")
         order = [f.name for f in raw_schema(f"{channel}_sales").fields if f.name in c]
-        return self._channel_lines(channel).select(*[c[n].alias(n) for n in order])
+        lines = self._channel_lines(channel) if lines is None else lines
+        return lines.select(*[c[n].alias(n) for n in order])
 
     @cached_property
     def store_sales(self) -> DataFrame:
@@ -265,9 +266,7 @@ class DerivedMarts:
         """
         ch = (F.when(F.col("channel_code") <= 3, F.lit(STORE))
               .when(F.col("channel_code") <= 5, F.lit(CATALOG)).otherwise(F.lit(WEB)))
-        lines = self._lines()
-        if years is not None:
-            lines = restrict_years(lines, "sold_date_sk", years)
+        lines = self._lines() if years is None else self._lines_in_years(years)
         if "net_profit" in measures:
             # web and catalog profit also carries the shipping cost
             lines = lines.withColumn("net_profit", F.when(F.col("channel_code") <= 3, F.col("net_profit"))
@@ -295,7 +294,7 @@ class DerivedMarts:
             cols.insert(3, F.col("supp_sk").alias("sr_store_sk"))
         else:
             cols.insert(3, F.when(F.col("line_number") % 3 == 0, F.col("order_custkey") + 2)
-                        .otherwise(F.col("customer_sk")).cast("int").alias(f"{p}_refunded_customer_sk"))
+                        .otherwise(F.col("customer_sk")).alias(f"{p}_refunded_customer_sk"))
         return b.select(*cols)
 
     @cached_property
@@ -312,19 +311,24 @@ class DerivedMarts:
 
     # --------------------------------------------------------------- dimensions
     @cached_property
-    def dim_date(self) -> DataFrame:
-        """Every day from Jan 1 of the first to Dec 31 of the last year in the data.
+    def _span(self) -> tuple[int, int]:
+        """First and last year in the data: one row of two minima and maxima, read once a session.
 
-        The span comes from one global min/max aggregate (partial per task),
-        so the calendar is bounded by the number of days, not by the facts.
+        The calendar is bounded by days, so no report that uses it reads the sales again for its span.
         """
-        lo_hi = (self.t.orders.select(F.col("o_orderdate").cast("date").alias("d"))
-                 .unionByName(self.t.lineitem.select(F.col("l_shipdate").cast("date").alias("d")))
-                 .agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
-        days = lo_hi.select(
-            F.explode(F.sequence(F.make_date(F.year("lo"), F.lit(1), F.lit(1)),
-                                 F.make_date(F.year("hi"), F.lit(12), F.lit(31)))).alias("full_date"),
-            F.year("hi").alias("last_year"))
+        day = lambda t, c: t.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
+        both = day(self.t.orders, "o_orderdate").unionByName(day(self.t.lineitem, "l_shipdate"))
+        row = both.agg(F.year(F.min("lo")).alias("lo"), F.year(F.max("hi")).alias("hi")).first()
+        return row["lo"] or 0, row["hi"] or 0
+
+    @cached_property
+    def dim_date(self) -> DataFrame:
+        """Every day from Jan 1 of the first to Dec 31 of the last year in the data."""
+        lo, hi = self._span
+        days = self.spark.range(1 if hi else 0).select(
+            F.explode(F.sequence(F.make_date(F.lit(lo), F.lit(1), F.lit(1)),
+                                 F.make_date(F.lit(hi), F.lit(12), F.lit(31)))).alias("full_date"),
+            F.lit(hi).alias("last_year"))
         y, m, d = F.year("full_date"), F.month("full_date"), F.dayofmonth("full_date")
         dow = (F.dayofweek("full_date") - 1).cast("int")
         q = F.quarter("full_date")
@@ -351,11 +355,11 @@ class DerivedMarts:
         p = self.t.part
         size = F.col("p_size")
         return p.select(
-            F.col("p_partkey").cast("int").alias("item_sk"),
-            F.concat(F.lit("ITEM"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("item_id"),
+            F.col("p_partkey").alias("item_sk"),
+            F.concat(F.lit("ITEM"), _padded("p_partkey", 12)).alias("item_id"),
             F.col("p_name").alias("product_name"),
             F.col("p_brand").alias("brand"),
-            F.substring("p_brand", 7, 10).cast("int").alias("brand_id"),
+            F.nullif(F.regexp_extract("p_brand", "([0-9]+)$", 1), F.lit("")).cast("int").alias("brand_id"),
             F.when(size <= 10, "small").when(size <= 25, "medium").otherwise("large").alias("class"),
             F.col("p_type").alias("category"),
             F.concat(F.lit("Manufact#"), (F.col("p_partkey") % 10).cast("string")).alias("manufacturer"),
@@ -374,7 +378,7 @@ class DerivedMarts:
         k = F.col("c_custkey")
         j = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, F.col("n_regionkey") == r.r_regionkey, "left")
         return j.select(
-            k.cast("int").alias("customer_sk"),
+            k.alias("customer_sk"),
             F.col("c_name").alias("customer_id"),
             F.when(k % 3 == 0, "Y").when(k % 3 == 1, "N").alias("preferred_flag"),
             (F.lit(1930) + k % 60).cast("int").alias("birth_year"),
@@ -398,8 +402,8 @@ class DerivedMarts:
         k = F.col("s_suppkey")
         j = s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, F.col("n_regionkey") == r.r_regionkey, "left")
         return j.select(
-            k.cast("int").alias("store_sk"),
-            F.concat(F.lit("STORE"), F.lpad(k.cast("string"), 11, "0")).alias("store_id"),
+            k.alias("store_sk"),
+            F.concat(F.lit("STORE"), _padded("s_suppkey", 11)).alias("store_id"),
             F.col("s_name").alias("store_name"),
             (F.lit(50) + k % 250).cast("int").alias("employees"),
             F.when(k % 13 != 0, (k * 7919) % 400000).cast("int").alias("floor_space"),
@@ -420,14 +424,14 @@ class DerivedMarts:
         One promotion has cost 0 and one has cost NULL so the divide guards
         and NULL ordering are exercised.
         """
-        pr = (self.t.orders.select(F.substring("o_orderpriority", 1, 1).alias("digit"),
+        pr = (self.t.orders.select(F.regexp_extract("o_orderpriority", PROMO_KEY, 1).alias("digit"),
                                    F.col("o_orderpriority").alias("priority"))
-              .filter(F.col("digit") != "5").distinct())
+              .filter(~F.col("digit").isin("", "5")).groupBy("digit").agg(F.min("priority").alias("priority")))
         sk = F.col("digit").cast("int")
         return pr.select(
             sk.alias("promo_sk"),
-            F.concat(F.lit("PROMO"), F.lpad(F.col("digit"), 11, "0")).alias("promo_id"),
-            F.substring("priority", 3, 40).alias("promo_name"),
+            F.concat(F.lit("PROMO"), _padded("digit", 11)).alias("promo_id"),
+            F.regexp_extract("priority", "^[0-9]+-(.*)$", 1).alias("promo_name"),
             F.when(sk % 2 == 1, "Unknown").otherwise("Sales").alias("purpose"),
             F.when(sk == 2, dec("0.00")).when(sk == 3, F.lit(None))
             .otherwise(sk * dec("1000.00")).cast("decimal(15,2)").alias("cost"),
@@ -446,7 +450,7 @@ class DerivedMarts:
         s = self.t.supplier
         n = self.t.nation.select("n_nationkey", "n_name")
         return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
-            F.col("s_suppkey").cast("int").alias("w_warehouse_sk"),
+            F.col("s_suppkey").alias("w_warehouse_sk"),
             F.concat(F.lit("Warehouse "), F.col("s_suppkey").cast("string")).alias("w_warehouse_name"),
             F.col("n_name").alias("w_state"))
 
@@ -454,8 +458,8 @@ class DerivedMarts:
     def inventory(self) -> DataFrame:
         li = self.t.lineitem
         return (li.groupBy(julian_key(F.trunc(F.col("l_shipdate").cast("date"), "month")).alias("inv_date_sk"),
-                           F.col("l_partkey").cast("int").alias("inv_item_sk"),
-                           F.col("l_suppkey").cast("int").alias("inv_warehouse_sk"))
+                           F.col("l_partkey").alias("inv_item_sk"),
+                           F.col("l_suppkey").alias("inv_warehouse_sk"))
                 .agg(F.sum("l_quantity").cast("int").alias("inv_quantity_on_hand")))
 
     @cached_property
