@@ -35,9 +35,3 @@ def safe_make_date(y: Column | str, m: Column | str, d: Column | str) -> Column:
 def days_between_keys(later: Column | str, earlier: Column | str) -> Column:
     """Day difference of two date keys, computed through the calendar dates."""
     return F.datediff(key_to_date(later), key_to_date(earlier))
-
-
-def local_time(ts: Column | str, gmt_offset_hours: Column | str) -> Column:
-    """UTC timestamp shifted by a GMT offset in (possibly fractional) hours."""
-    minutes = (_c(gmt_offset_hours) * F.lit(60)).cast("int")
-    return _c(ts) + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), minutes)

@@ -33,8 +33,3 @@ def size_pretty(c: Column | str) -> Column:
         else:
             expr = expr.when(half_units < HALF_UNIT_LIMIT, text)
     return expr
-
-
-def one_decimal(c: Column | str) -> Column:
-    """``%.1f`` rendering of a number."""
-    return F.format_string("%.1f", (F.col(c) if isinstance(c, str) else c).cast("double"))

@@ -39,10 +39,6 @@ def millions(c: Column | str) -> Column:
     return scaled(c, 1_000_000)
 
 
-def thousands(c: Column | str) -> Column:
-    return scaled(c, 1_000)
-
-
 def pct(num: Column | str, den: Column | str, digits: int = 2) -> Column:
     """``ROUND(100.0 * num / NULLIF(den, 0), digits)``."""
     return F.round(dec("100.0") * as_col(num) / nonzero(den), digits)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shopstar.functions.dates import JULIAN_EPOCH_KEY, key_to_date
 from shopstar.functions.numeric import pct
+from shopstar.sources.paths import children, delete
 
 PARTITION_COL = "sold_ym"
 FACT_DATE_KEY = {"fact_store_sales": "ss_sold_date_sk", "fact_web_sales": "ws_sold_date_sk",
@@ -34,15 +35,19 @@ def sold_ym(date_key_col: str):
 
 
 def write_fact(df: DataFrame, path: str, date_key: str, cluster_key: str | None = None,
-               partitions: int | None = None) -> None:
+               partitions: int | None = None, months: tuple[int, int] | None = None) -> None:
     """Write a fact partitioned by month, range-split and clustered within files.
 
     ``repartitionByRange`` on (month, cluster key, row hash) spreads one
     busy month over several tasks instead of hashing all of it into one;
     the deterministic row hash as last range key splits even a single hot
     (month, item) pair across tasks, and each task still gets a contiguous
-    key range to sort.  Overwrite is dynamic: only the months present in
-    ``df`` are replaced (S10 reload of a range).
+    key range to sort.
+
+    Without ``months`` the whole fact is replaced: months that the source no
+    longer has are gone.  With ``months=(first, last)`` (yyyymm) the months of
+    that range are replaced (S10): those in ``df`` by a partition overwrite,
+    those that became empty are deleted after it; all others stay.
     """
     spark = df.sparkSession
     if cluster_key is None:
@@ -52,8 +57,23 @@ def write_fact(df: DataFrame, path: str, date_key: str, cluster_key: str | None
     row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
     out = (out.repartitionByRange(n, F.col(PARTITION_COL), F.col(cluster_key), row_hash)
            .sortWithinPartitions(PARTITION_COL, cluster_key))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    mode = "static" if months is None else "dynamic"
+    (out.write.mode("overwrite").option("partitionOverwriteMode", mode)
      .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(PARTITION_COL).parquet(path))
+    if months is not None:
+        held = {r[0] for r in df.select(sold_ym(date_key)).distinct().collect()}  # one row a month of the range
+        for name in children(spark, path):
+            ym = name.removeprefix(f"{PARTITION_COL}=")
+            if ym.isdigit() and months[0] <= int(ym) <= months[1] and int(ym) not in held:
+                delete(spark, f"{path.rstrip('/')}/{name}")
+
+
+def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a whole table as it is laid out: a fact with its month column keeps its month folders."""
+    w = df.write.mode(mode).option("partitionOverwriteMode", "static")
+    if PARTITION_COL in df.columns:
+        w = w.partitionBy(PARTITION_COL)
+    w.parquet(path)
 
 
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
@@ -105,34 +125,3 @@ def partition_report(fact: DataFrame, date_key: str) -> DataFrame:
         "rows", "min_date_sk", "max_date_sk",
         pct(F.col("rows"), total).cast("double").alias("pct_of_rows"),
     ).orderBy("partition")
-
-
-def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int,
-                   partition_col: str | None = None) -> None:
-    """S17 (optional form): a catalog table bucketed and sorted on ``key``.
-
-    Two tables bucketed the same way on their join key are joined without
-    an exchange on either side (each task reads matching buckets), which
-    is how a fact and a large dimension can be co-located.
-    """
-    w = df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key)
-    if partition_col:
-        w = w.partitionBy(partition_col)
-    w.saveAsTable(table)
-
-
-def join_calendar(fact: DataFrame, calendar: DataFrame, date_key: str, how: str = "inner") -> DataFrame:
-    """Join a fact to the calendar so that calendar filters prune fact partitions.
-
-    On month-partitioned facts the join also equates the partition column
-    with the calendar's ``sold_ym``; with that, a comparison filter on a
-    calendar attribute (a month, a quarter, a date range) becomes a dynamic
-    partition filter on the fact scan.  (Spark treats a bare boolean column
-    as not selective, so such a flag does not trigger pruning by itself.)
-    On unpartitioned facts it is the plain key join.
-    """
-    if PARTITION_COL in fact.columns and PARTITION_COL in calendar.columns:
-        cal = calendar.withColumnRenamed(PARTITION_COL, "_cal_ym")
-        cond = (fact[date_key] == cal["date_sk"]) & (fact[PARTITION_COL] == cal["_cal_ym"])
-        return fact.join(cal, cond, how).drop("_cal_ym")
-    return fact.join(calendar, fact[date_key] == calendar["date_sk"], how)

@@ -7,7 +7,6 @@ fact builders select the mart columns.  Writes go through
 
 from __future__ import annotations
 
-import os
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopstar.operators.layout import FACT_CLUSTER_KEY, FACT_DATE_KEY, read_fact, restrict_years, write_fact
+from shopstar.sources.paths import delete, exists
 
 # Mart column names and their staging sources.
 DIM_DATE_MAP = [("d_date_sk", "date_sk"), ("d_date", "full_date"), ("d_year", "year"), ("d_qoy", "quarter"),
@@ -52,13 +52,84 @@ DIM_PROMOTION_MAP = [("p_promo_sk", "promo_sk"), ("p_promo_id", "promo_id"), ("p
                      ("p_channel_radio", "channel_radio"), ("p_channel_press", "channel_press"),
                      ("p_channel_event", "channel_event"), ("p_channel_demo", "channel_demo"),
                      ("p_discount_active", "discount_active")]
-FACT_DROPPED = {
-    "store_sales": ["ss_cdemo_sk", "ss_hdemo_sk", "ss_addr_sk"],
-    "web_sales": ["ws_ship_date_sk", "ws_bill_cdemo_sk", "ws_bill_hdemo_sk", "ws_bill_addr_sk", "ws_ship_cdemo_sk",
-                  "ws_ship_hdemo_sk", "ws_ship_addr_sk", "ws_ship_mode_sk", "ws_warehouse_sk"],
-    "catalog_sales": ["cs_ship_date_sk", "cs_bill_cdemo_sk", "cs_bill_hdemo_sk", "cs_bill_addr_sk",
-                      "cs_ship_cdemo_sk", "cs_ship_hdemo_sk", "cs_ship_addr_sk", "cs_ship_mode_sk",
-                      "cs_warehouse_sk"],
+# The mart columns of each fact, in order.
+FACT_COLUMNS = {
+    "store_sales": [
+        "ss_sold_date_sk",
+        "ss_sold_time_sk",
+        "ss_item_sk",
+        "ss_customer_sk",
+        "ss_store_sk",
+        "ss_promo_sk",
+        "ss_ticket_number",
+        "ss_quantity",
+        "ss_wholesale_cost",
+        "ss_list_price",
+        "ss_sales_price",
+        "ss_ext_discount_amt",
+        "ss_ext_sales_price",
+        "ss_ext_wholesale_cost",
+        "ss_ext_list_price",
+        "ss_ext_tax",
+        "ss_coupon_amt",
+        "ss_net_paid",
+        "ss_net_paid_inc_tax",
+        "ss_net_profit",
+    ],
+    "web_sales": [
+        "ws_sold_date_sk",
+        "ws_sold_time_sk",
+        "ws_item_sk",
+        "ws_bill_customer_sk",
+        "ws_ship_customer_sk",
+        "ws_web_page_sk",
+        "ws_web_site_sk",
+        "ws_promo_sk",
+        "ws_order_number",
+        "ws_quantity",
+        "ws_wholesale_cost",
+        "ws_list_price",
+        "ws_sales_price",
+        "ws_ext_discount_amt",
+        "ws_ext_sales_price",
+        "ws_ext_wholesale_cost",
+        "ws_ext_list_price",
+        "ws_ext_tax",
+        "ws_coupon_amt",
+        "ws_ext_ship_cost",
+        "ws_net_paid",
+        "ws_net_paid_inc_tax",
+        "ws_net_paid_inc_ship",
+        "ws_net_paid_inc_ship_tax",
+        "ws_net_profit",
+    ],
+    "catalog_sales": [
+        "cs_sold_date_sk",
+        "cs_sold_time_sk",
+        "cs_bill_customer_sk",
+        "cs_ship_customer_sk",
+        "cs_call_center_sk",
+        "cs_catalog_page_sk",
+        "cs_item_sk",
+        "cs_promo_sk",
+        "cs_order_number",
+        "cs_quantity",
+        "cs_wholesale_cost",
+        "cs_list_price",
+        "cs_sales_price",
+        "cs_ext_discount_amt",
+        "cs_ext_sales_price",
+        "cs_ext_wholesale_cost",
+        "cs_ext_list_price",
+        "cs_ext_tax",
+        "cs_coupon_amt",
+        "cs_ext_ship_cost",
+        "cs_net_paid",
+        "cs_net_paid_inc_tax",
+        "cs_net_paid_inc_ship",
+        "cs_net_paid_inc_ship_tax",
+        "cs_net_profit",
+    ],
 }
 FACT_NOT_NULL = {
     "fact_store_sales": ["ss_item_sk", "ss_ticket_number"],
@@ -103,9 +174,21 @@ def build_dim_promotion(promotion: DataFrame) -> DataFrame:
 
 
 def build_fact(staging_sales: DataFrame, table: str) -> DataFrame:
-    """The mart columns of a staging sales table, in source order."""
-    drop = set(FACT_DROPPED[table])
-    return staging_sales.select(*[c for c in staging_sales.columns if c not in drop])
+    """The declared mart columns of a staging sales table, in order and with their kind of type.
+
+    Keys and quantities stay whole numbers (a wider one is kept, so keys may outgrow the source's), money is
+    decimal with two places; a staging column that is not declared never reaches the mart.
+    """
+    have = dict(staging_sales.dtypes)
+    out = []
+    for c in FACT_COLUMNS[table]:
+        kind = have[c]
+        whole = c.endswith(("_sk", "_number", "_quantity"))
+        if whole:
+            out.append(F.col(c) if kind in ("int", "bigint") else F.col(c).cast("bigint").alias(c))
+        else:
+            out.append(F.col(c) if kind.startswith("decimal") and kind.endswith(",2)") else F.col(c).cast("decimal(12,2)").alias(c))
+    return staging_sales.select(*out)
 
 
 # --------------------------------------------------------------------- checks
@@ -137,13 +220,6 @@ def assert_not_null(df: DataFrame, cols, name: str = "") -> None:
         raise ConstraintError(f"NOT NULL violated in {name}: {bad}")
 
 
-def assert_rows_preserved(before: DataFrame, after: DataFrame, name: str = "") -> None:
-    """An enrichment by LEFT JOINs on unique keys must keep the row count."""
-    n_before, n_after = before.count(), after.count()
-    if n_before != n_after:
-        raise ConstraintError(f"{name} has {n_after} rows for {n_before} input rows (duplicate lookup keys)")
-
-
 def build_marts(staging: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All eight mart tables from staging DataFrames (lazy)."""
     return {
@@ -175,8 +251,9 @@ def write_marts(marts, out_dir: str, check_keys: bool = True, concurrency: int =
     pool and share the executors instead of queuing one after another.
     """
     out = out_dir.rstrip("/")
-    if hasattr(marts, "stage_lines"):
-        marts = marts.stage_lines(f"{out}/_staged_lines")
+    scratch = f"{out}/_staged_lines" if hasattr(marts, "stage_lines") else None
+    if scratch:
+        marts = marts.stage_lines(scratch)
 
     def check_dim(name):
         assert_primary_key(getattr(marts, name), DIM_KEYS[name], name)
@@ -185,7 +262,7 @@ def write_marts(marts, out_dir: str, check_keys: bool = True, concurrency: int =
         assert_not_null(getattr(marts, name), FACT_NOT_NULL[name], name)
 
     def write_plain(name):
-        getattr(marts, name).write.mode("overwrite").parquet(f"{out}/{name}")
+        getattr(marts, name).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/{name}")
 
     def write_one_fact(name):
         write_fact(getattr(marts, name), f"{out}/{name}", FACT_DATE_KEY[name], FACT_CLUSTER_KEY[name])
@@ -197,6 +274,8 @@ def write_marts(marts, out_dir: str, check_keys: bool = True, concurrency: int =
             list(pool.map(check_fact, FACT_TABLES))
         list(pool.map(write_one_fact, FACT_TABLES))
         list(pool.map(write_plain, [*DIM_KEYS, *side]))
+    if scratch:
+        delete(marts.spark, scratch)
     return out
 
 
@@ -252,18 +331,17 @@ class WrittenMarts(_ChannelUnion):
 
     @cached_property
     def exists(self) -> bool:
-        return "://" in self.dir or os.path.exists(f"{self.dir}/dim_date")
+        return exists(self.spark, f"{self.dir}/dim_date")
 
 
 def register_views(spark: SparkSession, marts, names=None) -> list[str]:
     """Expose mart tables as temporary views so analysts can query them in Spark SQL."""
     done = []
     for name in names or (*DIM_KEYS, *FACT_TABLES, *SIDE_TABLES):
-        try:
-            df = getattr(marts, name)
-        except (AttributeError, Exception):  # table not part of this warehouse
+        absent = not exists(spark, f"{marts.dir}/{name}") if isinstance(marts, WrittenMarts) else not hasattr(marts, name)
+        if absent:  # not part of this warehouse; any other trouble is an error
             continue
-        df.createOrReplaceTempView(name)
+        getattr(marts, name).createOrReplaceTempView(name)
         done.append(name)
     return done
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shopstar.operators.layout import write_table
+
 MANIFEST = "_manifest"
 MANIFEST_SCHEMA = ("snapshot_id string, created_at timestamp, mode string, table_name string, rows bigint, "
                    "checksum decimal(38,0), schema_json string, files bigint, bytes bigint, duration_secs double")
@@ -31,7 +33,8 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     The checksum is the exact decimal sum of a 64-bit hash of every row,
     so it does not depend on file or partition order.
     """
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(20,0)")
+    # a null leaves the hash as it is, so every column's null marker is hashed with it
+    h = F.xxhash64(*[x for c in df.columns for x in (F.col(c), F.col(c).isNull())]).cast("decimal(20,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").alias("checksum"))
 
 
@@ -60,7 +63,7 @@ def snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, mode:
             rows.append((sid, created, "schema", name, None, None, df.schema.json(), 0, 0, 0.0))
             continue
         path = f"{base}/{name}"
-        df.write.mode("errorifexists").parquet(path)
+        write_table(df, path, "errorifexists")
         written = spark.read.parquet(path)
         fp = table_fingerprint(written).first()
         n_files, n_bytes = _file_stats(spark, path)
@@ -145,7 +148,7 @@ def restore(spark: SparkSession, snapshot_path: str, target_root: str, tables=No
     for m in chosen:
         target = f"{target_root.rstrip('/')}/{m.table_name}"
         if act:
-            spark.read.parquet(f"{base}/{m.table_name}").write.mode("overwrite").parquet(target)
+            write_table(spark.read.parquet(f"{base}/{m.table_name}"), target)
         plan.append((m.table_name, f"{base}/{m.table_name}", target, int(m.rows),
                      "restored" if act else "would overwrite"))
     return spark.createDataFrame(plan, "table_name string, source string, target string, rows bigint, action string")

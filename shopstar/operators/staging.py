@@ -80,10 +80,3 @@ def stage(table: str, raw: DataFrame) -> DataFrame:
             raise ValueError(fn)
         cols.append(F.trim(F.col(src)).alias(new))
     return raw.filter(keep).select(*cols)
-
-
-def stage_all(raw_tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {t: stage(t, df) for t, df in raw_tables.items() if t in STAGING_RULES}
-
-
-assert set(STAGING_RULES) == set(RAW_DDL)

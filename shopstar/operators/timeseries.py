@@ -16,11 +16,10 @@ dashboard becomes a DataFrame function:
 * R07 ratio of two metrics on matching labels per step,
 * R08 label listing for dashboard selectors.
 
-Windowed functions never put a whole series into one task: samples are
-cut into fixed time buckets per series, and the samples of the last
-``w`` before each bucket are copied into it as context rows, so each
-window partition holds one bucket (plus ``w`` of history) however long
-or dense a series is.
+Rates are differences of prefix sums in two levels: the increase inside
+small fixed time buckets, and one carried sum per series and bucket.  No
+window partition holds more than the samples of one bucket, or one row per
+bucket of a series; samples of one time are aggregated before any shuffle.
 """
 
 from __future__ import annotations
@@ -86,64 +85,97 @@ def scale_values(df: DataFrame, factor, col: str = "value") -> DataFrame:
     return df.withColumn(col, F.col(col) * F.lit(factor))
 
 
-def _bucketed(df: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
-    """Assign each sample to its time bucket, and copy it as context into every later
-    bucket whose rows can still see it, i.e. buckets starting less than a window after it
-    (one bucket when the bucket is at least as long as the window)."""
+def _increase(before: Column, after: Column) -> Column:
+    """Reset-corrected growth of a counter: a lower value counts as a restart from zero."""
+    return F.when(after >= before, after - before).otherwise(after)
+
+
+def _bucket_us(window_seconds: int, bucket_seconds: int | None) -> int:
+    return (bucket_seconds or max(1, window_seconds // 64)) * US
+
+
+def _points(df: DataFrame, bucket_us: int) -> DataFrame:
+    """One row per series and time: lowest and highest value, number of samples, time bucket."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    b = F.floor(t / F.lit(bucket_us)).cast("bigint")
-    last = F.floor((t + F.lit(window_us - 1)) / F.lit(bucket_us)).cast("bigint")
-    ctx = F.filter(F.transform(F.sequence(b + 1, F.greatest(last, b + 1)),
-                               lambda c: F.struct(c.alias("bucket"), F.lit(True).alias("is_context"))),
-                   lambda x: x["bucket"] <= last)
-    own = F.array(F.struct(b.alias("bucket"), F.lit(False).alias("is_context")))
-    return (df.withColumn("t_us", t)
-            .withColumn("slot", F.explode(F.concat(own, ctx)))
-            .select("*", "slot.bucket", "slot.is_context").drop("slot"))
+    return (df.groupBy(*SERIES, "ts").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
+            .withColumn("t_us", t).withColumn("bucket", F.floor(F.col("t_us") / F.lit(bucket_us)).cast("bigint")))
 
 
-def _with_deltas(df: DataFrame, window_us: int, bucket_us: int) -> tuple[DataFrame, Window]:
-    """Reset-corrected delta to the previous sample of the same series (0 for the first)."""
-    x = _bucketed(df, window_us, bucket_us)
-    by_row = Window.partitionBy(*SERIES, "bucket").orderBy("t_us", "value")
-    prev_v = F.lag("value", 1).over(by_row)
-    prev_t = F.lag("t_us", 1).over(by_row)
-    delta = F.when(prev_v.isNull(), F.lit(0)).when(F.col("value") >= prev_v, F.col("value") - prev_v).otherwise(F.col("value"))
-    by_time = Window.partitionBy(*SERIES, "bucket").orderBy("t_us")
-    return x.select("*", delta.alias("delta"), prev_t.alias("prev_t")), by_time
+def _summed(points: DataFrame) -> DataFrame:
+    """First level: running increase inside each bucket, from the bucket's first value on.
+
+    ``step``: growth since the point before in the bucket (NULL for the first); ``run``: growth up to this point's
+    highest value; ``prev_t``: time of the point before in the bucket.
+    """
+    w = Window.partitionBy(*SERIES, "bucket").orderBy("t_us")
+    x = points.withColumn("step", F.when(F.lag("hi").over(w).isNotNull(), _increase(F.lag("hi").over(w), F.col("lo"))))
+    run = F.sum(F.coalesce("step", F.lit(0)) + F.col("hi") - F.col("lo")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("prev_t", F.lag("t_us").over(w)).withColumn("run", run)
 
 
-def _bucket_size(window_us: int, bucket_us: int | None) -> int:
-    return bucket_us or max(12 * window_us, 3600 * US)
+def _carried(x: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Second level, one row per series and bucket: what earlier buckets hand on.
+
+    ``base``: increase of the series up to the bucket's first value; ``border``: the part of it since the bucket
+    before; ``last``: that bucket's last point; ``next``: time and increase of the first point of a later bucket.
+    ``asked`` adds buckets without samples of their own.
+    """
+    rows = x.groupBy(*SERIES, "bucket").agg(F.min(F.struct("t_us", "lo")).alias("first"), F.max(F.struct("t_us", "hi")).alias("end"),
+                                            F.max(F.struct("t_us", "run"))["run"].alias("total"))
+    if asked is not None:
+        rows = rows.unionByName(asked.select(*SERIES, "bucket").distinct(), allowMissingColumns=True)
+        rows = rows.groupBy(*SERIES, "bucket").agg(F.max("first").alias("first"), F.max("end").alias("end"), F.max("total").alias("total"))
+    w = Window.partitionBy(*SERIES).orderBy("bucket")
+    rows = rows.withColumn("last", F.last("end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    border = F.when(F.col("first").isNotNull() & F.col("last").isNotNull(), _increase(F.col("last.hi"), F.col("first.lo")))
+    rows = rows.withColumn("border", border)
+    grown = F.coalesce("total", F.lit(0)) + F.coalesce("border", F.lit(0))
+    rows = rows.withColumn("base", F.sum(grown).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.coalesce("total", F.lit(0)))
+    start = F.when(F.col("first").isNotNull(), F.struct(F.col("first.t_us").alias("t"), F.col("base").alias("c")))
+    following = F.first(start, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return rows.select(*SERIES, "bucket", "base", "border", "last", following.alias("next"))
 
 
 def rate(metrics: DataFrame, window_seconds: int = 300, metric: str | None = None, matchers: dict | None = None,
          bucket_seconds: int | None = None) -> DataFrame:
     """Per-second reset-corrected increase over the trailing window, at every sample.
 
-    NULL when the window holds fewer than two samples.
+    NULL when the window spans no time (one sample, or samples of one time only).  Samples of one time are ordered
+    by value.  The increase is a difference of two prefix sums, so a task holds the samples of one small bucket (and
+    the window starts that fall into it), however long the window or dense the series is.
     """
-    wus = window_seconds * US
-    bus = _bucket_size(wus, bucket_seconds and bucket_seconds * US)
-    x, w = _with_deltas(select_series(metrics, metric, matchers), wus, bus)
-    frame = w.rangeBetween(-(wus - 1), 0)
-    inc = F.sum("delta").over(frame) - F.first("delta").over(frame)
-    span = F.col("t_us") - F.min("t_us").over(frame)
-    n = F.count(F.lit(1)).over(frame)
-    r = F.when(n >= 2, inc.cast("double") / (span.cast("double") / F.lit(float(US))))
-    return x.select(*SERIES, "ts", r.alias("rate"), "is_context").filter(~F.col("is_context")).drop("is_context")
+    wus, bus = window_seconds * US, _bucket_us(window_seconds, bucket_seconds)
+    x = _summed(_points(select_series(metrics, metric, matchers), bus))
+    opens = (F.col("t_us") - F.lit(wus - 1)).alias("at")  # the window holds samples from here on
+    starts = x.select(*SERIES, F.col("t_us").alias("sample_t"), opens).withColumn(
+        "bucket", F.floor(F.col("at") / F.lit(bus)).cast("bigint"))
+    carried = _carried(x, starts)
+    inner = F.col("hi") - F.col("lo")
+    marks = x.select(*SERIES, "bucket", F.col("t_us").alias("at"), F.struct(F.col("t_us").alias("t"), (F.col("run") - inner).alias("c")).alias("mark"))
+    both = marks.unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(*SERIES, "bucket").orderBy("at", F.col("sample_t").desc_nulls_last())  # window starts before samples
+    found = both.withColumn("found", F.first("mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    found = found.where("sample_t is not null").join(carried, [*SERIES, "bucket"])
+    begin = found.select(*SERIES, F.col("sample_t").alias("t_us"), F.coalesce("found.t", "next.t").alias("begin_t"),
+                         F.coalesce(F.col("base") + F.col("found.c"), F.col("next.c")).alias("begin_c"))
+    ends = x.join(carried.select(*SERIES, "bucket", "base"), [*SERIES, "bucket"]).select(
+        *SERIES, "ts", "t_us", "n", (F.col("base") + F.col("run")).alias("c"))
+    j = ends.join(begin, [*SERIES, "t_us"])
+    span = F.col("t_us") - F.col("begin_t")
+    r = F.when(span > 0, (F.col("c") - F.col("begin_c")).cast("double") / (span.cast("double") / F.lit(float(US))))
+    return j.select(*SERIES, "ts", r.alias("rate"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).drop("i")
 
 
 def irate(metrics: DataFrame, window_seconds: int = 300, metric: str | None = None, matchers: dict | None = None,
           bucket_seconds: int | None = None) -> DataFrame:
-    """Rate from the last two samples, if they are less than the window apart."""
-    wus = window_seconds * US
-    bus = _bucket_size(wus, bucket_seconds and bucket_seconds * US)
-    x, _ = _with_deltas(select_series(metrics, metric, matchers), wus, bus)
-    gap = F.col("t_us") - F.col("prev_t")
-    r = F.when(F.col("prev_t").isNotNull() & (gap < wus),
-               F.col("delta").cast("double") / (gap.cast("double") / F.lit(float(US))))
-    return x.filter(~F.col("is_context")).select(*SERIES, "ts", r.alias("irate"))
+    """Rate from the last two samples, if they are less than the window apart; NULL if they have one time."""
+    wus, bus = window_seconds * US, _bucket_us(window_seconds, bucket_seconds)
+    x = _summed(_points(select_series(metrics, metric, matchers), bus))
+    x = x.join(_carried(x), [*SERIES, "bucket"])
+    growth, gap = F.coalesce("step", "border"), F.col("t_us") - F.coalesce(F.col("prev_t"), F.col("last.t_us"))
+    r = F.when(gap < wus, growth.cast("double") / (gap.cast("double") / F.lit(float(US))))
+    rows = x.select(*SERIES, "ts", r.alias("r"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    return rows.select(*SERIES, "ts", F.when(F.col("i") == 1, F.col("r")).alias("irate"))
 
 
 def avg_by_step(samples: DataFrame, value_col: str, step_seconds: int = 15, digits: int = 6) -> DataFrame:

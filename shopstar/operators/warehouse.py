@@ -14,14 +14,13 @@ of ``shopstar.plans`` runs unchanged.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
-from shopstar.operators.marts import (SIDE_TABLES, MartFrames, WrittenMarts, assert_rows_preserved, build_marts,
+from shopstar.operators.marts import (SIDE_TABLES, MartFrames, WrittenMarts, assert_primary_key, build_marts,
                                       write_marts)
 from shopstar.operators.staging import stage
 from shopstar.sources import delimited as D
+from shopstar.sources.paths import exists
 from shopstar.sources.schemas import LOAD_ORDER
 
 
@@ -42,7 +41,8 @@ def build_warehouse(spark: SparkSession, src_dir: str, out_dir: str, tables=LOAD
         raise ValueError(f"cannot build the marts without {sorted(missing)}")
     marts = build_marts(staged)
     # The two LEFT JOINs are on unique lookup keys, so every customer stays one row
-    assert_rows_preserved(staged["customer"], marts["dim_customer"], "dim_customer")
+    assert_primary_key(staged["customer_demographics"], "cd_demo_sk", "customer_demographics")
+    assert_primary_key(staged["customer_address"], "ca_address_sk", "customer_address")
     marts.update({t: df for t, df in staged.items() if t in SIDE_TABLES})
     write_marts(MartFrames(marts), marts_dir)
     return WrittenMarts(spark, marts_dir)
@@ -51,7 +51,7 @@ def build_warehouse(spark: SparkSession, src_dir: str, out_dir: str, tables=LOAD
 def load_report(spark: SparkSession, out_dir: str) -> DataFrame:
     """S06 over the raw layer of a built warehouse."""
     raw = f"{out_dir.rstrip('/')}/raw"
-    present = [t for t in LOAD_ORDER if "://" in raw or os.path.exists(f"{raw}/{t}")]
+    present = [t for t in LOAD_ORDER if exists(spark, f"{raw}/{t}")]
     return D.load_report(spark, raw, present)
 
 
@@ -59,7 +59,8 @@ def reload_facts(spark: SparkSession, out_dir: str, months: tuple[int, int] | No
     """Rebuild the three facts from the staging layer, for a month range or whole.
 
     With ``months=(first_yyyymm, last_yyyymm)`` only those month partitions
-    are rewritten (dynamic partition overwrite); the rest stay untouched.
+    are replaced (a month that became empty goes); the rest stay untouched.
+    Without, each fact is replaced as a whole.
     Returns the rows written per fact.
     """
     from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def reload_facts(spark: SparkSession, out_dir: str, months: tuple[int, int] | No
         if months is not None:
             df = df.filter(sold_ym(FACT_DATE_KEY[fact]).between(*months))
         assert_not_null(df, FACT_NOT_NULL[fact], fact)
-        write_fact(df, f"{out}/marts/{fact}", FACT_DATE_KEY[fact], FACT_CLUSTER_KEY[fact])
+        write_fact(df, f"{out}/marts/{fact}", FACT_DATE_KEY[fact], FACT_CLUSTER_KEY[fact], months=months)
         written[fact] = spark.read.parquet(f"{out}/marts/{fact}").filter(
             F.col("sold_ym").between(*months) if months else F.lit(True)).count()
     return written

@@ -41,12 +41,13 @@ FROM (SELECT instance, datname, metric, ts, epoch_us(ts) AS t, value FROM metric
 
 def _rate(where: str = "") -> str:
     f = f"PARTITION BY instance, datname, metric ORDER BY t RANGE BETWEEN {W_US - 1} PRECEDING AND CURRENT ROW"
+    up_to = "PARTITION BY instance, datname, metric ORDER BY t, value ROWS UNBOUNDED PRECEDING"
     return f"""
 SELECT instance, datname, metric, ts,
-       CASE WHEN count(*) OVER ({f}) >= 2
-            THEN CAST(sum(delta) OVER ({f}) - first_value(delta) OVER ({f}) AS DOUBLE)
+       CASE WHEN t > min(t) OVER ({f})
+            THEN CAST(max(c) OVER ({f}) - min(c) OVER ({f}) AS DOUBLE)
                  / (CAST(t - min(t) OVER ({f}) AS DOUBLE) / CAST(1000000 AS DOUBLE)) END AS rate
-FROM ({_deltas(where)}) d"""
+FROM (SELECT *, sum(delta) OVER ({up_to}) AS c FROM ({_deltas(where)}) d) s"""
 
 
 def _latest(where: str, scale: int = 1) -> str:
@@ -82,7 +83,7 @@ FROM ({_latest("metric = 'pg_view' AND instance = 'node-1'", 1000)}) l"""),
     "r04_counter_rate": with_marts(_rate()),
     "r05_counter_irate": with_marts(f"""
 SELECT instance, datname, metric, ts,
-       CASE WHEN prev_t IS NOT NULL AND t - prev_t < {W_US}
+       CASE WHEN t > prev_t AND t - prev_t < {W_US}
             THEN CAST(delta AS DOUBLE) / (CAST(t - prev_t AS DOUBLE) / CAST(1000000 AS DOUBLE)) END AS irate
 FROM ({_deltas()}) d"""),
     "r06_avg_rate": with_marts(f"""

@@ -21,13 +21,13 @@ CHAR columns are right-trimmed at ingest (blank-padded CHAR semantics).
 from __future__ import annotations
 
 import logging
-import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from shopstar.sources.paths import exists
 from shopstar.sources.schemas import LOAD_ORDER, raw_schema
 
 log = logging.getLogger(__name__)
@@ -124,7 +124,7 @@ def land_raw(spark: SparkSession, src_dir: str, table: str, out_dir: str, mode:
     if df is None:
         return None
     dest = f"{out_dir.rstrip('/')}/{table}"
-    df.write.mode(mode).partitionBy(STATUS).parquet(dest)
+    df.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(STATUS).parquet(dest)
     return dest
 
 
@@ -132,6 +132,8 @@ def read_landed(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
     """The accepted rows of a landed raw table with the declared schema."""
     path = f"{raw_dir.rstrip('/')}/{table}/{STATUS}={ACCEPTED}"
     schema = raw_schema(table)
+    if not exists(spark, path):  # every row was rejected
+        return spark.createDataFrame([], schema)
     df = spark.read.schema(StructType(list(schema.fields) + [StructField(REASON, StringType())])).parquet(path)
     return df.select(*[f.name for f in schema.fields])
 
@@ -153,7 +155,7 @@ def load_report(spark: SparkSession, raw_dir: str, tables=LOAD_ORDER, schema_nam
     parts = []
     for t in tables:
         p = f"{raw_dir.rstrip('/')}/{t}/{STATUS}={ACCEPTED}"
-        if "://" not in p and not os.path.exists(p):
+        if not exists(spark, p):
             continue
         parts.append(spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows"))
                      .select(F.lit(schema_name).alias("schema"), F.lit(t).alias("table"), "rows"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
+from shopstar.sources.paths import exists
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
                  "benchmark", "labels", "conversations")
@@ -40,7 +40,7 @@ class DriverTables:
         return f"{self.base_dir}/{name}.parquet"
 
     def exists(self, name: str) -> bool:
-        return os.path.exists(self.path(name)) if "://" not in self.base_dir else True
+        return exists(self.spark, self.path(name))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in DRIVER_TABLES:

@@ -47,16 +47,6 @@ def test_size_pretty(spark):
     assert got == cases
 
 
-def test_local_time_offsets(spark):
-    import datetime as dt
-
-    from shopstar.functions.dates import local_time
-    df = spark.createDataFrame([(dt.datetime(2001, 1, 1, 3, 0), Decimal("-5.00")),
-                                (dt.datetime(2001, 1, 1, 3, 0), Decimal("5.50"))], "ts timestamp, off decimal(5,2)")
-    got = [r[0] for r in df.select(local_time("ts", "off")).collect()]
-    assert got == [dt.datetime(2000, 12, 31, 22, 0), dt.datetime(2001, 1, 1, 8, 30)]
-
-
 def test_cluster_conf_scales_with_input():
     from shopstar.session import cluster_conf
     big = cluster_conf(100 * 1024 ** 4, 8000)       # 100 TB on 8000 cores

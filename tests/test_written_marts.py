@@ -4,6 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from shopstar.plans import registry
 from shopstar.operators.layout import partition_report
 from shopstar.operators.marts import WrittenMarts, write_marts
 from shopstar.plans.registry import on_marts
@@ -34,7 +35,7 @@ def test_year_filter_prunes_partitions(marts_pair):
     assert "PartitionFilters: [isnotnull(sold_ym" in plan
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n.startswith(("q", "d", "n", "g"))))
+@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if n.startswith(("q", "d", "n", "g"))))
 def test_same_rows_on_written_marts(marts_pair, name):
     derived, written, _ = marts_pair
     a = sorted(map(repr, on_marts(name, derived).collect()))
@@ -97,28 +98,6 @@ def test_hot_item_month_is_split_across_files(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4000
 
 
-def test_bucketed_tables_join_without_exchange(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from shopstar.operators.layout import write_bucketed
-    fact = spark.range(2000).select((F.col("id") % 50).cast("int").alias("ss_item_sk"), F.col("id").alias("v"))
-    dim = spark.range(50).select(F.col("id").cast("int").alias("item_sk"), F.lit("c").alias("category"))
-    write_bucketed(fact, "bucket_fact", str(tmp_path / "bf"), "ss_item_sk", 4)
-    write_bucketed(dim, "bucket_dim", str(tmp_path / "bd"), "item_sk", 4)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        j = spark.table("bucket_fact").join(spark.table("bucket_dim"), F.col("ss_item_sk") == F.col("item_sk"))
-        plan = j._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
-        assert j.count() == 2000
-    finally:
-        from shopstar.session import SESSION_CONF
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", SESSION_CONF["spark.sql.autoBroadcastJoinThreshold"])
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold",
-                       SESSION_CONF["spark.sql.adaptive.autoBroadcastJoinThreshold"])
-
-
 def test_analyze_marts_registers_and_counts(spark, marts_pair):
     from shopstar.operators.marts import analyze_marts
     derived, _, out = marts_pair
@@ -127,33 +106,3 @@ def test_analyze_marts_registers_and_counts(spark, marts_pair):
                           "fact_store_sales", "fact_web_sales", "fact_catalog_sales"}
     n = derived.fact_store_sales.count()
     assert f"{n} rows" in stats["fact_store_sales"]
-
-
-def test_calendar_filter_prunes_fact_partitions_dynamically(spark, marts_pair):
-    from pyspark.sql import functions as F
-
-    from shopstar.operators.layout import join_calendar
-    derived, written, _ = marts_pair
-    cal = written.dim_date.filter(F.col("month") == 12)
-    j = join_calendar(written.fact_store_sales, cal, "ss_sold_date_sk")
-    plan = j._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruningexpression" in plan.lower()
-    plain = written.fact_store_sales.join(cal, F.col("ss_sold_date_sk") == F.col("date_sk"))
-    assert j.count() == plain.count()
-
-
-def test_session_staged_lines_give_the_same_reports(spark):
-    from shopstar.plans.registry import queries
-    from shopstar.sources.testmarts import STAGE_CONF, DerivedMarts
-    from conftest import SF_SMALL
-    names = ["q1_channel_revenue_literal", "q10_top_brands", "d27_return_rate_by_category", "n01_fulfilment_lag"]
-    lazy = {n: sorted(map(repr, queries()[n](spark, SF_SMALL).collect())) for n in names}
-    DerivedMarts._per_session.clear()
-    spark.conf.set(STAGE_CONF, "true")
-    try:
-        staged = {n: sorted(map(repr, queries()[n](spark, SF_SMALL).collect())) for n in names}
-        assert "_line_rows" in DerivedMarts.for_session(spark, SF_SMALL).__dict__
-    finally:
-        spark.conf.set(STAGE_CONF, "false")
-        DerivedMarts._per_session.clear()
-    assert lazy == staged
