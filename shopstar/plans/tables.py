@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from shopstar.operators import marts as M
 from shopstar.operators.layout import partition_report
+from shopstar.operators.staging import stage
+from shopstar.sources.rawtables import raw_table
 
 MART_TABLES = ["dim_date", "dim_customer", "dim_item", "dim_store", "dim_promotion",
                "fact_store_sales", "fact_web_sales", "fact_catalog_sales"]
@@ -63,7 +65,6 @@ STAGED_MONEY = {
 
 def staged_table(name: str):
     def run(m) -> DataFrame:
-        from shopstar.operators.staging import stage
         df = stage(name, getattr(m, name))
         money = set(STAGED_MONEY[name])
         return df.select(*[F.col(c).cast("double").alias(c) if c in money else F.col(c) for c in df.columns])
@@ -72,6 +73,37 @@ def staged_table(name: str):
     return run
 
 
+# Reference tables in the order of their rules; raw rows are derived, then staged like loaded files.
+REFERENCE = ["date_dim", "time_dim", "customer", "customer_demographics", "customer_address", "item", "store", "promotion",
+             "household_demographics", "web_site", "web_page", "warehouse", "ship_mode", "reason", "income_band", "call_center",
+             "catalog_page"]
+BUILT = {"m01_dim_date": (M.build_dim_date, ["date_dim"]), "m02_dim_customer": (M.build_dim_customer, ["customer", "customer_demographics", "customer_address"]),
+         "m03_dim_item": (M.build_dim_item, ["item"]), "m04_dim_store": (M.build_dim_store, ["store"]),
+         "m05_dim_promotion": (M.build_dim_promotion, ["promotion"])}
+
+
+def _doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
+def staged_reference(name: str):
+    def run(m) -> DataFrame:
+        return _doubles(stage(name, raw_table(m.t, name)))
+    run.__name__ = name
+    run.__doc__ = f"T rule for {name} over its raw-shaped rows (decimals as double)."
+    return run
+
+
+def built_dimension(key: str):
+    builder, inputs = BUILT[key]
+
+    def run(m) -> DataFrame:
+        return _doubles(builder(*[stage(t, raw_table(m.t, t)) for t in inputs]))
+    run.__name__ = key
+    run.__doc__ = f"{key}: the builder over staged rows (decimals as double)."
+    return run
+
+
 def mart_row_counts(m) -> DataFrame:
     """Rows per mart table, largest first."""
     parts = [getattr(m, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("marts").alias("schema_name"),
@@ -106,6 +138,10 @@ def store_partition_report(m) -> DataFrame:
 
 def registry(on):
     out = {f"m{i + 1:02d}_{t}": on(mart_table(t)) for i, t in enumerate(MART_TABLES)}
+    # what the reports read (derived dimensions) beside what the builders make of staged rows
+    out.update({f"{k}_derived": out[k] for k in BUILT})
+    out.update({k: on(built_dimension(k)) for k in BUILT})
+    out.update({f"t{i + 1:02d}_{t}": on(staged_reference(t)) for i, t in enumerate(REFERENCE)})
     out.update({key: on(staged_table(t)) for key, t in STAGED.items()})
     out.update({
         "s06_mart_row_counts": on(mart_row_counts),
