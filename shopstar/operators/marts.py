@@ -239,7 +239,8 @@ def build_marts(staging: dict[str, DataFrame]) -> dict[str, DataFrame]:
 FACT_TABLES = ("fact_store_sales", "fact_web_sales", "fact_catalog_sales")
 SIDE_TABLES = ("store_sales", "web_sales", "catalog_sales", "store_returns", "web_returns", "catalog_returns", "inventory", "warehouse",
                "reason", "time_dim", "web_page", "catalog_page", "ship_mode", "call_center",
-               "household_demographics", "income_band", "run_log", "metrics")
+               "household_demographics", "income_band", "run_log", "metrics", "date_dim", "customer", "customer_demographics",
+               "customer_address", "item", "store", "promotion")
 
 
 def write_marts(marts, out_dir: str, check_keys: bool = True, concurrency: int = 4) -> str:

@@ -94,6 +94,10 @@ _HDEMO = "CAST(CASE WHEN customer_sk IS NOT NULL THEN customer_sk % 20 + 1 END A
 _SHIP_CUST = ("CAST(CASE WHEN line_number % 4 = 0 THEN NULL WHEN line_number % 4 = 1 THEN order_custkey + 1 "
               "ELSE order_custkey END AS BIGINT)")
 
+_PARTIES = ("customer_sk % 40 + 1 AS {p}_bill_cdemo_sk, customer_sk AS {p}_bill_addr_sk, "
+            f"{_SHIP_CUST} % 40 + 1 AS " + "{p}_ship_cdemo_sk, "
+            f"CASE WHEN order_number % 3 = 0 THEN customer_sk ELSE {_SHIP_CUST} END AS " + "{p}_ship_addr_sk")
+
 
 def _staging_sql(p: str, where: str, keys: str) -> str:
     prices = ", ".join(f"{m} AS {p}_{m}" for m in _PRICES)
@@ -109,17 +113,17 @@ def _staging_sql(p: str, where: str, keys: str) -> str:
 
 _FACTS = f"""
 store_sales AS (
-  {_staging_sql('ss', 'channel_code <= 3', f'customer_sk AS ss_customer_sk, {_HDEMO} AS ss_hdemo_sk, supp_sk AS ss_store_sk, order_number AS ss_ticket_number')}
+  {_staging_sql('ss', 'channel_code <= 3', f'customer_sk AS ss_customer_sk, customer_sk % 40 + 1 AS ss_cdemo_sk, {_HDEMO} AS ss_hdemo_sk, customer_sk AS ss_addr_sk, supp_sk AS ss_store_sk, order_number AS ss_ticket_number')}
 ),
-fact_store_sales AS (SELECT * EXCLUDE (ss_hdemo_sk) FROM store_sales),
+fact_store_sales AS (SELECT * EXCLUDE (ss_cdemo_sk, ss_hdemo_sk, ss_addr_sk) FROM store_sales),
 web_sales AS (
-  {_staging_sql('ws', 'channel_code = 6', f'ship_date_sk AS ws_ship_date_sk, customer_sk AS ws_bill_customer_sk, {_HDEMO} AS ws_bill_hdemo_sk, {_SHIP_CUST} AS ws_ship_customer_sk, line_number AS ws_web_page_sk, CAST(supp_sk % 3 + 1 AS INTEGER) AS ws_web_site_sk, CAST(order_number % 5 + 1 AS INTEGER) AS ws_ship_mode_sk, supp_sk AS ws_warehouse_sk, order_number AS ws_order_number')}
+  {_staging_sql('ws', 'channel_code = 6', f'ship_date_sk AS ws_ship_date_sk, customer_sk AS ws_bill_customer_sk, {_HDEMO} AS ws_bill_hdemo_sk, {_SHIP_CUST} AS ws_ship_customer_sk, {_PARTIES.format(p="ws")}, line_number AS ws_web_page_sk, CAST(supp_sk % 3 + 1 AS INTEGER) AS ws_web_site_sk, CAST(order_number % 5 + 1 AS INTEGER) AS ws_ship_mode_sk, supp_sk AS ws_warehouse_sk, order_number AS ws_order_number')}
 ),
-fact_web_sales AS (SELECT * EXCLUDE (ws_ship_date_sk, ws_bill_hdemo_sk, ws_ship_mode_sk, ws_warehouse_sk) FROM web_sales),
+fact_web_sales AS (SELECT * EXCLUDE (ws_bill_cdemo_sk, ws_bill_addr_sk, ws_ship_cdemo_sk, ws_ship_addr_sk, ws_ship_date_sk, ws_bill_hdemo_sk, ws_ship_mode_sk, ws_warehouse_sk) FROM web_sales),
 catalog_sales AS (
-  {_staging_sql('cs', 'channel_code IN (4, 5)', f'ship_date_sk AS cs_ship_date_sk, customer_sk AS cs_bill_customer_sk, {_HDEMO} AS cs_bill_hdemo_sk, {_SHIP_CUST} AS cs_ship_customer_sk, CAST(supp_sk % 4 + 1 AS INTEGER) AS cs_call_center_sk, line_number AS cs_catalog_page_sk, CAST(order_number % 5 + 1 AS INTEGER) AS cs_ship_mode_sk, supp_sk AS cs_warehouse_sk, order_number AS cs_order_number')}
+  {_staging_sql('cs', 'channel_code IN (4, 5)', f'ship_date_sk AS cs_ship_date_sk, customer_sk AS cs_bill_customer_sk, {_HDEMO} AS cs_bill_hdemo_sk, {_SHIP_CUST} AS cs_ship_customer_sk, {_PARTIES.format(p="cs")}, CAST(supp_sk % 4 + 1 AS INTEGER) AS cs_call_center_sk, line_number AS cs_catalog_page_sk, CAST(order_number % 5 + 1 AS INTEGER) AS cs_ship_mode_sk, supp_sk AS cs_warehouse_sk, order_number AS cs_order_number')}
 ),
-fact_catalog_sales AS (SELECT * EXCLUDE (cs_ship_date_sk, cs_bill_hdemo_sk, cs_ship_mode_sk, cs_warehouse_sk) FROM catalog_sales),
+fact_catalog_sales AS (SELECT * EXCLUDE (cs_bill_cdemo_sk, cs_bill_addr_sk, cs_ship_cdemo_sk, cs_ship_addr_sk, cs_ship_date_sk, cs_bill_hdemo_sk, cs_ship_mode_sk, cs_warehouse_sk) FROM catalog_sales),
 store_returns AS (
   SELECT CAST(ship_date_sk + 14 AS INTEGER) AS sr_returned_date_sk, item_sk AS sr_item_sk,
          customer_sk AS sr_customer_sk, supp_sk AS sr_store_sk, line_number AS sr_reason_sk,

@@ -58,7 +58,8 @@ _BLANK_NULL = {
 }
 
 
-def _clean(t: str, exact: bool = False) -> str:
+def clean_rows(t: str) -> str:
+    """The staged rows of a reference table (decimals as double)."""
     cols = []
     for c, _, kind in columns(t, "VARCHAR", "0"):
         e = c
@@ -66,7 +67,7 @@ def _clean(t: str, exact: bool = False) -> str:
             e = f"trim({c})"
         elif c in _BLANK_NULL.get(t, "").split():
             e = f"CASE WHEN trim({c}) <> '' THEN trim({c}) END"
-        elif kind.startswith("decimal") and not exact:
+        elif kind.startswith("decimal"):
             e = f"CAST({c} AS DOUBLE)"
         cols.append(f"{e} AS {c}")
     if t == "reason":
@@ -76,13 +77,13 @@ def _clean(t: str, exact: bool = False) -> str:
 
 
 SQL.update({f"{k}_derived": SQL[k] for k in list(SQL) if k[:3] in ("m01", "m02", "m03", "m04", "m05")})
-SQL.update({f"t{i + 1:02d}_{t}": _clean(t) for i, t in enumerate(REFERENCE)})
+SQL.update({f"t{i + 1:02d}_{t}": clean_rows(t) for i, t in enumerate(REFERENCE)})
 SQL["m01_dim_date"] = f"""
 SELECT d_date_sk AS date_sk, d_date AS full_date, d_year AS year, d_qoy AS quarter, d_moy AS month, d_dom AS day_of_month,
        d_dow AS day_of_week, d_day_name AS day_name, d_week_seq AS week_seq, d_month_seq AS month_seq, d_quarter_seq AS quarter_seq,
        d_holiday IS NOT DISTINCT FROM 'Y' AS is_holiday, d_weekend IS NOT DISTINCT FROM 'Y' AS is_weekend,
        d_current_year IS NOT DISTINCT FROM 'Y' AS is_current_year
-FROM ({_clean("date_dim")}) t"""
+FROM ({clean_rows("date_dim")}) t"""
 SQL["m02_dim_customer"] = f"""
 SELECT c_customer_sk AS customer_sk, c_customer_id AS customer_id, c_first_name AS first_name, c_last_name AS last_name,
        c_salutation AS salutation, c_email_address AS email, c_preferred_cust_flag AS preferred_flag, c_birth_year AS birth_year,
@@ -90,24 +91,24 @@ SELECT c_customer_sk AS customer_sk, c_customer_id AS customer_id, c_first_name
        cd_education_status AS education_status, cd_purchase_estimate AS purchase_estimate, cd_credit_rating AS credit_rating,
        cd_dep_count AS dep_count, ca_city AS city, ca_state AS state, ca_zip AS zip, ca_country AS country,
        ca_gmt_offset AS gmt_offset, c_current_cdemo_sk AS cd_demo_sk, c_current_addr_sk AS ca_address_sk
-FROM ({_clean("customer")}) c LEFT JOIN ({_clean("customer_demographics")}) d ON c_current_cdemo_sk = cd_demo_sk
-LEFT JOIN ({_clean("customer_address")}) a ON c_current_addr_sk = ca_address_sk"""
+FROM ({clean_rows("customer")}) c LEFT JOIN ({clean_rows("customer_demographics")}) d ON c_current_cdemo_sk = cd_demo_sk
+LEFT JOIN ({clean_rows("customer_address")}) a ON c_current_addr_sk = ca_address_sk"""
 SQL["m03_dim_item"] = f"""
 SELECT i_item_sk AS item_sk, i_item_id AS item_id, i_product_name AS product_name, i_brand AS brand, i_brand_id AS brand_id,
        i_class AS "class", i_class_id AS class_id, i_category AS category, i_category_id AS category_id, i_manufact AS manufacturer,
        i_manufact_id AS manufacturer_id, i_size AS size, i_color AS color, i_units AS units, i_container AS container,
        i_current_price AS current_price, i_wholesale_cost AS wholesale_cost, i_rec_start_date AS valid_from, i_rec_end_date AS valid_to
-FROM ({_clean("item")}) t"""
+FROM ({clean_rows("item")}) t"""
 SQL["m04_dim_store"] = f"""
 SELECT s_store_sk AS store_sk, s_store_id AS store_id, s_store_name AS store_name, s_number_employees AS employees,
        s_floor_space AS floor_space, s_hours AS hours, s_manager AS manager, s_market_id AS market_id, s_market_desc AS market_desc,
        s_city AS city, s_state AS state, s_zip AS zip, s_country AS country, s_gmt_offset AS gmt_offset,
        s_tax_precentage AS tax_rate, s_rec_start_date AS valid_from, s_rec_end_date AS valid_to
-FROM ({_clean("store")}) t"""
+FROM ({clean_rows("store")}) t"""
 SQL["m05_dim_promotion"] = f"""
 SELECT p_promo_sk AS promo_sk, p_promo_id AS promo_id, p_promo_name AS promo_name, p_purpose AS purpose, p_cost AS cost,
        p_response_target AS response_target, p_channel_dmail AS channel_dmail, p_channel_email AS channel_email,
        p_channel_catalog AS channel_catalog, p_channel_tv AS channel_tv, p_channel_radio AS channel_radio,
        p_channel_press AS channel_press, p_channel_event AS channel_event, p_channel_demo AS channel_demo,
        p_discount_active AS discount_active
-FROM ({_clean("promotion")}) t"""
+FROM ({clean_rows("promotion")}) t"""

@@ -27,8 +27,9 @@ BASES = {
     "item": "SELECT p_partkey AS k, p_name, p_brand, p_type, p_size, p_retailprice FROM part",
     "supplier": "SELECT s_suppkey AS k, s_name, n_name, r_name, n_regionkey FROM supplier "
                 "LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
-    "priority": "SELECT DISTINCT cast(substr(o_orderpriority, 1, 1) as int) AS k, substr(o_orderpriority, 3) AS p_name FROM orders "
-                "WHERE substr(o_orderpriority, 1, 1) <> '5'",
+    "priority": "SELECT cast(regexp_extract(o_orderpriority, '^([0-9]+)', 1) as int) AS k, "
+                "min(regexp_extract(o_orderpriority, '^[0-9]+-(.*)$', 1)) AS p_name FROM orders "
+                "WHERE regexp_extract(o_orderpriority, '^([0-9]+)', 1) NOT IN ('', '5') GROUP BY 1",
     "nation": "SELECT cast(n_nationkey + 1 as bigint) AS k, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
     "line": "SELECT DISTINCT cast(l_linenumber as bigint) AS k FROM lineitem",
     "twenty": "SELECT DISTINCT c_custkey % 20 + 1 AS k FROM customer",

@@ -38,6 +38,8 @@ from shopstar.functions.dates import julian_key
 from shopstar.functions.numeric import dec, money
 from shopstar.operators.layout import restrict_years
 from shopstar.operators.marts import build_fact
+from shopstar.operators.staging import stage
+from shopstar.sources.rawtables import raw_table
 from shopstar.sources.schemas import raw_schema
 from shopstar.sources.tables import DriverTables
 
@@ -201,6 +203,7 @@ class DerivedMarts:
         hdemo = F.when(F.col("customer_sk").isNotNull(), F.col("customer_sk") % 20 + 1).cast("int")
         if channel == STORE:
             c.update({"ss_customer_sk": F.col("customer_sk"), "ss_hdemo_sk": hdemo,
+                      "ss_cdemo_sk": F.col("customer_sk") % 40 + 1, "ss_addr_sk": F.col("customer_sk"),
                       "ss_store_sk": F.col("supp_sk"), "ss_ticket_number": F.col("order_number"),
                       "ss_net_profit": F.col("net_profit")})
         else:
@@ -212,6 +215,11 @@ class DerivedMarts:
                 f"{p}_bill_customer_sk": F.col("customer_sk"),
                 f"{p}_bill_hdemo_sk": hdemo,
                 f"{p}_ship_customer_sk": ship_cust,
+                f"{p}_bill_cdemo_sk": F.col("customer_sk") % 40 + 1,
+                f"{p}_bill_addr_sk": F.col("customer_sk"),
+                f"{p}_ship_cdemo_sk": ship_cust % 40 + 1,
+                # every third order goes to the payer's own address, whoever receives it
+                f"{p}_ship_addr_sk": F.when(F.col("order_number") % 3 == 0, F.col("customer_sk")).otherwise(ship_cust),
                 f"{p}_ship_mode_sk": (F.col("order_number") % 5 + 1).cast("int"),
                 f"{p}_warehouse_sk": F.col("supp_sk"),
                 f"{p}_order_number": F.col("order_number"),
@@ -445,6 +453,35 @@ class DerivedMarts:
         )
 
     # ------------------------------------------------------- staging reference
+    # the staged reference tables that some reports read beside the marts
+    @cached_property
+    def date_dim(self) -> DataFrame:
+        return stage("date_dim", raw_table(self.t, "date_dim"))
+
+    @cached_property
+    def customer(self) -> DataFrame:
+        return stage("customer", raw_table(self.t, "customer"))
+
+    @cached_property
+    def customer_demographics(self) -> DataFrame:
+        return stage("customer_demographics", raw_table(self.t, "customer_demographics"))
+
+    @cached_property
+    def customer_address(self) -> DataFrame:
+        return stage("customer_address", raw_table(self.t, "customer_address"))
+
+    @cached_property
+    def item(self) -> DataFrame:
+        return stage("item", raw_table(self.t, "item"))
+
+    @cached_property
+    def store(self) -> DataFrame:
+        return stage("store", raw_table(self.t, "store"))
+
+    @cached_property
+    def promotion(self) -> DataFrame:
+        return stage("promotion", raw_table(self.t, "promotion"))
+
     @cached_property
     def warehouse(self) -> DataFrame:
         s = self.t.supplier
