@@ -297,9 +297,29 @@ class _ChannelUnion:
                 f = restrict_years(f, f"{p}_sold_date_sk", years)
             parts.append(f.select(F.lit(ch).alias("channel"), F.col(f"{p}_item_sk").alias("item_sk"),
                                   F.col(f"{p}_sold_date_sk").alias("sold_date_sk"),
-                                  *[F.col(f"{p}_{m}").alias(m) for m in measures]))
+                                  *[self._measure(p, m).alias(m) for m in measures]))
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
+    @staticmethod
+    def _measure(p: str, measure: str):
+        if p == "ss" and measure == "order_number":
+            return F.col("ss_ticket_number")
+        if p == "ss" and measure == "ext_ship_cost":  # nothing is shipped from a store
+            return F.lit(0).cast("decimal(12,2)")
+        return F.col(f"{p}_{measure}")
+
+    def all_returns(self) -> DataFrame:
+        """The three return tables as one frame (channel, order number, item, net loss)."""
+        parts = [getattr(self, f"{ch}_returns").select(F.lit(ch).alias("channel"), F.col(f"{p}_{num}").alias("order_number"),
+                                                       F.col(f"{p}_item_sk").alias("item_sk"), F.col(f"{p}_net_loss").alias("net_loss"))
+                 for ch, p, num in (("store", "sr", "ticket_number"), ("web", "wr", "order_number"), ("catalog", "cr", "order_number"))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    @property
+    def inventory_latest(self) -> DataFrame:
+        """Inventory positions of the last snapshot date."""
+        return self.inventory.where(F.col("inv_date_sk") == self.inventory.select(F.max("inv_date_sk")).scalar())
+
 
 class MartFrames(_ChannelUnion):
     """Marts given as named DataFrames (e.g. freshly built, or hand-made in tests)."""

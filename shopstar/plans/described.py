@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shopstar.functions.dates import days_between_keys, safe_make_date
 from shopstar.functions.numeric import exact_avg, pct, ratio, to_double
+from shopstar.plans.examples import every_channel
 
 CHANNELS = ["store", "web", "catalog"]
 AGE_AS_OF = _dt.date(2002, 1, 1)
@@ -177,38 +178,23 @@ def sale_time_profile(m) -> DataFrame:
 
 
 def basket_by_channel(m) -> DataFrame:
-    """Receipts per channel, average lines and average value per receipt."""
-    out = None
-    for ch, f, key, paid in (("store", m.fact_store_sales, "ss_ticket_number", "ss_net_paid"),
-                             ("web", m.fact_web_sales, "ws_order_number", "ws_net_paid"),
-                             ("catalog", m.fact_catalog_sales, "cs_order_number", "cs_net_paid")):
-        per = f.groupBy(key).agg(_n().alias("lines"), F.sum(paid).alias("value"))
-        g = per.agg(_n().alias("receipts"), F.sum("lines").cast("decimal(20,0)").alias("lines"),
-                    F.sum("value").alias("value"), F.count("value").alias("n_value"))
-        g = g.select(F.lit(ch).alias("channel"), "receipts",
-                     to_double(exact_avg("lines", "receipts")).alias("avg_lines"),
-                     to_double(exact_avg("value", "n_value")).alias("avg_receipt_value"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """Receipts per channel, average lines and average value per receipt (one pass over the lines)."""
+    lines = m.all_channel_lines("order_number", "net_paid")
+    per = lines.groupBy("channel", "order_number").agg(_n().alias("lines"), F.sum("net_paid").alias("value"))
+    g = per.groupBy("channel").agg(_n().alias("receipts"), F.sum("lines").cast("decimal(20,0)").alias("lines"),
+                                   F.sum("value").alias("value"), F.count("value").alias("n_value"))
+    g = g.select("channel", "receipts", to_double(exact_avg("lines", "receipts")).alias("avg_lines"),
+                 to_double(exact_avg("value", "n_value")).alias("avg_receipt_value"))
+    return every_channel(g.sparkSession, g).fillna(0, ["receipts"])
 
 
 def return_match(m) -> DataFrame:
     """Returns per channel, those matching a sale on (number, item), and net loss."""
-    specs = (("store", m.store_returns, "sr_ticket_number", "sr_item_sk", "sr_net_loss",
-              m.fact_store_sales, "ss_ticket_number", "ss_item_sk"),
-             ("web", m.web_returns, "wr_order_number", "wr_item_sk", "wr_net_loss",
-              m.fact_web_sales, "ws_order_number", "ws_item_sk"),
-             ("catalog", m.catalog_returns, "cr_order_number", "cr_item_sk", "cr_net_loss",
-              m.fact_catalog_sales, "cs_order_number", "cs_item_sk"))
-    out = None
-    for ch, r, rn, ri, loss, f, fn, fi in specs:
-        # distinct sale keys: the LEFT JOIN then cannot multiply return rows
-        keys = f.select(F.col(fn).alias("k1"), F.col(fi).alias("k2")).distinct()
-        j = r.join(keys, (r[rn] == keys.k1) & (r[ri] == keys.k2), "left")
-        g = j.agg(_n().alias("returns"), F.count("k1").alias("matched_returns"), F.sum(loss).alias("net_loss"))
-        g = g.select(F.lit(ch).alias("channel"), "returns", "matched_returns", to_double("net_loss").alias("net_loss"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    # distinct sale keys: the LEFT JOIN then cannot multiply return rows
+    keys = m.all_channel_lines("order_number").select("channel", "order_number", "item_sk").distinct().withColumn("sold", F.lit(1))
+    g = (m.all_returns().join(keys, ["channel", "order_number", "item_sk"], "left").groupBy("channel")
+         .agg(_n().alias("returns"), F.count("sold").alias("matched_returns"), to_double(F.sum("net_loss")).alias("net_loss")))
+    return every_channel(g.sparkSession, g).fillna(0, ["returns", "matched_returns"])
 
 
 def refund_mismatch(m) -> DataFrame:
@@ -223,29 +209,24 @@ def refund_mismatch(m) -> DataFrame:
 
 
 def money_identity_check(m) -> DataFrame:
-    """Rows per channel that break the documented money identities.
+    """Rows per channel that break the documented money identities (one pass over the lines).
 
     net_paid = ext_sales_price - coupon_amt; ext_sales_price = ext_list_price
     - ext_discount_amt; net_paid_inc_tax = net_paid + ext_tax; net_profit =
     net_paid - ext_wholesale_cost (web/catalog: minus ext_ship_cost too).
     """
-    out = None
-    for ch, f, p in (("store", m.fact_store_sales, "ss"), ("web", m.fact_web_sales, "ws"),
-                     ("catalog", m.fact_catalog_sales, "cs")):
-        c = lambda n: F.col(f"{p}_{n}")
-        profit = c("net_paid") - c("ext_wholesale_cost")
-        if p != "ss":
-            profit = profit - c("ext_ship_cost")
-        checks = {
-            "bad_net_paid": c("net_paid") != c("ext_sales_price") - c("coupon_amt"),
-            "bad_sales_price": c("ext_sales_price") != c("ext_list_price") - c("ext_discount_amt"),
-            "bad_inc_tax": c("net_paid_inc_tax") != c("net_paid") + c("ext_tax"),
-            "bad_profit": c("net_profit") != profit,
-        }
-        g = f.agg(_n().alias("line_items"), *[F.count(F.when(v, 1)).alias(k) for k, v in checks.items()])
-        g = g.select(F.lit(ch).alias("channel"), "*")
-        out = g if out is None else out.unionByName(g)
-    return out
+    lines = m.all_channel_lines("net_paid", "ext_sales_price", "coupon_amt", "ext_list_price", "ext_discount_amt", "net_paid_inc_tax",
+                                "ext_tax", "net_profit", "ext_wholesale_cost", "ext_ship_cost")
+    c = F.col
+    shipping = F.when(c("channel") != "store", c("ext_ship_cost")).otherwise(F.lit(0))
+    checks = {
+        "bad_net_paid": c("net_paid") != c("ext_sales_price") - c("coupon_amt"),
+        "bad_sales_price": c("ext_sales_price") != c("ext_list_price") - c("ext_discount_amt"),
+        "bad_inc_tax": c("net_paid_inc_tax") != c("net_paid") + c("ext_tax"),
+        "bad_profit": c("net_profit") != c("net_paid") - c("ext_wholesale_cost") - shipping,
+    }
+    g = lines.groupBy("channel").agg(_n().alias("line_items"), *[F.count(F.when(v, 1)).alias(k) for k, v in checks.items()])
+    return every_channel(g.sparkSession, g).fillna(0, ["line_items", *checks])
 
 
 def call_center_revenue(m) -> DataFrame:

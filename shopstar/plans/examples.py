@@ -28,11 +28,6 @@ def _by_key(df: DataFrame, key: str, measure: str) -> DataFrame:
     return df.groupBy(key).agg(_n().alias("n"), F.sum(measure).alias("s"))
 
 
-def _latest(df: DataFrame, col: str):
-    """Uncorrelated scalar subquery ``(SELECT MAX(col) FROM df)``."""
-    return df.select(F.max(col)).scalar()
-
-
 # ------------------------------------------------------------------ mart docs
 def star_join(m, customer_cols=(), promo_cols=()) -> DataFrame:
     """The universal star-join template (line grain).
@@ -112,11 +107,11 @@ def preferred_revenue(m) -> DataFrame:
 
 
 def _category_revenue(m, fact: DataFrame, item_key: str, paid: str) -> DataFrame:
-    """Join first with the (planner-broadcast) item dimension, then aggregate per category."""
-    f = fact.select(item_key, paid)
+    """Revenue per item first, then per category: the join moves one row per item."""
+    per = _by_key(fact, item_key, paid)
     i = m.dim_item.select("item_sk", "category")
-    return (f.join(i, f[item_key] == i.item_sk)
-            .groupBy("category").agg(to_double(F.sum(paid)).alias("revenue"))
+    return (per.join(i, per[item_key] == i.item_sk)
+            .groupBy("category").agg(to_double(F.sum("s")).alias("revenue"))
             .orderBy(F.col("revenue").desc_nulls_first()))
 
 
@@ -127,11 +122,11 @@ def store_category_revenue(m) -> DataFrame:
 
 def brand_margin(m, top: int = 20) -> DataFrame:
     """Revenue, cost, gross profit and margin by brand (margin base = ext_sales_price)."""
-    f = m.fact_store_sales.select("ss_item_sk", "ss_ext_sales_price", "ss_ext_wholesale_cost", "ss_net_profit")
+    per = m.fact_store_sales.groupBy("ss_item_sk").agg(
+        F.sum("ss_ext_sales_price").alias("rev"), F.sum("ss_ext_wholesale_cost").alias("cost"), F.sum("ss_net_profit").alias("gp"))
     i = m.dim_item.select("item_sk", "brand")
-    g = (f.join(i, f.ss_item_sk == i.item_sk).groupBy("brand")
-         .agg(F.sum("ss_ext_sales_price").alias("rev"), F.sum("ss_ext_wholesale_cost").alias("cost"),
-              F.sum("ss_net_profit").alias("gp")))
+    g = (per.join(i, per.ss_item_sk == i.item_sk).groupBy("brand")
+         .agg(F.sum("rev").alias("rev"), F.sum("cost").alias("cost"), F.sum("gp").alias("gp")))
     out = g.select("brand", to_double("rev").alias("revenue"), to_double("cost").alias("cost"),
                    to_double("gp").alias("gross_profit"), to_double(pct("gp", "rev")).alias("margin_pct"), "gp")
     return out.orderBy(F.col("gp").desc_nulls_first(), F.col("brand").asc_nulls_last()).limit(top).drop("gp")
@@ -213,24 +208,17 @@ def catalog_promotions(m) -> DataFrame:
             .orderBy(F.col("revenue").desc_nulls_first()))
 
 
-def _channel_paid(m) -> DataFrame:
-    return (m.fact_store_sales.select(F.lit("store").alias("channel"), F.col("ss_net_paid").alias("revenue"))
-            .unionByName(m.fact_web_sales.select(F.lit("web").alias("channel"), F.col("ws_net_paid").alias("revenue")))
-            .unionByName(m.fact_catalog_sales.select(F.lit("catalog").alias("channel"),
-                                                     F.col("cs_net_paid").alias("revenue"))))
-
-
 def channel_union_revenue(m) -> DataFrame:
     """Union the three facts, then group by channel."""
-    return (_channel_paid(m).groupBy("channel").agg(to_double(F.sum("revenue")).alias("total_revenue"))
+    return (m.all_channel_lines("net_paid").groupBy("channel").agg(to_double(F.sum("net_paid")).alias("total_revenue"))
             .orderBy(F.col("total_revenue").desc_nulls_first()))
 
 
 def top_products(m, top: int = 10) -> DataFrame:
     """Most profitable products (name x category)."""
-    f = m.fact_store_sales.select("ss_item_sk", "ss_net_profit")
+    per = m.fact_store_sales.groupBy("ss_item_sk").agg(F.sum("ss_net_profit").alias("p"))
     i = m.dim_item.select("item_sk", "product_name", "category")
-    g = f.join(i, f.ss_item_sk == i.item_sk).groupBy("product_name", "category").agg(F.sum("ss_net_profit").alias("p"))
+    g = per.join(i, per.ss_item_sk == i.item_sk).groupBy("product_name", "category").agg(F.sum("p").alias("p"))
     return (g.orderBy(F.col("p").desc_nulls_first(), F.col("product_name").asc_nulls_last(),
                       F.col("category").asc_nulls_last()).limit(top)
             .select("product_name", "category", to_double("p").alias("profit")))
@@ -259,13 +247,16 @@ def gift_line_items(m) -> DataFrame:
     return f.filter(cond).agg(_n().alias("gift_line_items"))
 
 
+def every_channel(spark, per: DataFrame) -> DataFrame:
+    """Three rows, whatever channels ``per`` (one row a channel) holds."""
+    names = spark.range(3).select(F.element_at(F.array(F.lit("store"), F.lit("web"), F.lit("catalog")), (F.col("id") + 1).cast("int")).alias("channel"))
+    return names.join(per, "channel", "left")
+
+
 def channel_totals(m) -> DataFrame:
-    """Aggregate each fact, then union the three one-row results."""
-    return (m.fact_web_sales.agg(to_double(F.sum("ws_net_paid")).alias("revenue")).select(F.lit("web").alias("channel"), "revenue")
-            .unionByName(m.fact_store_sales.agg(to_double(F.sum("ss_net_paid")).alias("revenue"))
-                         .select(F.lit("store").alias("channel"), "revenue"))
-            .unionByName(m.fact_catalog_sales.agg(to_double(F.sum("cs_net_paid")).alias("revenue"))
-                         .select(F.lit("catalog").alias("channel"), "revenue")))
+    """Revenue of each fact, a row for each even if it is empty; one pass over the lines."""
+    per = m.all_channel_lines("net_paid").groupBy("channel").agg(to_double(F.sum("net_paid")).alias("revenue"))
+    return every_channel(per.sparkSession, per)
 
 
 # --------------------------------------------------------------- staging docs
@@ -284,9 +275,7 @@ def _item_names(m) -> DataFrame:
 
 def lowest_current_stock(m, top: int = 20) -> DataFrame:
     """Items with the lowest stock on the latest snapshot date."""
-    inv = m.inventory
-    cur = inv.filter(F.col("inv_date_sk") == _latest(inv, "inv_date_sk"))
-    per = cur.groupBy("inv_item_sk").agg(F.sum("inv_quantity_on_hand").alias("q"))
+    per = m.inventory_latest.groupBy("inv_item_sk").agg(F.sum("inv_quantity_on_hand").alias("q"))
     i = _item_names(m)
     g = (per.join(i, per.inv_item_sk == i.i_item_sk).groupBy("i_product_name", "i_category")
          .agg(F.sum("q").alias("total_stock")))
@@ -306,8 +295,7 @@ def item_stock_trend(m, item_sk: int = 1) -> DataFrame:
 
 def low_stock(m, below: int = 10) -> DataFrame:
     """Item x warehouse positions under a threshold on the latest date."""
-    inv = m.inventory
-    cur = inv.filter((F.col("inv_date_sk") == _latest(inv, "inv_date_sk")) & (F.col("inv_quantity_on_hand") < below))
+    cur = m.inventory_latest.filter(F.col("inv_quantity_on_hand") < below)
     i = _item_names(m)
     w = m.warehouse.select("w_warehouse_sk", "w_warehouse_name")
     return (cur.join(i, cur.inv_item_sk == i.i_item_sk).join(w, cur.inv_warehouse_sk == w.w_warehouse_sk)
@@ -366,9 +354,7 @@ def stock_by_warehouse(m, latest_only: bool = False) -> DataFrame:
     does, though stock is semi-additive).  ``latest_only=True`` sums only
     the latest snapshot date.
     """
-    inv = m.inventory
-    if latest_only:
-        inv = inv.filter(F.col("inv_date_sk") == _latest(inv, "inv_date_sk"))
+    inv = m.inventory_latest if latest_only else m.inventory
     per = inv.groupBy("inv_warehouse_sk").agg(F.sum("inv_quantity_on_hand").alias("q"))
     w = m.warehouse.select("w_warehouse_sk", "w_warehouse_name", "w_state")
     return (per.join(w, per.inv_warehouse_sk == w.w_warehouse_sk).groupBy("w_warehouse_name", "w_state")

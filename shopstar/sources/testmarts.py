@@ -305,6 +305,13 @@ class DerivedMarts:
                         .otherwise(F.col("customer_sk")).alias(f"{p}_refunded_customer_sk"))
         return b.select(*cols)
 
+    def all_returns(self) -> DataFrame:
+        """All channels' returns from one pass over the lines."""
+        ch = (F.when(F.col("channel_code") <= 3, F.lit(STORE)).when(F.col("channel_code") <= 5, F.lit(CATALOG)).otherwise(F.lit(WEB)))
+        return self._lines().filter(F.col("return_flag") == "R").select(
+            ch.alias("channel"), "order_number", "item_sk",
+            F.round(F.col("net_paid") * dec("0.10"), 2).cast("decimal(12,2)").alias("net_loss"))
+
     @cached_property
     def store_returns(self) -> DataFrame:
         return self._returns(STORE)
@@ -324,10 +331,16 @@ class DerivedMarts:
 
         The calendar is bounded by days, so no report that uses it reads the sales again for its span.
         """
+        first, last, _ = self._bounds
+        return (first.year, last.year) if last else (0, 0)
+
+    @cached_property
+    def _bounds(self) -> tuple:
+        """First and last day of orders and shipments, and the last shipment."""
         day = lambda t, c: t.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-        both = day(self.t.orders, "o_orderdate").unionByName(day(self.t.lineitem, "l_shipdate"))
-        row = both.agg(F.year(F.min("lo")).alias("lo"), F.year(F.max("hi")).alias("hi")).first()
-        return row["lo"] or 0, row["hi"] or 0
+        shipped = day(self.t.lineitem, "l_shipdate").withColumn("ship", F.col("hi"))
+        both = day(self.t.orders, "o_orderdate").unionByName(shipped, allowMissingColumns=True)
+        return tuple(both.agg(F.min("lo"), F.max("hi"), F.max("ship")).first())
 
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -493,7 +506,17 @@ class DerivedMarts:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        li = self.t.lineitem
+        return self._positions(self.t.lineitem)
+
+    @cached_property
+    def inventory_latest(self) -> DataFrame:
+        """The last month's positions; the month is known from the session's bounds, so the scan reads only it."""
+        last = self._bounds[2]
+        start = dt.datetime(last.year, last.month, 1) if last else dt.datetime(9999, 1, 1)
+        return self._positions(self.t.lineitem.filter(F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz")))
+
+    @staticmethod
+    def _positions(li: DataFrame) -> DataFrame:
         return (li.groupBy(julian_key(F.trunc(F.col("l_shipdate").cast("date"), "month")).alias("inv_date_sk"),
                            F.col("l_partkey").alias("inv_item_sk"),
                            F.col("l_suppkey").alias("inv_warehouse_sk"))
