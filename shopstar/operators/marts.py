@@ -331,9 +331,12 @@ class MartFrames(_ChannelUnion):
 class WrittenMarts(_ChannelUnion):
     """Marts read back from a written warehouse folder (same interface as DerivedMarts)."""
 
-    def __init__(self, spark: SparkSession, marts_dir: str):
+    def __init__(self, spark: SparkSession, marts_dir: str, log_path: str | None = None):
+        """``log_path``: a run log that jobs append to; the run-log reports then read it."""
         self.spark = spark
         self.dir = marts_dir.rstrip("/")
+        if log_path:
+            self.run_log = spark.read.parquet(log_path)
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}")

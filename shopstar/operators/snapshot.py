@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shopstar.operators.layout import write_table
+from shopstar.operators.runlog import log_run
 
 MANIFEST = "_manifest"
 MANIFEST_SCHEMA = ("snapshot_id string, created_at timestamp, mode string, table_name string, rows bigint, "
@@ -47,12 +48,18 @@ def _file_stats(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, mode: str = "marts",
-             snapshot_id: str | None = None, schema_only: bool = False) -> str:
+             snapshot_id: str | None = None, schema_only: bool = False, log_path: str | None = None) -> str:
     """Write each table and the manifest; returns the snapshot folder.
 
+    With ``log_path`` the run is appended to the run log (K06): its type, outcome, size and duration, also when
+    it fails.
+
     ``schema_only=True`` is the schema-only export: the manifest records
     each table's schema and no data is written.
     """
+    if log_path:
+        return _logged(spark, log_path, f"{'schema' if schema_only else mode}_snapshot", root,
+                       lambda: snapshot(spark, tables, root, mode, snapshot_id, schema_only))
     sid = snapshot_id or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
     base = f"{root.rstrip('/')}/{sid}"
     created = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
@@ -73,6 +80,18 @@ def snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, mode:
     return base
 
 
+def _logged(spark: SparkSession, log_path: str, kind: str, root: str, run) -> str:
+    started, clock = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), time.time()
+    try:
+        base = run()
+    except Exception as ex:
+        log_run(spark, log_path, kind, "failed", None, int(time.time() - clock), str(ex)[:200], started)
+        raise
+    size = read_manifest(spark, base).agg(F.sum("bytes")).first()[0]
+    log_run(spark, log_path, kind, "success", size, int(time.time() - clock), base, started)
+    return base
+
+
 def read_manifest(spark: SparkSession, snapshot_path: str) -> DataFrame:
     return spark.read.parquet(f"{snapshot_path.rstrip('/')}/{MANIFEST}")
 

@@ -33,9 +33,8 @@ def star_join(m, customer_cols=(), promo_cols=()) -> DataFrame:
     """The universal star-join template (line grain).
 
     Inner joins to date, item, store; LEFT JOINs to customer and promotion
-    keep anonymous and non-promoted sales.  A LEFT JOIN on a dimension's
-    checked primary key (S12) cannot change the row count, so it is only
-    planned when that dimension contributes columns.
+    keep anonymous and non-promoted sales; they are planned when their
+    dimension contributes columns (the registered form uses all five joins).
     """
     f = m.fact_store_sales
     d = F.broadcast(m.dim_date.select("date_sk", "full_date", "year", "month"))   # bounded by days

@@ -67,9 +67,10 @@ ON_HAND = "CAST(sum(inv_quantity_on_hand) AS BIGINT) AS total_stock"
 SQL = {
     "d01_star_join": over_sales("""
 SELECT full_date, year, month, category, brand, quantity AS ss_quantity, CAST(net_paid AS DOUBLE) AS ss_net_paid,
-       CAST(profit AS DOUBLE) AS ss_net_profit
-FROM sale, dim_date, dim_item, dim_store
-WHERE channel = 'store' AND sale.date_sk = dim_date.date_sk AND sale.item_sk = dim_item.item_sk AND sale.store_sk = dim_store.store_sk"""),
+       CAST(profit AS DOUBLE) AS ss_net_profit, customer_id, dim_customer.state, promo_name
+FROM sale JOIN dim_date USING (date_sk) JOIN dim_item ON dim_item.item_sk = sale.item_sk JOIN dim_store USING (store_sk)
+LEFT JOIN dim_customer ON dim_customer.customer_sk = sale.customer_sk LEFT JOIN dim_promotion ON dim_promotion.promo_sk = sale.promo_sk
+WHERE channel = 'store'"""),
     "d02_monthly_store_revenue": grouped("store", "year, month", {"dim_date": "date_sk"}, revenue=PAID),
     "d03_holiday_revenue": grouped("store", "is_holiday", {"dim_date": "date_sk"}, transactions=ROWS, revenue=PAID),
     "d04_revenue_by_education": grouped("store", "education_status", {"dim_customer": "customer_sk"}, optional=True, revenue=PAID, orders=ROWS),

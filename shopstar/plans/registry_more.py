@@ -8,7 +8,7 @@ from shopstar.plans import examples as D
 
 def _examples(on):
     return {
-        "d01_star_join": on(D.star_join),
+        "d01_star_join": on(D.star_join, customer_cols=("customer_id", "state"), promo_cols=("promo_name",)),
         "d02_monthly_store_revenue": on(D.monthly_store_revenue),
         "d03_holiday_revenue": on(D.holiday_revenue),
         "d04_revenue_by_education": on(D.revenue_by_education),
@@ -50,10 +50,12 @@ def more_queries(on):
     out.update(_examples(on))
     from shopstar.plans import described as N
     from shopstar.plans import operations as O
+    from shopstar.plans import tableops as X
     from shopstar.plans import tables as T
     out.update(N.registry(on))
     out.update(O.registry(on))
     out.update(T.registry(on))
+    out.update(X.registry(on))
     return out
 
 
@@ -62,8 +64,10 @@ def more_sql():
     out = dict(DSQL)
     from shopstar.plans.described_sql import SQL as NSQL
     from shopstar.plans.operations_sql import SQL as OSQL
+    from shopstar.plans.tableops_sql import SQL as XSQL
     from shopstar.plans.tables_sql import SQL as TSQL
     out.update(NSQL)
     out.update(OSQL)
     out.update(TSQL)
+    out.update(XSQL)
     return out
