@@ -35,7 +35,7 @@ DOCS_PER_LANG = 800  # documents of a language that are counted, about
 CALIBRATE = 200  # further documents of a language for the calibration, about
 UNKNOWN = "und"
 STEADY = 200  # letters at which a text's cross-entropy varies as usual; shorter ones vary more
-REJECT_AT = 8.0  # deviations beyond the usual cross-entropy, at least
+REJECT_AT = 25.0  # deviations beyond the usual cross-entropy, at least: mixed languages and codes in a text stay below
 
 WORD = re.compile(r"[^\W\d_]+")
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,

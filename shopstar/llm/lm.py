@@ -38,8 +38,7 @@ from shopstar.llm.common import cut
 
 ORDER = 2
 BLOCK_BYTES = 8 << 20  # text that a block holds, a longer document alone
-BUCKETS_BASE = 2  # context counts are bucketed by powers of this
-MAX_BUCKET = 24
+MAX_BUCKET = 24  # contexts are bucketed by the power of two of their count, up to this one
 CELLS = 8  # histogram cells a factor of e in an estimate
 EM_ROUNDS = 60
 END = 0  # word number of the end token in every block

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shopstar.llm.common import cut
+from shopstar.llm.common import cut, small
 
 BLOCK_ROWS = 4096  # candidates in a block: 64 components are 1 MB
 QUERY_ROWS = 512  # queries in a block
@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     if queries.isEmpty():
         return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     per_dim = queries.groupBy("dim").agg(F.max("block").alias("__last"))  # one row a vector length
-    blocks = _blocks(v, BLOCK_ROWS).join(F.broadcast(per_dim), "dim")
+    blocks = _blocks(v, BLOCK_ROWS).join(small(per_dim, per_dim.count()), "dim")
     pairs = blocks.withColumn("qblock", F.explode(F.sequence(F.lit(0), "__last"))).drop("__last")
     q = queries.select("dim", F.col("block").alias("qblock"), F.col("rows").alias("qrows"), F.col("ids").alias("qids"),
                        F.col("m").alias("qm"))
