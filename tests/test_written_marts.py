@@ -55,7 +55,7 @@ def test_null_dates_land_in_default_partition_and_reload_is_dynamic(spark, tmp_p
     parts = sorted(os.listdir(path))
     assert "sold_ym=200101" in parts and "sold_ym=200102" in parts and "sold_ym=__HIVE_DEFAULT_PARTITION__" in parts
     # reload January only: February and the unknown partition stay untouched
-    write_fact(spark.createDataFrame([(2451912, 9, Decimal("9.00"))], df.schema), path, "ss_sold_date_sk")
+    write_fact(spark.createDataFrame([(2451912, 9, Decimal("9.00"))], df.schema), path, "ss_sold_date_sk", months=(200101, 200101))
     back = {r.ss_item_sk for r in spark.read.parquet(path).collect()}
     assert back == {9, 2, 3}
     rep = {r.partition: r.rows for r in partition_report(spark.read.parquet(path), "ss_sold_date_sk").collect()}
