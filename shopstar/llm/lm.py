@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopstar.llm.common import cut
+from shopstar.llm.common import cut, release
 
 ORDER = 2
 BLOCK_BYTES = 8 << 20  # text that a block holds, a longer document alone
@@ -115,26 +115,31 @@ def block_grams(hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order:
 
 
 def blocks(docs: DataFrame, order: int) -> DataFrame:
-    """Encoded blocks: id, documents (row numbers by ``__id`` and ``__part``), word hashes, tokens, sizes."""
-    schema = "block long, ids array<long>, part array<int>, hashes binary, codes binary, sizes array<long>"
+    """Encoded blocks: id, documents (``__id`` and ``__part``), word hashes, tokens, sizes.
+
+    Held-out documents have blocks of their own, so learning the weights moves no others.
+    """
+    schema = "block long, held boolean, ids array<long>, part array<int>, hashes binary, codes binary, sizes array<long>"
 
     def make(rows: list) -> pd.DataFrame:
         hashes, codes, sizes = encode([r[2] for r in rows])
-        return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "ids": [[r[0] for r in rows]], "part": [[r[1] for r in rows]],
+        return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "held": [rows[0][1] == HELD], "ids": [[r[0] for r in rows]], "part": [[r[1] for r in rows]],
                              "hashes": [pack(hashes)], "codes": [pack(codes)], "sizes": [sizes.tolist()]})
 
     def gather(batches: Iterator[pd.DataFrame]):
-        rows, size = [], 0
+        rows, size = {True: [], False: []}, {True: 0, False: 0}
         for pdf in batches:
             ids = [None if x is None or x != x else int(x) for x in pdf["__id"].astype(object)]
             for r in zip(ids, pdf["__part"].tolist(), pdf["__text"]):
-                rows.append(r)
-                size += len(r[2] or "") + 16
-                if size >= BLOCK_BYTES:
-                    yield make(rows)
-                    rows, size = [], 0
-        if rows:
-            yield make(rows)
+                held = r[1] == HELD
+                rows[held].append(r)
+                size[held] += len(r[2] or "") + 16
+                if size[held] >= BLOCK_BYTES:
+                    yield make(rows[held])
+                    rows[held], size[held] = [], 0
+        for rest in rows.values():
+            if rest:
+                yield make(rest)
     return docs.select("__id", "__part", "__text").mapInPandas(gather, schema)
 
 
@@ -248,21 +253,19 @@ def score(docs: DataFrame, train: Column, held: Column, id_col: str = "doc_id",
     enc = cut(blocks(rows, order))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     back = cut(sum_counts(send_counts(enc, order, n)))
+    release(docs.sparkSession)  # the n-grams sent are the largest shuffle; the counts are kept
     stats = {r["length"]: r for r in back.groupBy("length").agg(
         F.sum("kinds").alias("kinds"), F.sum("kinds_train").alias("kinds_train"), F.sum("tokens").alias("tokens"),
         F.sum("tokens_train").alias("tokens_train")).collect()}  # one row an n-gram length
     if not stats:
         return docs.sparkSession.createDataFrame([], f"{id_col} long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     one = stats[1]
-    filled = _with_counts(enc, back)
 
     def histogram(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 grams, sizes, token_part, doc_part = opened(r, order)
                 rows = token_part == HELD
-                if not rows.any():
-                    continue
                 counts = [g.spread(c) for g, c in zip(grams, _received(r, grams, "train"))]
                 bucket, p = estimates(counts, sizes, one["tokens_train"], one["kinds_train"])
                 cell = np.where(p > 0, 1 + np.round(-CELLS * np.log(np.maximum(p, 1e-300))).astype(int), 0)
@@ -271,7 +274,7 @@ def score(docs: DataFrame, train: Column, held: Column, id_col: str = "doc_id",
 
     names = [f"c{k}" for k in range(order + 1)]
     # cells: buckets times the cells of each estimate, whatever the size of the corpus
-    cells = (filled.mapInPandas(histogram, ", ".join(f"{c} int" for c in names) + ", bucket int, n long")
+    cells = (_with_counts(enc.where("held"), back).mapInPandas(histogram, ", ".join(f"{c} int" for c in names) + ", bucket int, n long")
              .groupBy(*names, "bucket").agg(F.sum("n").alias("n")).toPandas())
     weights = learn_weights(cells.sort_values([*names, "bucket"]), order)
 
@@ -289,7 +292,7 @@ def score(docs: DataFrame, train: Column, held: Column, id_col: str = "doc_id",
                                     "n_tokens": sizes, "n_known": np.add.reduceat((counts[0] > 0).astype(np.int64), start),
                                     "train_tokens": one["tokens"], "base_score": np.add.reduceat(base, start),
                                     "score": np.add.reduceat(mixed, start)})
-    return filled.mapInPandas(rate, f"{id_col} long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _with_counts(enc, back).mapInPandas(rate, f"{id_col} long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _with_counts(enc: DataFrame, back: DataFrame) -> DataFrame:
