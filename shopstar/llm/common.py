@@ -79,6 +79,14 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, train: Colum
     return parts[0].unionByName(parts[1])
 
 
+def one_per_id(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row of every ``__id`` (and ``keys``): the one whose ``__text`` has the smallest hash.
+
+    So an id that fills much of a table weighs no more than another, and a sample of ids bounds the rows.
+    """
+    return rows.groupBy("__id", *keys).agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+
+
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of all columns in which nulls count."""
     return F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])

@@ -14,7 +14,7 @@ score, and each language's usual cross-entropy, beyond which a text is rejected
 Cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; letters that no language has fall back to the models' floor; a table
 without a usable language gives ``und`` throughout; rows that repeat an id are
-judged each; extra columns are kept.
+judged each, one of them a language is learnt from; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopstar.llm.common import cut
+from shopstar.llm.common import cut, one_per_id
 
 ORDER = 4
 DOCS_PER_LANG = 800  # documents of a language that are counted, about
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     first = F.create_map(*[F.lit(x) for lang, (a, _) in parts.items() for x in (lang, a)])
     upto = F.create_map(*[F.lit(x) for lang, (_, b) in parts.items() for x in (lang, b)])
     draw = F.pmod(F.xxhash64("__id"), F.lit(scale))
-    sample = cut(rows.where(draw < F.element_at(upto, F.col("__lang")))
+    sample = cut(one_per_id(rows.where(draw < F.element_at(upto, F.col("__lang"))), "__lang")
                  .withColumn("__count", draw < F.element_at(first, F.col("__lang"))))
 
     def count(batches):

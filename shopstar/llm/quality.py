@@ -11,7 +11,8 @@ similarity, weighted so that the labels keep their true shares.
 
 Cases: a null or empty text is like no other: it scores the share of label 1;
 without labelled rows every score is 0, with one label only it is that label;
-rows that repeat an id are scored each; extra columns are kept.
+rows that repeat an id are scored each, one of them is learnt from; extra columns
+are kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopstar.llm.common import cut, labelled_sample, small
+from shopstar.llm.common import cut, labelled_sample, one_per_id, small
 
 PER_LABEL = 2000  # labelled documents of each label that are fitted and broadcast
 RANK = 32
@@ -91,14 +92,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     counts = (labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("y")).where(train)
               .agg(F.count(F.when(F.col("y") == 0, 1)).alias("n0"), F.count(F.when(F.col("y") == 1, 1)).alias("n1")).first())
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    sample = texts.join(small(ids, 2 * per_label), "__id").select(F.xxhash64("__id", "__text").alias("order"), "__label", "__text")
+    sample = one_per_id(texts.join(small(ids, 2 * per_label), "__id"), "__label").select(F.xxhash64("__id", "__text").alias("order"), "__label", "__text")
 
     def extract(batches):
         for pdf in batches:
             yield pd.DataFrame({"order": pdf["order"], "label": pdf["__label"].astype("int32"),
                                 "v": [term_vector(t).tobytes() for t in pdf["__text"]]})
 
-    # at most 2 * per_label rows (repeated ids aside) of TERMS numbers
+    # at most 2 * per_label rows of TERMS numbers
     got = sample.mapInPandas(extract, "order long, label int, v binary").orderBy("order", "label").limit(2 * per_label).toPandas()
     y = got["label"].to_numpy(np.float32)
     if not len(y):

@@ -14,7 +14,8 @@ texts of all rows in Arrow batches, with the weights of at most
 
 Cases: a null, empty or wordless text scores by the intercept alone; without labelled rows
 every score is 0, with one label only it is that label; rows that repeat an id
-are scored each; words of over 40 letters are no features; extra columns are kept.
+are scored each, one of them is learnt from; words of over 40 letters are no
+features; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopstar.llm.common import cut, labelled_sample, small
+from shopstar.llm.common import cut, labelled_sample, one_per_id, small
 
 PER_LABEL = 3000  # labelled documents of each label that are used to fit
 MAX_FEATURES = 1024
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     ids = labelled_sample(labels, id_col, label_col, train, per_label)
     ids = cut(ids)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    sample = texts.join(small(ids, 2 * per_label), "__id")
+    sample = one_per_id(texts.join(small(ids, 2 * per_label), "__id"), "__label")
     rows = cut(training_features(sample, "__text"))
     names = select_features(rows, max_features)
     place = {f: i for i, f in enumerate(names)}
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
             yield pd.DataFrame({"order": pdf["order"], "label": pdf["label"], "at": [find(fs) for fs in pdf["feats"]],
                                 "swaps": [[find(fs) for fs in s] for s in pdf["swaps"]]})
 
-    # at most 2 * per_label rows (repeated ids aside) of at most max_features small numbers
+    # at most 2 * per_label rows of at most max_features small numbers
     got = (rows.mapInPandas(to_index, "order long, label int, at array<int>, swaps array<array<int>>")
            .orderBy("order", "label").limit(2 * per_label).toPandas())
     y = got["label"].to_numpy(float)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopstar.llm import langid, quality, queries, toxicity
-from shopstar.llm.common import in_fold
+from shopstar.llm.common import in_fold, one_per_id
 from tests.llm.conftest import ODD, SF, doc_rows
 
 MID = "/root/testdata/sf0.01"
@@ -141,3 +141,23 @@ def test_language_odd_rows_and_rejection(llm):
     assert langid.fit(docs.where("lang is null"), F.lit(True)) is None
     assert langid.predict(digits, None, out="l").select("l.lang").distinct().collect()[0][0] == "und"
     assert langid.predict(digits.limit(0), model, out="l").count() == 0
+
+
+def test_an_id_that_fills_the_table_is_learnt_from_once(llm):
+    docs, labels = biased(llm)
+    hot = doc_rows(llm, [(1, f"the hindu person number {i} reads well", "en", "s") for i in range(600)])  # id 1 is labelled toxic
+    both = docs.unionByName(hot)
+    assert len(quality.fit(both, labels, F.lit(True), label_col="toxic", rank=4)["y"]) == 400
+    weights, plain = (toxicity.fit(d, labels, F.lit(True))["weights"] for d in (both, docs))
+    assert weights["idiot"] > 0.8 * plain["idiot"] and weights.get("hindu", 0) < 0.3
+    model = langid.fit(both.withColumn("lang", F.when(F.col("text").contains("hindu"), "xx").otherwise("en")), F.lit(True))
+    told = langid.predict(docs.limit(5), model, out="l").select("l.lang").distinct().collect()
+    assert [r["lang"] for r in told] == ["en"]
+
+
+def test_one_row_of_every_id(llm):
+    rows = llm.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (1, None, "y"), (2, "", "x"), (3, None, "x")],
+                               "__id long, __text string, k string")
+    got = sorted((r["__id"], r["k"], r["__text"]) for r in one_per_id(rows, "k").collect() if r["__text"] is not None)
+    assert [(i, k) for i, k, _ in got] == [(1, "x"), (2, "x")] and got[0][2] in "ab"
+    assert one_per_id(rows, "k").count() == 4 and one_per_id(rows.limit(0), "k").count() == 0
