@@ -2,8 +2,10 @@
 
 Texts become token templates: numbers, quantities (a number with its unit),
 units and names (capitalised inside a sentence) turn into typed placeholders,
-other words lose case and edge punctuation.  Windows of ``window`` template
-tokens of every document are hash-joined with those of the benchmark items.
+other words lose case and edge punctuation.  A capitalised word that opens a
+sentence may be a name or not: it is read both ways, on both sides.  Windows of
+``window`` template tokens of every document (all readings) are hash-joined with
+those of the benchmark items.
 An item is found in a document if windows that cover at least ``coverage`` of
 the item's windows lie together, and the slots agree: where the item repeats a
 number or a name, the document repeats its own value at the same places, and
@@ -74,9 +76,12 @@ def token_form(token: str) -> tuple[str, int]:
     return low, flags
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """(template tokens, the words that they stand for) of a whole text; tokens without a word are left out."""
-    kinds, words = [], []
+def read_template(text: str | None) -> tuple[list[str], list[str], list[bool]]:
+    """(template tokens, the words that they stand for, whether each opens a sentence and may be a name as well) of a whole text.
+
+    Tokens without a word are left out.
+    """
+    kinds, words, openers = [], [], []
     begins, counted = True, False
     for token in (text or "").split():
         word, flags = token_form(token)
@@ -90,21 +95,34 @@ def template(text: str | None) -> tuple[list[str], list[str]]:
             kind = NAME
         kinds.append(kind)
         words.append(token.strip(EDGES).lower())
+        openers.append(bool(flags & CAPITAL) and begins and kind != UNIT)
         begins, counted = bool(flags & STOP), bool(flags & COUNTED)
-    return kinds, words
+    return kinds, words, openers
+
+
+def template(text: str | None) -> tuple[list[str], list[str]]:
+    """(template tokens with sentence openers as words, the words that they stand for) of a whole text."""
+    return read_template(text)[:2]
 
 
 SLOTS = frozenset((NUMBER, QUANTITY, UNIT, NAME))
 
 
-def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` tokens from each place on (fewer places than tokens)."""
-    n = len(ids) - size + 1
-    h = np.full(max(n, 0), size, np.uint64)
+def window_hashes(ids: np.ndarray, other: np.ndarray, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the windows of ``size`` tokens from the places ``at`` on, one for every reading.
+
+    ``other``: the second reading of a token, 0 where it has one only.
+    """
+    h = np.full(len(at), size, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
-            h += ids[j:j + n] * MULTIPLIERS[j]
-    return h ^ (h >> np.uint64(29))
+            token = at + j
+            two = np.flatnonzero(other[token])
+            again = h[two] + other[token[two]] * MULTIPLIERS[j]
+            h = h + ids[token] * MULTIPLIERS[j]
+            if len(two):
+                h, at = np.concatenate([h, again]), np.concatenate([at, at[two]])
+    return at, h ^ (h >> np.uint64(29))
 
 
 class Items:
@@ -112,31 +130,33 @@ class Items:
 
     def __init__(self, rows: list[tuple], window: int):
         self.window = window
-        self.rows = [(i, *template(t)) for i, t in rows]
+        self.rows = [(i, *read_template(t)) for i, t in rows]
         self.rows = [r for r in self.rows if r[1]]
         self.number: dict[str, int] = {}
-        for _, kinds, _ in self.rows:
-            for k in kinds:
+        for _, kinds, _, openers in self.rows:
+            for k in kinds + [NAME] * any(openers):
                 self.number.setdefault(k, len(self.number) + 1)
         self.slot_id = {s: self.number.get(s, 0) for s in SLOTS}
         keys, owner, place = [], [], []
         self.count = []
         self.sizes = sorted({min(window, len(r[1])) for r in self.rows})
-        for at, (_, kinds, _) in enumerate(self.rows):
+        for at, (_, kinds, _, openers) in enumerate(self.rows):
             ids = np.array([self.number[k] for k in kinds], dtype=np.uint64)
-            h = window_hashes(ids, min(window, len(kinds)))
+            other = np.where(openers, self.slot_id[NAME], 0).astype(np.uint64)
+            size = min(window, len(kinds))
+            self.count.append(len(ids) - size + 1)
+            places, h = window_hashes(ids, other, size, np.arange(self.count[-1]))
             keys.append(h)
             owner.append(np.full(len(h), at))
-            place.append(np.arange(len(h)))
-            self.count.append(len(h))
+            place.append(places)
         if keys:
             k = np.concatenate(keys)
             order = np.argsort(k, kind="stable")
             self.keys, self.owner, self.place = k[order], np.concatenate(owner)[order], np.concatenate(place)[order]
         self.cache: dict[str, tuple[int, int]] = {}
 
-    def numbered(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(template token numbers, 0 for tokens that no item has; positions in ``tokens``) of a document."""
+    def numbered(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template token numbers, 0 for tokens that no item has; second readings, 0 for none; positions in ``tokens``) of a document."""
         cache, out = self.cache, []
         if len(cache) > 400_000:
             cache.clear()
@@ -152,7 +172,7 @@ class Items:
         stop = (flags & STOP) > 0
         keep = np.flatnonzero(ids >= 0)
         if not len(keep):
-            return np.zeros(0, np.uint64), keep
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), keep
         # a token without a word hands its sentence end on to the next word
         ended = np.concatenate([[0], np.cumsum(stop)])
         before = np.concatenate([[-1], keep[:-1]])  # the word before
@@ -163,15 +183,17 @@ class Items:
         unit = (flags & MEASURED > 0) & counted
         ids = np.where(name, self.slot_id[NAME], ids)
         ids = np.where(unit, self.slot_id[UNIT], ids)
-        return ids.astype(np.uint64), keep
+        other = np.where((flags & CAPITAL > 0) & begins & ~unit, self.slot_id[NAME], 0)
+        ids, other = np.where(ids > 0, ids, other), np.where(ids > 0, other, 0)  # a word that no item has can be a name only
+        return ids.astype(np.uint64), other.astype(np.uint64), keep
 
     def matches(self, text: str | None, coverage: float, agree: float) -> list[tuple]:
         """(item id, share of its windows, slots, slots agree, first word, last word) of the items found."""
         tokens = (text or "").split()
         if not tokens or not self.rows:
             return []
-        ids, keep = self.numbered(tokens)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        ids, other, keep = self.numbered(tokens)
+        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         for size in self.sizes:
             if len(ids) < size:
@@ -179,14 +201,14 @@ class Items:
             at = np.flatnonzero(known[size:] - known[:-size] == size)  # windows of known tokens only
             if not len(at):
                 continue
-            h = window_hashes(ids, size)[at]
+            at, h = window_hashes(ids, other, size, at)
             first = np.searchsorted(self.keys, h)
             found = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == h)
             for f in found:
                 spot = first[f]
                 while spot < len(self.keys) and self.keys[spot] == h[f]:
                     if min(self.window, len(self.rows[self.owner[spot]][1])) == size:
-                        hits[int(self.owner[spot])].append((int(at[f]), int(self.place[spot])))
+                        hits[int(self.owner[spot])].add((int(at[f]), int(self.place[spot])))
                     spot += 1
         out = []
         for item, pairs in hits.items():
@@ -196,7 +218,7 @@ class Items:
             best = self.densest(sorted(pairs), self.count[item])
             share = len({q for _, q in best}) / self.count[item]
             if share >= coverage:
-                slots, ok = self.slots_agree(item, best, [tokens[k] for k in keep] if len(keep) else [], ids, agree)
+                slots, ok = self.slots_agree(item, best, [tokens[k] for k in keep], agree)
                 if ok:
                     size = min(self.window, len(self.rows[item][1]))
                     out.append((self.rows[item][0], share, slots, int(keep[best[0][0]]), int(keep[best[-1][0] + size - 1])))
@@ -218,25 +240,32 @@ class Items:
                 best, span = len(held), (start, end + 1)
         return pairs[span[0]:span[1]]
 
-    def slots_agree(self, item: int, pairs: list[tuple[int, int]], raw: list[str], ids: np.ndarray, agree: float) -> tuple[int, bool]:
-        """(slot places compared, whether item and document values correspond one to one)."""
-        _, kinds, words = self.rows[item]
+    def slots_agree(self, item: int, pairs: list[tuple[int, int]], raw: list[str], agree: float) -> tuple[int, bool]:
+        """(slot places compared, whether item and document values correspond one to one).
+
+        A sentence opener is compared as a name if its word, on either side, stands for a name or for another word somewhere.
+        """
+        _, kinds, words, openers = self.rows[item]
         size = min(self.window, len(kinds))
         shift = Counter(p - q for p, q in pairs)
         votes: dict[int, tuple[int, str]] = {}
         for p, q in pairs:  # a place of the item is compared where most of the passage lines up
             for j in range(size):
-                if kinds[q + j] in SLOTS:
+                if kinds[q + j] in SLOTS or openers[q + j]:
                     rank = shift[p - q]
                     if q + j not in votes or rank > votes[q + j][0]:
                         votes[q + j] = (rank, raw[p + j].strip(EDGES).lower())
+        names = {at for at, (_, value) in votes.items() if kinds[at] == NAME or openers[at] and value != words[at]}
+        own, theirs = {words[at] for at in names}, {votes[at][1] for at in names}
+        votes = {at: v for at, v in votes.items() if not openers[at] or words[at] in own or v[1] in theirs}
         if not votes:
             return 0, True
         partner: dict[tuple[str, str], Counter] = defaultdict(Counter)
         reverse: dict[tuple[str, str], Counter] = defaultdict(Counter)
         for place, (_, value) in votes.items():
-            partner[kinds[place], words[place]][value] += 1
-            reverse[kinds[place], value][words[place]] += 1
+            kind = NAME if openers[place] else kinds[place]
+            partner[kind, words[place]][value] += 1
+            reverse[kind, value][words[place]] += 1
         straight = sum(c.most_common(1)[0][1] for c in partner.values())
         back = sum(c.most_common(1)[0][1] for c in reverse.values())
         return len(votes), min(straight, back) >= agree * len(votes)

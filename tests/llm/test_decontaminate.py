@@ -48,6 +48,27 @@ def test_short_items_and_ties(llm):
     assert not found(llm, "we ask what was it now", "what is it")
 
 
+OPENERS = ("Tom has 12 apples and 30 pears in a basket. Lisa takes 4 apples away from the basket. "
+           "Paul puts 7 pears back into it. Tom then eats 2 of the apples. How many apples does Lisa have now?")
+
+
+def renamed(text, **names):
+    for old, new in names.items():
+        text = text.replace(old, new)
+    return text
+
+
+def test_names_that_open_sentences(llm):
+    other = renamed(OPENERS, Tom="Zoe", Lisa="Max", Paul="Eve").replace("12", "51").replace("30", "8").replace("4", "9")
+    assert found(llm, other, OPENERS)[0]["coverage"] == 1.0
+    assert found(llm, "We read that " + other[0].upper() + other[1:], OPENERS) and found(llm, OPENERS, other)
+    assert found(llm, OPENERS, OPENERS)[0]["coverage"] == 1.0
+    assert found(llm, "Jim says: Hello Max. " + other, OPENERS)  # an opener of the item inside a sentence of the document, too
+    mixed = renamed(OPENERS, Paul="Lisa").replace("Tom then", "Max then").replace("does Lisa", "does Tom").replace("30", "12")
+    assert not found(llm, mixed, OPENERS)  # one name for two, two for one, one number for two
+    assert not found(llm, renamed(OPENERS, Tom="The", Lisa="The", Paul="The"), OPENERS)
+
+
 def plain_matches(text, bench):
     """Items whose word windows (five, edge punctuation and case aside) are nearly all in the text."""
     def windows(t):
