@@ -10,7 +10,9 @@ An item is found in a document if windows that cover at least ``coverage`` of
 the item's windows lie together, and the slots agree: where the item repeats a
 number or a name, the document repeats its own value at the same places, and
 different values stay different.  So questions with other numbers or names are
-caught, and chance agreement of placeholders is not.
+caught, and chance agreement of placeholders is not.  Every passage of a document
+that covers enough of an item is judged until one agrees, so a look-alike does
+not hide a copy elsewhere in the text.
 
 The benchmark side of the join goes to the tasks in slices of at most
 ``slice_windows`` windows (one pass over the documents a slice), so its size is bounded and
@@ -211,17 +213,20 @@ class Items:
                         hits[int(self.owner[spot])].add((int(at[f]), int(self.place[spot])))
                     spot += 1
         out = []
+        words = [tokens[k] for k in keep] if hits else []
         for item, pairs in hits.items():
             need = coverage * self.count[item]
             if len(pairs) < need:
                 continue
-            best = self.densest(sorted(pairs), self.count[item])
-            share = len({q for _, q in best}) / self.count[item]
-            if share >= coverage:
-                slots, ok = self.slots_agree(item, best, [tokens[k] for k in keep], agree)
+            for passage in self.passages(sorted(pairs), self.count[item], need):
+                share = len({q for _, q in passage}) / self.count[item]
+                if share < coverage:
+                    continue
+                slots, ok = self.slots_agree(item, passage, words, agree)
                 if ok:
                     size = min(self.window, len(self.rows[item][1]))
-                    out.append((self.rows[item][0], share, slots, int(keep[best[0][0]]), int(keep[best[-1][0] + size - 1])))
+                    out.append((self.rows[item][0], share, slots, int(keep[passage[0][0]]), int(keep[passage[-1][0] + size - 1])))
+                    break
         return out
 
     def densest(self, pairs: list[tuple[int, int]], windows: int) -> list[tuple[int, int]]:
@@ -240,6 +245,54 @@ class Items:
                 best, span = len(held), (start, end + 1)
         return pairs[span[0]:span[1]]
 
+    def passages(self, pairs: list[tuple[int, int]], windows: int, need: float) -> Iterator[list[tuple[int, int]]]:
+        """The passages to judge: the densest, every single alignment with ``need`` windows, then every other dense stretch.
+
+        Of a stretch judged, its leading alignment and what overlaps it is set aside, so the stretches end after as
+        many steps as the text has room for copies; what lies beside it stays for the next.
+        """
+        yield self.densest(pairs, windows)
+        aligned: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for p, q in pairs:
+            aligned[p - q].append((p, q))
+        yield from (a for a in aligned.values() if len(a) >= need)
+        reach = windows + windows // 2 + self.window
+        used = [False] * len(pairs)
+        start = 0
+        while span := self.next_dense(pairs, used, start, need, reach):
+            start = span[0]
+            passage = [pairs[k] for k in range(*span[1:]) if not used[k]]
+            yield passage
+            lead = Counter(p - q for p, q in passage).most_common(1)[0][0]
+            for k in range(start, len(pairs)):
+                p, q = pairs[k]
+                if p > lead + 2 * windows:
+                    break
+                used[k] = used[k] or abs(p - q - lead) < windows
+
+    @staticmethod
+    def next_dense(pairs: list[tuple[int, int]], used: list[bool], start: int, need: float, reach: int) -> tuple[int, int, int] | None:
+        """(where stretches of unused pairs first hold ``need`` windows of the item; range where they hold most of them)."""
+        held: Counter = Counter()
+        best, span = 0, None
+        for end in range(start, len(pairs)):
+            if used[end]:
+                continue
+            p, q = pairs[end]
+            while start < end and (used[start] or p - pairs[start][0] > reach):
+                if not used[start]:
+                    old = pairs[start][1]
+                    held[old] -= 1
+                    if not held[old]:
+                        del held[old]
+                start += 1
+            if span and start >= span[2]:
+                return span
+            held[q] += 1
+            if len(held) >= need and len(held) > best:
+                best, span = len(held), (span[0] if span else start, start, end + 1)
+        return span
+
     def slots_agree(self, item: int, pairs: list[tuple[int, int]], raw: list[str], agree: float) -> tuple[int, bool]:
         """(slot places compared, whether item and document values correspond one to one).
 

@@ -69,6 +69,34 @@ def test_names_that_open_sentences(llm):
     assert not found(llm, renamed(OPENERS, Tom="The", Lisa="The", Paul="The"), OPENERS)
 
 
+LONGER = ITEM + " with the other people"
+FALSE = LONGER.replace("gives Bert 12", "gives Carl 99").replace("so Anna", "so Dora")
+TRUE = LONGER.replace("12", "44").replace("30", "9").replace("Anna", "Zoe").replace("Bert", "Max")
+EDITED = TRUE.replace("44 apples and walks", "44 apples or more and walks")  # no alignment alone has enough
+
+
+def matched(text, item):
+    return dc.Items([(0, item)], dc.WINDOW).matches(text, dc.COVERAGE, dc.AGREE)
+
+
+@pytest.mark.parametrize("copy", [TRUE, EDITED])
+@pytest.mark.parametrize("between", [" ", ". " + "filler " * 5, ". " + "filler " * 300])
+@pytest.mark.parametrize("looks", [1, 3])
+def test_a_look_alike_hides_no_copy(copy, between, looks):
+    parts = [FALSE] * looks
+    assert not matched(between.join(parts), LONGER)
+    for text in (between.join([*parts, copy]), between.join([copy, *parts]), between.join([*parts, copy, *parts])):
+        ((_, share, _, first, last),) = matched(text, LONGER)
+        assert share >= 0.8 and "Zoe" in text.split()[first:last + 1]
+
+
+def test_a_copy_among_sentences_alike():
+    item = "Tom has 3 red apples. Lisa has 4 red apples. Tom has 5 red apples. Eve has 3 red apples."
+    before, after = "Max has 8 red apples. " * 9, "Ada has 6 red apples. " * 9
+    assert not matched(before + after, item)
+    assert matched(before + item + " " + after, item)
+
+
 def plain_matches(text, bench):
     """Items whose word windows (five, edge punctuation and case aside) are nearly all in the text."""
     def windows(t):
