@@ -35,7 +35,6 @@ MAX_FEATURES = 1024
 MIN_DOCS = 4  # sampled documents that must hold a feature
 STEM = 4
 MAX_WORD = 40
-MAX_PAIRS = 2000  # swapped copies that take part in the penalty
 L1, L2, FAIR = 4e-4, 1e-5, 4.0
 ROUNDS = 300
 
@@ -110,17 +109,34 @@ def select_features(rows: DataFrame, max_features: int) -> list[str]:
     return sorted(r["f"] for r in best.collect())
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, change: np.ndarray, l1: float = L1, l2: float = L2, fair: float = FAIR,
+def pair_products(at: list, swaps: list, m: int) -> tuple[np.ndarray, int]:
+    """(sum over all swapped pairs of the outer product of their feature differences, number of pairs)."""
+    product, pairs = np.zeros((m, m), np.float64), 0
+    for start in range(0, len(at), 500):  # at most 1,000 pairs at a time
+        change = []
+        for own, others in zip(at[start:start + 500], swaps[start:start + 500]):
+            for o in others:
+                d = np.zeros(m, np.float32)
+                d[np.asarray(own, int)] = 1
+                d[np.asarray(o, int)] -= 1
+                change.append(d)
+        if change:
+            c = np.array(change)
+            product += c.T @ c  # whole numbers, exact in any order
+            pairs += len(c)
+    return product, pairs
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, product: np.ndarray, pairs: int, l1: float = L1, l2: float = L2, fair: float = FAIR,
                 rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Accelerated proximal descent; ``change``: feature differences of the swapped pairs, one row a pair."""
-    x, change = x.astype(np.float32), change.astype(np.float32)
+    """Accelerated proximal descent; ``product`` and ``pairs``: see ``pair_products``."""
+    x, product = x.astype(np.float32), product.astype(np.float32)
     m = x.shape[1]
     # both labels weigh the same
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
-    pairs = max(1, len(change))
 
     def penalty(v: np.ndarray) -> np.ndarray | float:
-        return 2 * fair / pairs * (change.T @ (change @ v)) if len(change) else 0.0
+        return np.float32(2 * fair / pairs) * (product @ v) if pairs else 0.0
 
     def curvature() -> float:
         v = np.full(m + 1, 1 / np.sqrt(m + 1), np.float32)
@@ -171,15 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     if y.min() == y.max():
         return {"weights": {}, "intercept": None, "rate": float(y[0])}
     x = np.zeros((len(y), len(names)), np.float32)
-    change = []
-    for i, (at, others) in enumerate(zip(got["at"], got["swaps"])):
+    for i, at in enumerate(got["at"]):
         x[i, np.asarray(at, int)] = 1
-        for o in others:
-            if len(change) < MAX_PAIRS:
-                d = x[i].copy()
-                d[np.asarray(o, int)] -= 1
-                change.append(d)
-    w, b = fit_weights(x, y, np.array(change, np.float32).reshape(-1, len(names)), fair=fair)
+    w, b = fit_weights(x, y, *pair_products(list(got["at"]), list(got["swaps"]), len(names)), fair=fair)
     return {"weights": {f: float(v) for f, v in zip(names, w) if v}, "intercept": float(b), "rate": None}
 
 

@@ -63,6 +63,33 @@ def test_counterfactual_penalty_takes_weight_off_identity_terms(llm):
     assert unfair[1] - unfair[2] > 0.1
 
 
+def test_every_swapped_copy_takes_part_in_the_penalty(llm, monkeypatch):
+    docs, labels = biased(llm)
+    common = [(10_000 + i, f"the black car number {'abcdefgh'[i % 8]} " + ("you idiot" if i % 2 else "reads well"), "en", "s") for i in range(1200)]
+    docs = docs.unionByName(doc_rows(llm, common))
+    labels = labels.unionByName(llm.createDataFrame([(r[0], 1, r[0] % 2) for r in common], "doc_id long, quality int, toxic int"))
+    seen, weights = [], toxicity.fit_weights
+
+    def keep(x, y, product, pairs, **kw):
+        seen.append((np.trace(product), pairs))
+        return weights(x, y, product, pairs, **kw)
+    monkeypatch.setattr(toxicity, "fit_weights", keep)
+    assert toxicity.fit(docs, labels, F.lit(True))["weights"]["idiot"] > 0.3
+    copies = sum(len(toxicity.swapped(toxicity.words_of(r["text"]))) for r in docs.select("text").collect())
+    ((trace, pairs),) = seen
+    assert pairs == copies > 2400 and trace >= 2 * 1200  # two copies of each text with "black" lose that feature
+
+
+def test_pair_products_match_brute_force():
+    rng = np.random.default_rng(1)
+    at = [sorted(rng.choice(12, 4, replace=False)) for _ in range(1300)]
+    swaps = [[sorted(rng.choice(12, 4, replace=False)) for _ in range(i % 3)] for i in range(1300)]
+    hot = lambda places: np.isin(np.arange(12), places).astype(float)
+    change = np.array([hot(a) - hot(o) for a, others in zip(at, swaps) for o in others])
+    product, pairs = toxicity.pair_products(at, swaps, 12)
+    assert pairs == len(change) and (product == change.T @ change).all()
+
+
 def test_toxicity_odd_rows_and_missing_labels(llm):
     odd = doc_rows(llm, ODD)
     docs, labels = biased(llm)
