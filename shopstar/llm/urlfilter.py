@@ -10,7 +10,9 @@ takes precedence), and so does everything that no block reaches.
 
 Cases: a null url, or one without ``://``, has empty host and path, no rule and
 no aliases, and is allowed; null html has no links; repeated rows get a row
-each; relative links are resolved against the page's scheme and host; an empty
+each; all canonical and refresh tags of a page count; relative links (also
+``next.html``, ``../a`` and ``?p=1``) are resolved against the page's url, links
+of other schemes (``mailto:``) and bare fragments lead to no page; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -46,12 +48,28 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root on, its ``.`` and ``..`` segments resolved."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), lambda done, x: (
+        F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done)
+        .otherwise(F.concat(done, F.array(x)))))
+    ends = last.isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends, "/").otherwise(""))
+
+
 def _resolve(link: Column, url: Column) -> Column:
-    """An absolute link as it is; ``//host`` and ``/path`` completed from the page; others dropped."""
+    """The absolute form of a link on the page ``url``; null for other schemes and bare fragments."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    path, rest = (F.regexp_extract(link, r"(?s)^([^?#]*)(.*)$", k) for k in (1, 2))
+    own = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    folder = F.regexp_extract(own, r"(?s)^(.*/)", 1)
+    at = (F.when(link.startswith("/"), _without_dots(path)).when(path == "", own).otherwise(_without_dots(F.concat(folder, path))))
     return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link)))
+            .when(link.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#)"), F.lit(None))
+            .otherwise(F.concat(scheme, F.lit("://"), host_of(url), at, rest)))
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -59,9 +77,9 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     html, url = F.col(html_col), F.col(url_col)
     # the cheap test first: most pages carry neither tag
     tagged = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("url"), html.alias("html"))
-    canonical = F.regexp_extract(F.regexp_extract(F.col("html"), CANONICAL, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(F.col("html"), REFRESH, 0), REFRESH_URL, 1)
-    links = tagged.select("url", F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
+    canonical = F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1))
+    refresh = F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
+    links = tagged.select("url", F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''")
     link = F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))
     ends = links.select(node_of(F.col("url")).alias("a"), node_of(_resolve(link, F.col("url"))).alias("b"))
     return ends.where("a is not null and b is not null and a <> b")

@@ -56,6 +56,27 @@ def test_blocks_reach_aliases_and_allow_takes_precedence(llm):
     assert got[3][0] == "www.example.com/en/" and got[1][0] is None
 
 
+def test_relative_links_and_all_tags(llm):
+    base = "http://h.org/a/b/c.html?x=1"
+    for link, want in (("next.html", "http://h.org/a/b/next.html"), ("../d", "http://h.org/a/d"), ("./", "http://h.org/a/b/"), ("..", "http://h.org/a/"),
+                       ("../../../up", "http://h.org/up"), ("?p=1", "http://h.org/a/b/c.html?p=1"), ("s/../t?q=a/../b", "http://h.org/a/b/t?q=a/../b"),
+                       ("/x/./y/../z", "http://h.org/x/z"), ("//g.org/v", "http://g.org/v"), ("https://g.org/v", "https://g.org/v"),
+                       ("mailto:a@h.org", None), ("#top", None)):
+        got = llm.createDataFrame([(link, base)], "l string, u string").select(urlfilter._resolve(F.col("l"), F.col("u"))).first()[0]
+        assert got == want, link
+    bare = llm.createDataFrame([("n.html", "http://h.org")], "l string, u string").select(urlfilter._resolve(F.col("l"), F.col("u"))).first()[0]
+    assert bare == "http://h.org/n.html"
+    canonical = '<link rel="canonical" href="{}">'
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [(1, "http://news.net/es/old", refresh.format("../new.html")),  # a block by rule reaches its target
+            (2, "http://news.net/new.html", ""),
+            (3, "http://other.org/a", canonical.format("http://other.org/b") + canonical.format("http://news.net/es/1")),  # the second tag
+            (4, "http://other.org/q", refresh.format("c") + refresh.format("http://news.net/es/2")),
+            (5, "http://other.org/c", ""), (6, "http://other.org/d", canonical.format("mailto:x@news.net"))]
+    verdicts = {k: v[1] for k, v in judge(llm, rows).items()}
+    assert verdicts == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
 def test_redirect_table_and_long_chains(llm):
     rows = [(i, f"http://h{i}.example.org/p", None) for i in range(40)]
     chain = [(f"http://h{i}.example.org/p", f"http://h{i + 1}.example.org/p") for i in range(39)] + [("http://h39.example.org/p", "http://z.net/fr/"), (None, "x")]
