@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopstar.llm import decontaminate, langid, lm, merkle, mixing, quality, simhash, topk, toxicity, urlfilter, warc
+from shopstar.llm import decontaminate, langid, lm, merkle, mixing, phrases, quality, simhash, tokenfiles, topk, toxicity, urlfilter, warc
 from shopstar.llm.common import fold, in_fold, lower_ascii, read
 from shopstar.llm.common import prepare as prepare_session
 from shopstar.session import shared_path
@@ -86,6 +86,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    files = tokenfiles.write(docs, shared_path(spark, f"tokens-{uuid.uuid4().hex}"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    found = tokenfiles.locate_all(files, docs.select(F.col("doc_id").alias("key")).distinct())
+    sums = tokenfiles.scan(files).select("shard", "offset", "n_tokens", tokenfiles.ids_crc32(F.col("ids"), F.col("width")).alias("ids_crc32"))
+    return found.join(sums, ["shard", "offset", "n_tokens"]).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top, beside the package
 
@@ -93,7 +107,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [op1_toxicity, op2_simhash, op3_lm_scoring, op4_language_id, op5_quality, op6_warc_derivatives, op7_decontamination,
-            op8_mixing, op9_top_k, op10_url_filter, op11_merkle_manifest, pipeline]
+            op8_mixing, op9_top_k, op10_url_filter, op11_merkle_manifest, op12_token_files,
+            op13_phrases, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

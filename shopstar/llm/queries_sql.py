@@ -220,3 +220,31 @@ done AS (SELECT r, node, proof FROM climb WHERE over = 2)
 SELECT k.doc_id, k.leaf, t.digest AS subroot, root.root, sha256(d.proof) AS proof_sha256, d.node AS folded_root, d.node = root.root AS verified
 FROM ranked k JOIN done d ON d.r = k.r JOIN tops t ON t.tree = k.tree, root
 """
+
+# ---- op13: every phrase of 1 to 3 words counted by itself ----
+SQL["op13_phrases"] = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_UP}, {_LOW}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM split, (VALUES (1), (2), (3)) sizes(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 10),
+cuts AS (
+    SELECT c.lang, c.phrase, c.m, c.a, k, h.f AS l, t.f AS r,
+           CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+    FROM candidates c, (VALUES (1), (2)) ks(k)
+    JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:k], ' ')
+    JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[k + 1:c.m], ' ') WHERE k < c.m),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+    SELECT lang, phrase, max(a) AS outer_a FROM (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE m = 3) GROUP BY ALL),
+kept AS (
+    SELECT s.* FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+    WHERE h.outer_a IS NULL OR 100 * h.outer_a < 50 * s.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= 2000
+"""
