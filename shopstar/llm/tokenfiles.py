@@ -13,7 +13,7 @@ offset, length, start and number of rows with that id.  A lookup touches one buc
 levels; a foreign key is refused by the bits or the fingerprint (one in 2^32 passes).
 
 Encoding: the ``tokenizers`` library's model on the pieces that the tokenizer's own split pattern gives.  Texts within
-Latin scripts are split here by an equal pattern and every distinct piece is encoded once per task (a cache of
+Latin scripts are split here by an equal pattern and every distinct piece is encoded once per Python worker (a cache of
 ``CACHE_PIECES``); a text with any other character, and any tokenizer with another split, goes through the library whole.
 
 Scale: one shuffle of the texts, by ranges of the key (a repeated key is spread by its text and a row number); shards
@@ -30,6 +30,8 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -46,7 +48,7 @@ from shopstar.llm.common import cut
 SHARD_IDS = 8_000_000
 SHARD_DOCS = 200_000
 BUCKET_KEYS = 16_384
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 # Bits per key on a level: more bits, fewer levels.
 GAMMA = 2.0
 MARK = "\nTOKENIDS\n"
@@ -80,6 +82,15 @@ def id_width(spec: str) -> int:
     return 2 if top < 1 << 16 else 4
 
 
+def _worker_encoder(spec: str, width: int) -> Callable[[str], bytes]:
+    """The encoder that this Python worker keeps from task to task, with its pieces."""
+    kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__
+    name = f"{zlib.crc32(spec.encode())}-{len(spec)}-{width}"
+    if name not in kept:
+        kept[name] = encoder(spec, width)
+    return kept[name]
+
+
 def encoder(spec: str, width: int) -> Callable[[str], bytes]:
     """A function from a text to its packed ids; strings of special tokens in a text are ordinary text."""
     from tokenizers import Tokenizer
@@ -87,24 +98,28 @@ def encoder(spec: str, width: int) -> Callable[[str], bytes]:
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.encode_special_tokens = True
     model, letters, code = tokenizer.model, _byte_letters(), "H" if width == 2 else "I"
-    pieces: dict[str, bytes] = {}
 
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{code}", *ids)
 
+    class Pieces(dict):
+        """The packed ids of every piece met so far."""
+
+        def __missing__(self, piece: str) -> bytes:
+            out = self[piece] = pack([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
+            return out
+
+    pieces = Pieces()
+
     def whole(text: str) -> bytes:
         return pack(tokenizer.encode(text, add_special_tokens=False).ids)
 
     def by_pieces(text: str) -> bytes:
         if FOREIGN.search(text):
             return whole(text)
-        found = PIECES.findall(text)
-        for p in set(found).difference(pieces):
-            pieces[p] = pack([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))])
-        out = b"".join(map(pieces.__getitem__, found))
         if len(pieces) > CACHE_PIECES:
             pieces.clear()
-        return out
+        return b"".join(map(pieces.__getitem__, PIECES.findall(text)))
 
     return by_pieces if _splits_by_pattern(spec) else whole
 
@@ -126,7 +141,7 @@ def _shard(part: int, piece: int, width: int, keys: list, parts: list[bytes]) ->
 def _shards(spec, end_id: int, width: int, shard_ids: int, shard_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, piece, held = TaskContext.get().partitionId(), 0, 0
-        encode, end = encoder(spec.value, width), end_id.to_bytes(width, "little")
+        encode, end = _worker_encoder(spec.value, width), end_id.to_bytes(width, "little")
         keys, parts = [], []
 
         def full() -> pa.RecordBatch:
@@ -329,11 +344,17 @@ def locate_all(files: TokenFiles, keys: DataFrame) -> DataFrame:
 def scan(files: TokenFiles, shards: list[str] | None = None) -> DataFrame:
     """The raw ids of every document, read from the shard files (or some of them): shard, offset, n_tokens, width, ids."""
     opened = _open(files.spark, shards or f"{files.path}/ids")
-    place = lambda i, j: _number(F.col("table"), (i * ENTRY + 8 * j).cast("int"))
-    raw = lambda i: F.col("content").substr((place(i, 1) * F.col("width") + 1).cast("int"), (place(i, 2) * F.col("width")).cast("int"))
-    docs = F.transform(F.sequence(F.lit(0), (F.col("n_docs") - 1).cast("int")),
-                       lambda i: F.struct(place(i, 1).alias("offset"), place(i, 2).alias("n_tokens"), raw(i).alias("ids")))
-    return opened.select("shard", "width", F.explode(docs).alias("d")).select("shard", "width", "d.*")
+
+    def documents(s: Column) -> Column:
+        place = lambda i, j: _number(s["table"], (i * ENTRY + 8 * j).cast("int"))
+        cut_out = lambda d: s["content"].substr((d["offset"] * s["width"] + 1).cast("int"), (d["n_tokens"] * s["width"]).cast("int"))
+        numbers = F.transform(F.sequence(F.lit(0), (s["n_docs"] - 1).cast("int")), lambda i: F.struct(
+            place(i, 1).alias("offset"), place(i, 2).alias("n_tokens")))
+        return F.transform(numbers, lambda d: F.struct(d["offset"], d["n_tokens"], cut_out(d).alias("ids")))
+
+    # a lambda's argument is computed once a shard; a column would be computed anew for every document
+    once = F.transform(F.array(F.struct("content", "table", "width", "n_docs")), documents)
+    return opened.select("shard", "width", F.explode(F.flatten(once)).alias("d")).select("shard", "width", "d.*")
 
 
 def fetch(files: TokenFiles, keys: list[int | None]) -> DataFrame:
