@@ -1,9 +1,15 @@
 """Phrase collocations by top-order marginalisation.
 
 Only the longest windows are counted: every word occurrence opens one window of ``order`` words, its lead columns the
-next words of the same piece, padded where the piece ends.  One aggregation counts the windows; Spark's ROLLUP over
-the word columns then sums them to every shorter prefix.  As each occurrence of a phrase opens exactly one window, a
-prefix's sum is the phrase's exact count, overlaps included, and the sum over all windows of a language its words.
+next words of the same piece, padded where the piece ends.  As each occurrence of a phrase opens exactly one window,
+the windows summed over what follows a prefix give the prefix's exact count, overlaps included; Spark's ROLLUP over the
+word columns makes these sums for all shorter prefixes at once, down to a language's number of words.
+
+Tasks count the windows of their documents (numpy over word numbers, at most ``FLUSH_WORDS`` words at a time) and one
+shuffle by the first two words brings equal windows together.  There a window, or a longer prefix, of less than
+``least`` occurrences can be no candidate; its last word becomes a pad, so it still counts for its prefixes and ROLLUP
+gets few rows.  Pairs of words that hold a thousandth of the windows or more in a sample of ``SAMPLE`` documents are
+spread by their third word; the sample decides where rows go, not what they count.
 
 Candidates are phrases of 2 to ``order`` words that occur ``least`` times or more.  Cutting a candidate after its first
 k words gives l, the count of the first part, and r, that of the rest; both are counts of frequent phrases, as a part
@@ -11,9 +17,6 @@ is at least as frequent as the whole.  The score is floor(10^6 a^2 / (l r)) in e
 lowest-scoring cut counts, the first of several.  A candidate inside a longer one with at least half of its count is
 dropped, whether the longer one is kept or not.  The first ``top`` of every language follow by a tournament of heats.
 
-Scale: windows are pre-aggregated before the shuffle and spread by all their words, so a frequent word or pair is many
-keys; the rolled-up rows likewise.  Only phrases of ``least`` or more go on to the joins, which are on whole phrases.
-
 Cases: a null text is empty; a null language is ``und`` (and joins a language of that name); empty pieces and texts
 give no window; repeated rows count each time; texts of any length are read whole; ties in score and count are settled
 by the phrase in UTF-8 byte order; an empty table gives no rows; further columns are ignored, whatever their names.
@@ -21,50 +24,149 @@ by the phrase in UTF-8 byte order; an empty table gives no rows; further columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopstar.llm.common import cut, lower_ascii
+from shopstar.llm.common import cut
 from shopstar.operators.ranking import first_rows
 
 ORDER, LEAST, SHARE, TOP = 3, 10, 50, 2000
 SCALE = 1_000_000
-BREAKS, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
+FLUSH_WORDS = 4_000_000
+SAMPLE, HOT, SALTS = 5_000, 1000, 64
+OUT_ROWS = 100_000
+# A run of the characters that end a piece, or a word.
+BREAKS = b".,;:!?\n\x0b\x0c\r"
+TOKEN = re.compile(rb"[" + BREAKS + rb"]+|[^ \t" + BREAKS + rb"]+")
 PAD = ""
 
 
-def windows(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER) -> DataFrame:
-    """One row per word occurrence: ``lang``, ``w1`` the word and ``w2`` ... the words that follow it in its piece, or a pad."""
-    pieces = F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), BREAKS)
-    rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode(pieces).alias("piece"))
-    rows = rows.select("lang", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("words"))
-    return _leads(rows, order)
-
-
-def _leads(rows: DataFrame, order: int) -> DataFrame:
-    opened = rows.select("lang", "words", F.posexplode("words").alias("at", "w1"))
-    return opened.select("lang", "w1", *[F.coalesce(F.get("words", F.col("at") + k), F.lit(PAD)).alias(f"w{k + 1}") for k in range(1, order)])
+class _Numbers(dict):
+    """Numbers of words from 1 on, given as they come; a break is 0."""
+
+    def __init__(self) -> None:
+        self.words = [b""]
+
+    def __missing__(self, token: bytes) -> int:
+        if token[0] in BREAKS:
+            self[token] = 0
+            return 0
+        self.words.append(token)
+        self[token] = len(self.words) - 1
+        return self[token]
+
+
+def _lead_columns(x: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words that open a window, and those that follow them; 0 from the end of the piece on."""
+    out = [x]
+    for k in range(1, order):
+        after = np.concatenate([x[k:], np.zeros(min(k, len(x)), np.int64)])
+        out.append(np.where(out[-1] == 0, 0, after))
+    opens = x != 0
+    return [c[opens] for c in out]
+
+
+def _distinct(columns: list[np.ndarray], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of number columns below ``n``, sorted, and how often each occurs."""
+    if n ** len(columns) >= 1 << 63:
+        rows, counts = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+        return list(rows.T), counts
+    code = columns[0]
+    for c in columns[1:]:
+        code = code * n + c
+    code, counts = np.unique(code, return_counts=True)
+    out = []
+    for _ in columns:
+        out.append(code % n)
+        code = code // n
+    return out[::-1], counts
+
+
+def _task_windows(order: int, hot: dict[str, list[tuple[bytes, bytes]]], flush_words: int):
+    """Batches of (lang, text) to the distinct windows of these documents with their counts."""
+    names = ["lang", *[f"w{k}" for k in range(1, order + 1)], "salt", "f"]
+
+    def counted(numbers: _Numbers, streams: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        words, n = pa.array(numbers.words, pa.binary()).cast(pa.string()), len(numbers.words)
+        for lang, parts in streams.items():
+            columns, counts = _distinct(_lead_columns(np.concatenate(parts), order), n)
+            salt = np.full(len(counts), -1, np.int32)
+            pairs = [numbers.get(a, 0) * n + numbers.get(b, 0) for a, b in hot.get(lang, ()) if a in numbers and b in numbers]
+            if pairs and order > 2:
+                split = np.flatnonzero(np.isin(columns[0] * n + columns[1], pairs))
+                third, place = np.unique(columns[2][split], return_inverse=True)
+                salt[split] = np.array([zlib.crc32(numbers.words[w]) % SALTS for w in third], np.int32)[place]
+            for i in range(0, len(counts), OUT_ROWS):
+                cut_out = slice(i, i + OUT_ROWS)
+                cells = [pa.array([lang] * len(counts[cut_out]), pa.string()), *[words.take(pa.array(c[cut_out])) for c in columns],
+                         pa.array(salt[cut_out]), pa.array(counts[cut_out], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cells, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, streams, held = _Numbers(), defaultdict(list), 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = TOKEN.findall(text.encode().lower())  # bytes: lower() changes A-Z only
+                streams[lang].append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
+                streams[lang].append(np.zeros(1, np.int64))
+                held += len(tokens) + 1
+                if held >= flush_words:
+                    yield from counted(numbers, streams)
+                    numbers, streams, held = _Numbers(), defaultdict(list), 0
+        yield from counted(numbers, streams)
+    return run
+
+
+def windows(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, hot: dict | None = None,
+            flush_words: int = FLUSH_WORDS) -> DataFrame:
+    """The padded longest windows, counted per task: ``lang``, ``w1`` ... , ``salt`` (-1; for a hot pair a hash of ``w3``), ``f``."""
+    rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    columns = ", ".join(f"w{k} string" for k in range(1, order + 1))
+    return rows.mapInArrow(_task_windows(order, hot or {}, flush_words), f"lang string, {columns}, salt int, f long")
+
+
+def hot_pairs(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> dict[str, list[tuple[bytes, bytes]]]:
+    """Pairs of words that open a thousandth of the windows of a sample, by language: at most a thousand."""
+    n = docs.count()
+    rows = cut(windows(docs.sample(min(1.0, sample / n), seed=7) if n else docs, lang, text).groupBy("lang", "w1", "w2").count())
+    total = rows.agg(F.sum("count")).first()[0] or 0
+    out = defaultdict(list)
+    for r in rows.where(F.col("count") * HOT >= max(total, 1)).collect():
+        out[r.lang].append((r.w1.encode(), r.w2.encode()))
+    return dict(out)
 
 
 def phrase_counts(windowed: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """Exact counts of all phrases of 1 to ``order`` words that occur ``least`` times: (lang, size, phrase, f); size 0: all words."""
     words = [f"w{k}" for k in range(1, order + 1)]
-    longest = windowed.groupBy("lang", *words).agg(F.count(F.lit(1)).alias("f"))
+    spread = ["lang", *words[:2], "salt"]
+    rows = windowed.repartition(*spread).groupBy(*spread, *words[2:]).agg(F.sum("f").alias("f"))
+    kept = []
+    for k in range(2, order + 1):  # sums of the prefixes, all in one task but for a hot pair's own
+        whole = F.sum("f").over(Window.partitionBy(*spread, *words[2:k])) if k < order else F.col("f")
+        frequent = whole >= least
+        kept.append(F.when(frequent | (F.col("salt") >= 0) if k == 2 else frequent, F.col(f"w{k}")).otherwise(PAD).alias(f"w{k}"))
+    longest = rows.select("lang", "w1", *kept, "f").groupBy("lang", *words).agg(F.sum("f").alias("f"))
     rolled = longest.rollup("lang", *words).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
-    # a pad ends a phrase: such prefixes are no phrases of their own
-    size = F.lit(order) - F.bit_count("g")
-    rows = rolled.where(F.col("lang").isNotNull()).withColumn("size", size.cast("int"))
-    whole = F.lit(True)
+    rolled = rolled.where(F.col("lang").isNotNull()).withColumn("size", (F.lit(order) - F.bit_count("g")).cast("int"))
+    phrase = F.lit(True)  # a pad ends a phrase: prefixes that hold one are no phrases of their own
     for k, w in enumerate(words, 1):
-        whole = whole & ((F.col("size") < k) | (F.col(w) != PAD))
-    kept = rows.where(whole & ((F.col("size") == 0) | (F.col("f") >= least)))
-    return kept.select("lang", "size", F.concat_ws(" ", *words).alias("phrase"), "f")
+        phrase = phrase & ((F.col("size") < k) | (F.col(w) != PAD))
+    found = rolled.where(phrase & ((F.col("size") == 0) | (F.col("f") >= least)))
+    return found.select("lang", "size", F.concat_ws(" ", *words).alias("phrase"), "f")
 
 
 def mine(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, least: int = LEAST, share: int = SHARE,
          top: int = TOP) -> DataFrame:
     """The collocations: lang, rank, phrase, a, l, r, n, score."""
-    counts = cut(phrase_counts(windows(docs, lang, text, order), order, least))
+    counts = cut(phrase_counts(windows(docs, lang, text, order, hot_pairs(docs, lang, text)), order, least))
     return collocations(counts, order, share, top)
 
 

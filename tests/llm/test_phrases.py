@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from shopstar.llm import phrases as P
@@ -77,3 +78,20 @@ def test_products_past_64_bits(llm):
     a, left, r = 3 * 10**12 + 7, 5 * 10**12 + 1, 4 * 10**12 + 3
     counts = llm.createDataFrame([("en", 0, "", 9 * 10**13), ("en", 1, "u", left), ("en", 1, "v", r), ("en", 2, "u v", a)], "lang string, size int, phrase string, f long")
     assert got(P.collocations(counts)) == [("en", 1, "u v", a, left, r, 9 * 10**13, 10**6 * a * a // (left * r))]
+
+
+def test_hot_pairs_flushes_and_large_vocabularies(llm):
+    rows = texts(9) + [(i, f"hot pair {i} hot pair {i % 7} x", "en", "s") for i in range(400)]
+    docs = doc_rows(llm, rows).repartition(4)
+    hot = P.hot_pairs(docs)
+    assert (b"hot", b"pair") in hot["en"]
+    f, n = counted(rows, 3)
+    want = brute(f, n, 3, 10, 50, 2000)
+    for flush in (50, 10**9):
+        windowed = P.windows(docs, hot=hot, flush_words=flush)
+        assert windowed.where("w1 = 'hot' and w2 = 'pair' and salt < 0").count() == 0
+        assert got(P.collocations(P.phrase_counts(windowed))) == want
+    columns = [np.array([5, 1, 5, 1, 7]), np.array([2, 2, 2, 3, 0])]
+    for size in (10, 1 << 40):  # one number a row, or rows compared whole
+        rows_, counts = P._distinct(columns, size)
+        assert [list(map(int, r)) for r in rows_] == [[1, 1, 5, 7], [2, 3, 2, 0]] and counts.tolist() == [1, 1, 2, 1]
