@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from shopstar.operators.ranking import first_rows
 
 ORDER, LEAST, SHARE, TOP = 3, 10, 50, 2000
 SCALE = 1_000_000
-FLUSH_WORDS = 4_000_000
+FLUSH_WORDS = 6_000_000
 SAMPLE, HOT, SALTS = 5_000, 1000, 64
 OUT_ROWS = 100_000
 # A run of the characters that end a piece, or a word.
@@ -91,7 +92,7 @@ def _distinct(columns: list[np.ndarray], n: int) -> tuple[list[np.ndarray], np.n
 
 def _task_windows(order: int, hot: dict[str, list[tuple[bytes, bytes]]], flush_words: int):
     """Batches of (lang, text) to the distinct windows of these documents with their counts."""
-    names = ["lang", *[f"w{k}" for k in range(1, order + 1)], "salt", "f"]
+    names = ["pair", *[f"w{k}" for k in range(3, order + 1)], "salt", "f"]
 
     def counted(numbers: _Numbers, streams: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words, n = pa.array(numbers.words, pa.binary()).cast(pa.string()), len(numbers.words)
@@ -105,9 +106,9 @@ def _task_windows(order: int, hot: dict[str, list[tuple[bytes, bytes]]], flush_w
                 salt[split] = np.array([zlib.crc32(numbers.words[w]) % SALTS for w in third], np.int32)[place]
             for i in range(0, len(counts), OUT_ROWS):
                 cut_out = slice(i, i + OUT_ROWS)
-                cells = [pa.array([lang] * len(counts[cut_out]), pa.string()), *[words.take(pa.array(c[cut_out])) for c in columns],
-                         pa.array(salt[cut_out]), pa.array(counts[cut_out], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cells, names)
+                first, second, *rest = [words.take(pa.array(c[cut_out])) for c in columns]
+                pair = pc.binary_join_element_wise(pc.binary_join_element_wise(first, second, " "), lang, "\t")
+                yield pa.RecordBatch.from_arrays([pair, *rest, pa.array(salt[cut_out]), pa.array(counts[cut_out], pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, streams, held = _Numbers(), defaultdict(list), 0
@@ -126,34 +127,40 @@ def _task_windows(order: int, hot: dict[str, list[tuple[bytes, bytes]]], flush_w
 
 def windows(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, hot: dict | None = None,
             flush_words: int = FLUSH_WORDS) -> DataFrame:
-    """The padded longest windows, counted per task: ``lang``, ``w1`` ... , ``salt`` (-1; for a hot pair a hash of ``w3``), ``f``."""
+    """The padded longest windows, counted per task: ``pair``, ``w3`` ... , ``salt`` (-1; for a hot pair a hash of ``w3``), ``f``.
+
+    ``pair``: the first two words with a space between, a tab and the language, one string for a small shuffle.
+    """
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    columns = ", ".join(f"w{k} string" for k in range(1, order + 1))
-    return rows.mapInArrow(_task_windows(order, hot or {}, flush_words), f"lang string, {columns}, salt int, f long")
+    columns = "".join(f"w{k} string, " for k in range(3, order + 1))
+    return rows.mapInArrow(_task_windows(order, hot or {}, flush_words), f"pair string, {columns}salt int, f long")
 
 
 def hot_pairs(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> dict[str, list[tuple[bytes, bytes]]]:
     """Pairs of words that open a thousandth of the windows of a sample, by language: at most a thousand."""
     n = docs.count()
-    rows = cut(windows(docs.sample(min(1.0, sample / n), seed=7) if n else docs, lang, text).groupBy("lang", "w1", "w2").count())
+    rows = cut(windows(docs.sample(min(1.0, sample / n), seed=7) if n else docs, lang, text).groupBy("pair").count())
     total = rows.agg(F.sum("count")).first()[0] or 0
     out = defaultdict(list)
     for r in rows.where(F.col("count") * HOT >= max(total, 1)).collect():
-        out[r.lang].append((r.w1.encode(), r.w2.encode()))
+        words, of = r.pair.split("\t", 1)
+        out[of].append(tuple(words.encode().split(b" ")))
     return dict(out)
 
 
 def phrase_counts(windowed: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """Exact counts of all phrases of 1 to ``order`` words that occur ``least`` times: (lang, size, phrase, f); size 0: all words."""
     words = [f"w{k}" for k in range(1, order + 1)]
-    spread = ["lang", *words[:2], "salt"]
+    spread = ["pair", "salt"]
     rows = windowed.repartition(*spread).groupBy(*spread, *words[2:]).agg(F.sum("f").alias("f"))
-    kept = []
+    both = F.substring_index("pair", "\t", 1)
+    columns = [F.expr("substring(pair, instr(pair, '\t') + 1)").alias("lang"), F.substring_index("pair", " ", 1).alias("w1")]
     for k in range(2, order + 1):  # sums of the prefixes, all in one task but for a hot pair's own
         whole = F.sum("f").over(Window.partitionBy(*spread, *words[2:k])) if k < order else F.col("f")
         frequent = whole >= least
-        kept.append(F.when(frequent | (F.col("salt") >= 0) if k == 2 else frequent, F.col(f"w{k}")).otherwise(PAD).alias(f"w{k}"))
-    longest = rows.select("lang", "w1", *kept, "f").groupBy("lang", *words).agg(F.sum("f").alias("f"))
+        word = F.when(frequent | (F.col("salt") >= 0), F.substring_index(both, " ", -1)) if k == 2 else F.when(frequent, F.col(f"w{k}"))
+        columns.append(word.otherwise(PAD).alias(f"w{k}"))
+    longest = rows.select(*columns, "f").groupBy("lang", *words).agg(F.sum("f").alias("f"))
     rolled = longest.rollup("lang", *words).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
     rolled = rolled.where(F.col("lang").isNotNull()).withColumn("size", (F.lit(order) - F.bit_count("g")).cast("int"))
     phrase = F.lit(True)  # a pad ends a phrase: prefixes that hold one are no phrases of their own

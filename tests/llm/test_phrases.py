@@ -89,7 +89,7 @@ def test_hot_pairs_flushes_and_large_vocabularies(llm):
     want = brute(f, n, 3, 10, 50, 2000)
     for flush in (50, 10**9):
         windowed = P.windows(docs, hot=hot, flush_words=flush)
-        assert windowed.where("w1 = 'hot' and w2 = 'pair' and salt < 0").count() == 0
+        assert windowed.where("pair = 'hot pair\ten' and salt < 0").count() == 0
         assert got(P.collocations(P.phrase_counts(windowed))) == want
     columns = [np.array([5, 1, 5, 1, 7]), np.array([2, 2, 2, 3, 0])]
     for size in (10, 1 << 40):  # one number a row, or rows compared whole
