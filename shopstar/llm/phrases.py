@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopstar.llm.common import cut
+from shopstar.llm.common import cut, release
 from shopstar.operators.ranking import first_rows
 
 ORDER, LEAST, SHARE, TOP = 3, 10, 50, 2000
@@ -173,7 +173,10 @@ def phrase_counts(windowed: DataFrame, order: int = ORDER, least: int = LEAST) -
 def mine(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, least: int = LEAST, share: int = SHARE,
          top: int = TOP) -> DataFrame:
     """The collocations: lang, rank, phrase, a, l, r, n, score."""
-    counts = cut(phrase_counts(windows(docs, lang, text, order, hot_pairs(docs, lang, text)), order, least))
+    hot = hot_pairs(docs, lang, text)
+    release(docs.sparkSession)
+    counts = cut(phrase_counts(windows(docs, lang, text, order, hot), order, least))
+    release(docs.sparkSession)  # the windows' shuffle files are not needed any more
     return collocations(counts, order, share, top)
 
 
