@@ -97,6 +97,31 @@ def restrict_years(df: DataFrame, date_key: str, years) -> DataFrame:
     return df.filter(cond)
 
 
+def join_calendar(fact: DataFrame, calendar: DataFrame, date_key: str) -> DataFrame:
+    """Join a fact with (filtered) calendar days; on written marts by the month, too.
+
+    The month is the fact's partition column, so a filter on the calendar (a quarter, holidays) reaches the scan as
+    dynamic partition pruning: only the month folders that hold a day of the filtered calendar are read.  The calendar
+    is broadcast: it has a row a day.
+    """
+    on = fact[date_key] == calendar["date_sk"]
+    if PARTITION_COL in fact.columns and PARTITION_COL in calendar.columns:
+        on = on & (fact[PARTITION_COL] == calendar[PARTITION_COL])
+    joined = fact.join(F.broadcast(calendar), on)
+    return joined.drop(calendar[PARTITION_COL]) if PARTITION_COL in calendar.columns else joined
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` as the catalog table ``name`` below ``path``, bucketed and sorted by ``keys``; reads it back.
+
+    Tables with the same keys and bucket count join on these keys without an exchange.  The rows are dealt by the keys
+    first, so every bucket is one file.
+    """
+    (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def register_table(spark: SparkSession, name: str, path: str, partitioned: bool = False) -> None:
     """Expose a written folder as a catalog table (needed for ANALYZE)."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")

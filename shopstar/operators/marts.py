@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopstar.operators.layout import FACT_CLUSTER_KEY, FACT_DATE_KEY, read_fact, restrict_years, write_fact
+from shopstar.operators.layout import FACT_CLUSTER_KEY, FACT_DATE_KEY, PARTITION_COL, read_fact, restrict_years, sold_ym, write_fact
 from shopstar.sources.paths import delete, exists
 
 # Mart column names and their staging sources.
@@ -348,6 +348,8 @@ class WrittenMarts(_ChannelUnion):
             df = read_fact(self.spark, f"{self.dir}/{name}")
         elif name in DIM_KEYS or name in SIDE_TABLES:
             df = self._read(name)
+            if name == "dim_date" and PARTITION_COL not in df.columns:  # the facts' month folders join on it
+                df = df.withColumn(PARTITION_COL, sold_ym("date_sk"))
         else:
             raise AttributeError(name)
         self.__dict__[name] = df

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shopstar.operators.layout import write_table
+from shopstar.operators.layout import PARTITION_COL, write_table
 from shopstar.operators.runlog import log_run
+from shopstar.sources.paths import delete
 
 MANIFEST = "_manifest"
 MANIFEST_SCHEMA = ("snapshot_id string, created_at timestamp, mode string, table_name string, rows bigint, "
@@ -134,6 +135,63 @@ def verification_passed(report: DataFrame) -> bool:
     return report.filter(F.col("result") != "PASS").limit(1).count() == 0
 
 
+def part_fingerprints(df: DataFrame) -> DataFrame:
+    """Rows and checksum of every part of a table: its month folders, else the table as one part ``all``."""
+    part = F.coalesce(F.col(PARTITION_COL).cast("string"), F.lit("undated")) if PARTITION_COL in df.columns else F.lit("all")
+    h = F.xxhash64(*[x for c in df.columns for x in (F.col(c), F.col(c).isNull())]).cast("decimal(20,0)")
+    return df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("decimal(38,0)").alias("checksum"))
+
+
+def damaged_parts(spark: SparkSession, snapshot_path: str, live_root: str, tables=None) -> DataFrame:
+    """The parts of live tables that differ from the snapshot: (table_name, part, state).
+
+    ``missing``: not in the live table; ``unexpected``: only there; ``rows`` or ``content``: another number of rows, or
+    other values.  A live table that cannot be read counts as missing in all its parts.
+    """
+    base, out = snapshot_path.rstrip("/"), None
+    for m in read_manifest(spark, base).collect():  # one row a table
+        if tables is not None and m.table_name not in tables:
+            continue
+        kept = part_fingerprints(spark.read.parquet(f"{base}/{m.table_name}"))
+        try:
+            live = part_fingerprints(spark.read.parquet(f"{live_root.rstrip('/')}/{m.table_name}"))
+        except AnalysisException:
+            live = kept.where("false")
+        live = live.select("part", F.col("rows").alias("live_rows"), F.col("checksum").alias("live_checksum"))
+        state = (F.when(F.col("live_rows").isNull(), "missing").when(F.col("rows").isNull(), "unexpected")
+                 .when(F.col("rows") != F.col("live_rows"), "rows").when(F.col("checksum") != F.col("live_checksum"), "content"))
+        found = kept.join(live, "part", "full_outer").select(F.lit(m.table_name).alias("table_name"), "part", state.alias("state"))
+        out = found if out is None else out.unionByName(found)
+    return out.where("state is not null")
+
+
+def repair(spark: SparkSession, snapshot_path: str, live_root: str, tables=None) -> list[tuple[str, str, str]]:
+    """K05 for damaged parts only: month folders that differ are written from the snapshot, the others stay untouched.
+
+    A table without month folders is one part and is restored whole.  Returns what was repaired.
+    """
+    base, live_root = snapshot_path.rstrip("/"), live_root.rstrip("/")
+    report = verify_snapshot(spark, base)
+    if not verification_passed(report):
+        raise ValueError(f"snapshot {base} failed verification")
+    found = [(r.table_name, r.part, r.state) for r in damaged_parts(spark, base, live_root, tables).collect()]  # at most a row a month
+    for table in sorted({t for t, _, _ in found}):
+        parts = {p: state for t, p, state in found if t == table}
+        source, target = spark.read.parquet(f"{base}/{table}"), f"{live_root}/{table}"
+        if PARTITION_COL not in source.columns:
+            write_table(source, target)
+            continue
+        wanted = [int(p) for p, state in parts.items() if state != "unexpected" and p != "undated"]
+        month = F.col(PARTITION_COL)
+        undated = parts.get("undated", "unexpected") != "unexpected"
+        rows = source.where(month.isin(wanted) | month.isNull() if undated else month.isin(wanted))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION_COL).parquet(target)
+        for p, state in parts.items():
+            if state == "unexpected":
+                delete(spark, f"{target}/{PARTITION_COL}={'__HIVE_DEFAULT_PARTITION__' if p == 'undated' else p}")
+    return sorted(found)
+
+
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Every snapshot under ``root``, newest first, with mode, tables, rows and size."""
     try:

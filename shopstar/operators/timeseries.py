@@ -16,6 +16,8 @@ dashboard becomes a DataFrame function:
 * R07 ratio of two metrics on matching labels per step,
 * R08 label listing for dashboard selectors.
 
+``*_at_steps`` evaluate on a step grid, as the dashboard's range queries do.
+
 Rates are differences of prefix sums in two levels: the increase inside
 small fixed time buckets, and one carried sum per series and bucket.  No
 window partition holds more than the samples of one bucket, or one row per
@@ -132,8 +134,33 @@ def _carried(x: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     grown = F.coalesce("total", F.lit(0)) + F.coalesce("border", F.lit(0))
     rows = rows.withColumn("base", F.sum(grown).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.coalesce("total", F.lit(0)))
     start = F.when(F.col("first").isNotNull(), F.struct(F.col("first.t_us").alias("t"), F.col("base").alias("c")))
-    following = F.first(start, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return rows.select(*SERIES, "bucket", "base", "border", "last", following.alias("next"))
+    # from the last bucket backwards: a frame that grows by one row a step, not one that is read anew for every row
+    back = Window.partitionBy(*SERIES).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*SERIES, "bucket", "base", "border", "last", F.last(start, ignorenulls=True).over(back).alias("next"))
+
+
+def _opens(rows: DataFrame, at: str, window_us: int, bucket_us: int) -> DataFrame:
+    """The window starts of evaluation times: (series, sample_t, at, bucket); the window holds samples from ``at`` on."""
+    opens = rows.select(*SERIES, F.col(at).alias("sample_t"), (F.col(at) - F.lit(window_us - 1)).alias("at"))
+    return opens.withColumn("bucket", F.floor(F.col("at") / F.lit(bucket_us)).cast("bigint"))
+
+
+def _begins(x: DataFrame, starts: DataFrame, carried: DataFrame) -> DataFrame:
+    """Time and prefix sum of the first sample at or after each window start."""
+    inner = F.col("hi") - F.col("lo")
+    marks = x.select(*SERIES, "bucket", F.col("t_us").alias("at"), F.struct(F.col("t_us").alias("t"), (F.col("run") - inner).alias("c")).alias("mark"))
+    both = marks.unionByName(starts, allowMissingColumns=True)
+    # backwards in time, at one time samples before window starts: the last mark met is the next sample
+    w = Window.partitionBy(*SERIES, "bucket").orderBy(F.col("at").desc(), F.col("sample_t").asc_nulls_first())
+    found = both.withColumn("found", F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.where("sample_t is not null").join(carried, [*SERIES, "bucket"])
+    return found.select(*SERIES, "sample_t", F.coalesce("found.t", "next.t").alias("begin_t"),
+                        F.coalesce(F.col("base") + F.col("found.c"), F.col("next.c")).alias("begin_c"))
+
+
+def _per_second(end_t: str) -> Column:
+    span = F.col(end_t) - F.col("begin_t")
+    return F.when(span > 0, (F.col("c") - F.col("begin_c")).cast("double") / (span.cast("double") / F.lit(float(US))))
 
 
 def rate(metrics: DataFrame, window_seconds: int = 300, metric: str | None = None, matchers: dict | None = None,
@@ -146,24 +173,82 @@ def rate(metrics: DataFrame, window_seconds: int = 300, metric: str | None = Non
     """
     wus, bus = window_seconds * US, _bucket_us(window_seconds, bucket_seconds)
     x = _summed(_points(select_series(metrics, metric, matchers), bus))
-    opens = (F.col("t_us") - F.lit(wus - 1)).alias("at")  # the window holds samples from here on
-    starts = x.select(*SERIES, F.col("t_us").alias("sample_t"), opens).withColumn(
-        "bucket", F.floor(F.col("at") / F.lit(bus)).cast("bigint"))
+    starts = _opens(x, "t_us", wus, bus)
     carried = _carried(x, starts)
-    inner = F.col("hi") - F.col("lo")
-    marks = x.select(*SERIES, "bucket", F.col("t_us").alias("at"), F.struct(F.col("t_us").alias("t"), (F.col("run") - inner).alias("c")).alias("mark"))
-    both = marks.unionByName(starts, allowMissingColumns=True)
-    w = Window.partitionBy(*SERIES, "bucket").orderBy("at", F.col("sample_t").desc_nulls_last())  # window starts before samples
-    found = both.withColumn("found", F.first("mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    found = found.where("sample_t is not null").join(carried, [*SERIES, "bucket"])
-    begin = found.select(*SERIES, F.col("sample_t").alias("t_us"), F.coalesce("found.t", "next.t").alias("begin_t"),
-                         F.coalesce(F.col("base") + F.col("found.c"), F.col("next.c")).alias("begin_c"))
+    begin = _begins(x, starts, carried).withColumnRenamed("sample_t", "t_us")
     ends = x.join(carried.select(*SERIES, "bucket", "base"), [*SERIES, "bucket"]).select(
         *SERIES, "ts", "t_us", "n", (F.col("base") + F.col("run")).alias("c"))
     j = ends.join(begin, [*SERIES, "t_us"])
-    span = F.col("t_us") - F.col("begin_t")
-    r = F.when(span > 0, (F.col("c") - F.col("begin_c")).cast("double") / (span.cast("double") / F.lit(float(US))))
-    return j.select(*SERIES, "ts", r.alias("rate"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).drop("i")
+    return j.select(*SERIES, "ts", _per_second("t_us").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).drop("i")
+
+
+def _grid(start: _dt.datetime, end: _dt.datetime) -> tuple[int, int]:
+    """The ends of an evaluation grid in microseconds (naive times are UTC)."""
+    us = [int((t.replace(tzinfo=None) - _dt.datetime(1970, 1, 1)) / _dt.timedelta(microseconds=1)) for t in (start, end)]
+    if us[1] < us[0]:
+        raise ValueError("the grid ends before it starts")
+    return us[0], us[1]
+
+
+def _on_grid(rows: DataFrame, value: str, grid: tuple[int, int], step_us: int, lookback_us: int) -> DataFrame:
+    """As-of join of samples (series, t_us, ``value``) to a step grid: (series, step_us, t_us, ``value``).
+
+    A step takes the latest sample of the ``lookback`` before it (the step itself included).  Samples are reduced to the
+    latest one per step slot, so every sample answers for the steps up to the next slot with one or until it is stale.
+    Slots meet in chunks at least as long as the look-back, a slot that reaches beyond its chunk stands in the next one,
+    too: work is linear in samples and steps, and no task holds a whole series.
+    """
+    start, end = grid
+    chunk = max(256, lookback_us // step_us + 1)
+    slot = F.greatest(F.lit(0), F.expr(f"(t_us - {start} + {step_us - 1}) div {step_us}")).cast("bigint")
+    held = rows.where((F.col("t_us") > start - lookback_us) & (F.col("t_us") <= end)).withColumn("slot", slot)
+    held = held.groupBy(*SERIES, "slot").agg(F.max(F.struct("t_us", value)).alias("s"))
+    stale = F.expr(f"(s.t_us + {lookback_us - 1 - start}) div {step_us}")
+    held = held.withColumn("last", F.least(stale, F.lit((end - start) // step_us)).cast("bigint")).where("slot <= last")
+    held = held.withColumn("chunk", F.explode(F.expr(f"sequence(slot div {chunk}, last div {chunk})")))
+    after = F.lead("slot").over(Window.partitionBy(*SERIES, "chunk").orderBy("slot"))
+    first = F.greatest(F.col("slot"), F.col("chunk") * chunk)
+    last = F.least(F.col("last"), F.coalesce(after - 1, F.col("last")), (F.col("chunk") + 1) * chunk - 1)
+    spans = held.select(*SERIES, "s", first.alias("a"), last.alias("b")).where("a <= b")
+    steps = spans.select(*SERIES, "s", F.explode(F.sequence("a", "b")).alias("k"))
+    return steps.select(*SERIES, (F.col("k") * step_us + start).alias("step_us"), "s.t_us", f"s.{value}")
+
+
+def _step_ts() -> Column:
+    return F.timestamp_micros("step_us").cast("timestamp_ntz").alias("step_ts")
+
+
+def latest_at_steps(metrics: DataFrame, start: _dt.datetime, end: _dt.datetime, step_seconds: int = 15, lookback_seconds: int = 300,
+                    metric: str | None = None, matchers: dict | None = None) -> DataFrame:
+    """R01 as a range query: at every step from ``start`` to ``end`` the latest sample of each series that is not stale.
+
+    A series without a sample in the look-back has no row at that step; samples of one time give their highest value.
+    """
+    rows = select_series(metrics, metric, matchers).withColumn("t_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    on = _on_grid(rows, "value", _grid(start, end), step_seconds * US, lookback_seconds * US)
+    return on.select(*SERIES, _step_ts(), F.timestamp_micros("t_us").cast("timestamp_ntz").alias("ts"), "value")
+
+
+def rate_at_steps(metrics: DataFrame, start: _dt.datetime, end: _dt.datetime, step_seconds: int = 15, window_seconds: int = 300,
+                  metric: str | None = None, matchers: dict | None = None, bucket_seconds: int | None = None) -> DataFrame:
+    """R04 as a range query: the rate over the window that ends at each step; no row where the window has no sample.
+
+    NULL when the window's samples have one time only.
+    """
+    wus, bus = window_seconds * US, _bucket_us(window_seconds, bucket_seconds)
+    x = _summed(_points(select_series(metrics, metric, matchers), bus))
+    sums = x.join(_carried(x).select(*SERIES, "bucket", "base"), [*SERIES, "bucket"])
+    sums = sums.select(*SERIES, "t_us", (F.col("base") + F.col("run")).alias("c"))
+    ends = _on_grid(sums, "c", _grid(start, end), step_seconds * US, wus)
+    starts = _opens(ends, "step_us", wus, bus)
+    begin = _begins(x, starts, _carried(x, starts)).withColumnRenamed("sample_t", "step_us")
+    return ends.join(begin, [*SERIES, "step_us"]).select(*SERIES, _step_ts(), _per_second("t_us").alias("rate"))
+
+
+def avg_at_steps(evaluated: DataFrame, value_col: str, digits: int = 6) -> DataFrame:
+    """R06 as a range query: the average across series at every step that has a value."""
+    g = evaluated.where(F.col(value_col).isNotNull()).groupBy("step_ts").agg(F.avg(value_col).alias("v"), F.count(F.lit(1)).alias("series"))
+    return g.select("step_ts", F.round("v", digits).alias(f"avg_{value_col}"), "series")
 
 
 def irate(metrics: DataFrame, window_seconds: int = 300, metric: str | None = None, matchers: dict | None = None,

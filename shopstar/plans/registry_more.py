@@ -49,6 +49,7 @@ def more_queries(on):
     out = {}
     out.update(_examples(on))
     from shopstar.plans import described as N
+    from shopstar.plans import layoutops as Y
     from shopstar.plans import operations as O
     from shopstar.plans import tableops as X
     from shopstar.plans import tables as T
@@ -56,6 +57,7 @@ def more_queries(on):
     out.update(O.registry(on))
     out.update(T.registry(on))
     out.update(X.registry(on))
+    out.update(Y.registry(on))
     return out
 
 
@@ -63,6 +65,7 @@ def more_sql():
     from shopstar.plans.examples_sql import SQL as DSQL
     out = dict(DSQL)
     from shopstar.plans.described_sql import SQL as NSQL
+    from shopstar.plans.layoutops_sql import SQL as YSQL
     from shopstar.plans.operations_sql import SQL as OSQL
     from shopstar.plans.tableops_sql import SQL as XSQL
     from shopstar.plans.tables_sql import SQL as TSQL
@@ -70,4 +73,5 @@ def more_sql():
     out.update(OSQL)
     out.update(TSQL)
     out.update(XSQL)
+    out.update(YSQL)
     return out

@@ -6,19 +6,24 @@ folder (a new folder a run) and returns what is there afterwards.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shopstar.operators import layout as L
 from shopstar.operators import snapshot as S
+from shopstar.operators.marts import DIM_KEYS, FACT_TABLES
+from shopstar.operators.versions import VersionedFact
 from shopstar.plans.tables import mart_row_counts
 from shopstar.session import shared_path
 from shopstar.sources import delimited as D
 
-SNAPSHOT_TABLES = ("dim_date", "dim_item", "dim_promotion", "fact_web_sales")
+SNAPSHOT_TABLES = (*DIM_KEYS, *FACT_TABLES)
 RELOADED = (199501, 199512)
+LOST, CHANGED = 199603, 199604
 
 
 def _folder(m) -> str:
@@ -64,40 +69,57 @@ def landed_rows(m) -> DataFrame:
 def load_report(m) -> DataFrame:
     """S06 over the raw layer: exact rows of each landed table."""
     folder = _folder(m)
-    _source_files(m, folder, 0)
-    D.load_all(m.spark, f"{folder}/src0", f"{folder}/raw", ["income_band", "reason"])
+    _source_files(m, folder, 0, 1)
+    for p in (0, 1):
+        D.load_all(m.spark, f"{folder}/src{p}", f"{folder}/raw", ["income_band", "reason"])
     return D.load_report(m.spark, f"{folder}/raw", ["income_band", "reason"])
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _named(table: str, df: DataFrame) -> DataFrame:
+    return df.select(F.lit(table).alias("table_name"), "*")
+
+
 def reloaded_months(m) -> DataFrame:
-    """The web fact written, one year loaded again without its March; its month folders."""
-    path = f"{_folder(m)}/fact_web_sales"
-    fact = m.fact_web_sales
-    L.write_fact(fact, path, "ws_sold_date_sk")
-    ym = L.sold_ym("ws_sold_date_sk")
-    L.write_fact(fact.filter(ym.between(*RELOADED) & (ym != 199503)), path, "ws_sold_date_sk", months=RELOADED)
-    return L.partition_report(L.read_fact(m.spark, path), "ws_sold_date_sk")
+    """The facts published, one year loaded again without its March; their month folders."""
+    folder, out = _folder(m), []
+    for t, key in L.FACT_DATE_KEY.items():
+        fact = VersionedFact(m.spark, f"{folder}/{t}", key)
+        fact.publish(getattr(m, t))
+        ym = L.sold_ym(key)
+        fact.publish(getattr(m, t).filter(ym.between(*RELOADED) & (ym != 199503)), RELOADED)
+        out.append(_named(t, L.partition_report(fact.read(), key)))
+    return _union(out)
 
 
 def undated_partition(m) -> DataFrame:
-    """Sales without a date (every 13th ticket here) are written to the default partition."""
-    path = f"{_folder(m)}/fact_store_sales"
-    day = F.when(F.col("ss_ticket_number") % 13 != 0, F.col("ss_sold_date_sk"))
-    L.write_fact(m.fact_store_sales.withColumn("ss_sold_date_sk", day), path, "ss_sold_date_sk")
-    return L.partition_report(L.read_fact(m.spark, path), "ss_sold_date_sk")
+    """Sales without a date (every 13th ticket or order here) are written to the default partition."""
+    folder, out = _folder(m), []
+    for t, key in L.FACT_DATE_KEY.items():
+        number = f"{key[:2]}_{'ticket' if t == 'fact_store_sales' else 'order'}_number"
+        day = F.when(F.col(number) % 13 != 0, F.col(key))
+        L.write_fact(getattr(m, t).withColumn(key, day), f"{folder}/{t}", key)
+        out.append(_named(t, L.partition_report(L.read_fact(m.spark, f"{folder}/{t}"), key)))
+    return _union(out)
 
 
 def table_statistics(m) -> DataFrame:
-    """Row counts that ANALYZE keeps in the catalog for written tables (registered under a name of their own, then dropped)."""
+    """Row counts that ANALYZE keeps in the catalog for all marts (registered under names of their own, then dropped)."""
     folder, tag = _folder(m), uuid.uuid4().hex[:12]
     out = []
-    for t, partitioned in (("dim_item", False), ("fact_web_sales", True)):
+    for t in SNAPSHOT_TABLES:
         path, name = f"{folder}/{t}", f"{t}_{tag}"
-        if partitioned:
-            L.write_fact(m.fact_web_sales, path, "ws_sold_date_sk")
+        if t in L.FACT_DATE_KEY:
+            L.write_fact(getattr(m, t), path, L.FACT_DATE_KEY[t])
         else:
-            L.write_table(getattr(m, t), path)
-        L.register_table(m.spark, name, path, partitioned)
+            getattr(m, t).write.parquet(path)
+        L.register_table(m.spark, name, path, t in L.FACT_DATE_KEY)
         stats = L.analyze_table(m.spark, name).first()["data_type"]  # one line of text
         m.spark.sql(f"DROP TABLE {name}")
         out.append((t, stats))
@@ -115,10 +137,16 @@ def manifest(m) -> DataFrame:
 
 
 def schema_export(m) -> DataFrame:
-    """Columns of each table in a schema-only export."""
+    """Columns of each table in a schema-only export, and the rows of the mart that a table made from it takes."""
     out = S.read_manifest(m.spark, _snapshot(m, _folder(m), schema_only=True))
-    fields = F.from_json("schema_json", "struct<fields:array<struct<name:string>>>")["fields"]
-    return out.select("table_name", "mode", F.size(fields).alias("columns"))
+    parts = []
+    for r in out.select("table_name", "mode", "schema_json").collect():  # one row a table
+        made = m.spark.createDataFrame([], StructType.fromJson(json.loads(r.schema_json)))
+        mart = getattr(m, r.table_name)
+        fits = made.union(mart.select(*[F.col(f.name).cast(f.dataType) for f in made.schema.fields]))
+        parts.append(fits.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(r.table_name).alias("table_name"), F.lit(r.mode).alias("mode"), F.lit(len(made.columns)).alias("columns"), "rows"))
+    return _union(parts)
 
 
 def verification(m) -> DataFrame:
@@ -138,12 +166,26 @@ def restored(m) -> DataFrame:
     """What a confirmed restore wrote: rows of each table, counted from the target."""
     folder = _folder(m)
     plan = S.restore(m.spark, _snapshot(m, folder), f"{folder}/back", dry_run=False, confirm=True)
-    parts = [m.spark.read.parquet(r.target).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(r.table_name).alias("table_name"), "rows")
-             for r in plan.collect()]  # one row a table
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _union([_named(r.table_name, m.spark.read.parquet(r.target).agg(F.count(F.lit(1)).alias("rows"))) for r in plan.collect()])
+
+
+def damaged_months(m) -> DataFrame:
+    """Live facts of which a month was lost and another changed: what is found, and what is left after the repair."""
+    folder = _folder(m)
+    live, snap = f"{folder}/live", S.snapshot(m.spark, {t: _by_month(m, t) for t in FACT_TABLES}, f"{folder}/snapshots")
+    for t in FACT_TABLES:
+        number = f"{L.FACT_DATE_KEY[t][:2]}_{'ticket' if t == 'fact_store_sales' else 'order'}_number"
+        ym, rows = F.col(L.PARTITION_COL), m.spark.read.parquet(f"{snap}/{t}")
+        changed = F.when(ym == CHANGED, F.col(number) + 1).otherwise(F.col(number))
+        L.write_table(rows.where(ym != LOST).withColumn(number, changed), f"{live}/{t}")
+    found = S.repair(m.spark, snap, live)
+    left = {(r.table_name, r.part) for r in S.damaged_parts(m.spark, snap, live).collect()}
+    rows = [(t, p, state, (t, p) not in left) for t, p, state in found]  # at most a row a month
+    return m.spark.createDataFrame(rows, "table_name string, part string, state string, repaired boolean")
+
+
+def _by_month(m, t: str) -> DataFrame:
+    return getattr(m, t).withColumn(L.PARTITION_COL, L.sold_ym(L.FACT_DATE_KEY[t]))
 
 
 def logged_runs(m) -> DataFrame:
@@ -175,5 +217,5 @@ def registry(on):
         "s11_landed_rows": on(landed_rows), "s16_undated_partition": on(undated_partition), "s18_table_statistics": on(table_statistics),
         "k01_manifest": on(manifest), "k02_schema_export": on(schema_export), "k03_verification": on(verification),
         "k04_snapshots": on(snapshots), "k05_restored_rows": on(restored), "k06_logged_runs": on(logged_runs),
-        "k09_reconciled_counts": on(reconciled),
+        "k03_damaged_months": on(damaged_months), "k09_reconciled_counts": on(reconciled),
     }
