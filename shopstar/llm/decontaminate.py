@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopstar.llm.common import cut
+from shopstar.operators.ranking import unused
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -377,9 +378,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
           window: int = WINDOW, coverage: float = COVERAGE, agree: float = AGREE, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """The rows of ``docs`` in which no item is found; between the passes of a large benchmark they are written."""
-    out = docs
+    out, (name,) = docs, unused(docs, "__found")
     for n, part in enumerate(slices(benchmark, item_col, item_text_col, slice_windows)):
         out = cut(out) if n else out
-        out = (out.withColumn("__found", found_in(F.col(text_col), docs.sparkSession, part, window, coverage, agree))
-               .where(F.size("__found") == 0).drop("__found"))
+        out = (out.withColumn(name, found_in(F.col(text_col), docs.sparkSession, part, window, coverage, agree))
+               .where(F.size(name) == 0).drop(name))
     return out

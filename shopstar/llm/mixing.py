@@ -12,7 +12,7 @@ Nothing is sorted and no document is compared with another.
 Cases: a null text has size 0; a null source is a source of its own, after all
 others; sources of size 0 have target 0; documents of size 0 are taken 0; rows
 that repeat an id share its hash and are taken or left together; an empty table
-gives an empty result.
+gives an empty result; further columns stay in ``sample``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shopstar.llm.common import WORD_PATTERN, cut, small
+from shopstar.operators.ranking import unused
 
 HASH_DIGITS = 15  # hex digits of the md5 that order the documents (60 bits)
 LEVEL_BITS = 12  # hash bits that one histogram resolves
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
            weights: tuple[int, ...] = (5, 2, 1), total_share: str = "1.5", max_repeats: int = 2, out: str = "copies") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with the number of times (``out``); the others go.
+    """The rows of ``docs`` that the mix takes, with the number of times (``out``, a new column); the others go.
 
     Copies depend on the source and the id's hash alone, so no text is joined; documents without words go.
     """
@@ -106,12 +107,13 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
                             text_words(F.col(text_col)).alias("__size"), id_hash(F.col(id_col)).alias("__hash")))
     sources = cut(targets(source_table(sized, weights), decimal.Decimal(total_share), max_repeats))
     n = sources.count()
-    bounds = small(thresholds(sized, sources, n).select("__key", "__passes", "__threshold"), n)
-    marked = docs.withColumn("__key", _key(F.col(source_col))).withColumn("__hash", id_hash(F.col(id_col)))
-    copies = F.col("__passes") + F.when(F.col("__hash") < F.col("__threshold"), 1).otherwise(0)
+    key, place, passes, limit = unused(docs, "__key", "__hash", "__passes", "__threshold")
+    bounds = thresholds(sized, sources, n).select(F.col("__key").alias(key), F.col("__passes").alias(passes), F.col("__threshold").alias(limit))
+    marked = docs.withColumn(key, _key(F.col(source_col))).withColumn(place, id_hash(F.col(id_col)))
+    copies = F.col(passes) + F.when(F.col(place) < F.col(limit), 1).otherwise(0)
     words = F.regexp_like(F.col(text_col), F.lit(WORD_PATTERN))
-    return (marked.join(bounds, "__key").withColumn(out, copies.cast("int")).where((F.col(out) > 0) & words)
-            .drop("__key", "__hash", "__passes", "__threshold"))
+    return (marked.join(small(bounds, n), key).withColumn(out, copies.cast("int")).where((F.col(out) > 0) & words)
+            .drop(key, place, passes, limit))
 
 
 def thresholds(sized: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:

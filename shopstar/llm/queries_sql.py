@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shopstar.llm.urlfilter import ATTRIBUTE, NAMED, NUMBERED, QUOTED, REFRESH, SKIPPED, TAG
+
 SQL: dict[str, str] = {}
 
 # ---- op6: the same patterns as the operator, RE2 and Java read them alike ----
@@ -131,18 +133,88 @@ def _node(url: str) -> str:
 
 
 _RULES = "(VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))"
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _attribute(rest: str, name: str) -> str:
+    """The first attribute of that name, before its references are decoded; null if there is none."""
+    names = f"list_transform(regexp_extract_all({rest}, {_text(ATTRIBUTE)}, 1), lambda n: translate(n, {_UP}, {_LOW}))"
+    parts = " || ".join(f"coalesce(regexp_extract_all({rest}, {_text(ATTRIBUTE)}, {g})[list_position({names}, '{name}')], '')" for g in (2, 3, 4))
+    return f"CASE WHEN list_contains({names}, '{name}') THEN {parts} END"
+
+
+def _resolved(name: str, source: str) -> str:
+    """CTEs that make ``source`` (k, link, src) into ``name`` (k, url): null for other schemes and bare fragments."""
+    own = f"CASE WHEN {_path('src')} = '' THEN '/' ELSE {_path('src')} END"
+    return f"""
+{name}_parts AS (
+    SELECT k, link, src, regexp_extract(link, '(?s)^([^?#]*)', 1) AS p, regexp_extract(link, '(?s)^[^?#]*(.*)$', 1) AS rest, {own} AS own FROM {source}),
+{name}_segments AS (
+    SELECT *, string_split(CASE WHEN starts_with(link, '/') THEN p ELSE regexp_extract(own, '(?s)^(.*/)', 1) || p END, '/') AS segs FROM {name}_parts),
+{name}_walk AS (
+    SELECT k, segs, 2 AS i, CAST([] AS VARCHAR[]) AS done FROM {name}_segments
+    UNION ALL
+    SELECT k, segs, i + 1, CASE segs[i] WHEN '..' THEN done[1:len(done) - 1] WHEN '.' THEN done ELSE list_append(done, segs[i]) END
+    FROM {name}_walk WHERE i <= len(segs)),
+{name}_clean AS (
+    SELECT k, '/' || array_to_string(done, '/') || CASE WHEN segs[-1] IN ('.', '..') AND len(done) > 0 THEN '/' ELSE '' END AS clean
+    FROM {name}_walk WHERE i = len(segs) + 1),
+{name} AS (
+    SELECT s.k, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+                     WHEN starts_with(link, '//') THEN regexp_extract(src, '(?s)^(.*?)://', 1) || ':' || link
+                     WHEN regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN NULL
+                     ELSE regexp_extract(src, '(?s)^(.*?)://', 1) || '://' || {_host('src')}
+                          || CASE WHEN p = '' AND NOT starts_with(link, '/') THEN own ELSE clean END || rest END AS url
+    FROM {name}_segments s JOIN {name}_clean c ON c.k = s.k)"""
+
+
+def _named(value: str) -> str:
+    for name, char in NAMED:
+        value = f"replace({value}, '{name}', {_text(char)})"
+    return value
+
+
 SQL["op10_url_filter"] = f"""
 WITH RECURSIVE rules AS (SELECT * FROM {_RULES} t(rhost, rpath, decision)),
+cleaned AS (
+    SELECT row_number() OVER () AS page, url, regexp_replace(html, {_text(SKIPPED)}, ' ', 'g') AS html FROM pages
+    WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+tags AS (
+    SELECT page, url, unnest(regexp_extract_all(html, {_text(TAG)}, 1)) AS kind, unnest(regexp_extract_all(html, {_text(TAG)}, 2)) AS rest,
+           generate_subscripts(regexp_extract_all(html, {_text(TAG)}, 1), 1) AS pos FROM cleaned),
+attributes AS (
+    SELECT page, url, pos, translate(kind, {_UP}, {_LOW}) AS kind, name, value FROM tags, LATERAL (
+        SELECT unnest(['href', 'rel', 'http-equiv', 'content']) AS name,
+               unnest([{", ".join(_attribute("rest", n) for n in ("href", "rel", "http-equiv", "content"))}]) AS value) v
+    WHERE value IS NOT NULL),
+numbered AS (  -- one numeric reference after the other
+    SELECT page, url, pos, kind, name, value, list_distinct(regexp_extract_all(value, {_text(NUMBERED)}, 1)) AS refs, 1 AS i FROM attributes
+    UNION ALL
+    SELECT page, url, pos, kind, name, CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111 THEN replace(value, '&#' || refs[i] || ';', chr(n)) ELSE value END, refs, i + 1
+    FROM (SELECT *, CAST(CASE WHEN lower(refs[i][1]) = 'x' THEN CAST('0x' || refs[i][2:] AS BIGINT) ELSE CAST(refs[i] AS BIGINT) END AS INTEGER) AS n
+          FROM numbered WHERE i <= len(refs))),
+decoded AS (SELECT page, url, pos, kind, name, {_named("value")} AS value FROM numbered WHERE i = len(refs) + 1),
+wide AS (
+    SELECT page, url, pos, kind, max(value) FILTER (WHERE name = 'href') AS href, max(value) FILTER (WHERE name = 'rel') AS rel,
+           max(value) FILTER (WHERE name = 'http-equiv') AS equiv, max(value) FILTER (WHERE name = 'content') AS content FROM decoded GROUP BY ALL),
+base_links AS (
+    SELECT page AS k, trim(href) AS link, url AS src FROM wide WHERE kind = 'base' AND href IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY page ORDER BY pos) = 1),
+{_resolved("bases", "base_links")},
+raw_links AS (
+    SELECT page, url, trim(href) AS link FROM wide
+    WHERE kind = 'link' AND list_contains(regexp_split_to_array(translate(trim(rel), {_UP}, {_LOW}), '\\s+'), 'canonical')
+    UNION ALL
+    SELECT page, url, trim(regexp_extract(r, {_text(QUOTED)}, 1) || regexp_extract(r, {_text(QUOTED)}, 2) || regexp_extract(r, {_text(QUOTED)}, 3))
+    FROM (SELECT page, url, trim(regexp_extract(content, {_text(REFRESH)}, 1)) AS r FROM wide
+          WHERE kind = 'meta' AND translate(trim(equiv), {_UP}, {_LOW}) = 'refresh')),
 links AS (
-    SELECT url, unnest([
-        regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-        regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-    ]) AS raw FROM pages),
-resolved AS (
-    SELECT url, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN raw
-                     WHEN starts_with(raw, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || raw
-                     WHEN starts_with(raw, '/') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || {_host("url")} || raw END AS link
-    FROM (SELECT url, replace(raw, '&amp;', '&') AS raw FROM links WHERE raw <> '')),
+    SELECT row_number() OVER () AS k, l.url, link, coalesce(b.url, l.url) AS src FROM raw_links l LEFT JOIN bases b ON b.k = l.page WHERE link <> ''),
+{_resolved("targets", "links")},
+resolved AS (SELECT l.url, t.url AS link FROM links l JOIN targets t ON t.k = l.k),
 edges AS (
     SELECT {_node("url")} AS a, {_node("link")} AS b FROM resolved),
 both_ways AS (

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from shopstar.llm.common import cut, row_hash, small
 from shopstar.llm.components import connected_components
+from shopstar.operators.ranking import unused
 
 SEED = 42
 BITS = 64
@@ -197,7 +198,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     stays = by_print.groupBy("__root").agg(F.min("__first").alias("__best")).select(F.col("__best.row").alias("__row"), F.lit(True).alias("__stays"))
     # rows to drop are few beside the corpus: they are counted, and broadcast only if they are
     goes = cut(prints.select("__row").distinct().join(stays.distinct(), "__row", "left").where("__stays is null").select("__row"))
-    kept = docs.withColumn("__row", row).join(small(goes, goes.count(), DROP_ROWS), "__row", "left_anti").drop("__row")
+    name, = unused(docs, "__row")
+    goes = goes.withColumnRenamed("__row", name)
+    kept = docs.withColumn(name, row).join(small(goes, goes.count(), DROP_ROWS), name, "left_anti").drop(name)
     total = prints.count()
     equal = prints.select("__row").distinct().count()
     return kept if total == equal else kept.dropDuplicates()

@@ -10,10 +10,14 @@ takes precedence), and so does everything that no block reaches.
 
 Cases: a null url, or one without ``://``, has empty host and path, no rule and
 no aliases, and is allowed; null html has no links; repeated rows get a row
-each; all canonical and refresh tags of a page count; relative links (also
-``next.html``, ``../a`` and ``?p=1``) are resolved against the page's url, links
-of other schemes (``mailto:``) and bare fragments lead to no page; an empty
-table gives an empty result; further columns are ignored.
+each; all canonical and refresh tags of a page count, outside comments, scripts
+and styles; attributes are read by name, quoted or not, ``rel`` by its words and
+values with their character references decoded; relative links (also
+``next.html``, ``../a`` and ``?p=1``) are resolved against the page's ``base``, or
+its url, links of other schemes (``mailto:``) and bare fragments lead to no page;
+very long pages are read whole; a tag with more than 300 quoted values is no tag;
+an empty table gives an empty result; further columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -25,10 +29,14 @@ from shopstar.llm.common import cut, lower_ascii, small
 from shopstar.llm.components import connected_components
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+# What holds no tags of the page, tags, the attributes of a tag, and a refresh value.
+SKIPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+TAG = r"(?is)<(link|meta|base)((?:\s[^'\">]*)(?:(?:\"[^\"]*\"|'[^']*')[^'\">]*){0,300})>"
+ATTRIBUTE = r"(?is)([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?"
+REFRESH = r"(?is)^\s*(?:[0-9.]+\s*[;,\s]\s*(?:url\s*=\s*)?|url\s*=\s*)(.*)$"
+QUOTED = r"(?is)^(?:\"([^\"]*).*|'([^']*).*|([^\"'].*))$"
+NUMBERED = r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
+NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 RULES_LIMIT = 10_000  # more rules than this join by shuffle instead of broadcast
 
 
@@ -72,16 +80,54 @@ def _resolve(link: Column, url: Column) -> Column:
             .otherwise(F.concat(scheme, F.lit("://"), host_of(url), at, rest)))
 
 
+def _decoded(value: Column) -> Column:
+    """The value with numeric references and those of the markup characters decoded."""
+    def code(ref: Column) -> Column:
+        hexadecimal = F.lower(F.substring(ref, 1, 1)) == "x"
+        return F.when(hexadecimal, F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).cast("bigint")
+
+    def put(text: Column, ref: Column) -> Column:
+        n = code(ref)
+        known = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, n).otherwise(0x20)), 8, "0")), "UTF-32")
+        return F.when(known, F.replace(text, F.concat(F.lit("&#"), ref, F.lit(";")), char)).otherwise(text)
+
+    out = F.aggregate(F.array_distinct(F.regexp_extract_all(value, F.lit(NUMBERED), F.lit(1))), value, put)
+    for name, char in NAMED:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(value.contains("&"), out).otherwise(value)
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """The first attribute of that name in a tag, decoded; null if there is none."""
+    names = F.transform(F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), F.lit(1)), lower_ascii)
+    at = F.array_position(names, name).cast("int")
+    parts = [F.coalesce(F.get(F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), F.lit(g)), at - 1), F.lit("")) for g in (2, 3, 4)]
+    return F.when(at > 0, _decoded(F.concat(*parts)))
+
+
+def _refresh_link(content: Column) -> Column:
+    rest = F.trim(F.regexp_extract(content, REFRESH, 1))
+    return F.concat(*[F.regexp_extract(rest, QUOTED, g) for g in (1, 2, 3)])
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): url nodes joined by a canonical link or a redirect."""
     html, url = F.col(html_col), F.col(url_col)
     # the cheap test first: most pages carry neither tag
-    tagged = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("url"), html.alias("html"))
-    canonical = F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1))
-    refresh = F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
-    links = tagged.select("url", F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''")
-    link = F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))
-    ends = links.select(node_of(F.col("url")).alias("a"), node_of(_resolve(link, F.col("url"))).alias("b"))
+    tagged = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("url"), F.regexp_replace(html, SKIPPED, " ").alias("html"))
+    kinds, rest = (F.regexp_extract_all("html", F.lit(TAG), F.lit(g)) for g in (1, 2))
+    tags = F.transform(F.arrays_zip(kinds.alias("kind"), rest.alias("rest")), lambda t: F.struct(
+        lower_ascii(t["kind"]).alias("kind"), F.trim(_value(t["rest"], "href")).alias("href"),
+        F.split(lower_ascii(F.trim(F.coalesce(_value(t["rest"], "rel"), F.lit("")))), r"\s+").alias("rel"),
+        F.when(lower_ascii(F.trim(_value(t["rest"], "http-equiv"))) == "refresh", _refresh_link(_value(t["rest"], "content"))).alias("refresh")))
+    page = tagged.select("url", tags.alias("tags"))
+    base = F.get(F.filter("tags", lambda t: (t["kind"] == "base") & t["href"].isNotNull()), F.lit(0))["href"]
+    canonical = F.transform(F.filter("tags", lambda t: (t["kind"] == "link") & F.array_contains(t["rel"], "canonical")), lambda t: t["href"])
+    refresh = F.transform(F.filter("tags", lambda t: t["kind"] == "meta"), lambda t: F.trim(t["refresh"]))
+    links = page.select("url", F.coalesce(_resolve(base, F.col("url")), F.col("url")).alias("at"), F.explode(F.concat(canonical, refresh)).alias("link"))
+    links = links.where("link <> ''")
+    ends = links.select(node_of(F.col("url")).alias("a"), node_of(_resolve(F.col("link"), F.col("at"))).alias("b"))
     return ends.where("a is not null and b is not null and a <> b")
 
 

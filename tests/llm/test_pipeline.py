@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shopstar.llm import decontaminate, langid, mixing, quality, queries, simhash
@@ -69,6 +70,21 @@ def test_odd_and_empty_tables_pass_every_stage(llm, rows):
     assert corpus_pipeline.STAGES[-1][1](llm, doc_rows(llm, rows), SF).count() <= len(rows)
 
 
+HELPERS = ["__quality", "__langid", "__row", "__found", "__key", "__hash", "__passes", "__threshold", "__size", "__fp", "__rest", "__id", "copies", "size"]
+
+
+def test_columns_named_like_helpers_pass_every_stage(llm, tmp_path):
+    docs = llm.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in HELPERS})
+    given = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(llm, docs, SF).write.parquet(str(tmp_path / name))
+        docs = llm.read.parquet(str(tmp_path / name))
+    assert docs.columns == [*given, "copies_"]
+    rows = docs.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in HELPERS)
+
+
 def rows_of(cursor):
     names = [d[0] for d in cursor.description]
     order = sorted(range(len(names)), key=lambda i: names[i])

@@ -1,5 +1,7 @@
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,44 @@ def test_relative_links_and_all_tags(llm):
     assert verdicts == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
 
 
+TAGGED = [
+    ("data-href", '<link data-href="http://u.org/" rel="canonical" href="http://n.net/es/1">', "block"),
+    ("rel words", '<LINK REL="Alternate  CANONICAL" href=http://n.net/es/2>', "block"),
+    ("other rel", '<link rel="xcanonical" href="http://n.net/es/2">', "allow"),
+    ("quoted >", '<link title="a>b" rel=canonical href=\'http://n.net/es/3\'/>', "block"),
+    ("numeric", '<link rel="canonical" href="http&#58;//n.net/es&#x2F;q?a=1&#38;b=2&amp;c">', "block"),
+    ("base", '<base target="_top"><base href="http://n.net/es/"><base href="http://other.org/"><link rel=canonical href="x.html">', "block"),
+    ("relative base", '<base href="//n.net/es/z/"><meta http-equiv="refresh" content="5; url=../x">', "block"),
+    ("comment", '<!-- <link rel="canonical" href="http://n.net/es/1"> --><p>canonical</p>', "allow"),
+    ("open comment", '<!-- <link rel="canonical" href="http://n.net/es/1">', "allow"),
+    ("script", '<script>var a = \'<link rel="canonical" href="http://n.net/es/1">\';</script >', "allow"),
+    ("refresh forms", '<meta content=\'0;URL="http://n.net/es/5"\' http-equiv=" Refresh ">', "block"),
+    ("refresh bare", '<meta http-equiv=refresh content="3, http://n.net/es/6">', "block"),
+    ("refresh only", '<meta http-equiv=refresh content="3">', "allow"),
+    ("not refresh", '<meta http-equiv="content-type" content="0;url=http://n.net/es/6">', "allow"),
+    ("linked", '<linked rel="canonical" href="http://n.net/es/1">', "allow"),
+    ("no value", '<link rel canonical href="http://n.net/es/1">', "allow"),
+    ("first wins", '<link rel=canonical href="http://a.org/" href="http://n.net/es/1">', "allow"),
+    ("bad reference", '<link rel=canonical href="http://n.net/es/&#xD800;&#9999999;&#x41">', "block"),
+    ("dots", '<base href="http://n.net/es/"><link rel=canonical href="../fr2/./7"><link rel=canonical href="../../..">', "allow"),
+    ("long", "<p>" + "x " * 50_000 + '<link rel="canonical" href="http://n.net/es/8">' + "<link " + 'a="1" ' * 5000 + ">", "block"),
+    ("empty", "", "allow"),
+]
+
+
+def test_tags_by_attributes_and_the_oracle_on_them(llm):
+    rows = [(i, f"http://t{i}.org/d/p.html", html) for i, (_, html, _) in enumerate(TAGGED)] + [(99, None, None), (100, "http://n.net/es/7", "")]
+    got = {r.page_id: r for r in urlfilter.judge(pages(llm, rows), rules(llm)).collect()}
+    for i, (name, _, verdict) in enumerate(TAGGED):
+        assert got[i].verdict == verdict, name
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    cursor = con.execute(queries.oracle_sql()["op10_url_filter"])
+    names = [d[0] for d in cursor.description]
+    assert {r[names.index("page_id")]: {c: v for c, v in zip(names, r)} for r in cursor.fetchall()} == {
+        i: {c: r[c] for c in names} for i, r in got.items()}
+
+
 def test_redirect_table_and_long_chains(llm):
     rows = [(i, f"http://h{i}.example.org/p", None) for i in range(40)]
     chain = [(f"http://h{i}.example.org/p", f"http://h{i + 1}.example.org/p") for i in range(39)] + [("http://h39.example.org/p", "http://z.net/fr/"), (None, "x")]
