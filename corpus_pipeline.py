@@ -2,8 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's ``docs``.  Stages 1 to 4 return the
-columns of ``docs``; the last adds ``copies``: how often the mix takes the
-document (documents that it leaves out go).
+columns of ``docs``; the last adds ``copies`` (``copies_`` and so on where the
+table has that name): how often the mix takes the document (documents that it
+leaves out go).
 
 Every stage learns from and decides on what its predecessor kept.  Cases: the
 operators' own (see their modules); an empty table passes through every stage;
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from shopstar.llm import decontaminate, langid, mixing, quality, simhash
 from shopstar.llm.common import in_fold, prepare, read
+from shopstar.operators.ranking import unused
 from shopstar.session import shared_path
 
 
@@ -26,15 +28,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier rejects go."""
     prepare(spark)
     model = quality.fit(docs, read(spark, sf_dir, "labels"), ~in_fold("__id", 4, 2))
-    scored = quality.score(docs, model, out="__quality")
-    return scored.where(F.col("__quality") >= quality.THRESHOLD).drop("__quality")
+    name, = unused(docs, "__quality")
+    return quality.score(docs, model, out=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like none of the languages learnt go."""
     prepare(spark)
-    told = langid.predict(docs, langid.fit(docs, ~in_fold("__id", 4, 2)), out="__langid")
-    return told.where(~F.col("__langid.rejected")).drop("__langid")
+    name, = unused(docs, "__langid")
+    told = langid.predict(docs, langid.fit(docs, ~in_fold("__id", 4, 2)), out=name)
+    return told.where(~F.col(f"{name}.rejected")).drop(name)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the number of ``copies``."""
     prepare(spark)
-    return mixing.sample(docs, out="copies")
+    return mixing.sample(docs, out=unused(docs, "copies")[0])
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_dedup", dedup_stage),
