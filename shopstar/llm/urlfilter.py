@@ -98,12 +98,16 @@ def _decoded(value: Column) -> Column:
     return F.when(value.contains("&"), out).otherwise(value)
 
 
-def _value(attributes: Column, name: str) -> Column:
+def _attributes(rest: Column) -> tuple[Column, Column]:
+    """Names in lower case and raw values of a tag's attributes."""
+    parts = [F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3, 4)]
+    values = F.transform(F.arrays_zip(*parts[1:]), lambda v: F.concat(v["g2"], v["g3"], v["g4"]))
+    return F.transform(parts[0], lower_ascii), values
+
+
+def _value(tag: Column, name: str) -> Column:
     """The first attribute of that name in a tag, decoded; null if there is none."""
-    names = F.transform(F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), F.lit(1)), lower_ascii)
-    at = F.array_position(names, name).cast("int")
-    parts = [F.coalesce(F.get(F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), F.lit(g)), at - 1), F.lit("")) for g in (2, 3, 4)]
-    return F.when(at > 0, _decoded(F.concat(*parts)))
+    return _decoded(F.get(tag["values"], F.array_position(tag["names"], name).cast("int") - 1))
 
 
 def _refresh_link(content: Column) -> Column:
@@ -117,10 +121,12 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     # the cheap test first: most pages carry neither tag
     tagged = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("url"), F.regexp_replace(html, SKIPPED, " ").alias("html"))
     kinds, rest = (F.regexp_extract_all("html", F.lit(TAG), F.lit(g)) for g in (1, 2))
-    tags = F.transform(F.arrays_zip(kinds.alias("kind"), rest.alias("rest")), lambda t: F.struct(
-        lower_ascii(t["kind"]).alias("kind"), F.trim(_value(t["rest"], "href")).alias("href"),
-        F.split(lower_ascii(F.trim(F.coalesce(_value(t["rest"], "rel"), F.lit("")))), r"\s+").alias("rel"),
-        F.when(lower_ascii(F.trim(_value(t["rest"], "http-equiv"))) == "refresh", _refresh_link(_value(t["rest"], "content"))).alias("refresh")))
+    parsed = F.transform(F.arrays_zip(kinds.alias("kind"), rest.alias("rest")), lambda t: F.struct(
+        lower_ascii(t["kind"]).alias("kind"), *[c.alias(n) for c, n in zip(_attributes(t["rest"]), ("names", "values"), strict=True)]))
+    tags = F.transform(parsed, lambda t: F.struct(
+        t["kind"].alias("kind"), F.trim(_value(t, "href")).alias("href"),
+        F.split(lower_ascii(F.trim(F.coalesce(_value(t, "rel"), F.lit("")))), r"\s+").alias("rel"),
+        F.when(lower_ascii(F.trim(_value(t, "http-equiv"))) == "refresh", _refresh_link(_value(t, "content"))).alias("refresh")))
     page = tagged.select("url", tags.alias("tags"))
     base = F.get(F.filter("tags", lambda t: (t["kind"] == "base") & t["href"].isNotNull()), F.lit(0))["href"]
     canonical = F.transform(F.filter("tags", lambda t: (t["kind"] == "link") & F.array_contains(t["rel"], "canonical")), lambda t: t["href"])
