@@ -99,15 +99,15 @@ def _decoded(value: Column) -> Column:
 
 
 def _attributes(rest: Column) -> tuple[Column, Column]:
-    """Names in lower case and raw values of a tag's attributes."""
+    """Names in lower case and decoded values of a tag's attributes."""
     parts = [F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3, 4)]
-    values = F.transform(F.arrays_zip(*parts[1:]), lambda v: F.concat(v["g2"], v["g3"], v["g4"]))
+    values = F.transform(F.arrays_zip(*parts[1:]), lambda v: _decoded(F.concat(v["g2"], v["g3"], v["g4"])))
     return F.transform(parts[0], lower_ascii), values
 
 
 def _value(tag: Column, name: str) -> Column:
-    """The first attribute of that name in a tag, decoded; null if there is none."""
-    return _decoded(F.get(tag["values"], F.array_position(tag["names"], name).cast("int") - 1))
+    """The first attribute of that name in a tag; null if there is none."""
+    return F.get(tag["values"], F.array_position(tag["names"], name).cast("int") - 1)
 
 
 def _refresh_link(content: Column) -> Column:
