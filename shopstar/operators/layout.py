@@ -4,10 +4,13 @@
   from the Julian date key), so a year-range report prunes whole folders.
 * S16: a sale without a date lands in the NULL (Hive default) partition.
 * S17: within each file rows are clustered by the hot foreign key, so
-  parquet min/max statistics skip row groups on key lookups.
+  parquet min/max statistics skip row groups on key lookups; with several
+  foreign keys (``write_clustered``) rows follow a Z-order over all of them and
+  every key column carries a Parquet bloom filter.
 * S18: table statistics through ``ANALYZE TABLE`` on catalog tables.
 * S19: a per-partition report (rows, key range, share in the unknown
-  partition) replaces pre-creating future partitions.
+  partition) replaces pre-creating future partitions; ``footer_counts`` answers
+  it, and S06's row counts, from the Parquet footers alone.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 
 from shopstar.functions.dates import JULIAN_EPOCH_KEY, key_to_date
 from shopstar.functions.numeric import pct
+from shopstar.operators.ranking import unused
+from shopstar.session import sibling
 from shopstar.sources.paths import children, delete
 
 PARTITION_COL = "sold_ym"
@@ -26,7 +31,10 @@ FACT_DATE_KEY = {"fact_store_sales": "ss_sold_date_sk", "fact_web_sales": "ws_so
                  "fact_catalog_sales": "cs_sold_date_sk"}
 FACT_CLUSTER_KEY = {"fact_store_sales": "ss_item_sk", "fact_web_sales": "ws_item_sk",
                     "fact_catalog_sales": "cs_item_sk"}
+FACT_LOOKUP_KEYS = {"fact_store_sales": ["ss_item_sk", "ss_customer_sk"], "fact_web_sales": ["ws_item_sk", "ws_bill_customer_sk"],
+                    "fact_catalog_sales": ["cs_item_sk", "cs_bill_customer_sk"]}
 MAX_RECORDS_PER_FILE = 5_000_000
+Z_BITS = 7  # a key's range is cut into 2^7 parts of about equal rows
 
 
 def sold_ym(date_key_col: str):
@@ -68,6 +76,70 @@ def write_fact(df: DataFrame, path: str, date_key: str, cluster_key: str | None
                 delete(spark, f"{path.rstrip('/')}/{name}")
 
 
+def z_value(df: DataFrame, keys: list[str], bits: int = Z_BITS, out: str = "z") -> DataFrame:
+    """``df`` with the Z-order value of ``keys`` as the column ``out`` (null keys come first).
+
+    A key's part is its place among approximate percentiles (one aggregate over the table, 2^bits numbers a key to the
+    driver), so uneven keys still fill the parts evenly; the bits of all parts are interleaved, most significant first.
+    """
+    if bits * len(keys) > 62:
+        raise ValueError("too many bits for a long")
+    at = [i / 2 ** bits for i in range(1, 2 ** bits)]
+    cuts = df.agg(*[F.percentile_approx(k, at).alias(f"c{i}") for i, k in enumerate(keys)]).first()
+    z = F.lit(0).cast("bigint")
+    for i, k in enumerate(keys):
+        if cuts[i] is None:  # no key at all
+            continue
+        bounds = F.array(*[F.lit(c) for c in cuts[i]])
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+        # binary search: as many cuts as are not above the key; each step is a bit of the part
+        place = F.aggregate(steps, F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("z")), lambda held, s: F.struct(
+            F.when(F.col(k) >= F.element_at(bounds, held["part"] + s), held["part"] + s).otherwise(held["part"]).alias("part"),
+            (F.shiftleft(held["z"], len(keys)) + F.when(F.col(k) >= F.element_at(bounds, held["part"] + s), 1).otherwise(0)).alias("z")))
+        z = z + F.shiftleft(place["z"], len(keys) - 1 - i)
+    return df.withColumn(out, z)
+
+
+def write_clustered(df: DataFrame, path: str, date_key: str, keys: list[str], partitions: int | None = None,
+                    rows_per_file: int = MAX_RECORDS_PER_FILE, distinct: int = 1_000_000) -> None:
+    """Write a fact by month, in Z-order of the foreign ``keys``, with a bloom filter on each of them.
+
+    A lookup by any one of the keys skips files and row groups by their ranges, as a file holds a small part of every
+    key's range; where the ranges do not tell, by the bloom filters, sized for ``distinct`` keys a row group (their
+    columns are written without a dictionary, as Parquet keeps no filter beside one).
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    [z] = unused(df, "z")
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    out = z_value(df, keys, out=z).withColumn(PARTITION_COL, sold_ym(date_key))
+    out = out.repartitionByRange(n, F.col(PARTITION_COL), F.col(z), row_hash).sortWithinPartitions(PARTITION_COL, z).drop(z)
+    w = out.write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", rows_per_file)
+    for k in keys:
+        w = (w.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.expected.ndv#{k}", str(distinct))
+             .option(f"parquet.enable.dictionary#{k}", "false"))
+    w.partitionBy(PARTITION_COL).parquet(path)
+
+
+def footer_counts(spark: SparkSession, path: str, key: str, by_month: bool = False) -> DataFrame:
+    """(rows, min_key, max_key) of a written table, by month if wanted, read from the Parquet footers.
+
+    The counts and the key's range are pushed into the scan, which then reads no column.  Files of the undated partition
+    hold no key, so their range is not asked for.  The scan's settings live in a session of their own.
+    """
+    own = sibling(spark, {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"})
+    t = own.read.parquet(path)
+    if not by_month:
+        dated = t.where(F.col(PARTITION_COL).isNotNull()) if PARTITION_COL in t.columns else t
+        counted, span = t.agg(F.count(F.lit(1)).alias("n")), dated.agg(F.min(key).alias("min_key"), F.max(key).alias("max_key"))
+        # the sum of no footer's count is null, though a count never is: the outer join admits the null
+        one = own.range(1).join(counted, F.lit(True), "left").join(span, F.lit(True), "left")
+        return one.select(F.coalesce("n", F.lit(0)).cast("bigint").alias("rows"), "min_key", "max_key")
+    counts = t.groupBy(PARTITION_COL).agg(F.count(F.lit(1)).alias("rows"))
+    ranges = t.where(F.col(PARTITION_COL).isNotNull()).groupBy(PARTITION_COL).agg(F.min(key).alias("min_key"), F.max(key).alias("max_key"))
+    ranges = ranges.withColumnRenamed(PARTITION_COL, "month")
+    return counts.join(ranges, F.col(PARTITION_COL) == F.col("month"), "left").drop("month")
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a whole table as it is laid out: a fact with its month column keeps its month folders."""
     w = df.write.mode(mode).option("partitionOverwriteMode", "static")
@@ -130,7 +202,10 @@ def register_table(spark: SparkSession, name: str, path: str, partitioned: bool
 
 
 def analyze_table(spark: SparkSession, name: str) -> DataFrame:
-    """Collect table and column statistics; returns the stats rows."""
+    """Collect table and column statistics; returns the stats rows.
+
+    With ``spark.sql.statistics.histogram.enabled`` columns get equi-height histograms, too.
+    """
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
     return spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter(F.col("col_name") == "Statistics")
 

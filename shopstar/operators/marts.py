@@ -13,7 +13,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopstar.operators.layout import FACT_CLUSTER_KEY, FACT_DATE_KEY, PARTITION_COL, read_fact, restrict_years, sold_ym, write_fact
+from shopstar.operators.layout import (
+    FACT_CLUSTER_KEY,
+    FACT_DATE_KEY,
+    PARTITION_COL,
+    analyze_table,
+    read_fact,
+    register_table,
+    restrict_years,
+    sold_ym,
+    write_fact,
+)
+from shopstar.session import sibling
 from shopstar.sources.paths import delete, exists
 
 # Mart column names and their staging sources.
@@ -372,19 +383,39 @@ def register_views(spark: SparkSession, marts, names=None) -> list[str]:
     return done
 
 
-def analyze_marts(spark: SparkSession, marts_dir: str, database: str = "marts") -> DataFrame:
-    """Register the written marts in the catalog and collect table/column statistics.
+def analyze_marts(spark: SparkSession, marts_dir: str, database: str = "marts", tables=None) -> DataFrame:
+    """Register the written marts in the catalog and collect table/column statistics with histograms.
 
-    Returns one row per table with the statistics line the catalog keeps
-    (size in bytes and row count); the optimizer uses them for join planning.
+    ``tables``: the eight marts by default; side tables can be named, too; those not there are skipped.  Returns one row per table with the statistics line
+    the catalog keeps (size in bytes and row count); :class:`CatalogMarts` plans with them.
     """
-    from shopstar.operators.layout import analyze_table, register_table
     out = marts_dir.rstrip("/")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    own = sibling(spark, {"spark.sql.statistics.histogram.enabled": "true"})
     rows = []
-    for name in (*DIM_KEYS, *FACT_TABLES):
+    for name in tables or (*DIM_KEYS, *FACT_TABLES):
+        if not exists(spark, f"{out}/{name}"):
+            continue
         table = f"{database}.{name}"
-        register_table(spark, table, f"{out}/{name}", partitioned=name in FACT_TABLES)
-        stats = analyze_table(spark, table).first()
+        register_table(own, table, f"{out}/{name}", partitioned=name in FACT_TABLES)
+        stats = analyze_table(own, table).first()
         rows.append((name, stats.data_type if stats else None))
     return spark.createDataFrame(rows, "table_name string, statistics string")
+
+
+class CatalogMarts(_ChannelUnion):
+    """Marts read through the catalog after :func:`analyze_marts`: joins are ordered by the statistics.
+
+    Cost-based planning is set in a session of its own; the reports take these marts like any others.
+    """
+
+    def __init__(self, spark: SparkSession, database: str = "marts"):
+        self.spark = sibling(spark, {f"spark.sql.cbo.{key}": "true" for key in ("enabled", "joinReorder.enabled", "planStats.enabled")})
+        self.database = database
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or not self.spark.catalog.tableExists(f"{self.database}.{name}"):
+            raise AttributeError(name)
+        df = self.spark.table(f"{self.database}.{name}")
+        self.__dict__[name] = df
+        return df

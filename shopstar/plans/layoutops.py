@@ -13,6 +13,7 @@ from shopstar.functions.numeric import to_double
 from shopstar.operators import layout as L
 from shopstar.operators import timeseries as R
 from shopstar.operators.intervals import containment_join
+from shopstar.operators.marts import DIM_KEYS, CatalogMarts, analyze_marts
 from shopstar.operators.ranking import rank_rows
 from shopstar.session import shared_path
 
@@ -110,10 +111,74 @@ def avg_rate_steps(m) -> DataFrame:
     return R.avg_at_steps(R.rate_at_steps(m.metrics, *GRID, STEP_S, LOOKBACK_S, metric="pg_purchase"), "rate")
 
 
+def best_keys(m) -> DataFrame:
+    """The facts in Z-order of item and customer; the lines of each fact's most frequent item and customer, looked up."""
+    folder, out = shared_path(m.spark, "layoutops", uuid.uuid4().hex), None
+    for t, date_key in L.FACT_DATE_KEY.items():
+        L.write_clustered(getattr(m, t), f"{folder}/{t}", date_key, L.FACT_LOOKUP_KEYS[t])
+        fact = L.read_fact(m.spark, f"{folder}/{t}")
+        for role, key in zip(("item", "customer"), L.FACT_LOOKUP_KEYS[t], strict=True):
+            best = fact.where(F.col(key).isNotNull()).groupBy(key).agg(_n().alias("n")).orderBy(F.desc("n"), key).first()
+            if best is None:  # no line has such a key
+                continue
+            found = fact.where(F.col(key) == best[0]).agg(_n().alias("line_items"), to_double(F.sum(f"{date_key[:2]}_net_paid")).alias("revenue"))
+            row = found.select(F.lit(t).alias("fact"), F.lit(role).alias("role"), F.lit(best[0]).cast("bigint").alias("key"), "line_items", "revenue")
+            out = row if out is None else out.unionByName(row)
+    return out if out is not None else m.spark.createDataFrame([], "fact string, role string, key bigint, line_items bigint, revenue double")
+
+
+def _written(m) -> str:
+    """All marts written below the shared folder, the facts by month."""
+    folder = shared_path(m.spark, "layoutops", uuid.uuid4().hex)
+    for t, key in L.FACT_DATE_KEY.items():
+        L.write_fact(getattr(m, t), f"{folder}/{t}", key)
+    for t in DIM_KEYS:
+        getattr(m, t).write.parquet(f"{folder}/{t}")
+    return folder
+
+
+def _collected(m, frames: dict[str, DataFrame], schema: str) -> DataFrame:
+    """Small reports (a row a table or month) of another session as one frame of this session."""
+    return m.spark.createDataFrame([(t, *r) for t, df in frames.items() for r in df.collect()], schema)
+
+
+def footer_row_counts(m) -> DataFrame:
+    """Rows and key range of all eight marts, from Parquet footers."""
+    folder = _written(m)
+    keys = {**DIM_KEYS, **L.FACT_DATE_KEY}
+    return _collected(m, {t: L.footer_counts(m.spark, f"{folder}/{t}", k) for t, k in keys.items()},
+                      "table_name string, rows bigint, min_key bigint, max_key bigint")
+
+
+def footer_partitions(m) -> DataFrame:
+    """Rows and date range of every month of the three facts, from Parquet footers; every 13th line has no date here."""
+    folder, out = shared_path(m.spark, "layoutops", uuid.uuid4().hex), {}
+    for t, key in L.FACT_DATE_KEY.items():
+        number = f"{key[:2]}_{'ticket' if t == 'fact_store_sales' else 'order'}_number"
+        L.write_fact(getattr(m, t).withColumn(key, F.when(F.col(number) % 13 != 0, F.col(key))), f"{folder}/{t}", key)
+        out[t] = L.footer_counts(m.spark, f"{folder}/{t}", key, by_month=True).select(L.PARTITION_COL, "rows", "min_key", "max_key")
+    return _collected(m, out, "table_name string, sold_ym int, rows bigint, min_key bigint, max_key bigint")
+
+
+def star_join_by_statistics(m) -> DataFrame:
+    """Store revenue by category and state on analysed catalog tables; the planner orders the joins by statistics.
+
+    The tables stay in a database of their own, as the result reads them.
+    """
+    database = f"layoutops_{uuid.uuid4().hex[:12]}"
+    analyze_marts(m.spark, _written(m), database)
+    c = CatalogMarts(m.spark, database)
+    f, d, i, s = c.fact_store_sales, c.dim_date, c.dim_item, c.dim_store
+    return (f.join(d, f.ss_sold_date_sk == d.date_sk).join(i, f.ss_item_sk == i.item_sk).join(s, f.ss_store_sk == s.store_sk)
+            .groupBy(d.year, i.category, s.state).agg(_n().alias("line_items"), to_double(F.sum("ss_net_paid")).alias("revenue")))
+
+
 def registry(on):
     return {
         "s15_quarter_revenue": on(quarter_revenue), "j06_sale_return_links": on(sale_return_links),
         "j10_active_promotions": on(active_promotions), "j10_valid_version_sales": on(valid_version_sales),
         "w01_item_profit_ranks": on(item_profit_ranks), "w01_store_revenue_ranks": on(store_revenue_ranks),
+        "s17_best_keys": on(best_keys), "s06_footer_counts": on(footer_row_counts), "s19_footer_partitions": on(footer_partitions),
+        "s18_star_join_by_statistics": on(star_join_by_statistics),
         "r01_latest_steps": on(latest_steps), "r04_rate_steps": on(rate_steps), "r06_avg_rate_steps": on(avg_rate_steps),
     }

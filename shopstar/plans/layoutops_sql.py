@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shopstar.operators.layout import FACT_DATE_KEY, FACT_LOOKUP_KEYS
+from shopstar.operators.marts import DIM_KEYS
 from shopstar.plans.oracle import julian, with_marts
 from shopstar.plans.tables_sql import clean_rows
 
@@ -54,6 +56,21 @@ SELECT item_sk, CAST(profit AS DOUBLE) AS profit, rank() OVER (ORDER BY profit D
     "w01_store_revenue_ranks": with_marts("""
 SELECT store_sk, state, CAST(revenue AS DOUBLE) AS revenue, rank() OVER (PARTITION BY state ORDER BY revenue DESC) AS rank FROM (
   SELECT store_sk, state, sum(ss_net_paid) AS revenue FROM fact_store_sales JOIN dim_store ON store_sk = ss_store_sk GROUP BY ALL) y"""),
+    "s17_best_keys": with_marts(" UNION ALL ".join(f"""
+SELECT '{t}' AS fact, '{role}' AS role, CAST({key} AS BIGINT) AS key, count(*) AS line_items, {_PAID.format(c=key[:2] + '_net_paid')} AS revenue
+FROM {t} WHERE {key} IS NOT NULL GROUP BY {key} QUALIFY row_number() OVER (ORDER BY count(*) DESC, {key}) = 1"""
+                                              for t, keys in FACT_LOOKUP_KEYS.items() for role, key in zip(("item", "customer"), keys, strict=True))),
+    "s06_footer_counts": with_marts(" UNION ALL ".join(f"""
+SELECT '{t}' AS table_name, count(*) AS rows, CAST(min({k}) AS BIGINT) AS min_key, CAST(max({k}) AS BIGINT) AS max_key FROM {t}"""
+                                                  for t, k in (DIM_KEYS | FACT_DATE_KEY).items())),
+    "s19_footer_partitions": with_marts(" UNION ALL ".join(f"""
+SELECT '{t}' AS table_name, CAST(strftime(DATE '2000-01-01' + (day - 2451545), '%Y%m') AS INTEGER) AS sold_ym, count(*) AS rows,
+       CAST(min(day) AS BIGINT) AS min_key, CAST(max(day) AS BIGINT) AS max_key
+FROM (SELECT if({p}_{'ticket' if p == 'ss' else 'order'}_number % 13 <> 0, {p}_sold_date_sk, NULL) AS day FROM {t}) GROUP BY 2""" for t, p in _FACTS)),
+    "s18_star_join_by_statistics": with_marts(f"""
+SELECT year, category, state, count(*) AS line_items, {_PAID.format(c='ss_net_paid')} AS revenue
+FROM fact_store_sales JOIN dim_date ON date_sk = ss_sold_date_sk JOIN dim_item ON item_sk = ss_item_sk JOIN dim_store ON store_sk = ss_store_sk
+GROUP BY ALL"""),
     "r01_latest_steps": with_marts(_STEPS + """
 SELECT instance, datname, metric, step_ts, ts, CAST(value AS DOUBLE) AS value FROM held
 QUALIFY row_number() OVER (PARTITION BY instance, datname, metric, step_ts ORDER BY ts DESC, value DESC) = 1"""),

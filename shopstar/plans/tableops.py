@@ -20,6 +20,7 @@ from shopstar.operators.versions import VersionedFact
 from shopstar.plans.tables import mart_row_counts
 from shopstar.session import shared_path
 from shopstar.sources import delimited as D
+from shopstar.sources.ledger import Ledger
 
 SNAPSHOT_TABLES = (*DIM_KEYS, *FACT_TABLES)
 RELOADED = (199501, 199512)
@@ -66,6 +67,17 @@ def landed_rows(m) -> DataFrame:
     return D.read_landed(m.spark, f"{folder}/raw", "reason")
 
 
+def ledger_loads(m) -> DataFrame:
+    """One half landed, then both halves, then both again: what each load took and skipped, and the rows that count."""
+    folder = _folder(m)
+    _source_files(m, folder, 0, 1)
+    ledger = Ledger(m.spark, f"{folder}/raw", "reason")
+    for load_id, parity in (("first", 0), ("again", 0), ("second", 1), ("last", 1)):
+        ledger.load(f"{folder}/src{parity}", load_id)
+    taken = ledger.entries().groupBy("load_id", "state").agg(F.sum("lines").alias("lines"))
+    return taken.withColumn("rows_that_count", F.lit(ledger.read().count()).cast("bigint"))
+
+
 def load_report(m) -> DataFrame:
     """S06 over the raw layer: exact rows of each landed table."""
     folder = _folder(m)
@@ -214,7 +226,7 @@ def reconciled(m) -> DataFrame:
 def registry(on):
     return {
         "s01_load_status": on(load_status), "s06_raw_load_report": on(load_report), "s10_reloaded_months": on(reloaded_months),
-        "s11_landed_rows": on(landed_rows), "s16_undated_partition": on(undated_partition), "s18_table_statistics": on(table_statistics),
+        "s11_landed_rows": on(landed_rows), "s11_ledger_loads": on(ledger_loads), "s16_undated_partition": on(undated_partition), "s18_table_statistics": on(table_statistics),
         "k01_manifest": on(manifest), "k02_schema_export": on(schema_export), "k03_verification": on(verification),
         "k04_snapshots": on(snapshots), "k05_restored_rows": on(restored), "k06_logged_runs": on(logged_runs),
         "k03_damaged_months": on(damaged_months), "k09_reconciled_counts": on(reconciled),

@@ -37,6 +37,10 @@ SELECT 'raw' AS schema, 'reason' AS "table", count(*) AS rows FROM part WHERE {_
     "s11_landed_rows": f"""
 SELECT CAST(p_partkey AS INTEGER) AS r_reason_sk, 'R' || p_partkey AS r_reason_id, if(p_partkey % 10 <> 1, p_name, NULL) AS r_reason_desc
 FROM part WHERE {_REASON} IS NULL""",
+    "s11_ledger_loads": f"""
+SELECT load_id, state, count(*) AS lines, (SELECT count(*) FROM part WHERE {_REASON} IS NULL) AS rows_that_count
+FROM part JOIN (VALUES ('first', 'new', 0), ('again', 'known', 0), ('second', 'new', 1), ('last', 'known', 1)) l(load_id, state, parity)
+ON p_partkey % 2 = parity GROUP BY ALL""",
     "s10_reloaded_months": with_marts(_each_fact(lambda t, p, number: _partitions(
         f"SELECT *, {_MONTH.format(p=p)} AS ym FROM {t} WHERE {_MONTH.format(p=p)} <> 199503", f"{p}_sold_date_sk"))),
     "s16_undated_partition": with_marts(_each_fact(lambda t, p, number: _partitions(f"""

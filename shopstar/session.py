@@ -57,6 +57,15 @@ def apply_session_conf(spark: SparkSession) -> None:
         raise RuntimeError(f"these settings change results and did not take: {wrong}")
 
 
+def sibling(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    """A session on the same cluster and catalog with the settings of ``spark`` and those of ``conf``."""
+    own = spark.newSession()
+    for key, value in {**spark.conf.getAll, **conf}.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

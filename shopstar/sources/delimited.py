@@ -21,6 +21,7 @@ CHAR columns are right-trimmed at ingest (blank-padded CHAR semantics).
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,8 @@ def source_path(src_dir: str, table: str) -> str:
     return f"{src_dir.rstrip('/')}/{table}.dat"
 
 
-def scan_delimited(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Typed scan of one pipe-delimited file with the repair flag column."""
+def scan_delimited(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
+    """Typed scan of pipe-delimited files with the repair flag column."""
     with_flag = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
     return (spark.read.schema(with_flag)
             .option("sep", "|").option("quote", NO_QUOTE).option("escape", NO_QUOTE)
@@ -54,8 +55,8 @@ def scan_delimited(spark: SparkSession, path: str, schema: StructType) -> DataFr
             .csv(path))
 
 
-def classify_rows(df: DataFrame, schema: StructType) -> DataFrame:
-    """Add ``_load_status`` and ``_reject_reason``; rtrim CHAR columns."""
+def classify_rows(df: DataFrame, schema: StructType, keep: Sequence[str] = ()) -> DataFrame:
+    """Add ``_load_status`` and ``_reject_reason``; rtrim CHAR columns.  Columns ``keep`` stay as they are."""
     n = len(schema.fields)
     tokens = F.split(F.col(CORRUPT), r"\|", -1)
     ntok = F.size(tokens)
@@ -87,7 +88,7 @@ def classify_rows(df: DataFrame, schema: StructType) -> DataFrame:
 
     reason = (F.when(too_long_row, "surplus columns").when(bad_type, "type or range")
               .when(too_wide, "string too long"))
-    return df.select(*cols, reason.alias(REASON)).withColumn(
+    return df.select(*cols, *keep, reason.alias(REASON)).withColumn(
         STATUS, F.when(F.col(REASON).isNull(), ACCEPTED).otherwise(REJECTED))
 
 
