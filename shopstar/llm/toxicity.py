@@ -40,26 +40,34 @@ ROUNDS = 300
 
 WORD = re.compile(r"[^\W\d_]+")
 
-# Identity terms by kind; a term is swapped for the next one of its kind.
-IDENTITY = (
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"),
-    ("black", "white", "asian", "latino", "indigenous"),
-    ("african", "european", "american", "mexican", "chinese", "indian", "arab", "turkish", "polish", "russian"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
-    ("man", "woman"), ("men", "women"), ("boy", "girl"), ("male", "female"), ("he", "she"), ("his", "her"),
-    ("immigrant", "citizen", "refugee", "foreigner"), ("immigrants", "citizens", "refugees", "foreigners"),
-    ("blind", "deaf", "disabled", "autistic"), ("old", "young"), ("elderly", "teenage"),
-    ("muslime", "christen", "juden", "hindus", "buddhisten"), ("schwarze", "weiße"), ("frau", "mann"),
-    ("schwul", "lesbisch", "hetero"), ("ausländer", "inländer"), ("türkisch", "polnisch", "russisch", "deutsch"),
-    ("musulman", "chrétien", "juif", "hindou", "bouddhiste"), ("noir", "blanc"), ("femme", "homme"), ("immigré", "citoyen"),
-    ("musulmán", "cristiano", "judío", "hindú", "budista"), ("negro", "blanco"), ("mujer", "hombre"), ("inmigrante", "ciudadano"),
-)
-
-
-def swaps() -> list[dict[str, str]]:
-    """Two replacements of every term: the next and the last of its kind (one where there are two terms)."""
-    return [{t: kind[(i + step) % len(kind)] for kind in IDENTITY for i, t in enumerate(kind)} for step in (1, -1)]
+# Identity terms by language and kind; a term is swapped for the next one of its kind.
+IDENTITY = {
+    "en": (
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"),
+        ("black", "white", "asian", "latino", "indigenous"),
+        ("african", "european", "american", "mexican", "chinese", "indian", "arab", "turkish", "polish", "russian"),
+        ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
+        ("man", "woman"), ("men", "women"), ("boy", "girl"), ("male", "female"), ("he", "she"), ("his", "her"),
+        ("immigrant", "citizen", "refugee", "foreigner"), ("immigrants", "citizens", "refugees", "foreigners"),
+        ("blind", "deaf", "disabled", "autistic"), ("old", "young"), ("elderly", "teenage")),
+    "de": (
+        ("muslime", "christen", "juden", "hindus", "buddhisten"), ("schwarze", "weiße"), ("frau", "mann"),
+        ("schwul", "lesbisch", "hetero"), ("ausländer", "inländer"), ("türkisch", "polnisch", "russisch", "deutsch")),
+    "fr": (("musulman", "chrétien", "juif", "hindou", "bouddhiste"), ("noir", "blanc"), ("femme", "homme"), ("immigré", "citoyen")),
+    "es": (("musulmán", "cristiano", "judío", "hindú", "budista"), ("negro", "blanco"), ("mujer", "hombre"), ("inmigrante", "ciudadano")),
+}
+# Common words that tell in which language a text names a term that stands in several of them.
+COMMON = {"en": {"the", "and", "of", "to", "is"}, "de": {"der", "die", "und", "das", "ist"},
+          "fr": {"le", "la", "et", "les", "des"}, "es": {"el", "la", "y", "los", "de"}}
+
+
+def swaps(language: str) -> list[dict[str, str]]:
+    """Two replacements of every term of a language: the next and the last of its kind (one where there are two terms)."""
+    return [{t: kind[(i + step) % len(kind)] for kind in IDENTITY[language] for i, t in enumerate(kind)} for step in (1, -1)]
+
+
+SWAPS = {language: swaps(language) for language in IDENTITY}
 
 
 def features(words: set[str]) -> set[str]:
@@ -73,9 +81,15 @@ def words_of(text: str | None) -> set[str]:
 
 
 def swapped(words: set[str]) -> list[set[str]]:
-    """Copies of a text's words with the identity terms replaced; none without such a term."""
+    """Copies of a text's words with the identity terms replaced; none without such a term.
+
+    A term of several languages is replaced as in the one whose common words and terms the text has most of (of equals
+    the first).
+    """
+    likely = sorted(SWAPS, key=lambda lang: -len(words & (COMMON[lang] | SWAPS[lang][0].keys())))
     out = []
-    for table in swaps():
+    for step in (0, 1):
+        table = {t: new for lang in reversed(likely) for t, new in SWAPS[lang][step].items()}
         if hit := words & table.keys():
             new = (words - hit) | {table[w] for w in hit}
             if new not in out:
