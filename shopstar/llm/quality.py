@@ -1,8 +1,9 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
-Terms of a text are its byte-class bigrams (letters by case, digits, blanks,
-every ASCII sign, bytes of other scripts) and two word terms: adjacent repeats
-and repeated words.  Square roots of relative frequencies, weighted by inverse
+Terms of a text are its words (lower case, hashed to ``WORDS`` places), its
+byte-class bigrams (letters by case, digits, blanks, every ASCII sign, bytes of
+other scripts) and two terms of repetition: adjacent repeats and repeated words.
+Square roots of relative frequencies, weighted by inverse
 document frequency, are reduced by a truncated SVD that is fitted on a bounded
 sample of labelled documents.  The labelled vectors are broadcast (``per_label``
 of each label, ``rank`` numbers each); every document's vector meets all of
@@ -17,6 +18,8 @@ are kept.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +54,10 @@ def byte_classes() -> np.ndarray:
 
 CLASSES = byte_classes()
 N_CLASSES = int(CLASSES.max()) + 1
-TERMS = N_CLASSES * N_CLASSES + 2
+SHAPES = N_CLASSES * N_CLASSES
+WORDS = 1024  # places of hashed words
+WORD_SHARE = 0.25  # of all words against all bigrams
+TERMS = SHAPES + 2 + WORDS
 
 
 def term_vector(text: str | None) -> np.ndarray:
@@ -61,14 +67,32 @@ def term_vector(text: str | None) -> np.ndarray:
     if len(data) < 2:
         return v
     c = CLASSES[data]
-    v[:-2] = np.bincount(c[:-1] * N_CLASSES + c[1:], minlength=TERMS - 2) / (len(data) - 1)
+    v[:SHAPES] = np.bincount(c[:-1] * N_CLASSES + c[1:], minlength=SHAPES) / (len(data) - 1)
     words = text.split()
     if len(words) > 1:
-        v[-2] = sum(map(str.__eq__, words[1:], words)) / (len(words) - 1)
-        v[-1] = (1 - len(set(words)) / len(words)) ** 4  # only heavy repetition counts
+        v[SHAPES] = sum(map(str.__eq__, words[1:], words)) / (len(words) - 1)
+        v[SHAPES + 1] = (1 - len(set(words)) / len(words)) ** 4  # only heavy repetition counts
+    counts = Counter(text.lower().split())
+    places = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in counts), np.int64, len(counts))
+    held = np.fromiter(counts.values(), np.float64, len(counts))
+    v[SHAPES + 2:] = np.bincount(places, held, WORDS) * (WORD_SHARE / max(len(words), 1))
     return np.sqrt(v)
 
 
+def packed(v: np.ndarray) -> tuple[bytes, bytes]:
+    """A term vector as places and values of what is not zero."""
+    at = np.flatnonzero(v).astype(np.int32)
+    return at.tobytes(), v[at].tobytes()
+
+
+def unpacked(at, values) -> np.ndarray:
+    """The term vectors of packed ones, a row each."""
+    x = np.zeros((len(at), TERMS), np.float32)
+    for row, a, v in zip(x, at, values):
+        row[np.frombuffer(a, np.int32)] = np.frombuffer(v, np.float32)
+    return x
+
+
 def fit_space(x: np.ndarray, rank: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(idf, basis): weights of the terms and the leading right singular vectors, by subspace iteration."""
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
@@ -96,17 +120,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     def extract(batches):
         for pdf in batches:
+            rows = [packed(term_vector(t)) for t in pdf["__text"]]
             yield pd.DataFrame({"order": pdf["order"], "label": pdf["__label"].astype("int32"),
-                                "v": [term_vector(t).tobytes() for t in pdf["__text"]]})
+                                "at": [r[0] for r in rows], "v": [r[1] for r in rows]})
 
-    # at most 2 * per_label rows of TERMS numbers
-    got = sample.mapInPandas(extract, "order long, label int, v binary").orderBy("order", "label").limit(2 * per_label).toPandas()
+    # at most 2 * per_label rows of at most TERMS numbers
+    got = sample.mapInPandas(extract, "order long, label int, at binary, v binary").orderBy("order", "label").limit(2 * per_label).toPandas()
     y = got["label"].to_numpy(np.float32)
     if not len(y):
         return {"rate": 0.0}
     if y.min() == y.max():
         return {"rate": float(y[0])}
-    x = np.stack([np.frombuffer(v, np.float32) for v in got["v"]])
+    x = unpacked(got["at"], got["v"])
     idf, basis = fit_space(x, rank)
     vectors = unit((unit(x * idf)) @ basis)
     share = counts["n1"] / (counts["n0"] + counts["n1"])

@@ -188,3 +188,21 @@ def test_one_row_of_every_id(llm):
     got = sorted((r["__id"], r["k"], r["__text"]) for r in one_per_id(rows, "k").collect() if r["__text"] is not None)
     assert [(i, k) for i, k, _ in got] == [(1, "x"), (2, "x")] and got[0][2] in "ab"
     assert one_per_id(rows, "k").count() == 4 and one_per_id(rows.limit(0), "k").count() == 0
+
+
+def test_terms_of_two_languages_are_swapped_in_the_language_of_the_text():
+    english = toxicity.swapped(toxicity.words_of("The muslims and the hindus of the town"))
+    assert {"christians", "buddhists", "the", "and", "of", "town"} in english and {"protestants", "jews", "the", "and", "of", "town"} in english
+    assert all(not words & {"buddhisten", "juden"} for words in english)
+    german = toxicity.swapped(toxicity.words_of("Die Hindus und der Nachbar"))
+    assert {"buddhisten", "die", "und", "der", "nachbar"} in german and {"juden", "die", "und", "der", "nachbar"} in german
+    assert toxicity.swapped(set()) == [] and toxicity.swapped({"hindus"})[0] == {"buddhists"}
+
+
+def test_quality_terms_tell_words_of_one_shape_apart():
+    one, other = (quality.term_vector(t) for t in ("the farmer sold seven apples", "the sailor lost seven anchor"))
+    assert len("the farmer sold seven apples") == len("the sailor lost seven anchor")
+    shape = slice(0, quality.SHAPES)
+    assert np.allclose(one[shape], other[shape]) and not np.allclose(one, other)
+    at, values = quality.packed(one)
+    assert np.array_equal(quality.unpacked([at, b""], [values, b""]), np.stack([one, np.zeros_like(one)]))
