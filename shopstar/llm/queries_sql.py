@@ -7,7 +7,7 @@ from shopstar.llm.urlfilter import ATTRIBUTE, NAMED, NUMBERED, QUOTED, REFRESH,
 SQL: dict[str, str] = {}
 
 # ---- op6: the same patterns as the operator, RE2 and Java read them alike ----
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"),
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"),
              ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&euro;", "€"),
              ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")]
 
@@ -18,6 +18,10 @@ def _plain(html: str) -> str:
     t = (f"regexp_replace({t}, '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|footer|header|blockquote|pre)\\b[^>]*>', "
          "chr(10), 'g')")
     t = f"regexp_replace({t}, '<[A-Za-z/!?][^>]*>', '', 'g')"
+    n = "coalesce(TRY_CAST(CASE WHEN ref[1] IN ('x', 'X') THEN '0x' || substr(ref, 2) ELSE ref END AS BIGINT), 0)"
+    char = f"CASE WHEN {n} = 38 THEN '&amp;' WHEN {n} BETWEEN 1 AND 55295 OR {n} BETWEEN 57344 AND 1114111 THEN chr(CAST({n} AS INTEGER)) ELSE '&#' || ref || ';' END"
+    refs = f"list_distinct(regexp_extract_all(tagless, '{NUMBERED}', 1))"
+    t = f"(SELECT list_reduce(list_prepend(tagless, {refs}), lambda held, ref: replace(held, '&#' || ref || ';', {char})) FROM (SELECT {t} AS tagless))"
     for name, char in _ENTITIES:
         t = f"replace({t}, '{name}', '{char}')"
     t = f"regexp_replace({t}, '[ \\t\\r\u00a0]+', ' ', 'g')"

@@ -3,9 +3,10 @@
 Records are rows (one column per WARC header and the block as text), made with
 DataFrame functions only.  From every response record come two derivatives:
 
-* ``metadata`` (application/warc-fields): the source's HTTP status and headers,
-  its title, declared language, outlink count, payload digest and length;
-* ``conversion`` (text/plain): the visible text of the page.
+* ``metadata`` (application/warc-fields): the source's HTTP status and all lines
+  of its HTTP header, each name after ``source-`` in lower case, its title, declared language, outlink count, payload digest and length;
+* ``conversion`` (text/plain): the visible text of the page, numeric character
+  references and the common named ones decoded.
 
 Both name the response in ``refers_to`` (WARC-Refers-To), repeat its target
 URI and date, and carry their own record id and digest; the payload digest of
@@ -15,7 +16,10 @@ text sink (any file system) and ``read_warc`` parses them again.
 
 Cases: null html is an empty payload and gives an empty conversion; a null url
 leaves the target URI out; a null id is named like an empty one; repeated rows
-give repeated records; an empty table gives none; further columns are ignored.
+give repeated records; an empty table gives none; further columns are ignored,
+whatever their names; very long pages are converted whole; a header line without
+a colon is kept as ``source-header-line``, a folded one stays a continuation; a
+reference to no character stays as it is.
 """
 
 from __future__ import annotations
@@ -26,8 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopstar.llm.common import lower_ascii
+
+NUMBERED = r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
 # The named character references that plain text needs; &amp; comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
             ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
             ("&euro;", "€"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")]
 # Blocks whose content is not text, tags that end a line, other tags; written so that RE2 reads them alike.
@@ -45,12 +52,38 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(html, HIDDEN, " ")
     t = F.regexp_replace(t, BREAKS, "\n")
     t = F.regexp_replace(t, TAGS, "")
+    t = numbers_decoded(t)
     for name, char in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(char))
     t = F.regexp_replace(t, BLANKS, " ")
     return F.trim(F.regexp_replace(t, LINES, "\n"), F.lit(" \n"))
 
 
+def numbers_decoded(text: Column) -> Column:
+    """The text with numeric character references decoded; that of ``&`` becomes ``&amp;``, to be decoded with the named ones."""
+    def put(held: Column, ref: Column) -> Column:
+        hexadecimal = F.lower(F.substring(ref, 1, 1)) == "x"
+        n = F.when(hexadecimal, F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).cast("bigint")
+        known = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, n).otherwise(0x20)), 8, "0")), "UTF-32")
+        char = F.when(n == ord("&"), "&amp;").otherwise(char)
+        return F.when(known, F.replace(held, F.concat(F.lit("&#"), ref, F.lit(";")), char)).otherwise(held)
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)))
+    return F.when(text.contains("&#"), F.aggregate(refs, text, put)).otherwise(text)
+
+
+def header_fields(http_head: Column) -> Column:
+    """The lines of an HTTP header after the status line as warc-fields, none left out."""
+    def field(line: Column) -> Column:
+        colon = F.instr(line, ":")
+        named = F.concat(F.lit("source-"), lower_ascii(F.substring(line, F.lit(1), colon - 1)), F.substring(line, colon, F.length(line)))
+        return F.when(line.rlike(r"^[ \t]"), line).when(colon > 1, named).otherwise(F.concat(F.lit("source-header-line: "), line))
+
+    lines = F.filter(F.slice(F.split(http_head, r"\r?\n"), 2, F.length(http_head) + 1), lambda line: line != "")
+    return F.array_join(F.transform(lines, lambda line: F.concat(field(line), F.lit("\r\n"))), "")
+
+
 def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
@@ -86,9 +119,7 @@ def derive(response: DataFrame, id_col: str = "page_id") -> DataFrame:
     links = F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref="))
     fields = F.concat(
         F.lit("source-http-status: "), F.regexp_extract("http_head", r"^HTTP/[0-9.]+ ([0-9]+)", 1),
-        F.lit("\r\nsource-content-type: "), F.regexp_extract("http_head", r"(?i)content-type: ([^\r\n]*)", 1),
-        F.lit("\r\nsource-content-length: "), F.octet_length("payload").cast("string"),
-        F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"),
+        F.lit("\r\n"), header_fields(F.col("http_head")), F.lit("source-payload-digest: "), F.col("payload_digest"),
         F.lit("\r\nlanguage: "), lang,
         F.lit("\r\ntitle: "), F.trim(F.regexp_replace(title, "[ \\t\\r\\n]+", " ")),
         F.lit("\r\noutlinks: "), links.cast("string"), F.lit("\r\n"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shopstar.llm import queries, urlfilter, warc
+from shopstar.llm import queries, queries_sql, urlfilter, warc
 from tests.llm.conftest import SF
 
 PAGES = "page_id long, url string, html string, host string, rule string, content string"
@@ -163,6 +163,32 @@ def test_warc_derivatives_link_to_their_response(llm):
     assert warc.derive(warc.responses(pages(llm, []))).count() == 0
 
 
+REFERENCES = ["&#65;&#x42;&#X63; &#38;lt; &amp;#65; &#8364;&#x1F600; a&#160;b", "&#0; &#xD800; &#9999999; &#; &#x; &#12", None, "", "no reference", "&#39;&#39;"]
+
+
+def test_conversions_decode_references_as_the_oracle_does(llm):
+    rows = [(i, f"http://a/{i}", h) for i, h in enumerate(REFERENCES)]
+    out = warc.derive(warc.responses(pages(llm, rows)))
+    text = {r["page_id"]: r["content"] for r in out.where("record_type = 'conversion'").collect()}
+    assert text[0] == "ABc &lt; &#65; \u20ac\U0001f600 a b" and text[1] == REFERENCES[1] and text[2] == text[3] == "" and text[5] == "''"
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    names = sorted(out.columns)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({queries_sql.SQL['op6_warc_derivatives']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.select(*names).collect())
+
+
+def test_metadata_keeps_every_header_line(llm):
+    source = warc.responses(pages(llm, [(1, "http://a/", "<p>x")]))
+    head = "HTTP/1.1 301 Moved\r\nServer: s: 1\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2;\r\n  folded\r\nno colon\r\n: no name\r\n"
+    content = warc.derive(source.withColumn("http_head", F.lit(head))).where("record_type = 'metadata'").first()["content"]
+    want = ["source-http-status: 301", "source-server: s: 1", "source-set-cookie: a=1", "source-set-cookie: b=2;", "  folded",
+            "source-header-line: no colon", "source-header-line: : no name"]
+    assert content.split("\r\n")[:7] == want
+    plain = warc.derive(source.withColumn("http_head", F.lit("HTTP/1.1 200 OK\r\n"))).where("record_type = 'metadata'").first()["content"]
+    assert plain.startswith("source-http-status: 200\r\nsource-payload-digest: ")
+
+
 def test_warc_files_round_trip(llm, scratch_dir):
     records = queries.op6_warc_derivatives(llm, SF)
     warc.write_warc(records, f"{scratch_dir}/out", records_per_file=100)
