@@ -21,7 +21,8 @@ documents are never shuffled.
 Cases: null and empty texts match nothing, items without a word neither; an
 item shorter than a window is matched as a whole; rows that repeat an id are
 judged each; equal items match each; an empty table on either side gives no
-match; further columns are ignored or kept.
+match; very long texts are read whole; further columns are ignored or kept,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ score, and each language's usual cross-entropy, beyond which a text is rejected
 Cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; letters that no language has fall back to the models' floor; a table
 without a usable language gives ``und`` throughout; rows that repeat an id are
-judged each, one of them a language is learnt from; extra columns are kept.
+judged each, one of them a language is learnt from; very long texts are read
+whole; of languages with equal cross-entropy the first in order of their names
+counts; extra columns are kept.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ similarity, weighted so that the labels keep their true shares.
 
 Cases: a null or empty text is like no other: it scores the share of label 1;
 without labelled rows every score is 0, with one label only it is that label;
-rows that repeat an id are scored each, one of them is learnt from; extra columns
-are kept.
+rows that repeat an id are scored each, one of them is learnt from; very long
+texts are read whole; where equally near neighbours stand at the border, the
+partial sort's choice counts, the same on every run; extra columns are kept.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ neighbours.  Connected components then run over the distinct fingerprints.
 Cases: a null, empty or blank text has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle of all of them; rows that
 repeat an id each get a row; null ids take part but never name a component
-unless all its ids are null; an empty table gives an empty result.
+unless all its ids are null; very long texts are read whole; further columns are
+left out by the query and kept by the stage, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

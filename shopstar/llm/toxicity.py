@@ -15,7 +15,8 @@ texts of all rows in Arrow batches, with the weights of at most
 Cases: a null, empty or wordless text scores by the intercept alone; without labelled rows
 every score is 0, with one label only it is that label; rows that repeat an id
 are scored each, one of them is learnt from; words of over 40 letters are no
-features; extra columns are kept.
+features; very long texts are read whole; features that separate the labels
+equally well are taken in order of their letters; extra columns are kept.
 """
 
 from __future__ import annotations
