@@ -1,6 +1,7 @@
 """Plan shape checks: no cartesian or nested-loop joins, no Python evaluation,
 narrow scans, and the driver's smoke entry."""
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from shopstar.plans import registry
@@ -112,3 +113,22 @@ def test_source_is_scanned_once(spark, name, most):
 def test_date_bounds_reach_the_scan(spark, name, column):
     plan = _plan(QUERIES[name](spark, SF_SMALL))
     assert f"GreaterThanOrEqual({column}," in plan
+
+
+def test_keys_of_many_orders_are_not_broadcast(spark, scratch_dir):
+    """200,000 random keys: 3.2 MB as rows, about 1 MB by the planner's share of the compressed file."""
+    from shopstar.sources.testmarts import DerivedMarts
+    from shopstar.sources.tables import DRIVER_SCHEMAS
+    for name, n in (("orders", 200_000), ("lineitem", 400_000)):
+        cols = [c.split() for c in DRIVER_SCHEMAS[name].split(", ")]
+        value = {"bigint": F.xxhash64("id", F.rand(7)), "int": F.lit(1), "double": F.rand(3) * 1000, "string": F.lit("A"),
+                 "timestamp_ntz": F.lit("1995-05-05").cast("timestamp_ntz")}
+        spark.range(n).select(*[value[t].alias(c) for c, t in cols]).write.parquet(f"{scratch_dir}/{name}.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(2 * 1024 * 1024))
+    try:
+        plan = _plan(DerivedMarts(spark, scratch_dir).all_channel_lines("net_paid").groupBy("channel").agg(F.sum("net_paid")))
+    finally:
+        spark.conf.set(key, old)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
