@@ -86,18 +86,21 @@ def z_value(df: DataFrame, keys: list[str], bits: int = Z_BITS, out: str = "z")
         raise ValueError("too many bits for a long")
     at = [i / 2 ** bits for i in range(1, 2 ** bits)]
     cuts = df.agg(*[F.percentile_approx(k, at).alias(f"c{i}") for i, k in enumerate(keys)]).first()
+    parts = unused(df, *[f"part{i}" for i in range(len(keys))], out)[:len(keys)]
+    rows = df.withColumns({p: F.lit(0) for p in parts})
+    # binary search, compiled step by step: as many cuts as are not above the key; each step is a bit of the part
+    for b in reversed(range(bits)):
+        step = {}
+        for i, (k, p) in enumerate(zip(keys, parts, strict=True)):
+            if cuts[i] is not None:  # else no key at all
+                at_p = F.element_at(F.array(*[F.lit(c) for c in cuts[i]]), F.col(p) + (1 << b))
+                step[p] = F.col(p) + F.when(F.col(k) >= at_p, 1 << b).otherwise(0)
+        rows = rows.withColumns(step)
     z = F.lit(0).cast("bigint")
-    for i, k in enumerate(keys):
-        if cuts[i] is None:  # no key at all
-            continue
-        bounds = F.array(*[F.lit(c) for c in cuts[i]])
-        steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
-        # binary search: as many cuts as are not above the key; each step is a bit of the part
-        place = F.aggregate(steps, F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("z")), lambda held, s: F.struct(
-            F.when(F.col(k) >= F.element_at(bounds, held["part"] + s), held["part"] + s).otherwise(held["part"]).alias("part"),
-            (F.shiftleft(held["z"], len(keys)) + F.when(F.col(k) >= F.element_at(bounds, held["part"] + s), 1).otherwise(0)).alias("z")))
-        z = z + F.shiftleft(place["z"], len(keys) - 1 - i)
-    return df.withColumn(out, z)
+    for i, p in enumerate(parts):
+        for b in range(bits):
+            z = z + F.shiftleft(F.shiftright(F.col(p), b).bitwiseAND(1).cast("bigint"), b * len(keys) + len(keys) - 1 - i)
+    return rows.withColumn(out, z).drop(*parts)
 
 
 def write_clustered(df: DataFrame, path: str, date_key: str, keys: list[str], partitions: int | None = None,

@@ -8,6 +8,7 @@ fact builders select the mart columns.  Writes go through
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -254,6 +255,26 @@ SIDE_TABLES = ("store_sales", "web_sales", "catalog_sales", "store_returns", "we
                "customer_address", "item", "store", "promotion")
 
 
+@contextmanager
+def staged_lines(marts, folder: str):
+    """The marts with their sale lines joined once, into a folder that goes when the facts are written; others as they are."""
+    if not hasattr(marts, "stage_lines"):
+        yield marts
+        return
+    scratch = f"{folder.rstrip('/')}/_staged_lines"
+    try:
+        yield marts.stage_lines(scratch)
+    finally:
+        if exists(marts.spark, scratch):
+            delete(marts.spark, scratch)
+
+
+def at_once(run, names, concurrency: int = 4) -> list:
+    """Runs independent jobs from a small driver thread pool: they share the executors instead of queuing one after another."""
+    with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+        return list(pool.map(run, names))
+
+
 def write_marts(marts, out_dir: str, check_keys: bool = True, concurrency: int = 4) -> str:
     """Write dims (overwrite), facts (date-partitioned overwrite) and side tables.
 

@@ -13,7 +13,7 @@ from shopstar.functions.numeric import to_double
 from shopstar.operators import layout as L
 from shopstar.operators import timeseries as R
 from shopstar.operators.intervals import containment_join
-from shopstar.operators.marts import DIM_KEYS, CatalogMarts, analyze_marts
+from shopstar.operators.marts import DIM_KEYS, FACT_TABLES, CatalogMarts, analyze_marts, at_once, staged_lines
 from shopstar.operators.ranking import rank_rows
 from shopstar.session import shared_path
 
@@ -42,8 +42,7 @@ def quarter_of_written_facts(facts: dict[str, DataFrame], calendar: DataFrame, q
 def quarter_revenue(m) -> DataFrame:
     """The facts written by month, then the last quarter of every year read from them."""
     folder = shared_path(m.spark, "layoutops", uuid.uuid4().hex)
-    for t, key in L.FACT_DATE_KEY.items():
-        L.write_fact(getattr(m, t), f"{folder}/{t}", key)
+    _write_facts(m, folder)
     facts = {t: L.read_fact(m.spark, f"{folder}/{t}") for t in L.FACT_DATE_KEY}
     return quarter_of_written_facts(facts, m.dim_date)
 
@@ -114,8 +113,9 @@ def avg_rate_steps(m) -> DataFrame:
 def best_keys(m) -> DataFrame:
     """The facts in Z-order of item and customer; the lines of each fact's most frequent item and customer, looked up."""
     folder, out = shared_path(m.spark, "layoutops", uuid.uuid4().hex), None
+    with staged_lines(m, folder) as lines:
+        at_once(lambda t: L.write_clustered(getattr(lines, t), f"{folder}/{t}", L.FACT_DATE_KEY[t], L.FACT_LOOKUP_KEYS[t]), FACT_TABLES)
     for t, date_key in L.FACT_DATE_KEY.items():
-        L.write_clustered(getattr(m, t), f"{folder}/{t}", date_key, L.FACT_LOOKUP_KEYS[t])
         fact = L.read_fact(m.spark, f"{folder}/{t}")
         for role, key in zip(("item", "customer"), L.FACT_LOOKUP_KEYS[t], strict=True):
             best = fact.where(F.col(key).isNotNull()).groupBy(key).agg(_n().alias("n")).orderBy(F.desc("n"), key).first()
@@ -127,11 +127,16 @@ def best_keys(m) -> DataFrame:
     return out if out is not None else m.spark.createDataFrame([], "fact string, role string, key bigint, line_items bigint, revenue double")
 
 
+def _write_facts(m, folder: str) -> None:
+    """The facts by month below ``folder``; their lines are joined once."""
+    with staged_lines(m, folder) as lines:
+        at_once(lambda t: L.write_fact(getattr(lines, t), f"{folder}/{t}", L.FACT_DATE_KEY[t]), FACT_TABLES)
+
+
 def _written(m) -> str:
     """All marts written below the shared folder, the facts by month."""
     folder = shared_path(m.spark, "layoutops", uuid.uuid4().hex)
-    for t, key in L.FACT_DATE_KEY.items():
-        L.write_fact(getattr(m, t), f"{folder}/{t}", key)
+    _write_facts(m, folder)
     for t in DIM_KEYS:
         getattr(m, t).write.parquet(f"{folder}/{t}")
     return folder
@@ -153,9 +158,13 @@ def footer_row_counts(m) -> DataFrame:
 def footer_partitions(m) -> DataFrame:
     """Rows and date range of every month of the three facts, from Parquet footers; every 13th line has no date here."""
     folder, out = shared_path(m.spark, "layoutops", uuid.uuid4().hex), {}
+    with staged_lines(m, folder) as lines:
+        def write(t):
+            key = L.FACT_DATE_KEY[t]
+            number = f"{key[:2]}_{'ticket' if t == 'fact_store_sales' else 'order'}_number"
+            L.write_fact(getattr(lines, t).withColumn(key, F.when(F.col(number) % 13 != 0, F.col(key))), f"{folder}/{t}", key)
+        at_once(write, FACT_TABLES)
     for t, key in L.FACT_DATE_KEY.items():
-        number = f"{key[:2]}_{'ticket' if t == 'fact_store_sales' else 'order'}_number"
-        L.write_fact(getattr(m, t).withColumn(key, F.when(F.col(number) % 13 != 0, F.col(key))), f"{folder}/{t}", key)
         out[t] = L.footer_counts(m.spark, f"{folder}/{t}", key, by_month=True).select(L.PARTITION_COL, "rows", "min_key", "max_key")
     return _collected(m, out, "table_name string, sold_ym int, rows bigint, min_key bigint, max_key bigint")
 

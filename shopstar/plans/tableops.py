@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from shopstar.operators import layout as L
 from shopstar.operators import snapshot as S
-from shopstar.operators.marts import DIM_KEYS, FACT_TABLES
+from shopstar.operators.marts import DIM_KEYS, FACT_TABLES, at_once, staged_lines
 from shopstar.operators.versions import VersionedFact
 from shopstar.plans.tables import mart_row_counts
 from shopstar.session import shared_path
@@ -100,23 +100,28 @@ def _named(table: str, df: DataFrame) -> DataFrame:
 
 def reloaded_months(m) -> DataFrame:
     """The facts published, one year loaded again without its March; their month folders."""
-    folder, out = _folder(m), []
-    for t, key in L.FACT_DATE_KEY.items():
-        fact = VersionedFact(m.spark, f"{folder}/{t}", key)
-        fact.publish(getattr(m, t))
-        ym = L.sold_ym(key)
-        fact.publish(getattr(m, t).filter(ym.between(*RELOADED) & (ym != 199503)), RELOADED)
-        out.append(_named(t, L.partition_report(fact.read(), key)))
-    return _union(out)
+    folder = _folder(m)
+    with staged_lines(m, folder) as lines:
+        def load(t):
+            key = L.FACT_DATE_KEY[t]
+            fact, ym = VersionedFact(m.spark, f"{folder}/{t}", key), L.sold_ym(key)
+            fact.publish(getattr(lines, t))
+            fact.publish(getattr(lines, t).filter(ym.between(*RELOADED) & (ym != 199503)), RELOADED)
+            return fact.read()
+        facts = at_once(load, FACT_TABLES)
+    return _union([_named(t, L.partition_report(fact, L.FACT_DATE_KEY[t])) for t, fact in zip(FACT_TABLES, facts, strict=True)])
 
 
 def undated_partition(m) -> DataFrame:
     """Sales without a date (every 13th ticket or order here) are written to the default partition."""
     folder, out = _folder(m), []
+    with staged_lines(m, folder) as lines:
+        def write(t):
+            key = L.FACT_DATE_KEY[t]
+            number = f"{key[:2]}_{'ticket' if t == 'fact_store_sales' else 'order'}_number"
+            L.write_fact(getattr(lines, t).withColumn(key, F.when(F.col(number) % 13 != 0, F.col(key))), f"{folder}/{t}", key)
+        at_once(write, FACT_TABLES)
     for t, key in L.FACT_DATE_KEY.items():
-        number = f"{key[:2]}_{'ticket' if t == 'fact_store_sales' else 'order'}_number"
-        day = F.when(F.col(number) % 13 != 0, F.col(key))
-        L.write_fact(getattr(m, t).withColumn(key, day), f"{folder}/{t}", key)
         out.append(_named(t, L.partition_report(L.read_fact(m.spark, f"{folder}/{t}"), key)))
     return _union(out)
 
@@ -124,23 +129,30 @@ def undated_partition(m) -> DataFrame:
 def table_statistics(m) -> DataFrame:
     """Row counts that ANALYZE keeps in the catalog for all marts (registered under names of their own, then dropped)."""
     folder, tag = _folder(m), uuid.uuid4().hex[:12]
-    out = []
-    for t in SNAPSHOT_TABLES:
-        path, name = f"{folder}/{t}", f"{t}_{tag}"
-        if t in L.FACT_DATE_KEY:
-            L.write_fact(getattr(m, t), path, L.FACT_DATE_KEY[t])
-        else:
-            getattr(m, t).write.parquet(path)
-        L.register_table(m.spark, name, path, t in L.FACT_DATE_KEY)
+    with staged_lines(m, folder) as lines:
+        def write(t):
+            if t in L.FACT_DATE_KEY:
+                L.write_fact(getattr(lines, t), f"{folder}/{t}", L.FACT_DATE_KEY[t])
+            else:
+                getattr(m, t).write.parquet(f"{folder}/{t}")
+        at_once(write, SNAPSHOT_TABLES)
+
+    def statistics(t):
+        name = f"{t}_{tag}"
+        L.register_table(m.spark, name, f"{folder}/{t}", t in L.FACT_DATE_KEY)
         stats = L.analyze_table(m.spark, name).first()["data_type"]  # one line of text
         m.spark.sql(f"DROP TABLE {name}")
-        out.append((t, stats))
+        return t, stats
+    out = at_once(statistics, SNAPSHOT_TABLES)
     rows = m.spark.createDataFrame(out, "table_name string, statistics string")
     return rows.select("table_name", F.regexp_extract("statistics", "([0-9]+) rows", 1).cast("bigint").alias("rows"))
 
 
 def _snapshot(m, folder: str, **kw) -> str:
-    return S.snapshot(m.spark, {t: getattr(m, t) for t in SNAPSHOT_TABLES}, f"{folder}/snapshots", **kw)
+    if kw.get("schema_only"):  # nothing is written
+        return S.snapshot(m.spark, {t: getattr(m, t) for t in SNAPSHOT_TABLES}, f"{folder}/snapshots", **kw)
+    with staged_lines(m, folder) as lines:
+        return S.snapshot(m.spark, {t: getattr(lines if t in FACT_TABLES else m, t) for t in SNAPSHOT_TABLES}, f"{folder}/snapshots", **kw)
 
 
 def manifest(m) -> DataFrame:
@@ -184,12 +196,16 @@ def restored(m) -> DataFrame:
 def damaged_months(m) -> DataFrame:
     """Live facts of which a month was lost and another changed: what is found, and what is left after the repair."""
     folder = _folder(m)
-    live, snap = f"{folder}/live", S.snapshot(m.spark, {t: _by_month(m, t) for t in FACT_TABLES}, f"{folder}/snapshots")
-    for t in FACT_TABLES:
+    live = f"{folder}/live"
+    with staged_lines(m, folder) as lines:
+        snap = S.snapshot(m.spark, {t: _by_month(lines, t) for t in FACT_TABLES}, f"{folder}/snapshots")
+
+    def damage(t):
         number = f"{L.FACT_DATE_KEY[t][:2]}_{'ticket' if t == 'fact_store_sales' else 'order'}_number"
         ym, rows = F.col(L.PARTITION_COL), m.spark.read.parquet(f"{snap}/{t}")
         changed = F.when(ym == CHANGED, F.col(number) + 1).otherwise(F.col(number))
         L.write_table(rows.where(ym != LOST).withColumn(number, changed), f"{live}/{t}")
+    at_once(damage, FACT_TABLES)
     found = S.repair(m.spark, snap, live)
     left = {(r.table_name, r.part) for r in S.damaged_parts(m.spark, snap, live).collect()}
     rows = [(t, p, state, (t, p) not in left) for t, p, state in found]  # at most a row a month

@@ -33,6 +33,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shopstar.functions.dates import julian_key
 from shopstar.functions.numeric import dec, money
@@ -54,6 +55,9 @@ SHIP_MODE_TYPES = ["EXPRESS", "LIBRARY", "NEXT DAY", "OVERNIGHT", "REGULAR"]
 CALL_CENTER_NAMES = ["NY Metro", "Mid Atlantic", "North Midwest", "Pacific Northwest"]
 EDUCATION = ["Primary", "Secondary", "College"]
 
+# Folder column of the staged lines.
+LINE_CHANNEL = "line_channel"
+
 # A promotion is the number before the dash of an order priority.
 PROMO_KEY = "^([0-9]+)"
 
@@ -89,6 +93,7 @@ class DerivedMarts:
         self.spark = spark
         self.sf_dir = sf_dir
         self.t = DriverTables(spark, sf_dir)
+        self._staged_rows: DataFrame | None = None  # the joined lines, read from a written copy
 
     # ------------------------------------------------------------------ lines
     def _lines(self) -> DataFrame:
@@ -100,34 +105,41 @@ class DerivedMarts:
         Building the marts touches the lines seven times (three facts,
         three return tables, staging store sales); staging them turns seven
         ``lineitem JOIN orders`` into one join plus seven pruned scans, and
-        cuts the lineage of everything built afterwards.
+        cuts the lineage of everything built afterwards.  Only what the join
+        brings together is written, in a folder a channel; the measures are
+        derived from it at every scan.
         """
-        self._line_rows.write.mode("overwrite").parquet(path)
+        joined = self._joined(self.t.orders)
+        joined.withColumn(LINE_CHANNEL, self.channel_of(F.col("l_orderkey") % 7)).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "static").partitionBy(LINE_CHANNEL).parquet(path)
         staged = DerivedMarts(self.spark, self.sf_dir)
-        staged.__dict__["_line_rows"] = self.spark.read.parquet(path)
-        staged._staged = True
+        staged._staged_rows = self.spark.read.schema(StructType([*joined.schema.fields, StructField(LINE_CHANNEL, StringType())])).parquet(path)
         return staged
 
     @cached_property
     def _line_rows(self) -> DataFrame:
-        return self._join_lines(self.t.orders)
+        return self._line_columns(self._joined(self.t.orders) if self._staged_rows is None else self._staged_rows)
 
     def _lines_in_years(self, years) -> DataFrame:
         """Sale lines of a year range; the bounds go to the order dates themselves, so they reach the scan."""
-        if "_line_rows" in self.__dict__ and getattr(self, "_staged", False):
+        if self._staged_rows is not None:
             return restrict_years(self._line_rows, "sold_date_sk", years)
         day = F.col("o_orderdate")
         first, end = dt.datetime(years[0], 1, 1), dt.datetime(years[1] + 1, 1, 1)
         bound = lambda t: F.lit(t).cast("timestamp_ntz")
-        return self._join_lines(self.t.orders.filter((day >= bound(first)) & (day < bound(end))))
+        return self._line_columns(self._joined(self.t.orders.filter((day >= bound(first)) & (day < bound(end)))))
 
-    def _join_lines(self, orders: DataFrame) -> DataFrame:
-        """One row per sale line with channel-neutral column names."""
+    def _joined(self, orders: DataFrame) -> DataFrame:
+        """Every line with its order."""
         li = self.t.lineitem.select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
         od = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        j = li.join(od, li.l_orderkey == od.o_orderkey)
+        return li.join(od, li.l_orderkey == od.o_orderkey)
+
+    @staticmethod
+    def _line_columns(j: DataFrame) -> DataFrame:
+        """One row per sale line with channel-neutral column names."""
         ext = money("l_extendedprice")
         disc = F.col("l_discount").cast("decimal(4,2)")
         tax = F.col("l_tax").cast("decimal(4,2)")
@@ -168,6 +180,10 @@ class DerivedMarts:
             F.round(F.col("ext_list_price") * dec("0.02"), 2).cast("decimal(12,2)").alias("ext_ship_cost"),
         ).drop("tax_rate")
 
+    @staticmethod
+    def channel_of(code):
+        return F.when(code <= 3, F.lit(STORE)).when(code <= 5, F.lit(CATALOG)).otherwise(F.lit(WEB))
+
     @staticmethod
     def channel_filter(channel: str):
         code = F.col("channel_code")
@@ -178,6 +194,8 @@ class DerivedMarts:
         return code == 6
 
     def _channel_lines(self, channel: str) -> DataFrame:
+        if self._staged_rows is not None:
+            return self._line_columns(self._staged_rows.filter(F.col(LINE_CHANNEL) == channel))
         return self._lines().filter(self.channel_filter(channel))
 
     # ------------------------------------------------------------------ facts
@@ -272,8 +290,7 @@ class DerivedMarts:
         single scan of the joined lines (the channel split is a partition of
         them), so a cross-channel report reads the source once.
         """
-        ch = (F.when(F.col("channel_code") <= 3, F.lit(STORE))
-              .when(F.col("channel_code") <= 5, F.lit(CATALOG)).otherwise(F.lit(WEB)))
+        ch = self.channel_of(F.col("channel_code"))
         lines = self._lines() if years is None else self._lines_in_years(years)
         if "net_profit" in measures:
             # web and catalog profit also carries the shipping cost
@@ -307,7 +324,7 @@ class DerivedMarts:
 
     def all_returns(self) -> DataFrame:
         """All channels' returns from one pass over the lines."""
-        ch = (F.when(F.col("channel_code") <= 3, F.lit(STORE)).when(F.col("channel_code") <= 5, F.lit(CATALOG)).otherwise(F.lit(WEB)))
+        ch = self.channel_of(F.col("channel_code"))
         return self._lines().filter(F.col("return_flag") == "R").select(
             ch.alias("channel"), "order_number", "item_sk",
             F.round(F.col("net_paid") * dec("0.10"), 2).cast("decimal(12,2)").alias("net_loss"))
