@@ -35,20 +35,21 @@ def star_join(m, customer_cols=(), promo_cols=()) -> DataFrame:
     Inner joins to date, item, store; LEFT JOINs to customer and promotion
     keep anonymous and non-promoted sales; they are planned when their
     dimension contributes columns (the registered form uses all five joins).
+    The calendar is broadcast and comes last: what the other joins shuffle
+    carries the day's key, not its columns.
     """
     f = m.fact_store_sales
     d = F.broadcast(m.dim_date.select("date_sk", "full_date", "year", "month"))   # bounded by days
     i = m.dim_item.select("item_sk", "category", "brand")
     s = m.dim_store.select("store_sk")
-    j = (f.join(d, f.ss_sold_date_sk == d.date_sk)
-         .join(i, f.ss_item_sk == i.item_sk)
-         .join(s, f.ss_store_sk == s.store_sk))
+    j = f.join(i, f.ss_item_sk == i.item_sk).join(s, f.ss_store_sk == s.store_sk)
     if customer_cols:
         c = m.dim_customer.select("customer_sk", *customer_cols)
         j = j.join(c, j.ss_customer_sk == c.customer_sk, "left")
     if promo_cols:
         p = m.dim_promotion.select("promo_sk", *promo_cols)
         j = j.join(p, j.ss_promo_sk == p.promo_sk, "left")
+    j = j.join(d, j.ss_sold_date_sk == d.date_sk)
     return j.select("full_date", "year", "month", "category", "brand", "ss_quantity",
                     to_double("ss_net_paid").alias("ss_net_paid"),
                     to_double("ss_net_profit").alias("ss_net_profit"),

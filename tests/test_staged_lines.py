@@ -1,4 +1,4 @@
-"""Facts written from lines that are joined once; compiled Z-order values. All on rows made here."""
+"""Facts written from lines that are joined once; compiled Z-order values; the calendar joined last. All on rows made here."""
 
 import os
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shopstar.operators import layout as L
 from shopstar.operators import marts as M
+from shopstar.plans import examples as D
 from shopstar.plans import layoutops as Y
 from shopstar.plans import tableops as X
 from shopstar.sources.tables import DRIVER_SCHEMAS
@@ -69,3 +70,16 @@ def test_z_values_are_compiled(spark):
     for r in z.collect():
         part = [0 if r[k] is None else sum(r[k] >= c for c in cuts[k]) for k in ("a", "b")] + [0]
         assert r.z == sum(((part[i] >> b) & 1) << (b * 3 + 2 - i) for i in range(3) for b in range(3))
+
+def test_calendar_columns_are_not_shuffled(marts):
+    spark, keys = marts.spark, ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        plan = D.star_join(marts, ("customer_id", "state"), ("promo_name",))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert "date_sk" in joins[0] and "BroadcastHashJoin" in joins[0] and len(joins) > 4
